@@ -17,6 +17,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "evlake"
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -46,8 +47,12 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared folder, so that later reads all see the same rows."""
+    """Write the rows once as a table in the shared folder and read them back.
+
+    Later reads all see the same rows, prune columns, know the size for join planning, and survive
+    the loss of any executor. `DataFrame.checkpoint` would compute the rows twice.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    path = shared_path(spark, "evlake-step")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
