@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evlake.session import cut_lineage
 from evlake.sources.lake import SEQ, Lake
 
 
@@ -23,6 +24,8 @@ def publish_stream(captures: DataFrame, lake: Lake, checkpoint: str, available_n
         if known is not None:
             held = known.filter(F.col(SEQ) != batch).select("capture_id")
             fresh = fresh.join(held, "capture_id", "left_anti")
+        # Both tables below must come from the same choice among repeated ids.
+        fresh = cut_lineage(fresh)
         pointers = fresh.select(
             F.col("analysis.request_key").alias("request_key"),
             F.col("analysis.token").alias("token"),
