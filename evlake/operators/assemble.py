@@ -105,31 +105,39 @@ def resolve_selector(
 ) -> DataFrame:
     """First catalog row, by position, of the package that the selector accepts.
 
-    ``status`` is ``found``, ``package_not_found`` or ``target_not_found``. Aggregated as a
-    minimum, so a large package is never sorted.
+    ``status`` is ``found``, ``package_not_found`` or ``target_not_found``. The catalog is reduced
+    to its first row per (package, kind, name) before the join, so no package is compared with all
+    of its selectors.
     """
-    asked = selectors.select(
-        F.col(selector_id), F.col(package), F.col(kind).alias("__kind"), F.col(name).alias("__name")
+    classes = F.array(
+        *[
+            F.when(F.arrays_overlap(kinds, F.array(*[F.lit(v) for v in values])), F.lit(k))
+            for k, values in accepted.items()
+        ]
     )
-    classes = F.create_map(
-        *[x for k, v in accepted.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))]
-    )
-    accepts = F.arrays_overlap(F.col(kinds), F.try_element_at(classes, F.col("__kind"))) & (
-        (F.col("__kind") == nameless) | (F.col(name) == F.col("__name"))
+    # The name is compared only for kinds that use it.
+    compared = F.when(F.col(kind) != nameless, F.col(name)).otherwise(F.lit(""))
+    first = (
+        catalog.select(
+            package, position, name, F.explode(F.array_compact(classes)).alias(kind)
+        )
+        .groupBy(package, kind, compared.alias("__name"))
+        .agg(F.min(F.struct(position, name)).alias("__best"))
     )
-    best = F.min(F.when(accepts, F.struct(position, name)))
+    packages = catalog.select(package, F.lit(True).alias("__known")).distinct()
+    best = F.col("__best")
     return (
-        asked.join(catalog, package, "left")
-        .groupBy(selector_id, package)
-        .agg(best.alias("__best"), F.count(position).alias("__rows"))
+        selectors.select(selector_id, package, kind, compared.alias("__name"))
+        .join(first, [package, kind, "__name"], "left")
+        .join(packages, package, "left")
         .select(
             selector_id,
             package,
-            F.when(F.col("__rows") == 0, F.lit("package_not_found"))
-            .when(F.col("__best").isNull(), F.lit("target_not_found"))
+            F.when(F.col("__known").isNull(), F.lit("package_not_found"))
+            .when(best.isNull(), F.lit("target_not_found"))
             .otherwise(F.lit("found"))
             .alias("status"),
-            F.col(f"__best.{position}").alias(position),
-            F.col(f"__best.{name}").alias(name),
+            best[position].alias(position),
+            best[name].alias(name),
         )
     )
