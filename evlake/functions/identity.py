@@ -55,7 +55,7 @@ def parse_instance_ref(reference: Column, id_pattern: str = "[k-z]{32}") -> Colu
     # 21 digits cannot fit; shorter ones cast without overflow.
     number = F.when(F.length(ordinal) <= 20, ordinal).try_cast("decimal(20,0)")
     return F.when(
-        well_formed & (number <= F.lit(U64_MAX).cast("decimal(20,0)")),
+        well_formed & (number <= F.lit(str(U64_MAX)).cast("decimal(20,0)")),
         F.struct(F.regexp_extract(reference, pattern, 1).alias("capture_id"), number.alias("ordinal")),
     )
 

@@ -60,7 +60,7 @@ def next_artifact_ids(
     placed = ordinals(modules, capture, [position], "__nth")
     first = F.coalesce(F.col("__max") + F.lit(1).cast("decimal(20,0)"), F.lit(0).cast("decimal(20,0)"))
     wide = first + F.col("__nth").cast("decimal(20,0)")
-    fits = wide <= F.lit(I64_MAX).cast("decimal(20,0)")
+    fits = wide <= F.lit(str(I64_MAX)).cast("decimal(20,0)")
     return placed.join(largest, list(capture), "left").select(
         *modules.columns,
         F.when(fits, wide).cast("bigint").alias("artifact_id"),

@@ -92,13 +92,13 @@ def not_normalized(path: Column) -> Column:
 
 
 def not_u64(n: Column) -> Column:
-    top = F.lit(U64_MAX).cast("decimal(20,0)")
+    top = F.lit(str(U64_MAX)).cast("decimal(20,0)")
     return F.coalesce((n < 0) | (n > top), F.lit(True))
 
 
 def not_storable(n: Column) -> Column:
     """A valid unsigned number the tables cannot hold as BIGINT."""
-    return n.between(F.lit(I64_MAX).cast("decimal(20,0)") + 1, F.lit(U64_MAX).cast("decimal(20,0)"))
+    return n.between(F.lit(str(I64_MAX)).cast("decimal(20,0)") + 1, F.lit(str(U64_MAX)).cast("decimal(20,0)"))
 
 
 def unknown_fields(raw: Column, expected: Sequence[str]) -> Column:
@@ -281,7 +281,7 @@ def _range_rules(level: str, start: Column, length: Column) -> list[Rule]:
     end = start.cast("decimal(21,0)") + length.cast("decimal(21,0)")
     return [
         *number_rules(level, {"start": start, "length": length}),
-        (f"range_overflow:{level}", end > F.lit(U64_MAX).cast("decimal(21,0)"), end),
+        (f"range_overflow:{level}", end > F.lit(str(U64_MAX)).cast("decimal(21,0)"), end),
     ]
 
 
