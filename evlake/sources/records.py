@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evlake import schema as S
+from evlake.session import cut_lineage
 
 _DOCUMENT = "path string, size bigint, raw string"
 
@@ -181,21 +182,27 @@ def _u64(column: str) -> Column:
 
 
 def scan_evidence(spark: SparkSession, root: str, with_files: bool = True) -> Evidence:
-    """All tables of a store. A document's arrays are bounded by the document size limit."""
-    manifests = scan_manifests(spark, root)
+    """All tables of a store. A document's arrays are bounded by the document size limit.
+
+    Every JSON document is read and taken apart once: the tables are written to the shared folder,
+    and the many rules then read only the columns they need.
+    """
+    manifests = cut_lineage(scan_manifests(spark, root))
     good = manifests.filter(
         ~F.col("too_large") & ~F.col("malformed") & (F.col("format_version") == S.FORMAT_VERSION)
     )
+    instances = cut_lineage(_instances(good))
+    modules = cut_lineage(_modules(good))
     return Evidence(
-        headers=scan_headers(spark, root),
+        headers=cut_lineage(scan_headers(spark, root)),
         manifests=manifests,
-        instances=_instances(good),
-        placements=_placements(_instances(good)),
-        artifacts=_artifacts(good),
-        provenance=_provenance(good),
-        modules=_modules(good),
-        definitions=_definitions(_modules(good)),
-        files=scan_artifact_files(spark, root) if with_files else None,
+        instances=instances,
+        placements=cut_lineage(_placements(instances)),
+        artifacts=cut_lineage(_artifacts(good)),
+        provenance=cut_lineage(_provenance(good)),
+        modules=modules,
+        definitions=cut_lineage(_definitions(modules)),
+        files=cut_lineage(scan_artifact_files(spark, root)) if with_files else None,
     )
 
 
