@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from evlake.operators.scale import running_totals
+from evlake.operators.scale import BLOCK, running_totals
 from evlake.operators.search import containing_pairs
 
 CHUNK_BYTES = 1 << 20
@@ -158,47 +161,71 @@ def text_lines(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
     )
 
 
-def artifact_lines(chunks: DataFrame, keys: Sequence[str], block: int | None = None) -> DataFrame:
+def _starts(data: bytes) -> np.ndarray:
+    ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10) + 1
+    return np.concatenate(([0], ends[ends < len(data)]))
+
+
+def _line_starts(data: Column) -> Column:
+    """Offsets in a chunk where a line, or the rest of one, starts. Chunks have a bounded size."""
+
+    def starts(chunks: pd.Series) -> pd.Series:
+        return chunks.map(_starts)
+
+    return F.pandas_udf(starts, T.ArrayType(T.LongType()))(data)
+
+
+def artifact_lines(chunks: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
     """Lines of chunked artifacts: ``line_no`` from 0, ``byte_start`` and ``line`` with its newline.
 
-    A line that crosses chunks is put together from its parts; nothing larger than a line is.
+    Lines inside a chunk are cut where they lie. Only the first and the last part of a chunk, which
+    may belong to a line that crosses chunks, are shuffled and put together.
     """
+    data, size = F.col("bytes"), F.octet_length("bytes").cast("bigint")
     sized = chunks.select(
-        *keys,
-        "chunk_no",
-        F.octet_length("bytes").cast("bigint").alias("__size"),
-        _newlines(F.col("bytes")).cast("bigint").alias("__lines"),
+        *keys, "chunk_no", size.alias("__size"), _newlines(data).cast("bigint").alias("__lines")
     )
-    extra = {} if block is None else {"block": block}
     based = running_totals(
         sized,
         list(keys),
         "chunk_no",
         {"__byte": F.col("__size"), "__line": F.col("__lines")},
-        **extra,
+        block,
     ).select(*keys, "chunk_no", "__byte", "__line")
-    # One byte is one character in ISO-8859-1, so lengths and splits are byte-exact.
-    parts = F.split(F.decode("bytes", "ISO-8859-1"), "(?<=\n)", -1)
-    pieces = chunks.select(*keys, "chunk_no", F.posexplode(parts).alias("__i", "__part")).filter(
-        F.col("__part") != ""
-    )
-    before = W.partitionBy(*keys, "chunk_no").orderBy("__i").rowsBetween(W.unboundedPreceding, -1)
+    starts = F.col("__starts")
     placed = (
-        pieces.withColumn(
-            "__at", F.coalesce(F.sum(F.length("__part")).over(before), F.lit(0)).cast("bigint")
-        )
+        chunks.filter(size > 0)
         .join(based, [*keys, "chunk_no"])
-        .select(
-            *keys,
-            (F.col("__line") + F.col("__i")).alias("line_no"),
-            (F.col("__byte") + F.col("__at")).alias("__start"),
-            F.encode("__part", "ISO-8859-1").alias("__part"),
+        .withColumn("__starts", _line_starts(data))
+    )
+
+    def part(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.get(starts, i + 1), size)
+        return F.struct(
+            (F.col("__line") + i).alias("line_no"),
+            (F.col("__byte") + start).alias("byte_start"),
+            F.substring(data, (start + 1).cast("int"), (end - start).cast("int")).alias("line"),
+            (
+                ((i == 0) & (F.col("chunk_no") > 0))
+                | ((i == F.size(starts) - 1) & ~F.col("__closed"))
+            ).alias("__edge"),
         )
+
+    parts = (
+        placed.withColumn("__closed", F.substring(data, -1, 1) == F.lit(b"\n"))
+        .select(*keys, F.explode(F.transform(starts, part)).alias("__p"))
+        .select(*keys, "__p.*")
     )
-    return placed.groupBy(*keys, "line_no").agg(
-        F.min("__start").alias("byte_start"),
-        F.expr("listagg(__part) within group (order by __start)").alias("line"),
+    whole = parts.filter(~F.col("__edge")).drop("__edge")
+    crossing = (
+        parts.filter("__edge")
+        .groupBy(*keys, "line_no")
+        .agg(
+            F.min("byte_start").alias("byte_start"),
+            F.expr("listagg(line) within group (order by byte_start)").alias("line"),
+        )
     )
+    return whole.unionByName(crossing)
 
 
 def first_byte(text: Column, part: Column) -> Column:

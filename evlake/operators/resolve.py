@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -93,11 +92,6 @@ def symbol_definitions(
     return instances.join(definitions, [*scope, symbol])
 
 
-def alias_rounds(longest: int) -> int:
-    """Doubling rounds after which every path of at most ``longest`` hops has ended."""
-    return max(1, math.ceil(math.log2(longest + 1)))
-
-
 def _jump_tables(
     definitions: DataFrame, keys: Sequence[str], symbol: str, kind: str, target: str
 ) -> tuple[DataFrame, list[DataFrame]]:
@@ -145,11 +139,8 @@ def _jump_tables(
     jumps = [state.select(*keys, "symbol", "jump", "hops", "status")]
     resolved = [state.filter(F.col("status").isNotNull())]
     active = state.filter(F.col("status").isNull())
-    # A simple path inside one module has at most as many hops as the module has aliases.
-    longest = (
-        active.groupBy(*keys).count().agg(F.max("count").alias("n")).first()["n"]
-    )
-    for _ in range(alias_rounds(longest) if longest else 0):
+    left = active.count()
+    while left:
         ahead = state.select(
             *[F.col(k).alias(f"__k_{k}") for k in keys],
             F.col("symbol").alias("__symbol"),
@@ -169,7 +160,10 @@ def _jump_tables(
         resolved.append(stepped.filter(F.col("status").isNotNull()))
         jumps.append(stepped)
         active = stepped.filter(F.col("status").isNull())
-        if active.isEmpty():
+        before, left = left, active.count()
+        # A chain longer than 2^k hops passes a symbol with exactly 2^k + 1 hops to go, which this
+        # round resolves. So a round that resolves nothing leaves only symbols that lead to cycles.
+        if left == before:
             break
         state = _union([*resolved, active])
     cycles = active.withColumn("status", F.lit(CYCLE))

@@ -83,10 +83,6 @@ def _pieces(text: Column, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
 
 
-def _tagged(tag: str, keys: Column) -> Column:
-    return F.transform(keys, lambda k: F.concat(F.lit(tag), k))
-
-
 def _pattern_class(pattern: Column) -> Column:
     """How a pattern is anchored: by a whole inner token, or by runs of 3, 2 or 1 characters."""
     tokens = F.size(F.split(pattern, r"\s+"))
@@ -96,37 +92,29 @@ def _pattern_class(pattern: Column) -> Column:
 
 
 def _pattern_keys(pattern: Column) -> Column:
-    """Keys every text that contains the pattern must have."""
+    """Keys every text that contains the pattern must have, of the pattern's own class."""
     tokens = F.split(pattern, r"\s+")
     # The first and the last token may be cut inside a word of the text; the inner ones are whole.
     inner = F.slice(tokens, F.lit(2), F.size(tokens) - F.lit(2))
     kind = _pattern_class(pattern)
-    by_length = reduce(
-        lambda rest, n: F.when(kind == str(n), _tagged(str(n), _pieces(pattern, n))).otherwise(rest),
-        range(1, _GRAM + 1),
-        F.array().cast("array<string>"),
-    )
-    keys = F.when(kind == _TOKEN, _tagged(_TOKEN, inner)).otherwise(by_length)
+    keys = F.when(kind == _TOKEN, inner)
+    for n in range(1, _GRAM + 1):
+        keys = keys.when(kind == str(n), _pieces(pattern, n))
     return F.array_distinct(keys)
 
 
 def _text_keys(columns: Sequence[str], classes: Column) -> Column:
-    """Keys of a text, only of the classes some pattern uses."""
-    parts = []
-    for c in columns:
-        text = F.coalesce(F.col(c), F.lit(""))
-        parts.append(
-            F.when(
-                F.array_contains(classes, _TOKEN), _tagged(_TOKEN, F.split(text, r"\s+"))
-            ).otherwise(F.array().cast("array<string>"))
-        )
-        for n in range(1, _GRAM + 1):
-            parts.append(
-                F.when(
-                    F.array_contains(classes, str(n)), _tagged(str(n), _pieces(text, n))
-                ).otherwise(F.array().cast("array<string>"))
-            )
-    return F.array_distinct(F.concat(*parts))
+    """``array<struct<class, keys>>`` of a text, only of the classes some pattern uses."""
+    texts = [F.coalesce(F.col(c), F.lit("")) for c in columns]
+
+    def of(kind: str, keys: list[Column]) -> Column:
+        every = keys[0] if len(keys) == 1 else F.concat(*keys)
+        used = F.array_contains(classes, kind)
+        return F.when(used, F.struct(F.lit(kind).alias("__class"), F.array_distinct(every).alias("__keys")))
+
+    kinds = [of(_TOKEN, [F.split(t, r"\s+") for t in texts])]
+    kinds += [of(str(n), [_pieces(t, n) for t in texts]) for n in range(1, _GRAM + 1)]
+    return F.array_compact(F.array(*kinds))
 
 
 def containing_pairs(
@@ -151,25 +139,30 @@ def containing_pairs(
         *scope,
         pattern_id,
         F.col(pattern).alias("__pattern"),
+        _pattern_class(F.col(pattern)).alias("__class"),
         F.explode(_pattern_keys(F.col(pattern))).alias("__key"),
     )
     # At most four distinct classes, so this set is bounded.
     classes = patterns.agg(F.collect_set(_pattern_class(F.col(pattern)))).scalar()
-    on = [*scope, "__key"]
-    text_keys = texts.select(
-        *scope, text_id, F.explode(_text_keys(columns, classes)).alias("__key")
-    ).join(keyed.select(*on).distinct(), on, "left_semi")
+    on = [*scope, "__class", "__key"]
+    # Only keys that some pattern has. Texts are taken apart once; the counts and the candidates
+    # below both read this narrow table.
+    text_keys = cut_lineage(
+        texts.select(*scope, text_id, F.explode(_text_keys(columns, classes)).alias("__k"))
+        .select(*scope, text_id, "__k.__class", F.explode("__k.__keys").alias("__key"))
+        .join(keyed.select(*on).distinct(), on, "left_semi")
+    )
     frequency = text_keys.groupBy(*on).agg(F.count("*").alias("__n"))
     # A key of the pattern that no text has proves that nothing contains the pattern.
     rarity = F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__key").alias("key"))
     anchors = (
         keyed.join(frequency, on, "left")
-        .groupBy(*scope, pattern_id, "__pattern")
+        .groupBy(*scope, pattern_id, "__pattern", "__class")
         .agg(F.min(rarity).alias("__rarest"))
         .filter(F.col("__rarest.n") > 0)
-        .select(*scope, pattern_id, "__pattern", F.col("__rarest.key").alias("__key"))
+        .select(*scope, pattern_id, "__pattern", "__class", F.col("__rarest.key").alias("__key"))
     )
-    candidates = text_keys.join(anchors, on).drop("__key")
+    candidates = text_keys.join(anchors, on).drop("__class", "__key")
     extra = {name: c for name, c in (carry or {}).items()}
     return (
         candidates.join(texts, [*scope, text_id])

@@ -120,7 +120,8 @@ def index_blocks(
     ``length``. Errors: ``error`` and ``error_at``; a module with an error has no valid index.
     """
     ks = list(keys)
-    features = _line_features(lines, ks)
+    # Written once: the sums below read only its narrow columns.
+    features = cut_lineage(_line_features(lines, ks))
     step_sum = F.aggregate("steps", F.lit(0), lambda a, s: a + s["step"])
     summed = running_totals(
         features, ks, "line_no", {"depth": step_sum, "solid_before": F.col("solid")}, block
@@ -182,20 +183,23 @@ def index_blocks(
         split.select(*ks, "line_no"), [*ks, "line_no"], "left_anti"
     )
     closing = events.filter(F.size("zeros") > 0)
-    marked = events.select(*ks, "line_no").distinct().join(
+    # The block of every line: how many definitions have started up to it.
+    marked = features.select(*ks, "line_no").join(
         starts.select(*ks, "line_no", F.lit(1).alias("__start")), [*ks, "line_no"], "left"
     )
-    numbered = running_totals(
-        marked.fillna(0, ["__start"]), ks, "line_no", {"__before": F.col("__start")}, block
-    ).select(*ks, "line_no", (F.col("__before") + F.col("__start")).alias("block_no"))
-    blocks = cut_lineage(starts.join(numbered, [*ks, "line_no"]))
+    numbered = cut_lineage(
+        running_totals(
+            marked.fillna(0, ["__start"]), ks, "line_no", {"__before": F.col("__start")}, block
+        ).select(*ks, "line_no", (F.col("__before") + F.col("__start")).alias("block_no"))
+    )
+    blocks = starts.join(numbered, [*ks, "line_no"])
     ends = closing.join(numbered, [*ks, "line_no"]).select(
         *ks, "block_no", "crowded", F.explode("zeros").alias("end")
     )
-    size = lines.groupBy(*ks).agg(
-        F.max(F.col("byte_start") + F.octet_length("line")).alias("__size")
+    size = features.groupBy(*ks).agg(
+        F.max(F.col("byte_start") + F.col("byte_len")).alias("__size")
     )
-    headers = _read_block_headers(lines, blocks, ks, block)
+    headers = _read_block_headers(lines, blocks, numbered, ks)
 
     symbol = F.when(F.col("form") == "header", F.col("h.symbol")).otherwise(
         decode_symbol(F.col("symbol_token"))
@@ -287,20 +291,15 @@ def index_blocks(
 
 
 def _read_block_headers(
-    lines: DataFrame, blocks: DataFrame, ks: list[str], block: int
+    lines: DataFrame, blocks: DataFrame, numbered: DataFrame, ks: list[str]
 ) -> DataFrame:
     """``h`` per block whose header is not one of the one-line forms.
 
     The text of such a header is put together from at most 1 MiB of its lines.
     """
-    wanted = blocks.filter(F.col("form") == "header")
-    starts = blocks.select(*ks, "line_no", F.lit(1).alias("__start"))
-    flagged = lines.select(*ks, "line_no").join(starts, [*ks, "line_no"], "left")
-    placed = running_totals(
-        flagged.fillna(0, ["__start"]), ks, "line_no", {"__before": F.col("__start")}, block
-    ).select(*ks, "line_no", (F.col("__before") + F.col("__start")).alias("block_no"))
+    wanted = blocks.filter(F.col("form") == "header").select(*ks, "block_no", "begin")
     head = (
-        placed.join(wanted.select(*ks, "block_no", "begin"), [*ks, "block_no"])
+        numbered.join(wanted, [*ks, "block_no"])
         .join(lines.select(*ks, "line_no", "byte_start", "line"), [*ks, "line_no"])
         # One byte over the limit tells a header that is too long from one that just fits.
         .filter(F.col("byte_start") <= F.col("begin") + HEADER_LIMIT)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from evlake.operators import assemble, ranges, resolve, textindex
 from evlake.operators.scale import ordinals, running_totals
 from evlake.plans.registry import query, table
+from evlake.session import cut_lineage
 
 _CHUNK = 8192
 
@@ -319,7 +320,7 @@ def ir_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("__byte") + head).alias("byte_start"),
         F.encode("line", "UTF-8").alias("line"),
     )
-    definitions, _ = textindex.index_blocks(lines, ["module"])
+    definitions, _ = textindex.index_blocks(cut_lineage(lines), ["module"])
     return definitions
 
 
