@@ -12,7 +12,7 @@ from evlake.session import local_session
 
 # One or more per operator family; `BENCH_QUERIES=all` runs everything.
 HEADLINE = (
-    "find_two_tier find_exact_tier find_many list_captures request_key document_key features "
+    "find_two_tier find_exact_tier find_many list_desc request_key document_key features "
     "range_read line_offsets artifact_lines passage_spans tag_index ir_index alias_closure "
     "symbol_bodies evidence_outcome resolve_refs assemble_groups number_placements ordinals "
     "duplicate_keys current_pointer dedup_snapshots violations missing_refs build_completion "

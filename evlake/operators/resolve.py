@@ -82,16 +82,6 @@ def source_evidence(resolved: DataFrame) -> DataFrame:
     )
 
 
-def symbol_definitions(
-    instances: DataFrame,
-    definitions: DataFrame,
-    symbol: str = "raw_symbol",
-    scope: Sequence[str] = ("capture_id",),
-) -> DataFrame:
-    """Each instance with the definitions of its exact symbol in every module of its scope."""
-    return instances.join(definitions, [*scope, symbol])
-
-
 def _jump_tables(
     definitions: DataFrame, keys: Sequence[str], symbol: str, kind: str, target: str
 ) -> tuple[DataFrame, list[DataFrame]]:

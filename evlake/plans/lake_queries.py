@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlake.functions import display
+from evlake.functions import display, identity
 from evlake.operators import integrity, observe
 from evlake.plans.registry import query, table
 from evlake.plans.search_queries import _order_captures
+from evlake.schema import STAGES
+from evlake.schema import U64 as _U64
 from evlake.session import shared_path
 from evlake.sources.lake import Lake
-from evlake.sources.records import parse_messages, read_captures
+from evlake.sources.records import (
+    evidence_of,
+    parse_headers,
+    parse_manifests,
+    parse_messages,
+    read_captures,
+)
 from evlake.streaming.completion import completion_stream as run_completion
 from evlake.streaming.publish import publish_stream as run_publish
 
@@ -238,6 +246,208 @@ def expected_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.expected_module_rules(expected, configuration)
 
 
+# p_size -> rules a record with that size breaks, with how many rows each.
+_DEFECTS = {
+    1: {"unsupported_version": 1},
+    2: {"empty:build.package": 1},
+    3: {"domain:target.kind": 1},
+    4: {"relative_directory": 1},
+    5: {"empty:build.cargo_arguments": 1},
+    6: {"path:compiler.rustc": 1},
+    7: {"request_key_format": 1},
+    8: {"token_format": 1},
+    9: {"malformed_json": 1},
+    10: {"unknown_field:header": 1},
+    11: {"missing:analysis": 1},
+    12: {"range_past_end": 1},
+    13: {"zero_line": 1},
+    14: {"duplicate_symbol": 1},
+    15: {"stage_disagrees_with_lto": 1},
+    16: {"unsupported_collection": 1, "stage_disagrees_with_lto": 1},
+    17: {"domain:provenance.optimization": 1},
+    18: {"zero:provenance.codegen_units": 1},
+    19: {"missing_module": 1},
+    20: {"no_placements": 1},
+    21: {"not_u64:placement.size_estimate": 1},
+    22: {"domain:artifact.kind": 1, "wrong_artifact_kind": 1},
+    23: {"orphan_artifact": 1},
+    24: {"unknown_artifact": 1},
+    25: {"duplicate_module": 1, "duplicate_module_artifact": 1},
+    26: {"path:artifact.src_path": 1},
+    27: {"unknown_field:placement": 1},
+    28: {"range_overflow:definition.range": 1, "range_past_end": 1, "not_storable:definition.range.start": 1},
+}
+_DEFECT_ROWS = ", ".join(
+    f"({size}, '{rule}', {n})" for size, rules in _DEFECTS.items() for rule, n in rules.items()
+)
+
+
+def _record_documents(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A header and a manifest document per part, some of them broken by their `p_size`."""
+    d, key = F.col("p_size"), F.col("p_partkey")
+
+    def at(size: int, broken: Column, sound: Column) -> Column:
+        return F.when(d == size, broken).otherwise(sound)
+
+    text, no_texts = F.lit, F.array().cast("array<string>")
+    one = F.lit(1).cast("bigint")
+    cid = identity.reverse_hex(F.unhex(F.md5(key.cast("string"))))
+    source_path = at(26, text("/a/./b.rs"), text("/work/src/lib.rs"))
+    observed = F.struct(
+        F.col("p_brand").alias("package_id"),
+        text("/work/Cargo.toml").alias("manifest_path"),
+        F.struct(
+            F.col("p_name").alias("name"),
+            F.array(text("lib")).alias("kind"),
+            F.array(text("lib")).alias("crate_types"),
+            source_path.alias("src_path"),
+        ).alias("target"),
+        F.struct(text("2").alias("opt_level")).alias("profile"),
+        F.split("p_name", " ").alias("features"),
+        F.array(text("/work/out.rlib")).alias("filenames"),
+    )
+    analysis = F.struct(
+        at(7, text("ABC"), F.sha2(key.cast("string"), 256)).alias("request_key"),
+        at(8, F.repeat(text("0"), F.lit(32)), text("0123456789ab4def8123456789abcdef")).alias("token"),
+        observed.alias("artifact"),
+    )
+    target = F.struct(
+        F.col("p_name").alias("name"), at(3, text("tests"), text("lib")).alias("kind")
+    )
+    build = F.struct(
+        at(2, text(""), F.col("p_name")).alias("package"),
+        text("0.1.0").alias("package_version"),
+        target.alias("target"),
+        text("release").alias("profile"),
+        text("cargo").alias("cargo_program"),
+        at(4, text("work"), text("/work")).alias("invocation_directory"),
+        at(5, no_texts, F.array(text("rustc"))).alias("cargo_arguments"),
+    )
+    compiler = F.struct(
+        at(6, text("tools/rustc"), text("/tools/rustc")).alias("rustc"),
+        *[text(n).alias(n) for n in ("release", "commit_hash", "host")],
+        text("/tools").alias("sysroot"),
+    )
+    header = F.to_json(
+        F.struct(
+            at(1, F.lit(3), F.lit(4)).alias("format_version"),
+            cid.alias("id"),
+            key.alias("completed_at_unix_ms"),
+            build.alias("build"),
+            compiler.alias("compiler"),
+            F.when(d != 11, analysis).alias("analysis"),
+            F.when(d == 10, F.lit(1)).alias("extra"),
+        )
+    )
+    placement = F.struct(
+        at(19, text("elsewhere"), text("unit.0")).alias("codegen_unit"),
+        text("external").alias("linkage"),
+        text("default").alias("visibility"),
+        F.lit(False).alias("local_copy"),
+        at(21, -one, key).alias("size_estimate"),
+        F.when(d == 27, one).alias("extra"),
+    )
+    available = F.struct(
+        at(24, one * 9, one).alias("artifact"),
+        F.struct((one * 2).alias("start"), at(12, one * 9, one * 8).alias("length")).alias("range"),
+        text("src/lib.rs").alias("display_path"),
+        at(13, F.lit(0), F.lit(1)).alias("starting_line"),
+    )
+    instance = F.struct(
+        F.struct(
+            F.col("p_brand").alias("crate_name"), F.col("p_name").alias("definition_path")
+        ).alias("definition"),
+        F.col("p_name").alias("display_name"),
+        text("alias").alias("raw_symbol"),
+        F.when(d == 20, F.array_remove(F.array(placement), placement))
+        .otherwise(F.array(placement))
+        .alias("placements"),
+        F.struct(available.alias("available")).alias("source"),
+    )
+
+    def definition(symbol: Column, start: Column, kind: Column) -> Column:
+        span = F.struct(start.alias("start"), (one * 10).cast(_U64).alias("length"))
+        return F.struct(symbol.alias("raw_symbol"), span.alias("range"), kind.alias("kind"))
+
+    high = F.lit(str(2**64 - 5)).cast(_U64)
+    definitions = F.array(
+        definition(text("body"), at(28, high, F.lit(0).cast(_U64)), text("function")),
+        definition(
+            at(14, text("body"), text("alias")), F.lit(10).cast(_U64), text("expression_alias")
+        ),
+    )
+    module = F.struct(
+        (one * 2).alias("artifact"),
+        text("unit.0").alias("compiler_module"),
+        at(15, text(STAGES[1]), text(STAGES[0])).alias("stage"),
+        definitions.alias("definitions"),
+    )
+    again = module.withField("definitions", F.slice(definitions, 1, 0))
+    llvm = F.struct(
+        F.when(d == 25, F.array(module, again))
+        .when(d != 23, F.array(module))
+        .alias("collected"),
+        F.when(d == 23, text("incremental")).alias("not_captured"),
+    )
+    artifacts = F.array(
+        F.struct(one.alias("id"), at(22, text("other"), text("source")).alias("kind"), (one * 10).alias("byte_len")),
+        F.struct((one * 2).alias("id"), text("llvm").alias("kind"), (one * 20).alias("byte_len")),
+    )
+    provenance = F.struct(
+        text("llvm").alias("backend"),
+        text("22.1").alias("llvm_version"),
+        text("x86_64").alias("target"),
+        at(17, text("fast"), text("2")).alias("optimization"),
+        at(16, text("fat"), text("off")).alias("lto"),
+        F.lit(False).alias("incremental"),
+        F.lit(False).alias("linker_plugin_lto"),
+        at(18, F.lit(0), F.lit(1)).alias("codegen_units"),
+        F.lit(1).alias("recipe_revision"),
+    )
+    manifest = F.to_json(
+        F.struct(
+            F.lit(4).alias("format_version"),
+            cid.alias("capture_id"),
+            F.array(instance).alias("instances"),
+            artifacts.alias("artifacts"),
+            provenance.alias("llvm_provenance"),
+            llvm.alias("llvm"),
+        )
+    )
+
+    def documents(raw: Column, name: str) -> DataFrame:
+        return part.select(
+            F.concat(text("/captures/"), cid, text(f"/{name}")).alias("path"),
+            F.octet_length(raw).cast("bigint").alias("size"),
+            raw.alias("raw"),
+            F.lit(False).alias("too_large"),
+        )
+
+    return (
+        documents(at(9, F.left(header, F.lit(40)), header), "capture.json"),
+        documents(manifest, "instances.json"),
+    )
+
+
+@query(
+    "record_violations",
+    f"""
+    with d(p_size, rule, n) as (values {_DEFECT_ROWS})
+    select translate(upper(md5(cast(p_partkey as varchar))), '0123456789ABCDEF', 'zyxwvutsrqponmlk')
+             as capture_id, rule, cast(n as bigint) as violations
+    from part join d using (p_size)""",
+)
+def record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record rule over documents that Spark derives from `part`."""
+    headers, manifests = _record_documents(table(spark, sf_dir, "part"))
+    ev = evidence_of(parse_headers(headers), parse_manifests(manifests), None)
+    return (
+        integrity.evidence_violations(ev)
+        .groupBy("capture_id", "rule")
+        .agg(F.count("*").alias("violations"))
+    )
+
+
 # --- observation ---------------------------------------------------------------------------------
 
 _BUILD_SQL = """

@@ -135,7 +135,7 @@ def bad_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "list_captures",
+    "list_desc",
     """
     select o_orderkey, cast(cast(o_orderdate as date) as varchar) as completed,
            row_number() over (order by o_orderdate desc, o_orderkey) - 1 as list_position

@@ -44,8 +44,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder, in a folder of this application's own.
+
+    The folder can be removed when the application has ended.
+    """
+    own = f"evlake-{spark.sparkContext.applicationId}"
+    return os.path.join(shared_folder(spark), own, f"{name}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -55,6 +59,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     the loss of any executor. `DataFrame.checkpoint` would compute the rows twice.
     """
     spark = df.sparkSession
-    path = shared_path(spark, "evlake-step")
+    path = shared_path(spark, "step")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

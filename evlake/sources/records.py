@@ -20,7 +20,10 @@ _DOCUMENT = "path string, size bigint, raw string"
 
 
 def _documents(spark: SparkSession, glob: str, limit: int) -> DataFrame:
-    """Whole JSON documents with path and size. A document over the limit is never decoded."""
+    """Whole JSON documents with path and size.
+
+    A document over the limit is only listed: its file is pruned by size and never opened.
+    """
     try:
         files = spark.read.text(glob, wholetext=True)
     except AnalysisException as error:
@@ -29,12 +32,24 @@ def _documents(spark: SparkSession, glob: str, limit: int) -> DataFrame:
             raise
         return spark.createDataFrame([], _DOCUMENT).withColumn("too_large", F.lit(False))
     size = F.col("_metadata.file_size")
-    return files.select(
+    small = files.filter(size <= limit).select(
         F.col("_metadata.file_path").alias("path"),
         size.alias("size"),
-        F.when(size <= limit, F.col("value")).alias("raw"),
-        (size > limit).alias("too_large"),
+        F.col("value").alias("raw"),
+        F.lit(False).alias("too_large"),
     )
+    large = (
+        spark.read.format("binaryFile")
+        .load(glob)
+        .filter(F.col("length") > limit)
+        .select(
+            "path",
+            F.col("length").alias("size"),
+            F.lit(None).cast("string").alias("raw"),
+            F.lit(True).alias("too_large"),
+        )
+    )
+    return small.unionByName(large)
 
 
 def _malformed(raw: Column) -> Column:
@@ -55,7 +70,13 @@ def _elements(raw: Column) -> Column:
 
 def scan_headers(spark: SparkSession, root: str) -> DataFrame:
     """One row per header document; broken ones stay, marked, for the rules."""
-    docs = _documents(spark, f"{root}/captures/*/capture.json", S.MAX_HEADER_BYTES)
+    return parse_headers(
+        _documents(spark, f"{root}/captures/*/capture.json", S.MAX_HEADER_BYTES)
+    )
+
+
+def parse_headers(docs: DataFrame) -> DataFrame:
+    """Header rows of documents ``(path, size, raw, too_large)``."""
     fields = F.from_json("raw", _text(S.HEADER_FIELDS)).alias("__f")
     top = docs.select(
         F.regexp_extract("path", r"/captures/([^/]+)/capture\.json$", 1).alias("capture_id"),
@@ -139,7 +160,13 @@ def read_captures(requested: DataFrame, captures: DataFrame, violations: DataFra
 
 def scan_manifests(spark: SparkSession, root: str) -> DataFrame:
     """One row per manifest document, its parts still JSON text."""
-    docs = _documents(spark, f"{root}/captures/*/instances.json", S.MAX_MANIFEST_BYTES)
+    return parse_manifests(
+        _documents(spark, f"{root}/captures/*/instances.json", S.MAX_MANIFEST_BYTES)
+    )
+
+
+def parse_manifests(docs: DataFrame) -> DataFrame:
+    """Manifest rows of documents ``(path, size, raw, too_large)``."""
     top = docs.select(
         F.regexp_extract("path", r"/captures/([^/]+)/instances\.json$", 1).alias("capture_id"),
         "size",
@@ -182,19 +209,28 @@ def _u64(column: str) -> Column:
 
 
 def scan_evidence(spark: SparkSession, root: str, with_files: bool = True) -> Evidence:
-    """All tables of a store. A document's arrays are bounded by the document size limit.
+    """All tables of a store."""
+    return evidence_of(
+        scan_headers(spark, root),
+        scan_manifests(spark, root),
+        scan_artifact_files(spark, root) if with_files else None,
+    )
+
+
+def evidence_of(headers: DataFrame, manifests: DataFrame, files: DataFrame | None) -> Evidence:
+    """All tables of parsed records. A document's arrays are bounded by the document size limit.
 
     Every JSON document is read and taken apart once: the tables are written to the shared folder,
     and the many rules then read only the columns they need.
     """
-    manifests = cut_lineage(scan_manifests(spark, root))
+    manifests = cut_lineage(manifests)
     good = manifests.filter(
         ~F.col("too_large") & ~F.col("malformed") & (F.col("format_version") == S.FORMAT_VERSION)
     )
     instances = cut_lineage(_instances(good))
     modules = cut_lineage(_modules(good))
     return Evidence(
-        headers=cut_lineage(scan_headers(spark, root)),
+        headers=cut_lineage(headers),
         manifests=manifests,
         instances=instances,
         placements=cut_lineage(_placements(instances)),
@@ -202,7 +238,7 @@ def scan_evidence(spark: SparkSession, root: str, with_files: bool = True) -> Ev
         provenance=cut_lineage(_provenance(good)),
         modules=modules,
         definitions=cut_lineage(_definitions(modules)),
-        files=cut_lineage(scan_artifact_files(spark, root)) if with_files else None,
+        files=None if files is None else cut_lineage(files),
     )
 
 
