@@ -8,13 +8,18 @@ every balanced group as a single letter, and matches that word against a pattern
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
 import regex
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Ship the helper with its tasks, so that executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 HEADER_LIMIT = 1 << 20
 
 # Fixed values of the text format: words, by the letter that stands for them below.

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +16,9 @@ from pyspark.sql import types as T
 from evlake.operators.scale import BLOCK, running_totals
 from evlake.operators.search import containing_pairs
 
+# Ship the one Python helper with its tasks, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK_BYTES = 1 << 20
 # A result cell is one JVM array; longer ranges are delivered by `range_pieces` only.
 MAX_CELL = (1 << 31) - 64

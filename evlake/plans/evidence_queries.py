@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from evlake.operators import assemble, ranges, resolve, textindex
 from evlake.operators.scale import ordinals, running_totals
-from evlake.plans.registry import query, table
+from evlake.plans.registry import query, spread, table
 from evlake.session import cut_lineage
 
 _CHUNK = 8192
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documents(spark, sf_dir).select(
+    return table(spark, sf_dir, "documents").select(
         "doc_id", F.octet_length("text").cast("bigint").alias("byte_len")
     )
 
@@ -227,7 +227,8 @@ def source_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from o where regexp_full_match(tok, '(?s)<a(?:\s[^>]*)?>')""",
 )
 def tag_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textindex.tag_index(table(spark, sf_dir, "pages"), "page_id", "html", "a")
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    return textindex.tag_index(pages, "page_id", "html", "a")
 
 
 # --- module text derived from `part` -------------------------------------------------------------
@@ -289,7 +290,7 @@ def ir_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     The text is never put together: its pieces become lines by running sums, and lines are what
     the index reads. Two of the five forms need the header helper.
     """
-    part = table(spark, sf_dir, "part")
+    part = spread(table(spark, sf_dir, "part"), "p_partkey")
     piece = F.coalesce(
         *[F.when(F.col("p_size") % 5 == k, _spark_text(v)) for k, v in _PIECES.items()]
     )
@@ -618,7 +619,8 @@ def next_artifact_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, snapshot_id, doc_id = first as is_first from documents join n using (text)""",
 )
 def dedup_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assemble.dedup_snapshots(_documents(spark, sf_dir), "doc_id", F.col("text")).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return assemble.dedup_snapshots(docs, "doc_id", F.col("text")).drop("text")
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evlake.functions import display, identity
 from evlake.operators import integrity, observe
-from evlake.plans.registry import query, table
+from evlake.plans.registry import query, spread, table
 from evlake.plans.search_queries import _order_captures
 from evlake.schema import STAGES
 from evlake.schema import U64 as _U64
@@ -439,7 +439,7 @@ def _record_documents(part: DataFrame) -> tuple[DataFrame, DataFrame]:
 )
 def record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record rule over documents that Spark derives from `part`."""
-    headers, manifests = _record_documents(table(spark, sf_dir, "part"))
+    headers, manifests = _record_documents(spread(table(spark, sf_dir, "part"), "p_partkey"))
     ev = evidence_of(parse_headers(headers), parse_manifests(manifests), None)
     return (
         integrity.evidence_violations(ev)

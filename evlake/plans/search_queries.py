@@ -10,7 +10,7 @@ from evlake.functions.lists import normalize_features, normalize_observation
 from evlake.operators import observe, search
 from evlake.operators.integrity import not_normalized, unknown_fields
 from evlake.operators.scale import ordinals
-from evlake.plans.registry import query, table
+from evlake.plans.registry import query, spread, table
 
 _PART_NAMES = ("p_name", "p_brand", "p_type")
 _PART_ORDER = ("p_type", "p_name", "p_brand", "p_partkey")
@@ -106,7 +106,7 @@ def find_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = words.union(prefixes).union(types).union(segments).distinct()
     queries = queries.select("q", F.col("q").alias("text"))
     found = search.find_many(
-        part, "p_partkey", _PART_NAMES, _PART_ORDER, queries, "q", "text", limit=5
+        spread(part, "p_partkey"), "p_partkey", _PART_NAMES, _PART_ORDER, queries, "q", "text", limit=5
     )
     return found.select(
         "q",
