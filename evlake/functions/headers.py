@@ -46,7 +46,8 @@ WORDS = {
     "c": "c",
 }
 GROUPS = {"(": ")", "[": "]", "{": "}", "<": ">"}
-QUOTED = r'"(?:[^"\\\r\n]|\\\\|\\[0-9A-Fa-f]{2})*"'
+# Possessive loops: the JVM matches them without recursion, however long the text is.
+QUOTED = r'"(?:[^"\\\r\n]|\\\\|\\[0-9A-Fa-f]{2})*+"'
 NAME = r"[-A-Za-z0-9_.$]+"
 
 _LETTER = {word: letter for letter, words in WORDS.items() for word in words.split()}

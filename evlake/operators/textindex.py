@@ -22,7 +22,7 @@ _BLANK = r"[ \t\r\f]*"
 _HIDDEN = rf"{QUOTED}|;[^\n]*"
 _SYMBOL = rf"@(?:{QUOTED}|{NAME})"
 _MODIFIERS = r"(?:[a-z_]+(?:\([a-z0-9]*\))?[ \t]+)*?"
-_FLAT = r"(?:[^(){}\[\]<>,;\"@=]|\([^(){}\[\]<>;\"@=]*\))+"
+_FLAT = r"(?:[^(){}\[\]<>,;\"@=]|\([^(){}\[\]<>;\"@=]*\))++"
 # One-line forms the disassembler prints.
 _FUNCTION = rf"^(define[ \t][^{{}}@\";]*)({_SYMBOL})\(([^{{}};]*?)\)[^{{}};()\"]*(?:personality ptr {_SYMBOL}[ \t]*)?\{{{_BLANK}\n?\z"
 _SKIPPED = rf"^{_SYMBOL}[ \t]*=[ \t]*{_MODIFIERS}(?:global|constant)[ \t]"
@@ -60,7 +60,10 @@ def _line_features(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """What the sums need of each line; the text itself stays behind."""
     text = F.decode("line", "ISO-8859-1")
     lead = (F.length("__text") - F.length("__body")).cast("bigint")
-    unrelated = F.col("__text").rlike(_UNRELATED)
+    # A global's value ends with its line too, whatever it contains.
+    unrelated = F.col("__text").rlike(_UNRELATED) | F.coalesce(
+        F.col("form") == "skipped", F.lit(False)
+    )
     steps = F.when(unrelated, F.array().cast("array<struct<at:bigint,step:int>>")).otherwise(
         _brace_steps(F.col("__text"))
     )
@@ -84,7 +87,7 @@ def _line_features(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
     target = F.when(F.col("form") == "direct_alias", F.regexp_extract("__body", _DIRECT, 2))
     # The first quote that does not open a well-formed quoted text.
-    good = rf'^(?:[^";]|{QUOTED})*'
+    good = rf'^(?:[^";]|{QUOTED})*+'
     bad_quote = F.when(
         ~unrelated & bare.contains('"'), F.length(F.regexp_extract("__text", good, 0))
     )

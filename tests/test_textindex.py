@@ -90,6 +90,20 @@ def test_definitions_and_errors(spark, chunk):
     assert found == BROKEN
 
 
+def test_long_lines(spark):
+    filler = "x" * 100_000
+    text = (
+        f'@g = private constant [100000 x i8] c"{filler}"\n'
+        f'@h = global {{ i8 }} {"{ i8 1 }, " * 5000}\n'
+        f'define void @f() {{\n ; {filler} }}\n call void asm "{filler}}}", ""()\n}}\n'
+    )
+    definitions, errors = index_blocks(lines_of(spark, {"long": text}, 1 << 16), ["name"])
+    (f,) = definitions.collect()
+    assert f.raw_symbol == "f" and f.start == text.index("define")
+    assert f.start + f.length == len(text) - 1
+    assert errors.count() == 0
+
+
 @pytest.mark.parametrize("prefix,suffix", [("define void @f() ", "{"), ("@a = alias void (), ptr ", "@f\n")])
 def test_header_limit(prefix, suffix):
     for extra in (-1, 0, 1):
