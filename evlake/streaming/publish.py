@@ -9,20 +9,28 @@ from evlake.session import cut_lineage
 from evlake.sources.lake import SEQ, Lake
 
 
-def publish_stream(captures: DataFrame, lake: Lake, checkpoint: str, available_now: bool = True) -> None:
+def publish_stream(
+    captures: DataFrame,
+    lake: Lake,
+    checkpoint: str,
+    available_now: bool = True,
+    first_seq: int = 0,
+) -> None:
     """Append new captures of a stream to the lake, batch by batch.
 
     A batch keeps one row per id and drops ids that other batches already hold. It overwrites its
-    own partition and commits last, so replays and repeated ids are no-ops.
+    own partition and commits last, so replays and repeated ids are no-ops. Batches are numbered
+    from ``first_seq``; writers of one lake need ranges that do not meet.
     """
 
     def write(rows: DataFrame, batch: int) -> None:
-        if lake.is_committed(batch):
+        seq = first_seq + batch
+        if lake.is_committed(seq):
             return
         fresh = rows.dropDuplicates(["capture_id"])
         known = lake.table("captures")
         if known is not None:
-            held = known.filter(F.col(SEQ) != batch).select("capture_id")
+            held = known.filter(F.col(SEQ) != seq).select("capture_id")
             fresh = fresh.join(held, "capture_id", "left_anti")
         # Both tables below must come from the same choice among repeated ids.
         fresh = cut_lineage(fresh)
@@ -32,7 +40,7 @@ def publish_stream(captures: DataFrame, lake: Lake, checkpoint: str, available_n
             "capture_id",
             "completed_at_unix_ms",
         )
-        lake.write({"candidates": pointers, "captures": fresh}, batch)
+        lake.write({"candidates": pointers, "captures": fresh}, seq)
 
     writer = captures.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     query = (writer.trigger(availableNow=True) if available_now else writer).start()
