@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evlake.llm import language, simhash
+from evlake.llm.common import held_out_rows
 from evlake.llm.packing import pack
 from evlake.plans.registry import Query, table
 
@@ -32,3 +35,20 @@ def tokenizer_path() -> str:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 1024 ids by minimum bin slack."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op7_language")
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; rows whose crc32 modulo 4 is 2 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = held_out_rows(F.col("doc_id"), 4, 2)
+    model = language.fit(docs, F.col("doc_id").isNotNull() & ~held_out)
+    return language.predict(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+@query("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose SimHash of four-word shingles differs in at most four bits."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
