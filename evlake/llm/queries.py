@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlake.llm import language, simhash
+from evlake.llm import language, simhash, suffix
 from evlake.llm.common import held_out_rows
 from evlake.llm.packing import pack
 from evlake.plans.registry import Query, table
@@ -52,3 +52,9 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose SimHash of four-word shingles differs in at most four bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_suffix")
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the bytes under repeated strings of 200 bytes."""
+    return suffix.repeated_bytes(table(spark, sf_dir, "documents"))
