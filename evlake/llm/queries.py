@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlake.llm import language, simhash, suffix
+from evlake.llm import language, mixing, simhash, suffix
 from evlake.llm.common import held_out_rows
 from evlake.llm.packing import pack
 from evlake.plans.registry import Query, table
@@ -58,3 +58,47 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without the bytes under repeated strings of 200 bytes."""
     return suffix.repeated_bytes(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = r"""
+with docs as (
+    select doc_id, source,
+           len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+           substr(md5('mix:' || coalesce(cast(doc_id as varchar), '')), 1, 16) as k
+    from documents),
+sizes as (select source, cast(sum(size) as bigint) as source_size from docs group by source),
+weighed as (
+    select *, [5.0, 2.0, 1.0][((row_number() over (order by source is null, encode(source)) - 1) % 3) + 1]::double as w,
+           source_size * 2.0::double as cap
+    from sizes),
+ordered as (
+    select *, sum(source_size) over () * 1.5::double as pool, sum(w) over () as total_w,
+           coalesce(sum(cap) over before, 0) as caps, coalesce(sum(w) over before, 0) as ws
+    from weighed
+    window before as (order by cap / w, source is null, encode(source)
+                      rows between unbounded preceding and 1 preceding)),
+capped as (select *, (pool - caps) * w >= cap * (total_w - ws) as full_ from ordered),
+goals as (
+    select source, source_size,
+           case when full_ then cap else least(
+               (pool - sum(case when full_ then cap else 0 end) over ())
+               / nullif(total_w - sum(case when full_ then w else 0 end) over (), 0) * w, cap) end as target
+    from capped),
+budgets as (
+    select *, coalesce(floor(target)::bigint // nullif(source_size, 0), 0) as epochs,
+           floor(target)::bigint - coalesce(floor(target)::bigint // nullif(source_size, 0), 0) * source_size as rest
+    from goals),
+placed as (
+    select *, coalesce(sum(size) over (partition by source order by k, doc_id
+                       rows between unbounded preceding and 1 preceding), 0)::bigint as before_
+    from docs)
+select doc_id, p.source, size, source_size, target,
+       cast(epochs * size + greatest(least(rest - before_, size), 0) as bigint) as taken
+from placed p join budgets b on p.source is not distinct from b.source
+"""
+
+
+@query("op9_mixing", OP9_SQL)
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that a mix by source weights takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
