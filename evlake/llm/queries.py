@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlake.llm import language, mixing, simhash, suffix
+from evlake.llm import language, mixing, simhash, suffix, toxicity
 from evlake.llm.common import held_out_rows
 from evlake.llm.packing import pack
 from evlake.plans.registry import Query, table
@@ -102,3 +102,14 @@ from placed p join budgets b on p.source is not distinct from b.source
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix by source weights takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document; rows whose crc32 modulo 5 is 0 are held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = held_out_rows(F.col("doc_id"), 5, 0)
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
