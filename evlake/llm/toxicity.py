@@ -4,7 +4,7 @@ Confirmed toxic texts are the positive examples; all other texts are unlabelled,
 them. With the share of toxic texts known, the risk of a classifier on clean texts is its risk on
 unlabelled texts less the part that the positives explain. Where that estimate falls below zero the
 model only fits chance, so the step goes the other way. The classifier is linear in the distinct
-subwords of a text and is trained in numpy; whole texts are scored.
+beginnings of the words of a text and is trained in numpy; whole texts are scored.
 """
 
 from __future__ import annotations
@@ -24,9 +24,16 @@ from evlake.llm.language import SPACE, letters
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BITS = 18
-SIZES = (4, 5, 6)
+# Lengths of word beginnings in bytes; a longer word also counts by its first ten.
+SHORTEST, LONGEST = 4, 10
 BLOCK = 1 << 18
+# Characters of a text that is learnt from, features kept at most, and the standard errors by which
+# a kept feature is more frequent among the positives.
 FRAGMENT = 3000
+FEATURES = 512
+CLEAR = 6.0
+# Distinct word beginnings are weighed down by the root of their number, in units of this root.
+UNIT = 30.0
 
 
 @dataclass
@@ -38,30 +45,27 @@ class ToxicityModel:
     slope: float
 
 
-def buckets(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Buckets of the subwords, which are bytes of one word and its borders."""
-    blank = data == SPACE
-    for n in SIZES:
-        count = len(data) - n + 1
-        if count <= 0:
-            continue
-        value = np.zeros(count, dtype=np.uint64)
-        good = np.ones(count, dtype=bool)
-        for i in range(n):
-            value |= data[i : i + count].astype(np.uint64) << np.uint64(8 * i)
-            if 0 < i < n - 1:
-                good &= ~blank[i : i + count]
-        value = (value[good] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-        value ^= value >> np.uint64(29)
-        value *= np.uint64(0xD6E8FEB86659FD93)
-        yield (value >> np.uint64(64 - BITS)).astype(np.int32)
+def beginnings(data: np.ndarray, starts: np.ndarray) -> Iterator[np.ndarray]:
+    """Hash buckets of the beginnings of the words behind the spaces at ``starts``; the space after
+    a word counts as its last byte. ``data`` has ``LONGEST`` bytes or only spaces after a start."""
+    value = np.zeros(len(starts), dtype=np.uint64)
+    for n in range(1, LONGEST + 1):
+        byte = data[starts + n]
+        value = (value ^ byte.astype(np.uint64)) * np.uint64(0x100000001B3) + np.uint64(n)
+        if n >= SHORTEST:
+            mixed = (value ^ (value >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+            yield (mixed >> np.uint64(64 - BITS)).astype(np.int32)
+        going = byte != SPACE
+        starts, value = starts[going], value[going]
 
 
 def distinct(text: str | None, seen: np.ndarray) -> np.ndarray:
     """The distinct buckets of a whole text, in blocks. ``seen`` is all False before and after."""
-    raw = letters(text)
-    for at in range(0, len(raw), BLOCK):
-        for found in buckets(np.frombuffer(raw[at : at + BLOCK + max(SIZES) - 1], np.uint8)):
+    raw = letters(text) + b" " * LONGEST
+    for at in range(0, len(raw) - LONGEST, BLOCK):
+        data = np.frombuffer(raw[at : at + BLOCK + LONGEST], np.uint8)
+        blank = data[: len(data) - LONGEST + 1] == SPACE
+        for found in beginnings(data, np.flatnonzero(blank[:-1] & ~blank[1:])):
             seen[found] = True
     out = np.flatnonzero(seen)
     seen[out] = False
@@ -69,13 +73,28 @@ def distinct(text: str | None, seen: np.ndarray) -> np.ndarray:
 
 
 def raw_score(weights: np.ndarray, features: np.ndarray) -> float:
-    return float(weights[features].sum() / np.sqrt(max(1, len(features))))
+    return float(weights[features].sum() * UNIT / np.sqrt(max(1, len(features))))
+
+
+def frequent(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """Features clearly more frequent among the positives than among the unlabelled texts."""
+    counts = []
+    for texts in (positive, unlabelled):
+        counts.append(np.zeros(1 << BITS))
+        for f in texts:
+            counts[-1][f] += 1
+    share = (counts[1] + 1) / (len(unlabelled) + 2)
+    excess = counts[0] / len(positive) - share
+    clear = excess / np.sqrt(share * (1 - share) / len(positive))
+    best = np.argsort(-clear, kind="stable")[:FEATURES]
+    return best[(clear[best] > CLEAR) & (counts[0][best] >= 3)]
 
 
 def train(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 8, rate: float = 0.05
 ) -> ToxicityModel:
-    """Minimize the non-negative risk; a fifth of either list only sets the cut.
+    """Minimize the non-negative risk over the clear features; a fifth of either list only sets the
+    cut.
 
     The cut minimizes the same risk estimate for the 0-1 loss on the texts set apart; the logit is
     scaled so that the positives set apart are, at their middle, at 0.95.
@@ -87,23 +106,26 @@ def train(
     apart_p, apart_u = positive[::5], unlabelled[::5]
     fit_p = positive if len(positive) < 5 else [x for i, x in enumerate(positive) if i % 5]
     fit_u = unlabelled if len(unlabelled) < 5 else [x for i, x in enumerate(unlabelled) if i % 5]
+    chosen = np.zeros(1 << BITS, dtype=bool)
+    chosen[frequent(fit_p, fit_u)] = True
+    # A text's features that may weigh, and their common factor.
+    fit_p, fit_u = ([(f[chosen[f]], UNIT / np.sqrt(max(1, len(f)))) for f in fs] for fs in (fit_p, fit_u))
     steps, bias = max(1, len(fit_u) // 64), -2.0
     for _ in range(epochs):
         turn = rng.permutation(len(fit_u))
         for step in range(steps):
             clean = [fit_u[i] for i in turn[step::steps]]
             toxic = [fit_p[i] for i in rng.integers(0, len(fit_p), 24)]
-            z = np.array([raw_score(weights, f) for f in toxic + clean]) + bias
+            z = np.array([weights[f].sum() * unit for f, unit in toxic + clean]) + bias
             share = 1 / (1 + np.exp(-z))
             loss = np.logaddexp(0, z)
             n = len(toxic)
             if loss[n:].mean() - prior * loss[:n].mean() >= 0:
-                slope = np.concatenate([
-                    np.full(n, -prior / n), share[n:] / len(clean)])
+                slope = np.concatenate([np.full(n, -prior / n), share[n:] / len(clean)])
             else:
                 slope = np.concatenate([prior * share[:n] / n, -share[n:] / len(clean)])
-            for f, s in zip(toxic + clean, slope):
-                g = s / np.sqrt(max(1, len(f)))
+            for (f, unit), s in zip(toxic + clean, slope):
+                g = s * unit
                 squares[f] += g * g
                 weights[f] -= rate * g / np.sqrt(squares[f])
             bias -= rate * slope.sum()
