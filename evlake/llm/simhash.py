@@ -30,11 +30,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BITS = 64
 SEED = 42
-# Blocks that must agree are two of ``radius + 2``; rows compared at once; shingles hashed at once.
+# Rows of a tile, rows compared at once, and links held before they are reduced to a forest (which
+# has fewer links than rows).
 TILE = 2048
 ROWS = 1 << 16
+PAIRS = 1 << 18
 SHINGLES = 1 << 15
-DENSE = 128
+# Groups above this size are compared as lists, shingles are hashed in blocks.
+DENSE = 64
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -136,12 +139,11 @@ def lane_numbers(words: np.ndarray, alive: np.ndarray) -> np.ndarray:
     return words[row] * 64 + lane
 
 
-def sparse_links(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def sparse_links(values: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links between rows of one group, for many small groups at once: each row against the row
     ``step`` places on, for growing steps, until no group is that long."""
     planes = planes_of(values)
     planes = np.concatenate([planes, np.zeros((BITS, 1), np.uint64)], axis=1)
-    left, right = [], []
     for step in range(1, len(values)):
         same = group[:-step] == group[step:]
         if not same.any():
@@ -156,11 +158,7 @@ def sparse_links(values: np.ndarray, group: np.ndarray, radius: int) -> tuple[np
             return p[words] ^ moved
 
         i = lane_numbers(*within(plane, lanes(same), radius))
-        left.append(i)
-        right.append(i + step)
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
+        yield values[i], values[i + step]
 
 
 def dense_links(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -219,9 +217,7 @@ def group_links(values: np.ndarray, group: np.ndarray, side: np.ndarray, radius:
         else:
             yield from dense_links(own[side[s:e] == 1], own[side[s:e] == 2], radius)
     small = np.repeat(~large, ends - starts)
-    some = values[small]
-    i, j = sparse_links(some, group[small], radius)
-    yield some[i], some[j]
+    yield from sparse_links(values[small], group[small], radius)
 
 
 def tables_of(radius: int) -> list[int]:
@@ -268,10 +264,14 @@ def links(prints: DataFrame, column: str, radius: int = 4, tile: int = TILE) ->
         def compare(frame: pd.DataFrame) -> Iterator[pa.RecordBatch]:
             number = (frame[group] != frame[group].shift()).any(axis=1).cumsum().to_numpy()
             values = frame["fp"].to_numpy().astype(np.int64).view(np.uint64)
-            found = list(group_links(values, number, frame["side"].to_numpy(), radius))
-            u = np.concatenate([x for x, _ in found]).view(np.int64)
-            v = np.concatenate([x for _, x in found]).view(np.int64)
-            u, v = forest(u, v)
+            found, pairs = [(values[:0].view(np.int64),) * 2], 0
+            for u, v in group_links(values, number, frame["side"].to_numpy(), radius):
+                found.append((u.view(np.int64), v.view(np.int64)))
+                pairs += len(u)
+                if pairs > PAIRS:
+                    found = [forest(*map(np.concatenate, zip(*found)))]
+                    pairs = len(found[0][0])
+            u, v = forest(*map(np.concatenate, zip(*found)))
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 

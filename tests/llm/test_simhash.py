@@ -78,8 +78,9 @@ def test_bit_slices_count_differences(radius):
     for i in range(0, 150, 3):
         a[i] = a[i // 2] ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, radius + 1)))
     want = plain_components([int(x) for x in a], radius)
-    i, j = simhash.sparse_links(a, np.zeros(len(a), int), radius)
-    for forests in ([(a[i], a[j])], list(simhash.dense_links(a, a, radius))):
+    one = np.zeros(len(a), int)
+    for links in (simhash.sparse_links(a, one, radius), simhash.dense_links(a, a, radius)):
+        forests = list(links)
         u = np.concatenate([x for x, _ in forests] or [a[:0]])
         v = np.concatenate([x for _, x in forests] or [a[:0]])
         got = {int(x): int(x) for x in a}
