@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlake.llm import language, mixing, simhash, suffix, toxicity
+from evlake.llm import language, media, mixing, simhash, suffix, toxicity
 from evlake.llm.common import held_out_rows
 from evlake.llm.packing import pack
 from evlake.plans.registry import Query, table
@@ -113,3 +113,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op6_media")
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as telephony audio, read back and resampled."""
+    return media.text_media(table(spark, sf_dir, "documents"))
