@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlake.llm import language, media, mixing, simhash, suffix, toxicity
+from evlake.llm import language, media, mixing, simhash, suffix, toxicity, urls
 from evlake.llm.common import held_out_rows
 from evlake.llm.packing import pack
 from evlake.plans.registry import Query, table
@@ -119,3 +119,38 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as telephony audio, read back and resampled."""
     return media.text_media(table(spark, sf_dir, "documents"))
+
+
+RULES = (
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+)
+
+OP10_SQL = r"""
+with urls as (
+    select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
+parts as (
+    select page_id,
+           coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                              'abcdefghijklmnopqrstuvwxyz'), '') as host,
+           coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+    from urls),
+rules(h, p, v) as (
+    values ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+           ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+fits as (
+    select page_id, h || p as rule, v,
+           row_number() over (partition by page_id order by length(h || p) desc, h || p) as place
+    from parts join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p))
+select parts.page_id, host, path, rule, coalesce(v, 'allow') as verdict
+from parts left join fits on parts.page_id = fits.page_id and place = 1
+"""
+
+
+@query("op10_urls", OP10_SQL)
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL under the rules, told by a cascade of Bloom filters."""
+    return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
