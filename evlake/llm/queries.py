@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlake.llm import language, media, mixing, simhash, suffix, toxicity, urls
+from evlake.llm import language, media, mixing, simhash, suffix, topk, toxicity, urls
 from evlake.llm.common import held_out_rows
 from evlake.llm.packing import pack
 from evlake.plans.registry import Query, table
@@ -154,3 +154,25 @@ from parts left join fits on parts.page_id = fits.page_id and place = 1
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL under the rules, told by a cascade of Bloom filters."""
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), RULES).drop("url")
+
+
+OP5_SQL = """
+with rows_ as (
+    select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as double)) as v
+    from embeddings
+    where vec_id is not null and embedding is not null
+      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+scored as (
+    select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+    from rows_ q join rows_ c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),
+ranked as (
+    select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank
+    from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 20
+"""
+
+
+@query("op5_topk", OP5_SQL)
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every 20th vector with all others."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
