@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlake.llm import language, media, mixing, simhash, suffix, topk, toxicity, urls
+from evlake.llm import chat, language, media, mixing, simhash, suffix, topk, toxicity, urls
 from evlake.llm.common import held_out_rows
 from evlake.llm.packing import pack
 from evlake.plans.registry import Query, table
@@ -176,3 +176,9 @@ select query_id, rank, vec_id, score from ranked where rank <= 20
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 highest inner products of every 20th vector with all others."""
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op4_chat")
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations with repaired roles, rendered."""
+    return chat.formatted(table(spark, sf_dir, "conversations"))

@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: s
         flags = np.zeros(1 << BITS, dtype=bool)
         for texts in batches:
             raw = np.array([raw_score(model.weights, distinct(t, flags)) for t in texts])
-            logit = np.clip(model.slope * (raw - model.cut), -500, 500)
-            yield pd.Series(1 / (1 + np.exp(-logit)))
+            logit = np.clip(model.slope * (raw - model.cut), -700, 700)
+            yield pd.Series(np.where(np.isinf(model.cut), 0.0, 1 / (1 + np.exp(-logit))))
 
     return docs.withColumn(name, scores(F.col(text_col).cast("string")))
