@@ -1,17 +1,17 @@
 """Symbols and definition headers of module text.
 
-Canonical one-line headers are taken apart by Spark expressions. The helper here reads only the
-others, each at most 1 MiB, in Arrow batches. It reduces a header to one letter per token, with
-every balanced group as a single letter, and matches that word against a pattern.
+Headers in one of the disassembler's one-line forms are taken apart by Spark expressions. The reader
+here is for all others: one forward pass over tokens in which a parenthesised, bracketed or braced
+group counts as one item. It returns the symbols as written; Spark decodes them.
 """
 
 from __future__ import annotations
 
 import re
 import sys
+from collections.abc import Iterator
 
 import pandas as pd
-import regex
 from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,225 +20,232 @@ from pyspark.sql import types as T
 # Ship the helper with its tasks, so that executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# Bytes of a header, in whatever form it is written; a longer one is reported, never cut.
 HEADER_LIMIT = 1 << 20
 
-# Fixed values of the text format: words, by the letter that stands for them below.
-WORDS = {
-    "D": "define",
-    "d": "declare",
-    "P": "prefix prologue personality",
-    "p": "ptr",
-    "A": "addrspace",
-    "G": "global constant",
-    "a": "alias",
-    "i": "ifunc",
-    "Q": "partition",
-    "m": (
-        "private internal available_externally linkonce weak common appending extern_weak "
-        "linkonce_odr weak_odr external dso_local dso_preemptable default hidden protected "
-        "dllimport dllexport unnamed_addr local_unnamed_addr externally_initialized thread_local"
-    ),
-    "k": "null undef poison zeroinitializer true false",
-    "E": "getelementptr",
-    "g": "inbounds nuw nusw",
-    "C": "bitcast addrspacecast inttoptr ptrtoint trunc blockaddress ptrauth splat",
-    "w": "dso_local_equivalent no_cfi",
-    "c": "c",
-}
-GROUPS = {"(": ")", "[": "]", "{": "}", "<": ">"}
 # Possessive loops: the JVM matches them without recursion, however long the text is.
 QUOTED = r'"(?:[^"\\\r\n]|\\\\|\\[0-9A-Fa-f]{2})*+"'
 NAME = r"[-A-Za-z0-9_.$]+"
-
-_LETTER = {word: letter for letter, words in WORDS.items() for word in words.split()}
-_SKIP = re.compile(r"(?:[ \t\n\r\f]|;[^\n]*)*")
-_TOKEN = re.compile(rf"[@%$]?{QUOTED}|[@%$!]{NAME}|{NAME}|.", re.S)
-_ESCAPE = re.compile(rb"\\(\\|[0-9A-Fa-f]{2})")
-
-# Other letters: @ symbol, S string, n number, b metadata name, ! , = themselves, ( [ { < a whole
-# group (an opening brace may also be the body), z a stray closing delimiter, x anything else.
-_BARE = r"(?:[(\[{<]|w@|cS|[kn]|C\(|Eg*\()"
-_CONSTANT = rf"(?:@|{_BARE})"
-_TYPED = rf"(?:p(?:A\()?{_CONSTANT}|[^zp]{_CONSTANT})"
-FUNCTION = regex.compile(rf"D[^@Ddz]*@\((?:P{_TYPED}|![^z]|[^PDdz!{{])*\{{")
-NAMED = regex.compile(
-    rf"@=(?:m|A\(|\()*(?:G|[ai][^,z][^,=Dd@z]*,(?:p(?:A\()?{_CONSTANT}|{_BARE}))"
+SYMBOL = rf"@(?:{QUOTED}|{NAME})"
+
+CLOSER = {"(": ")", "[": "]", "{": "}", "<": ">"}
+# Words of the language: behind these a function header holds a typed constant; these constants are
+# single words.
+WITH_CONSTANT = frozenset({"personality", "prefix", "prologue"})
+LITERALS = frozenset({"false", "none", "null", "poison", "true", "undef", "zeroinitializer"})
+
+_TOKEN = re.compile(
+    rf"(?P<blank>(?:[ \t\r\n\f]|;[^\n]*)+)"
+    rf"|(?P<symbol>@(?:{QUOTED}|{NAME}))|(?P<string>{QUOTED})|(?P<other>[%$!](?:{QUOTED}|{NAME}))"
+    rf"|(?P<word>{NAME})|(?P<open>[(\[{{<])|(?P<close>[)\]}}>])|(?P<mark>.)",
+    re.S,
 )
-SUFFIX = regex.compile(r",(?:[!b][^z]|QS)")
 
 
-class _Bad(Exception):
+class HeaderError(Exception):
     def __init__(self, reason: str, at: int):
         super().__init__(reason)
         self.reason, self.at = reason, at
 
 
-def decode_name(token: str, at: int = 0) -> str:
-    """Symbol of an ``@`` token whose characters are single bytes."""
-    name = token[1:]
-    if name[:1] != '"':
-        if name[:1].isdigit() and not name.isdigit():
-            raise _Bad("bad_numeric_slot", at)
-        symbol = name
-    else:
-        data = _ESCAPE.sub(
-            lambda m: b"\\" if m[1] == b"\\" else bytes.fromhex(m[1].decode()),
-            name[1:-1].encode("latin-1"),
-        )
-        try:
-            symbol = data.decode("utf-8")
-        except UnicodeDecodeError:
-            raise _Bad("symbol_not_utf8", at) from None
-    if not symbol:
-        raise _Bad("empty_symbol", at)
-    return symbol
-
-
-def _letter(token: str) -> str:
-    first = token[0]
-    if first == "@":
-        return "@" if len(token) > 1 else "x"
-    if first == '"':
-        return "S"
-    if first == "!":
-        return "b" if len(token) > 1 else "!"
-    if token in ",=":
-        return token
-    if token in GROUPS.values():
-        return "z"
-    if first.isdigit() or (first == "-" and token not in _LETTER):
-        return "n"
-    return _LETTER.get(token, "x")
-
-
-def _tokens(text: str):
-    """``(letter, start, end, starts a line)`` per token or whole group, then the end."""
-    at, open_groups, group_start = 0, [], None
-    while True:
-        start = _SKIP.match(text, at).end()
-        new_line = "\n" in text[at:start]
-        token = _TOKEN.match(text, start)
-        if token is None:
-            raise _Bad("unexpected_end", len(text))
-        end = at = token.end()
-        word = token[0]
-        if word == '"' or (word in "@%$" and text[end : end + 1] == '"'):
-            raise _Bad("bad_quoted_text", start)
-        if word in GROUPS:
-            if not open_groups:
-                group_start = (start, new_line)
-                if word == "{":
-                    # Offered first as the body; the reader stops there or goes on.
-                    yield "{", start, end, new_line
-            open_groups.append(word)
-        elif open_groups and word in GROUPS.values():
-            opener = open_groups.pop()
-            if GROUPS[opener] != word:
-                raise _Bad("mismatched_delimiter", start)
-            if not open_groups and opener != "{":
-                yield opener, group_start[0], end, group_start[1]
-        elif not open_groups:
-            yield _letter(word), start, end, new_line
-
-
-def _read(text: str) -> dict:
-    grammar = FUNCTION if text.startswith("define") else NAMED
-    letters, spans, named_end = "", [], None
-    try:
-        for letter, start, end, new_line in _tokens(text):
-            if named_end is not None and new_line and SUFFIX.fullmatch(letters, named_end):
-                named_end = len(letters)
-            if named_end == len(letters) and new_line:
+class Items:
+    """Tokens of a header, whole groups as one; ``kind`` is `end` behind the last."""
+
+    def __init__(self, text: str):
+        self.text, self.end = text, 0
+        self.next()
+
+    def next(self) -> None:
+        self.line_before = False
+        self._step()
+
+    def _step(self) -> None:
+        """One token; a blank only sets whether a line ended."""
+        while True:
+            found = _TOKEN.match(self.text, self.end)
+            self.start = self.end
+            if found is None:
+                self.kind, self.word = "end", ""
+                return
+            self.kind, self.word, self.end = found.lastgroup, found[0], found.end()
+            if self.kind != "blank":
                 break
-            letters += letter
-            spans.append((start, end))
-            if named_end is None and grammar.fullmatch(letters):
-                if grammar is FUNCTION or letters[-1] == "G":
-                    named_end = len(letters)
-                    break
-                named_end = len(letters)
-            elif named_end is not None:
-                if SUFFIX.fullmatch(letters, named_end):
-                    named_end = len(letters)
-                elif not SUFFIX.fullmatch(letters, named_end, partial=True):
-                    raise _Bad("unexpected_suffix", start)
-            elif not grammar.fullmatch(letters, partial=True):
-                raise _Bad("unexpected_token", start)
-    except _Bad as bad:
-        # The end of the text also ends a complete alias.
-        if bad.reason != "unexpected_end" or named_end != len(letters):
-            raise
-    word = letters[:named_end]
-    line_end = text.find("\n", spans[named_end - 1][1])
-    if word.endswith("G"):
-        return {"kind": "skipped", "consumed": line_end + 1 if line_end >= 0 else len(text)}
-    names = {i: decode_name(text[s:e], s) for i, (s, e) in enumerate(spans) if letters[i] == "@"}
-    if grammar is FUNCTION:
-        return {
-            "symbol": names[word.index("@")],
-            "kind": "function",
-            "consumed": spans[named_end - 1][1],
-        }
-    if line_end < 0 and len(text) == HEADER_LIMIT:
-        raise _Bad("unexpected_end", len(text))
-    found = {"symbol": names[0], "consumed": line_end + 1 if line_end >= 0 else len(text)}
-    if regex.search("i[^,]*,", word):
-        return found | {"kind": "ifunc"}
-    direct = regex.search(r",p(?:A\()?(@)", word)
-    if direct:
-        return found | {"kind": "direct_alias", "target": names[direct.start(1)]}
-    return found | {"kind": "expression_alias"}
-
-
-_FIELDS = ("symbol", "kind", "target", "consumed", "error", "error_at")
+            self.line_before |= "\n" in self.word
+        if self.kind == "mark" and self.word == '"' or self.word in ("@", "%") and self.text[self.end : self.end + 1] == '"':
+            raise HeaderError("bad_quoted_text", self.start)
+
+    def close(self) -> None:
+        """Go to the end of the group that has just opened."""
+        start, open_ = self.start, [self.word]
+        while open_:
+            self._step()
+            if self.kind == "end":
+                raise HeaderError("unexpected_end", len(self.text))
+            if self.kind == "open":
+                open_.append(self.word)
+            elif self.kind == "close" and self.word != CLOSER[open_.pop()]:
+                raise HeaderError("mismatched_delimiter", self.start)
+        self.start, self.kind = start, "group"
+
+    def fail(self) -> None:
+        if self.kind == "end":
+            raise HeaderError("unexpected_end", len(self.text))
+        raise HeaderError("unexpected_token", self.start)
+
+
+def constant(items: Items) -> tuple[str, int] | None:
+    """Read a type and a value behind the current item; the symbol and its place if the value is
+    just that, of pointer type. A value is a symbol, a group, a literal, or words before either."""
+    items.next()
+    pointer = items.word == "ptr"
+    if items.kind == "open":
+        items.close()
+    elif items.kind not in ("word", "other"):
+        items.fail()
+    items.next()
+    if pointer and items.word == "addrspace":
+        items.next()
+        if items.word != "(":
+            items.fail()
+        items.close()
+        items.next()
+    words = 0
+    while True:
+        if items.kind == "symbol":
+            return (items.word, items.start) if pointer and not words else None
+        if items.kind == "open":
+            items.close()
+            return None
+        if items.kind == "string" and words:
+            return None
+        if items.kind != "word":
+            items.fail()
+        if items.word in LITERALS or items.word[0].isdigit() or re.match(r"-[0-9]", items.word):
+            return None
+        words += 1
+        items.next()
+
+
+def function_header(items: Items) -> dict:
+    """From ``define`` to the brace that opens the body."""
+    name = None
+    while True:
+        items.next()
+        if items.kind == "symbol" and name is None:
+            name = items.word, items.start
+            items.next()
+            if items.word != "(":
+                items.fail()
+            items.close()
+        elif items.kind == "open":
+            if items.word == "{" and name is not None:
+                return {"symbol": name[0], "symbol_at": name[1], "kind": "function", "consumed": items.end}
+            items.close()
+        elif name is not None and items.word in WITH_CONSTANT:
+            constant(items)
+        elif items.kind in ("end", "close", "symbol") or items.word in ("=", "define", "declare"):
+            items.fail()
+
+
+def line_end(text: str, at: int) -> int:
+    end = text.find("\n", at)
+    return len(text) if end < 0 else end + 1
+
+
+def value_header(items: Items) -> dict:
+    """From ``@name =`` to the end of the line on which a global's keyword or an alias ends."""
+    result = {"symbol": items.word, "symbol_at": items.start}
+    items.next()
+    if items.word != "=":
+        items.fail()
+    while items.word not in ("alias", "ifunc"):
+        items.next()
+        if items.word in ("global", "constant"):
+            return {"kind": "skipped", "consumed": line_end(items.text, items.end)}
+        if items.word == "(":
+            items.close()
+        elif items.kind not in ("word", "string", "other"):
+            items.fail()
+    result["kind"] = "ifunc" if items.word == "ifunc" else "expression_alias"
+    items.next()
+    if items.word == ",":
+        items.fail()
+    while items.word != ",":
+        if items.kind == "open":
+            items.close()
+        elif items.kind not in ("word", "other"):
+            items.fail()
+        items.next()
+    target = constant(items)
+    if target and result["kind"] != "ifunc":
+        result |= {"kind": "direct_alias", "target": target[0], "target_at": target[1]}
+    last = items.end
+    items.next()
+    while items.word == ",":
+        items.next()
+        kinds = ("other", "mark") if items.word.startswith("!") else ("string",) if items.word == "partition" else ()
+        items.next()
+        if items.kind not in kinds:
+            items.fail()
+        last = items.end
+        items.next()
+    if items.kind != "end" and not items.line_before:
+        items.fail()
+    return result | {"consumed": line_end(items.text, last)}
+
+
+_FIELDS = ("symbol", "symbol_at", "kind", "target", "target_at", "consumed", "error", "error_at")
+_TEXTS = ("symbol", "kind", "target", "error")
 
 
 def read_header(text: str | None) -> dict:
-    """Symbol, kind, target and consumed bytes of a header, or the error and its offset."""
+    """Kind, consumed bytes and the symbols as written with their places; or the error and its own."""
     result = dict.fromkeys(_FIELDS)
     if text is None:
         return result
     try:
-        return result | _read(text[:HEADER_LIMIT])
-    except _Bad as bad:
-        if len(text) > HEADER_LIMIT and bad.reason in ("unexpected_end", "bad_quoted_text"):
+        items = Items(text)
+        found = value_header(items) if items.kind == "symbol" else function_header(items)
+        if found["consumed"] > HEADER_LIMIT and found["kind"] != "skipped":
+            raise HeaderError("header_too_long", HEADER_LIMIT)
+        return result | found
+    except HeaderError as bad:
+        if len(text) > HEADER_LIMIT and bad.at >= HEADER_LIMIT:
             return result | {"error": "header_too_long", "error_at": HEADER_LIMIT}
         return result | {"error": bad.reason, "error_at": bad.at}
 
 
 _HEADER_TYPE = T.StructType(
-    [T.StructField(f, T.LongType() if f in ("consumed", "error_at") else T.StringType()) for f in _FIELDS]
+    [T.StructField(f, T.StringType() if f in _TEXTS else T.LongType()) for f in _FIELDS]
 )
 
 
 def read_headers(text: Column) -> Column:
     """`read_header` over a column of texts whose characters are single bytes."""
 
-    def read(texts: pd.Series) -> pd.DataFrame:
-        frame = pd.DataFrame([read_header(t) for t in texts], columns=list(_FIELDS))
-        return frame.astype({"consumed": "Int64", "error_at": "Int64"})
-
-    return F.pandas_udf(read, _HEADER_TYPE)(text)
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            frame = pd.DataFrame([read_header(t) for t in texts], columns=list(_FIELDS))
+            yield frame.astype({f: "Int64" for f in _FIELDS if f not in _TEXTS})
 
-
-def _decode_or_none(token: str | None) -> str | None:
-    try:
-        return None if token is None else decode_name(token)
-    except _Bad:
-        return None
+    return F.pandas_udf(_HEADER_TYPE)(read)(text)
 
 
 def decode_symbol(token: Column) -> Column:
-    """Symbol of an ``@`` token; NULL when it is not valid. Only escaped tokens leave the JVM."""
-
-    def decode(tokens: pd.Series) -> pd.Series:
-        return tokens.map(_decode_or_none)
+    """Symbol of an ``@`` token whose characters are single bytes; NULL when it is not valid.
 
+    A bare name that starts with a digit is a number. Quoted names are cut into escapes and the runs
+    between them, all as hexadecimal digits, and must be UTF-8.
+    """
     plain = token.rlike(r"^@(?:[0-9]+|[-A-Za-z_.$][-A-Za-z0-9_.$]*)\z")
-    unescaped = token.rlike(r'^@"[\x20\x21\x23-\x5b\x5d-\x7e]+"\z')
-    escaped = F.when(~plain & ~unescaped, token)
-    return (
-        F.when(plain, F.substring(token, 2, HEADER_LIMIT))
-        .when(unescaped, F.regexp_extract(token, r'^@"(.*)"\z', 1))
-        .otherwise(F.pandas_udf(decode, "string")(escaped))
+    quoted = token.rlike(rf"^@{QUOTED}\z")
+    inner = F.regexp_extract(token, r'(?s)^@"(.*)"\z', 1)
+    pieces = F.regexp_extract_all(inner, F.lit(r"\\\\|\\[0-9A-Fa-f]{2}|[^\\]++"), F.lit(0))
+    digits = F.transform(
+        pieces,
+        lambda p: F.when(p == "\\\\", F.lit("5C"))
+        .when(p.startswith("\\"), F.substring(p, 2, 2))
+        .otherwise(F.hex(F.encode(p, "ISO-8859-1"))),
     )
+    name = F.try_validate_utf8(F.unhex(F.array_join(digits, "")).cast("string"))
+    return F.when(plain, F.substr(token, F.lit(2))).when(quoted & (name != ""), name)

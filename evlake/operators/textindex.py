@@ -13,26 +13,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from evlake.functions.headers import HEADER_LIMIT, NAME, QUOTED, decode_symbol, read_headers
+from evlake.functions.headers import HEADER_LIMIT, QUOTED, SYMBOL, decode_symbol, read_headers
 from evlake.operators.scale import BLOCK, running_totals
 from evlake.session import cut_lineage
 
 # Java patterns over one line whose characters are single bytes.
 _BLANK = r"[ \t\r\f]*"
 _HIDDEN = rf"{QUOTED}|;[^\n]*"
-_SYMBOL = rf"@(?:{QUOTED}|{NAME})"
 _MODIFIERS = r"(?:[a-z_]+(?:\([a-z0-9]*\))?[ \t]+)*?"
 _FLAT = r"(?:[^(){}\[\]<>,;\"@=]|\([^(){}\[\]<>;\"@=]*\))++"
 # One-line forms the disassembler prints.
-_FUNCTION = rf"^(define[ \t][^{{}}@\";]*)({_SYMBOL})\(([^{{}};]*?)\)[^{{}};()\"]*(?:personality ptr {_SYMBOL}[ \t]*)?\{{{_BLANK}\n?\z"
-_SKIPPED = rf"^{_SYMBOL}[ \t]*=[ \t]*{_MODIFIERS}(?:global|constant)[ \t]"
-_DIRECT = rf"^({_SYMBOL})[ \t]*=[ \t]*{_MODIFIERS}alias[ \t]{_FLAT},[ \t]*ptr[ \t]+({_SYMBOL}){_BLANK}\n?\z"
+_FUNCTION = (
+    rf"^(?!.*\bpersonality\b(?! ptr @))(define[ \t][^{{}}@\";]*)({SYMBOL})\(([^{{}};\[\]<>]*?)\)"
+    rf"[^{{}};()\"=\[\]<>@]*(?:personality ptr {SYMBOL}[ \t]*)?\{{{_BLANK}\n?\z"
+)
+_SKIPPED = rf"^{SYMBOL}[ \t]*=[ \t]*{_MODIFIERS}(?:global|constant)[ \t]"
+_DIRECT = rf"^(({SYMBOL})[ \t]*=[ \t]*{_MODIFIERS}alias[ \t]{_FLAT},[ \t]*ptr[ \t]+)({SYMBOL}){_BLANK}\n?\z"
 # Top-level lines that end with their line and never open a body.
 _UNRELATED = (
     r"^(?:!|declare[ \t]|attributes[ \t]|source_filename[ \t]|target[ \t]|module asm[ \t]"
     r"|%[^=]*=[ \t]*type[ \t]|\^[0-9]+[ \t]*=|\$[^=]*=[ \t]*comdat|uselistorder)"
 )
 _START_WORD = r"^define(?:[ \t\r\n\f]|\z)"
+# A brace behind which a definition starts on the same line, and the pieces that end with one.
+_CROWDED = rf"\}}(?=[ \t\r\f]*(?:define[ \t]|{SYMBOL}[ \t]*=))"
+_PIECES = rf"(?:{QUOTED}|;[^\n]*|[^\}}]|(?!{_CROWDED})\}})*+(?:\}}|\z)"
 
 
 def _brace_steps(text: Column) -> Column:
@@ -71,7 +76,7 @@ def _line_features(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     seen = F.ltrim(bare, F.lit(" \t\r\f"))
     is_define = F.col("__body").rlike(_START_WORD)
     is_at = F.col("__body").startswith("@")
-    rest = F.regexp_replace("__body", rf"^{_SYMBOL}", "")
+    rest = F.regexp_replace("__body", rf"^{SYMBOL}", "")
     rest = F.regexp_replace(rest, r"^[ \t\r\f]*(;[^\n]*)?", "")
     form = (
         F.when(is_define & F.col("__body").rlike(_FUNCTION) & ~bare.rlike(r"\b(?:prefix|prologue)\b"), "function")
@@ -83,9 +88,12 @@ def _line_features(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
         .when(is_at, "stray")
     )
     pattern = F.when(F.col("form") == "function", F.regexp_extract("__body", _FUNCTION, 2)).when(
-        F.col("form") == "direct_alias", F.regexp_extract("__body", _DIRECT, 1)
+        F.col("form") == "direct_alias", F.regexp_extract("__body", _DIRECT, 2)
     )
-    target = F.when(F.col("form") == "direct_alias", F.regexp_extract("__body", _DIRECT, 2))
+    target = F.when(F.col("form") == "direct_alias", F.regexp_extract("__body", _DIRECT, 3))
+    # Where the tokens stand behind the line's lead.
+    symbol_at = F.when(F.col("form") == "function", F.length(F.regexp_extract("__body", _FUNCTION, 1)))
+    target_at = F.when(F.col("form") == "direct_alias", F.length(F.regexp_extract("__body", _DIRECT, 1)))
     # The first quote that does not open a well-formed quoted text.
     good = rf'^(?:[^";]|{QUOTED})*+'
     bad_quote = F.when(
@@ -97,37 +105,55 @@ def _line_features(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
         .withColumn("form", form)
         .select(
             *keys,
-            "line_no",
             "byte_start",
             F.length("__text").cast("bigint").alias("byte_len"),
             "form",
             lead.alias("lead"),
             pattern.alias("symbol_token"),
             target.alias("target_token"),
+            F.coalesce(symbol_at, F.lit(0)).cast("bigint").alias("symbol_at"),
+            target_at.cast("bigint").alias("target_at"),
             steps.alias("steps"),
             (~seen.isin("", "\n")).cast("int").alias("solid"),
             seen.startswith("=").alias("leads_with_equals"),
-            bare.rlike(r"\}[ \t\r\f]*(?:define[ \t]|@[^(=\n]*=)").alias("crowded"),
             bad_quote.cast("bigint").alias("bad_quote"),
         )
     )
 
 
+def _uncrowded(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lines cut behind every brace that has a definition behind it on the same line.
+
+    Neither ``define`` nor an assignment to ``@`` can stand inside a body, so where one follows a
+    brace, that brace closes a body or the module is broken.
+    """
+    text = F.decode("line", "ISO-8859-1")
+    crowded = text.rlike(_CROWDED)
+    pieces = F.filter(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), lambda p: p != "")
+    rows = lines.filter(crowded).select(*keys, "byte_start", F.posexplode(pieces).alias("__i", "__piece"), pieces.alias("__all"))
+    before = F.aggregate(F.slice("__all", F.lit(1), F.col("__i")), F.lit(0), lambda a, p: a + F.length(p))
+    cut = rows.select(
+        *keys, (F.col("byte_start") + before).alias("byte_start"), F.encode("__piece", "ISO-8859-1").alias("line")
+    )
+    return lines.filter(~crowded).select(*keys, "byte_start", "line").unionByName(cut)
+
+
 def index_blocks(
     lines: DataFrame, keys: Sequence[str], block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame]:
     """Definitions and errors of module texts given as lines.
 
-    ``lines`` holds ``keys``, ``line_no`` (from 0), ``byte_start`` and ``line`` with its newline, as
-    `artifact_lines` makes them. Definitions: ``raw_symbol``, ``kind``, ``target``, ``start``,
+    ``lines`` holds ``keys``, ``byte_start`` and ``line`` with its newline, as `artifact_lines`
+    makes them. Several definitions may stand on a line. Definitions: ``raw_symbol``, ``kind``, ``target``, ``start``,
     ``length``. Errors: ``error`` and ``error_at``; a module with an error has no valid index.
     """
     ks = list(keys)
+    lines = _uncrowded(lines, ks)
     # Written once: the sums below read only its narrow columns.
     features = cut_lineage(_line_features(lines, ks))
     step_sum = F.aggregate("steps", F.lit(0), lambda a, s: a + s["step"])
     summed = running_totals(
-        features, ks, "line_no", {"depth": step_sum, "solid_before": F.col("solid")}, block
+        features, ks, "byte_start", {"depth": step_sum, "solid_before": F.col("solid")}, block
     )
     # Offsets just behind a brace that closes to depth zero.
     start = F.struct(
@@ -183,35 +209,36 @@ def index_blocks(
         "begin", F.col("byte_start") + F.col("lead")
     )
     strays = events.filter(top & F.col("form").isin("stray", "symbol_alone")).join(
-        split.select(*ks, "line_no"), [*ks, "line_no"], "left_anti"
+        split.select(*ks, "byte_start"), [*ks, "byte_start"], "left_anti"
     )
     closing = events.filter(F.size("zeros") > 0)
     # The block of every line: how many definitions have started up to it.
-    marked = features.select(*ks, "line_no").join(
-        starts.select(*ks, "line_no", F.lit(1).alias("__start")), [*ks, "line_no"], "left"
+    marked = features.select(*ks, "byte_start").join(
+        starts.select(*ks, "byte_start", F.lit(1).alias("__start")), [*ks, "byte_start"], "left"
     )
     numbered = cut_lineage(
         running_totals(
-            marked.fillna(0, ["__start"]), ks, "line_no", {"__before": F.col("__start")}, block
-        ).select(*ks, "line_no", (F.col("__before") + F.col("__start")).alias("block_no"))
+            marked.fillna(0, ["__start"]), ks, "byte_start", {"__before": F.col("__start")}, block
+        ).select(*ks, "byte_start", (F.col("__before") + F.col("__start")).alias("block_no"))
     )
-    blocks = starts.join(numbered, [*ks, "line_no"])
-    ends = closing.join(numbered, [*ks, "line_no"]).select(
-        *ks, "block_no", "crowded", F.explode("zeros").alias("end")
+    blocks = starts.join(numbered, [*ks, "byte_start"])
+    ends = closing.join(numbered, [*ks, "byte_start"]).select(
+        *ks, "block_no", F.explode("zeros").alias("end")
     )
     size = features.groupBy(*ks).agg(
         F.max(F.col("byte_start") + F.col("byte_len")).alias("__size")
     )
     headers = _read_block_headers(lines, blocks, numbered, ks)
 
-    symbol = F.when(F.col("form") == "header", F.col("h.symbol")).otherwise(
-        decode_symbol(F.col("symbol_token"))
-    )
-    kind = F.when(F.col("form") == "header", F.col("h.kind")).otherwise(F.col("form"))
-    target = F.when(F.col("form") == "header", F.col("h.target")).otherwise(
-        decode_symbol(F.col("target_token"))
-    )
+    read = F.col("form") == "header"
+    kind = F.when(read, F.col("h.kind")).otherwise(F.col("form"))
+    symbol = decode_symbol(F.when(read, F.col("h.symbol")).otherwise(F.col("symbol_token")))
+    target = decode_symbol(F.when(read, F.col("h.target")).otherwise(F.col("target_token")))
     line_end = F.col("byte_start") + F.col("byte_len")
+    # The limit holds for every form of a header; a global's line is no header.
+    too_long = (
+        F.col("form").isin("function", "direct_alias") & (F.col("byte_len") - F.col("lead") > HEADER_LIMIT)
+    )
     parsed = blocks.join(headers, [*ks, "block_no"], "left").select(
         *ks,
         "block_no",
@@ -222,8 +249,10 @@ def index_blocks(
         F.when(F.col("form") == "header", F.col("begin") + F.col("h.consumed"))
         .otherwise(line_end)
         .alias("head_end"),
-        F.col("h.error").alias("error"),
-        (F.col("begin") + F.col("h.error_at")).alias("error_at"),
+        (F.col("begin") + F.when(read, F.col("h.symbol_at")).otherwise(F.col("symbol_at"))).alias("symbol_place"),
+        (F.col("begin") + F.when(read, F.col("h.target_at")).otherwise(F.col("target_at"))).alias("target_place"),
+        F.when(too_long, F.lit("header_too_long")).otherwise(F.col("h.error")).alias("error"),
+        (F.col("begin") + F.when(too_long, F.lit(HEADER_LIMIT)).otherwise(F.col("h.error_at"))).alias("error_at"),
     )
     # A body ends at the first brace behind its header that closes to depth zero.
     first_end = (
@@ -232,8 +261,7 @@ def index_blocks(
         .join(ends, [*ks, "block_no"])
         .filter(F.col("end") > F.col("head_end") - 1)
         .groupBy(*ks, "block_no")
-        .agg(F.min(F.struct("end", "crowded")).alias("__first"))
-        .select(*ks, "block_no", F.col("__first.end").alias("body_end"), "__first.crowded")
+        .agg(F.min("end").alias("body_end"))
     )
     ranged = (
         parsed.join(first_end, [*ks, "block_no"], "left")
@@ -244,23 +272,16 @@ def index_blocks(
         )
     )
     named = F.col("kind").isNotNull() & (F.col("kind") != "skipped")
-    bad_symbol = named & (
-        F.coalesce(F.col("raw_symbol") == "", F.lit(True))
-        | ((F.col("kind") == "direct_alias") & F.coalesce(F.col("target") == "", F.lit(True)))
-    )
+    bad_symbol = named & F.col("raw_symbol").isNull()
+    bad_target = (F.col("kind") == "direct_alias") & F.col("target").isNull()
     error = (
         F.when(F.col("error").isNotNull(), F.struct(F.col("error"), F.col("error_at")))
-        .when(bad_symbol, F.struct(F.lit("bad_symbol").alias("error"), F.col("begin").alias("error_at")))
+        .when(bad_symbol, F.struct(F.lit("bad_symbol").alias("error"), F.col("symbol_place").alias("error_at")))
+        .when(bad_target, F.struct(F.lit("bad_symbol").alias("error"), F.col("target_place").alias("error_at")))
         .when(
             named & F.col("end").isNull(),
             F.struct(F.lit("unclosed_body").alias("error"), F.col("__size").alias("error_at")),
         )
-        # Definitions are found at line starts only; one behind a closing brace is never dropped
-        # silently.
-        .when(
-            F.coalesce("crowded", F.lit(False)),
-            F.struct(F.lit("definition_after_body").alias("error"), F.col("end").alias("error_at")),
-        )
     )
     judged = cut_lineage(ranged.withColumn("__error", error))
     definitions = judged.filter(named & F.col("__error").isNull()).select(
@@ -285,7 +306,7 @@ def index_blocks(
     held = judged.select(*ks, "block_no", "end", F.col("__error").isNotNull().alias("__bad"))
     stray_errors = (
         strays.withColumn("begin", F.col("byte_start") + F.col("lead"))
-        .join(numbered, [*ks, "line_no"])
+        .join(numbered, [*ks, "byte_start"])
         .join(held, [*ks, "block_no"], "left")
         .filter(F.col("__bad").isNull() | (~F.col("__bad") & (F.col("begin") >= F.col("end"))))
         .select(*ks, F.lit("expected_assignment").alias("error"), F.col("begin").alias("error_at"))
@@ -303,14 +324,14 @@ def _read_block_headers(
     wanted = blocks.filter(F.col("form") == "header").select(*ks, "block_no", "begin")
     head = (
         numbered.join(wanted, [*ks, "block_no"])
-        .join(lines.select(*ks, "line_no", "byte_start", "line"), [*ks, "line_no"])
+        .join(lines.select(*ks, "byte_start", "line"), [*ks, "byte_start"])
         # One byte over the limit tells a header that is too long from one that just fits.
         .filter(F.col("byte_start") <= F.col("begin") + HEADER_LIMIT)
         .withColumn("__skip", F.greatest(F.col("begin") - F.col("byte_start"), F.lit(0)).cast("int"))
         .groupBy(*ks, "block_no")
         .agg(
             F.expr(
-                "listagg(substring(line, __skip + 1, 1048577)) within group (order by line_no)"
+                "listagg(substring(line, __skip + 1, 1048577)) within group (order by byte_start)"
             ).alias("__head")
         )
     )

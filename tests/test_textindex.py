@@ -1,3 +1,8 @@
+"""The module index over texts made from parts whose kinds, names and ranges are known."""
+
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,152 +10,141 @@ from evlake.functions.headers import HEADER_LIMIT, decode_symbol, read_header
 from evlake.operators.ranges import artifact_lines, chunk_bytes
 from evlake.operators.textindex import index_blocks
 
-MODULE = r'''; text of a module
-source_filename = "sample"
-target triple = "x86_64-unknown-linux-gnu"
+# Name as written -> symbol.
+NAMES = {
+    "@alpha": "alpha", "@_ZN4core3fmtE": "_ZN4core3fmtE", "@7": "7", '@"with space"': "with space",
+    '@"br{ace}; \\22q\\22"': 'br{ace}; "q"', '@"\\E2\\82\\AC\\5Cx"': "€\\x", '@"back\\\\slash"': "back\\slash", "@a.b$c-d": "a.b$c-d",
+}
+BODIES = ["ret void", "%t = call i32 @callee(i32 1) ; } not a brace", 'call void asm "}{", ""()', "br label %x\n{ i8 1 }", ""]
+HEADERS = [
+    "define void {n}() {{", "define dso_local i64 {n}(i64 %0, ptr %1) #3 {{", "define {{ i64, ptr }} {n}([2 x i8] %v) {{",
+    "define void\n  {n}(\n i8 %a) {{", 'define void {n}() section ".text.{{}}" align 16 {{',
+    "define void {n}() prefix <2 x i8> <i8 1, i8 2> {{", "define i8 {n}() prologue [1 x i8] c\"x\" personality ptr @eh {{",
+    "define void {n}() personality ptr addrspace(2) getelementptr (i8, ptr @t, i64 2) !dbg !9 {{", "define void {n}() prefix {{ i8 }} {{ i8 4 }} {{",
+]
+DIRECT = ["{n} = alias i8, ptr {t}\n", "{n} = weak_odr hidden alias [4 x i8], ptr {t}\n", '{n} = alias void (i8),\n ptr addrspace(1) {t}, partition "p"\n', "{n}\n=\nalias i8, ptr {t}\n"]
+EXPRESSION = ["{n} = alias i8, inttoptr (i64 9 to ptr)\n", "{n} = internal alias i32, ptr getelementptr (i32, ptr {t}, i64 3)\n", "{n} = alias i8, ptr dso_local_equivalent {t}\n"]
+IFUNC = ["{n} = ifunc i32 (i32), ptr {t}\n", "{n} = dso_local ifunc void (),\n\tptr {t}, !note !4\n"]
+OTHER = ["; define void @no() {\n", "%pair = type { i8, { i8 } }\n", "declare ptr @extern(i64)\n", '@str = private constant [3 x i8] c"}{;"\n', "@arr =\n global { i8 } { i8 1 }\n",
+         'module asm "define void @x() {"\n', "attributes #3 = { nounwind }\n", "!9 = !{ptr @alpha}\n", "\n", "$grp = comdat any\n"]
+
+
+def module(rng, crowded):
+    """A text, and (symbol, kind, target, start, length) of what it defines."""
+    text, found = "", []
+    for _ in range(rng.randrange(3, 25)):
+        name, target = rng.choice(sorted(NAMES)), rng.choice(sorted(NAMES))
+        kind = rng.choice(["function"] * 4 + ["direct_alias", "expression_alias", "ifunc", "other"])
+        start = len(text.encode())
+        if kind == "other":
+            text += rng.choice(OTHER)
+            continue
+        if kind == "function":
+            text += rng.choice(HEADERS).format(n=name) + rng.choice(["\n", " "]) + rng.choice(BODIES) + "\n" + "}"
+            length = len(text.encode()) - start
+            text += " " if crowded and rng.random() < 0.6 else rng.choice(["\n", " ; end }\n"])
+            if text[-1] == " " and rng.random() < 0.2:
+                text += "\n"
+        else:
+            forms = {"direct_alias": DIRECT, "expression_alias": EXPRESSION, "ifunc": IFUNC}[kind]
+            text += rng.choice(forms).format(n=name, t=target)
+            length = len(text.encode()) - start
+        found.append((NAMES[name], kind, NAMES[target] if kind == "direct_alias" else None, start, length))
+        if text[-1] == " ":
+            # Only a definition may follow on the line.
+            start = len(text.encode())
+            text += "define void @tail() { ret void }"
+            found.append(("tail", "function", None, start, len(text.encode()) - start))
+            text += "\n"
+    return text, found
 
-%pair = type { i32, i8 }
-@data = global [2 x i8] c"xy"
-@first = linkonce_odr hidden unnamed_addr alias void (), ptr @"q\22\\\01\C3\A9"
-@second = alias i8, getelementptr inbounds ([2 x i8], ptr @data, i64 0, i64 1)
-@third = ifunc void (), ptr @pick
 
-declare void @outside()
+def lines_of(spark, texts: dict[str, str], chunk: int):
+    df = spark.createDataFrame(list(texts.items()), "name string, text string")
+    chunks = chunk_bytes(df, ["name"], F.encode("text", "UTF-8"), chunk)
+    return artifact_lines(chunks, ["name"], block=5)
+
+
+def index(spark, texts, chunk=8192, block=1 << 18):
+    definitions, errors = index_blocks(lines_of(spark, texts, chunk), ["name"], block=block)
+    got: dict[str, list] = {name: [] for name in texts}
+    for r in definitions.collect():
+        got[r.name].append((r.raw_symbol, r.kind, r.target, r.start, r.length))
+    bad: dict[str, set] = {}
+    for r in errors.collect():
+        bad.setdefault(r.name, set()).add((r.error, r.error_at))
+    return {name: sorted(rows, key=lambda r: r[3]) for name, rows in got.items()}, bad
+
+
+@pytest.mark.parametrize("chunk", [11, 8192])
+def test_modules_of_known_parts(spark, chunk):
+    rng = random.Random(chunk)
+    made = {f"m{i}": module(rng, i % 2) for i in range(30)}
+    got, bad = index(spark, {k: v[0] for k, v in made.items()}, chunk, block=97)
+    assert bad == {}
+    for name, (_, want) in made.items():
+        assert got[name] == want, made[name][0]
 
-define void @"q\22\\\01\C3\A9"() prefix { i32, i8 } { i32 1, i8 2 } {
-entry:
-  call void asm sideeffect "; {\22}", ""() ; } é define @x() {
-  ret void
-}
 
-define internal { i8, ptr } @pick(ptr %é) #0 personality ptr @p {
-entry:
-  %x = insertvalue {i8, i8} poison, i8 0, 0
-  ret ptr @"q"
-}
-attributes #0 = { nounwind }
-!0 = !{ptr @pick}
-'''
-MULTILINE = '@"alias\\20name"\n = linkonce_odr\n\n ; note\n dso_local hidden\n alias void (),\n ptr @"raw\\22\\\\name"\ndefine void\n @"raw\\22\\\\name"(\n) { ret void }'
-TEXTS = {
-    "canonical": (MODULE, [
-        ("first", "direct_alias", 'q"\\\x01é', "@first", "\n"),
-        ("second", "expression_alias", None, "@second", "\n"),
-        ("third", "ifunc", None, "@third", "\n"),
-        ('q"\\\x01é', "function", None, 'define void @"q', "\n}"),
-        ("pick", "function", None, "define internal", "\n}"),
-    ]),
-    "multiline": (MULTILINE, [
-        ("alias name", "direct_alias", 'raw"\\name', "@", "\n"),
-        ('raw"\\name', "function", None, "define", "}"),
-    ]),
-    "unrelated": ("\n ; comment\r\ndeclare void @f()\ndefine_like_long_token\nd\ndefine_like\n@g = thread_local(localexec) addrspace(1) global i8 0\nmodule asm \"define void @fake() {}\"\n", []),
-    "split global": ("@g =\n global { i32 } { i32 1 }\n@h = constant i8 1\n", []),
-    "windows": ("@a = alias void (), ptr @f\r\n  define void @f() {\r\n ret void\r\n}\r\n", [
-        ("a", "direct_alias", "f", "@a", "\r\n"), ("f", "function", None, "define", "}"),
-    ]),
-    "no final newline": ("@a = alias void (), ptr @f", [("a", "direct_alias", "f", "@a", "@f")]),
-    "one line": ("define void @f() { ret void }\n", [("f", "function", None, "define", "}")]),
-}
-# Text -> (error, offset).
 BROKEN = {
     "define": ("unexpected_end", 6),
-    "define void @f() {": ("unclosed_body", 18),
-    "@a = alias void (), ptr": ("unexpected_end", 23),
-    "@i = ifunc void (), ptr": ("unexpected_end", 23),
-    '@a = alias void (), ptr @""': ("bad_symbol", 0),
-    '@"" = alias void (), ptr @f': ("bad_symbol", 0),
-    "@a alias void (), ptr @f": ("expected_assignment", 0),
-    "define void @f() {\n call \"x\\q\"\n}\n": ("bad_quoted_text", 25),
-    "define void @f() {\n}\n}\n": ("unopened_brace", 21),
-    "define void @f() {\n} @a = alias void (), ptr @f\n": ("definition_after_body", 20),
+    "define i8 @w(": ("unexpected_end", 13),
+    "define i8 @w() {\n": ("unclosed_body", 17),
+    "define i8 @w() = {\n}\n": ("unexpected_token", 15),
+    "define i8 @w([i8)] {\n}\n": ("mismatched_delimiter", 16),
+    "define i8 @w() personality {\n}\n": ("unexpected_end", 31),
+    "  define void @9z() {\n}\n": ("bad_symbol", 14),
+    "define\nvoid @9z() {\n}\n": ("bad_symbol", 12),
+    '@"\\C3" = alias i8, ptr @w\n': ("bad_symbol", 0),
+    "@v = alias i8, ptr @5w\n": ("bad_symbol", 19),
+    "@v = alias i8,\nptr @5w\n": ("bad_symbol", 19),
+    "@v = alias , ptr @w\n": ("unexpected_token", 11),
+    "@v = alias i8 ptr @w\n": ("unexpected_token", 18),
+    "@v = alias i8, ptr @w @w\n": ("unexpected_token", 22),
+    '@v = alias i8, ptr @w, partition 3\n': ("unexpected_token", 33),
+    "@v alias i8\n": ("expected_assignment", 0),
+    'define void @w() {\n call "a\\zb"\n}\n': ("bad_quoted_text", 25),
+    "define void @w() {\n}\n }\n": ("unopened_brace", 21),
 }
 
 
-def lines_of(spark, texts: dict[str, str], chunk: int):
-    df = spark.createDataFrame(list(texts.items()), "name string, text string")
-    chunks = chunk_bytes(df, ["name"], F.encode("text", "UTF-8"), chunk)
-    return artifact_lines(chunks, ["name"], block=5)
+def test_errors_with_their_places(spark):
+    _, bad = index(spark, {t: t for t in BROKEN})
+    assert {t: e for t, (e,) in bad.items()} == BROKEN
 
 
-@pytest.mark.parametrize("chunk", [7, 8192])
-def test_definitions_and_errors(spark, chunk):
-    texts = {k: v[0] for k, v in TEXTS.items()} | {t: t for t in BROKEN}
-    definitions, errors = index_blocks(lines_of(spark, texts, chunk), ["name"], block=3)
-    got: dict[str, list] = {}
-    for r in definitions.orderBy("name", "start").collect():
-        piece = texts[r.name].encode()[r.start : r.start + r.length].decode()
-        got.setdefault(r.name, []).append((r.raw_symbol, r.kind, r.target, piece))
-    for name, (_, expected) in TEXTS.items():
-        mine = got.get(name, [])
-        assert [m[:3] for m in mine] == [e[:3] for e in expected], name
-        for (*_, piece), (*_, begin, end) in zip(mine, expected):
-            assert piece.startswith(begin) and piece.endswith(end), (name, piece)
-    found = {r.name: (r.error, r.error_at) for r in errors.collect()}
-    assert found == BROKEN
+def test_long_names_and_headers(spark):
+    """Nothing is cut: a long name survives whole, and a long header is reported in every form."""
+    name = "n" * (HEADER_LIMIT - 100)
+    over = "o" * (HEADER_LIMIT + 100)
+    texts = {"fits": f"define void @{name}() {{\n}}\n", "fits split": f"define void\n@{name}() {{\n}}\n",
+             "over": f"define void @{over}() {{\n}}\n", "over split": f"define void\n@{over}() {{\n}}\n",
+             "over alias": f"@a = alias i8, ptr @{over}\n", "blank": f"define{' ' * HEADER_LIMIT}\nvoid @f() {{\n}}\n"}
+    got, bad = index(spark, texts, 1 << 16)
+    assert [r[0] for r in got["fits"]] == [r[0] for r in got["fits split"]] == [name]
+    assert {k: {e for e, _ in v} for k, v in bad.items()} == {k: {"header_too_long"} for k in texts if not k.startswith("fits")}
 
 
 def test_long_lines(spark):
-    filler = "x" * 100_000
+    filler = "y" * 90_000
     text = (
-        f'@g = private constant [100000 x i8] c"{filler}"\n'
-        f'@h = global {{ i8 }} {"{ i8 1 }, " * 5000}\n'
-        f'define void @f() {{\n ; {filler} }}\n call void asm "{filler}}}", ""()\n}}\n'
+        f'@s = constant [90000 x i8] c"{filler}"\n@t = global {{ i8 }} {"{ i8 3 }, " * 4000}\n'
+        f'define void @w() {{\n ; {filler} }}\n call void asm "{filler}}}", ""()\n}}\n'
     )
-    definitions, errors = index_blocks(lines_of(spark, {"long": text}, 1 << 16), ["name"])
-    (f,) = definitions.collect()
-    assert f.raw_symbol == "f" and f.start == text.index("define")
-    assert f.start + f.length == len(text) - 1
-    assert errors.count() == 0
-
-
-@pytest.mark.parametrize("prefix,suffix", [("define void @f() ", "{"), ("@a = alias void (), ptr ", "@f\n")])
-def test_header_limit(prefix, suffix):
-    for extra in (-1, 0, 1):
-        text = prefix + " " * (HEADER_LIMIT + extra - len(prefix) - len(suffix)) + suffix
-        result = read_header(text)
-        if extra <= 0:
-            assert result["error"] is None and result["consumed"] == len(text)
-        else:
-            assert (result["error"], result["error_at"]) == ("header_too_long", HEADER_LIMIT)
-
-
-HEADERS = {
-    "define {i8, ptr} @f(ptr byval({i8, ptr}) %x) {": ("function", "f", None),
-    'define dso_local noundef i32 @f(\n i32 %x,\n ptr %y\n) #0\n section "{@fake}" { ret i32 0 }': ("function", "f", None),
-    'define void @f() prefix {i32, i8} {i32 1, i8 2} prologue [2 x i8] c"ab" personality ptr @p { ret void }': ("function", "f", None),
-    "define void @f() prefix ptr getelementptr (i8, ptr @g, i64 1) !dbg !0 { ret void }": ("function", "f", None),
-    '@x = alias {i8, i8},\n ptr addrspace(1)\n @"raw\\20target"\n': ("direct_alias", "x", "raw target"),
-    '@x = alias void (), ptr @t, partition "part"\n': ("direct_alias", "x", "t"),
-    "@x = ifunc void (), ptr @t, !dbg !0\n": ("ifunc", "x", None),
-    "@x = alias i8, ptr getelementptr inbounds (i8, ptr @t, i64 1)\n": ("expression_alias", "x", None),
-    "@x = alias i8, ptr inttoptr (i64 4 to ptr)": ("expression_alias", "x", None),
-    "@x = alias void (), ptr no_cfi @t\n": ("expression_alias", "x", None),
-}
-BAD_HEADERS = {
-    "define void @f": 14, "define void @f(]": 15, "define void @f()": 16,
-    "define void @f() prefix ptr @x": 30, "@x = alias , ptr @x": 11, "@x = alias void () ptr @x": 23,
-    "@x = alias void (), ptr @x @y": 27, "@x = alias void (), ptr getelementptr (i8, ptr @x": 49,
-    "@x = alias void (), ptr nonsense @x": 24, "@x = alias void (), ptr @x, partition 1": 38,
-    "@123abc = alias i8, ptr @f": 0, '@"\\FF" = alias i8, ptr @f': 0, '@"bad\\q0" = alias i8, ptr @f': 0,
-}
+    got, bad = index(spark, {"long": text}, 1 << 16)
+    assert got["long"] == [("w", "function", None, text.index("define"), len(text) - 1 - text.index("define"))]
+    assert bad == {}
 
 
-def test_headers():
-    for text, (kind, symbol, target) in HEADERS.items():
-        got = read_header(text)
-        assert (got["error"], got["kind"], got["symbol"], got["target"]) == (None, kind, symbol, target), text
-        if kind == "function":
-            assert text[got["consumed"] - 1] == "{"
-    for text, at in BAD_HEADERS.items():
-        assert read_header(text)["error_at"] == at, text
+def test_reader_is_linear():
+    text = "define void @w() " + "word " * 500_000
+    started = time.perf_counter()
+    assert read_header(text)["error"] == "header_too_long"
+    assert time.perf_counter() - started < 20
 
 
 def test_symbols(spark):
-    tokens = {
-        "@_RNv.foo$-1": "_RNv.foo$-1", "@123": "123", '@"a\\22b\\5cc\\01\\C3\\A9"': 'a"b\\c\x01é',
-        '@"@;{}() space"': "@;{}() space", '@"a\\\\b\\22"': 'a\\b"', "@": None, "@123abc": None,
-        '@"\\FF"': None, '@""': None,
-    }
-    df = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", decode_symbol(F.col("t")).alias("s"))
-    assert {r.t: r.s for r in df.collect()} == tokens
+    tokens = NAMES | {"@": None, "@4x": None, '@"\\FF"': None, '@""': None, '@"open': None, "@" + "z" * 2_000_000: "z" * 2_000_000}
+    df = spark.createDataFrame([(t.encode().decode("latin-1"),) for t in tokens], "t string")
+    got = {r.t: r.s for r in df.select("t", decode_symbol(F.col("t")).alias("s")).collect()}
+    assert got == tokens
