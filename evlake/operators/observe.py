@@ -48,27 +48,34 @@ def completion_outcome() -> Column:
     )
 
 
-def message_completion(
-    messages: DataFrame, package_id: str, target_name: str, kinds: Sequence[str], fresh: bool
-) -> DataFrame:
-    """`build_completion` over parsed messages for one package and target."""
-    wanted = F.array(*[F.lit(k) for k in sorted(kinds)])
+def message_completion(messages: DataFrame, expected: DataFrame) -> DataFrame:
+    """`build_completion` over parsed messages.
+
+    ``expected`` has one row per build: ``build_id``, the ``package_id``, ``target_name`` and
+    ``kinds`` of the artifact it is about, and whether that should be ``fresh``. A build without
+    messages is not finished; messages of other builds are left out.
+    """
+    wanted = expected.select(
+        "build_id",
+        F.struct("package_id", "target_name", F.array_sort("kinds").alias("kinds"), "fresh").alias("__want"),
+    )
+    messages = wanted.join(messages, "build_id", "left")
     artifact = F.col("reason") == "compiler-artifact"
     selected = (
         artifact
-        & (F.col("package_id") == package_id)
-        & (F.col("target.name") == target_name)
-        & (F.array_sort("target.kind") == wanted)
+        & F.col("package_id").eqNullSafe(F.col("__want.package_id"))
+        & F.col("target.name").eqNullSafe(F.col("__want.target_name"))
+        & F.array_sort("target.kind").eqNullSafe(F.col("__want.kinds"))
     )
     error = (F.col("reason") == "compiler-message") & F.col("level").isin(*ERROR_LEVELS)
     return build_completion(
         messages,
         ["build_id"],
         F.coalesce(selected, F.lit(False)),
-        F.col("reason") == "build-finished",
+        F.coalesce(F.col("reason") == "build-finished", F.lit(False)),
         F.col("success"),
         F.coalesce(error, F.lit(False)),
-        F.col("fresh") == F.lit(fresh),
+        F.col("fresh") == F.col("__want.fresh"),
     )
 
 
@@ -89,12 +96,18 @@ def probe_outcome(
 
 
 def candidate_lookup(
-    requests: DataFrame, candidates: DataFrame, captures: DataFrame, key: str = "request_key"
+    requests: DataFrame,
+    candidates: DataFrame,
+    captures: DataFrame,
+    key: str = "request_key",
+    violations: DataFrame | None = None,
 ) -> DataFrame:
     """Pointer, then capture, of each request key.
 
-    No pointer is a ``miss``; a pointer to an absent capture is a ``dangling_miss``; a pointer that
-    is malformed or disagrees with its capture is ``invalid``. History is never searched.
+    No pointer is a ``miss``; a pointer to an absent capture is a ``dangling_miss``. A pointer that
+    is malformed or disagrees with its capture is ``invalid``, and so is one to a capture with any
+    row in ``violations`` (column ``capture_id``): present but damaged evidence, be it the header,
+    the manifest or an artifact file, is never a miss and never reused. History is never searched.
     """
     has_rule = "rule" in candidates.columns
     pointers = candidates.select(
@@ -110,9 +123,17 @@ def candidate_lookup(
         F.col("analysis.token").alias("__stored"),
         F.struct(*captures.columns).alias("candidate"),
     )
+    found = requests.join(pointers, key, "left")
+    if violations is None:
+        found = found.withColumn("__damaged", F.lit(False))
+    else:
+        damaged = violations.filter(F.col("capture_id").isNotNull()).select(
+            F.col("capture_id").alias("__capture"), F.lit(True).alias("__damaged")
+        )
+        found = found.join(damaged.distinct(), "__capture", "left")
     status = (
         F.when(F.col("__pointer").isNull(), F.lit("miss"))
-        .when(F.col("__rule").isNotNull(), F.lit("invalid"))
+        .when(F.col("__rule").isNotNull() | F.col("__damaged"), F.lit("invalid"))
         .when(F.col("candidate").isNull(), F.lit("dangling_miss"))
         .when(
             ~F.col("__key").eqNullSafe(F.col(key)) | ~F.col("__stored").eqNullSafe(F.col("__token")),
@@ -121,8 +142,7 @@ def candidate_lookup(
         .otherwise(F.lit("hit"))
     )
     return (
-        requests.join(pointers, key, "left")
-        .join(held, "__capture", "left")
+        found.join(held, "__capture", "left")
         .select(
             *requests.columns,
             status.alias("lookup"),

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from evlake.functions import display, identity
 from evlake.operators import integrity, observe
-from evlake.plans.registry import query, spread, table
+from evlake.plans.registry import query, table
 from evlake.plans.search_queries import _order_captures
 from evlake.schema import STAGES
 from evlake.schema import U64 as _U64
 from evlake.session import shared_path
-from evlake.sources.lake import Lake
+from evlake.sources.lake import CommittedBatch, Lake
 from evlake.sources.records import (
     evidence_of,
+    parse_candidates,
     parse_headers,
     parse_manifests,
     parse_messages,
@@ -439,7 +440,7 @@ def _record_documents(part: DataFrame) -> tuple[DataFrame, DataFrame]:
 )
 def record_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record rule over documents that Spark derives from `part`."""
-    headers, manifests = _record_documents(spread(table(spark, sf_dir, "part"), "p_partkey"))
+    headers, manifests = _record_documents(table(spark, sf_dir, "part"))
     ev = evidence_of(parse_headers(headers), parse_manifests(manifests), None)
     return (
         integrity.evidence_violations(ev)
@@ -604,15 +605,19 @@ _LOOKUP_SQL = """
                from orders where o_custkey % 11 <> 0
                qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1),
          l as (select c_custkey, case when p.capture is null then 'miss'
-                        when o.o_orderkey is null then 'dangling_miss'
+                        when b.o_totalprice > 400000 then 'invalid' when o.o_orderkey is null then 'dangling_miss'
                         when o.o_orderpriority <> p.token then 'invalid' else 'hit' end as lookup,
-                      case when o.o_orderpriority = p.token then o.o_orderkey end as capture
+                      case when o.o_orderpriority = p.token and b.o_totalprice <= 400000
+                           then o.o_orderkey end as capture
                from customer left join p on p.o_custkey = c_custkey
-               left join orders o on o.o_orderkey = p.capture and o.o_orderstatus <> 'F')
+               left join orders o on o.o_orderkey = p.capture and o.o_orderstatus <> 'F'
+               left join orders b on b.o_orderkey = p.capture)
 """
 
 
 def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as requests, with a case of every outcome: some have no pointer, some pointers name
+    another token, open orders only are captures, and the dearest are damaged, stored or not."""
     orders = table(spark, sf_dir, "orders")
     latest = F.max_by(
         F.struct("o_orderkey", "o_orderpriority"), F.struct("o_orderdate", "o_orderkey")
@@ -636,7 +641,39 @@ def _lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("analysis"),
     )
     requests = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("request_key"), "c_nationkey")
-    return observe.candidate_lookup(requests, pointers, captures)
+    damaged = orders.filter(F.col("o_totalprice") > 400000).select(F.col("o_orderkey").alias("capture_id"))
+    return observe.candidate_lookup(requests, pointers, captures, violations=damaged)
+
+
+@query(
+    "pointer_rules",
+    """
+    select p_partkey, case p_size % 9 when 1 then 'record_too_large' when 2 then 'malformed_json'
+             when 3 then 'unknown_field:pointer' when 4 then 'unsupported_version'
+             when 5 then 'missing_field:token' when 6 then 'format:token'
+             when 7 then 'format:capture_id' when 8 then 'wrong_key' end as rule
+    from part""",
+)
+def pointer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointer documents that Spark derives from `part`, eight of nine kinds with a fault each."""
+    key, kind = F.sha2(F.col("p_partkey").cast("string"), 256), F.col("p_size") % 9
+    letters = F.translate(F.substring(key, 1, 32), "0123456789abcdef", "klmnopqrstuvwxyz")
+    token = F.concat(F.substring(key, 1, 12), F.lit("4"), F.substring(key, 14, 3), F.lit("8"), F.substring(key, 18, 15))
+    fields = F.struct(
+        F.when(kind == 4, 7).otherwise(1).alias("format_version"),
+        F.when(kind == 8, F.reverse(key)).otherwise(key).alias("request_key"),
+        F.when(kind == 6, F.col("p_name")).when(kind != 5, token).alias("token"),
+        F.when(kind == 7, F.col("p_name")).otherwise(letters).alias("capture_id"),
+        F.when(kind == 3, F.col("p_brand")).alias("brand"),
+    )
+    documents = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("s/candidates/"), key, F.lit(".json")).alias("path"),
+        F.when(kind == 2, F.concat(F.lit("{"), F.col("p_name"))).when(kind != 1, F.to_json(fields)).alias("raw"),
+        (kind == 1).alias("too_large"),
+        "p_partkey",
+    )
+    keys = documents.select(F.regexp_extract("path", "([0-9a-f]{64})", 1).alias("request_key"), "p_partkey")
+    return parse_candidates(documents).join(keys, "request_key").select("p_partkey", "rule")
 
 
 @query("candidate_lookup", _LOOKUP_SQL + "select * from l")
@@ -722,18 +759,22 @@ def read_captures_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
                cast(o_orderkey as varchar) desc) = 1""",
 )
 def publish_lake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches into a new lake, the second written twice; then the current pointers."""
+    """Two batches into a new lake, then another under a used number, which is refused; then the
+    current pointers."""
     captures = _order_captures(spark, sf_dir)
     lake = Lake(spark, shared_path(spark, "lake"))
     parity = F.col("capture_id").cast("bigint") % 2
-    for seq, rows in ((1, captures.filter(parity == 0)), (2, captures.filter(parity == 1)), (2, captures.filter(parity == 1))):
+    for seq, rows in ((1, captures.filter(parity == 0)), (2, captures.filter(parity == 1)), (2, captures.filter(parity == 0))):
         pointers = rows.select(
             F.col("analysis.request_key").alias("request_key"),
             F.col("analysis.token").alias("token"),
             "capture_id",
             "completed_at_unix_ms",
         )
-        lake.write({"candidates": pointers, "captures": rows}, seq)
+        try:
+            lake.write({"candidates": pointers, "captures": rows}, seq)
+        except CommittedBatch:
+            continue
     return lake.candidates().select(
         "capture_id", F.col("request_key").cast("bigint").alias("request_key"), "token"
     )

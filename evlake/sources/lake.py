@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -28,6 +29,12 @@ TABLES = (
 COMMITS = "commits"
 _ORDER = ("capture_id", "compiler_module", "ordinal", "placement_no", "artifact_id", "chunk_no")
 SEQ = "publish_seq"
+# A batch's rows stand in a folder per attempt to write it; the commit names the one that counts.
+ATTEMPT = "attempt"
+
+
+class CommittedBatch(ValueError):
+    """The batch number already holds committed rows, which never change."""
 
 
 @dataclass(frozen=True)
@@ -51,9 +58,10 @@ class Lake:
         rows, commits = self._read(name), self._read(COMMITS)
         if rows is None or commits is None:
             return None
-        # The commit list has one row per batch; Spark broadcasts it while it is small and prunes
-        # the partitions of `rows` with it.
-        return rows.join(commits.select(SEQ), SEQ, "left_semi")
+        # The commit list has about one row per batch; Spark broadcasts it while it is small and
+        # prunes the partitions of `rows` with it. Should two writers race, the first commit counts.
+        first = commits.groupBy(SEQ).agg(F.min_by("written", F.struct("committed_at", "written")).alias(ATTEMPT))
+        return rows.join(first, [SEQ, ATTEMPT], "left_semi").drop(ATTEMPT)
 
     def capture(self, name: str, capture_id: str) -> DataFrame | None:
         """One capture's rows: no query sees another capture.
@@ -72,11 +80,14 @@ class Lake:
         return current_candidates(pointers, ["request_key"], order, ["token", "capture_id"])
 
     def write(self, tables: dict[str, DataFrame], seq: int) -> None:
-        """Write one batch, the commit row last.
+        """Write one batch, the commit row last; refuse the number of a committed batch.
 
-        A batch owns its partition, so repeating it after a failure replaces what was half written,
-        and repeating it after success changes nothing a reader can see.
+        Every attempt writes to folders of its own, so one that fails leaves rows that no reader
+        sees, and nothing committed is ever touched.
         """
+        if self.is_committed(seq):
+            raise CommittedBatch(f"batch {seq} is committed")
+        attempt = uuid.uuid4().hex
         for name in TABLES:
             rows = tables.get(name)
             if rows is None:
@@ -87,14 +98,13 @@ class Lake:
             placed = rows if name == "artifact_chunks" else rows.repartitionByRange(*keys)
             (
                 placed.sortWithinPartitions(*keys)
-                .write.mode("overwrite")
-                .parquet(f"{self._path(name)}/{SEQ}={seq}")
+                .write.parquet(f"{self._path(name)}/{SEQ}={seq}/{ATTEMPT}={attempt}")
             )
         (
             self.spark.range(1)
-            .select(F.lit(len(tables)).alias("tables"))
+            .select(F.lit(attempt).alias("written"), F.current_timestamp().alias("committed_at"))
             .coalesce(1)
-            .write.mode("overwrite")
+            .write.mode("append")
             .parquet(f"{self._path(COMMITS)}/{SEQ}={seq}")
         )
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evlake import schema as S
+from evlake.functions.identity import CAPTURE_ID, REQUEST_KEY, TOKEN
 from evlake.session import cut_lineage
 
 _DOCUMENT = "path string, size bigint, raw string"
@@ -401,9 +402,19 @@ def read_artifact_files(spark: SparkSession, root: str, declared: DataFrame) ->
     )
 
 
-def scan_candidates(spark: SparkSession, root: str) -> DataFrame:
-    """Pointer documents. ``rule`` names what is wrong with a pointer, NULL for a sound one."""
-    docs = _documents(spark, f"{root}/candidates/*.json", S.MAX_HEADER_BYTES)
+def scan_candidates(
+    spark: SparkSession, root: str, limit: int = S.MAX_HEADER_BYTES
+) -> DataFrame:
+    """Pointer documents of a store; see `parse_candidates`."""
+    return parse_candidates(_documents(spark, f"{root}/candidates/*.json", limit))
+
+
+def parse_candidates(docs: DataFrame) -> DataFrame:
+    """Pointers of documents with ``path``, ``raw`` and ``too_large``.
+
+    ``rule`` names what is wrong with a pointer, NULL for a sound one. A field that is absent, null
+    or not text is missing; then key, token and id must have their formats, and the key its file.
+    """
     key = F.regexp_extract("path", r"/candidates/([^/]+)\.json$", 1)
     f = docs.select(
         key.alias("file_key"),
@@ -426,8 +437,14 @@ def scan_candidates(spark: SparkSession, root: str) -> DataFrame:
             ),
             F.lit("unsupported_version"),
         )
-        .when(~F.col("__f.request_key").eqNullSafe(F.col("file_key")), F.lit("wrong_key"))
     )
+    for name in ("request_key", "token", "capture_id"):
+        text = F.schema_of_variant(F.try_variant_get(F.try_parse_json("raw"), f"$.{name}", "variant"))
+        rule = rule.when(~F.coalesce(text == "STRING", F.lit(False)), F.lit(f"missing_field:{name}"))
+    for name, pattern in (("request_key", REQUEST_KEY), ("token", TOKEN), ("capture_id", CAPTURE_ID)):
+        sound = F.col(f"__f.{name}").rlike(pattern) & ~F.col(f"__f.{name}").contains("\n")
+        rule = rule.when(~sound, F.lit(f"format:{name}"))
+    rule = rule.when(~F.col("__f.request_key").eqNullSafe(F.col("file_key")), F.lit("wrong_key"))
     return f.select(
         F.col("file_key").alias("request_key"),
         F.col("__f.token").alias("token"),

@@ -9,7 +9,7 @@ from evlake.operators.observe import candidate_lookup
 from evlake.operators.ranges import read_ranges
 from evlake.operators.resolve import resolve_references, source_evidence
 from evlake.sources import records
-from evlake.sources.lake import Lake, publish
+from evlake.sources.lake import CommittedBatch, Lake, publish
 
 # (manifest pointer, new value, rule that must appear)
 MANIFEST_CHANGES = [
@@ -206,6 +206,55 @@ def test_candidates(spark, tmp_path):
     }
 
 
+def test_damaged_evidence_is_no_miss(spark, tmp_path):
+    names = ("sound", "header", "manifest", "length", "lost")
+    ids = {name: store.capture_id(20 + i) for i, name in enumerate(names)}
+    keys = {name: f"{50 + i:064x}" for i, name in enumerate(names)}
+    for name, cid in ids.items():
+        head = store.changed(store.header(cid), "/analysis/request_key", keys[name])
+        files = {k: v + b"!" if name == "length" else v for k, v in store.FILES.items() if name != "lost"}
+        store.write(tmp_path, cid, head, store.manifest(cid), files)
+        store.write_pointer(tmp_path, keys[name], store.pointer(cid, keys[name]))
+    for name, file in (("header", "capture.json"), ("manifest", "instances.json")):
+        (tmp_path / "captures" / ids[name] / file).write_text("{not json")
+    requests = spark.createDataFrame(list(keys.items()), "name string, request_key string")
+    evidence = records.scan_evidence(spark, str(tmp_path))
+    found = candidate_lookup(
+        requests,
+        records.scan_candidates(spark, str(tmp_path)),
+        records.captures_of(evidence.headers, evidence.manifests),
+        violations=evidence_violations(evidence),
+    )
+    assert {r.name: r.lookup for r in found.collect()} == {n: "hit" if n == "sound" else "invalid" for n in names}
+
+
+def test_pointer_fields(spark, tmp_path):
+    key, cid = f"{9:064x}", store.capture_id(9)
+    sound = store.pointer(cid, key)
+    cases = {"": None, "format:token": {"token": "NOT A TOKEN"}, "format:capture_id": {"capture_id": "nonsense"},
+             "format:request_key": {"request_key": key.upper() + "A"}, "missing_field:token": {"token": None},
+             "missing_field:capture_id": {"capture_id": 7}, "missing_field:request_key": {"request_key": ["x"]}}
+    docs = [(f"x/candidates/{key}.json", json.dumps(sound | (c or {})), False) for c in cases.values()]
+    docs.append((f"x/candidates/{key}.json", json.dumps({k: v for k, v in sound.items() if k not in ("token", "capture_id")}), False))
+    frame = spark.createDataFrame(docs, "path string, raw string, too_large boolean")
+    got = sorted(r.rule or "" for r in records.parse_candidates(frame).collect())
+    assert got == sorted([*cases, "missing_field:token"])
+
+
+def test_committed_batches_never_change(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    rows = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "capture_id string, completed_at_unix_ms long")
+    lake.write({"captures": rows("a", "b")}, 4)
+    with pytest.raises(CommittedBatch):
+        lake.write({"captures": rows("c")}, 4)
+    # An attempt that failed before its commit stays unseen, and the number stays free.
+    rows("d").write.parquet(str(tmp_path / "lake/captures/publish_seq=5/attempt=broken"))
+    assert sorted(r.capture_id for r in lake.table("captures").collect()) == ["a", "b"]
+    lake.write({"captures": rows("e")}, 5)
+    assert sorted(r.capture_id for r in lake.table("captures").collect()) == ["a", "b", "e"]
+    assert lake.table("captures").columns == ["publish_seq", "capture_id", "completed_at_unix_ms"]
+
+
 def test_publish_show_and_replay(spark, tmp_path):
     first, second, broken = (store.capture_id(i) for i in (1, 2, 3))
     source = tmp_path / "store"
@@ -232,7 +281,7 @@ def test_publish_show_and_replay(spark, tmp_path):
     assert [r.capture_id for r in lake.candidates().collect()] == [second]
 
     # A batch without its commit row is invisible.
-    lake.table("captures").drop("publish_seq").write.parquet(str(tmp_path / "lake/captures/publish_seq=9"))
+    lake.table("captures").drop("publish_seq").write.parquet(str(tmp_path / "lake/captures/publish_seq=9/attempt=broken"))
     assert lake.table("captures").count() == 2
 
     # Reference -> stored range -> bytes.
