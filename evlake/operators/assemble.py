@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evlake.functions.identity import I64_MAX
-from evlake.operators.scale import ordinals, running_totals
+from evlake.operators.scale import ordinals
 
 IDENTITY = ("crate_name", "definition_path", "display_name", "raw_symbol")
 
@@ -76,7 +76,7 @@ def dedup_snapshots(df: DataFrame, seq: str, identity: Column, name: str = "snap
     """
     keyed = df.select("*", F.sha2(identity.cast("binary"), 256).alias("__digest"))
     firsts = keyed.groupBy("__digest").agg(F.min(seq).alias("__first"))
-    numbered = running_totals(firsts, [], "__first", {name: F.lit(1)})
+    numbered = ordinals(firsts, [], ["__first"], name)
     return keyed.join(numbered.select("__digest", "__first", name), "__digest").select(
         *df.columns, name, (F.col(seq) == F.col("__first")).alias("is_first")
     )

@@ -66,7 +66,7 @@ def find(
             {
                 "match_kind": F.when(n_exact > 0, F.lit(EXACT)).otherwise(F.lit(SUBSTRING)),
                 "total_matches": total,
-                "is_truncated": total > limit,
+                "is_truncated": total > F.col("__limit"),
             }
         )
     )
@@ -179,15 +179,23 @@ def find_many(
     queries: DataFrame,
     query_id: str,
     query: str,
-    limit: int = DEFAULT_LIMIT,
+    limit: int | str = DEFAULT_LIMIT,
     scope: Sequence[str] = (),
 ) -> DataFrame:
     """`find` for a table of queries. Empty queries give no rows; see `bad_queries`.
 
+    ``limit`` is one number, or the column of ``queries`` that holds each query's own.
+
     One row per (query, kept row): the query id, the scope, ``match_kind``, ``total_matches``,
     ``is_truncated``, ``position`` and the row's own columns.
     """
-    validate_query("-", limit)
+    largest = limit
+    if isinstance(limit, str):
+        largest = queries.agg(F.coalesce(F.max(limit), F.lit(1))).first()[0]
+        limits = queries.select(F.col(query_id), F.col(limit).alias("__limit"))
+    else:
+        limits = queries.select(F.col(query_id), F.lit(limit).alias("__limit"))
+    validate_query("-", largest)
     tier = F.when(exact_any(columns, F.col("__pattern")), 0).otherwise(1)
     sort_keys = {f"__o{i}": F.col(c) for i, c in enumerate(order)}
     # Read twice below, so the matches (ids and sort keys only) are written once.
@@ -201,26 +209,26 @@ def find_many(
         F.count_if(F.col("__tier") == 0).alias("__exact"),
         F.count("*").alias("__all"),
     )
-    # `rank <= limit` is applied before the shuffle too, so a query that matches a third of the
-    # table ships at most `limit` rows per task.
+    # The largest limit is applied before the shuffle too, so a query that matches a third of the
+    # table ships at most that many rows per task.
     best_first = W.partitionBy(query_id).orderBy("__tier", *sort_keys)
     top = hits.withColumn("position", F.row_number().over(best_first)).filter(
-        F.col("position") <= limit
+        F.col("position") <= largest
     )
     total = F.when(F.col("__best") == 0, F.col("__exact")).otherwise(F.col("__all"))
     return (
-        top.join(totals, query_id)
-        .filter(F.col("__tier") == F.col("__best"))
+        top.join(totals.join(limits.dropDuplicates([query_id]), query_id), query_id)
+        .filter((F.col("__tier") == F.col("__best")) & (F.col("position") <= F.col("__limit")))
         .withColumns(
             {
                 "match_kind": F.when(F.col("__best") == 0, F.lit(EXACT)).otherwise(
                     F.lit(SUBSTRING)
                 ),
                 "total_matches": total,
-                "is_truncated": total > limit,
+                "is_truncated": total > F.col("__limit"),
             }
         )
-        .drop("__tier", "__best", "__exact", "__all", *sort_keys)
+        .drop("__tier", "__best", "__exact", "__all", "__limit", *sort_keys)
         .join(df, [*scope, row_id])
     )
 

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from evlake.operators import assemble, ranges, resolve, textindex
 from evlake.operators.scale import ordinals, running_totals
-from evlake.plans.registry import query, spread, table
+from evlake.plans.registry import query, table
 from evlake.session import cut_lineage
 
 _CHUNK = 8192
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +227,7 @@ def source_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from o where regexp_full_match(tok, '(?s)<a(?:\s[^>]*)?>')""",
 )
 def tag_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
     return textindex.tag_index(pages, "page_id", "html", "a")
 
 
@@ -290,7 +290,7 @@ def ir_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     The text is never put together: its pieces become lines by running sums, and lines are what
     the index reads. Two of the five forms need the header helper.
     """
-    part = spread(table(spark, sf_dir, "part"), "p_partkey")
+    part = table(spark, sf_dir, "part")
     piece = F.coalesce(
         *[F.when(F.col("p_size") % 5 == k, _spark_text(v)) for k, v in _PIECES.items()]
     )

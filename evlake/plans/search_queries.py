@@ -10,7 +10,7 @@ from evlake.functions.lists import normalize_features, normalize_observation
 from evlake.operators import observe, search
 from evlake.operators.integrity import not_normalized, unknown_fields
 from evlake.operators.scale import ordinals
-from evlake.plans.registry import query, spread, table
+from evlake.plans.registry import query, table
 
 _PART_NAMES = ("p_name", "p_brand", "p_type")
 _PART_ORDER = ("p_type", "p_name", "p_brand", "p_partkey")
@@ -94,8 +94,8 @@ def find_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
                from h join t using (q) where tier = best)
     select q, position, p_partkey, p_name, p_brand, p_type,
            case when tier = 0 then 'exact' else 'substring' end as match_kind,
-           total_matches, total_matches > 5 as is_truncated
-    from r where position <= 5""",
+           total_matches, total_matches > 2 + length(q) % 4 as is_truncated
+    from r where position <= 2 + length(q) % 4""",
 )
 def find_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
@@ -104,9 +104,10 @@ def find_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     types = part.select(F.lower("p_type").alias("q"))
     segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("q"))
     queries = words.union(prefixes).union(types).union(segments).distinct()
-    queries = queries.select("q", F.col("q").alias("text"))
+    own_limit = F.lit(2) + F.length("q") % 4
+    queries = queries.select("q", F.col("q").alias("text"), own_limit.alias("most"))
     found = search.find_many(
-        spread(part, "p_partkey"), "p_partkey", _PART_NAMES, _PART_ORDER, queries, "q", "text", limit=5
+        part, "p_partkey", _PART_NAMES, _PART_ORDER, queries, "q", "text", limit="most"
     )
     return found.select(
         "q",

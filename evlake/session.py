@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "evlake") -> SparkSession:
     """A local session for tests and the bench. On a cluster, use the cluster's own session."""
     partitions = str(cpus) if str(cpus).isdigit() else "8"
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -27,6 +27,11 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "evlake"
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir():
+        # The driver and the executors of a local session share one disk.
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="evlake-"))
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,10 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
     existing = spark.sparkContext.getCheckpointDir()
     if existing:
         return existing
-    # Unset only on a developer machine, where the driver and the executors share one disk.
-    local = tempfile.mkdtemp(prefix="evlake-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    # A folder of one machine would be incomplete or unreadable on the others.
+    raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:

@@ -4,15 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evlake.session import shared_path
 
 
-def latest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Current row per key of a change log: the one of the highest batch."""
-    log = spark.read.parquet(path)
+def latest_rows(
+    spark: SparkSession, path: str, keys: Sequence[str], schema: StructType | None = None
+) -> DataFrame:
+    """Current row per key of a change log: the one of the highest batch.
+
+    With the ``schema`` of its rows, a log that has no batch yet gives no rows.
+    """
+    try:
+        log = spark.read.parquet(path)
+    except AnalysisException as error:
+        if schema is None or "PATH_NOT_FOUND" not in str(error):
+            raise
+        return spark.createDataFrame([], schema)
     values = [c for c in log.columns if c not in (*keys, "batch")]
     newest = F.max_by(F.struct(*values), F.col("batch"))
     return log.groupBy(*keys).agg(newest.alias("__row")).select(*keys, "__row.*")
@@ -47,5 +59,6 @@ def completion_stream(
     """
     spark = stream.sparkSession
     log, checkpoint = shared_path(spark, "completion-log"), shared_path(spark, "completion-state")
-    run_to_log(outcome(stream), log, checkpoint)
-    return latest_rows(spark, log, keys)
+    rows = outcome(stream)
+    run_to_log(rows, log, checkpoint)
+    return latest_rows(spark, log, keys, rows.schema)

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from evlake.operators.assemble import dedup_snapshots
 from evlake.operators.scale import ordinals, running_totals
 from evlake.operators.search import containing_pairs
 
@@ -48,6 +49,14 @@ def test_ordinals_over_everything(spark):
     assert [r.ordinal for r in got] == list(range(1000))
 
 
+def test_snapshots_of_sparse_ids(spark):
+    """Ids far apart are numbered by a range sort, not in blocks of ids."""
+    rows = [(i * 10_000_019, f"t{i % 700}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "seq long, t string").repartition(6)
+    got = {r.seq: (r.snapshot_id, r.is_first) for r in dedup_snapshots(df, "seq", F.col("t")).collect()}
+    assert got == {seq: (i % 700, i < 700) for i, (seq, _) in enumerate(rows)}
+
+
 def test_one_key_in_most_texts(spark):
     """A word that nearly every text holds does not anchor a pattern that also has a rare word."""
     texts = [(i, f"common words here {'rare' if i % 50 == 0 else 'usual'} end {i}") for i in range(500)]

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from evlake.operators import observe
 from evlake.sources.lake import Lake
-from evlake.streaming.completion import latest_rows, run_to_log
+from evlake.streaming.completion import completion_stream, latest_rows, run_to_log
 from evlake.streaming.publish import publish_stream
 
 CAPTURE = "capture_id string, completed_at_unix_ms long, analysis struct<request_key:string,token:string>"
@@ -42,3 +42,11 @@ def test_completion_keeps_the_newest_row(spark, tmp_path):
     assert feed([("x", "artifact", None), ("y", "artifact", None), ("y", "finished", True)]) == {"x": "not_finished_once", "y": "completed"}
     assert feed([("x", "finished", True), ("z", "error", None)]) == {"x": "completed", "y": "completed", "z": "not_finished_once"}
     assert feed([("y", "finished", True)])["y"] == "not_finished_once"
+
+
+def test_completion_without_input(spark, tmp_path):
+    empty = tmp_path / "in"
+    empty.mkdir()
+    stream = spark.readStream.schema("build_id string, n int").parquet(str(empty))
+    got = completion_stream(stream, ["build_id"], lambda df: df.groupBy("build_id").agg(F.sum("n").alias("n")))
+    assert got.columns == ["build_id", "n"] and got.count() == 0
