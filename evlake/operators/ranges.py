@@ -23,6 +23,8 @@ CHUNK_BYTES = 1 << 20
 # A result cell is one JVM array; longer ranges are delivered by `range_pieces` only.
 MAX_CELL = (1 << 31) - 64
 NEWLINE = "\n"
+# Bytes around the ends of a span that are looked at together.
+SPAN_CHUNK = 1 << 12
 
 
 def _div(a: Column, n: int) -> Column:
@@ -129,9 +131,12 @@ def starting_lines(
     chunk: int = CHUNK_BYTES,
     start: str = "start",
 ) -> DataFrame:
-    """One-based line of a byte offset: newlines before it, plus one."""
+    """One-based line of a byte offset: newlines before it, plus one.
+
+    The sums run over one number per chunk; bytes meet only the offsets that fall into them.
+    """
     counted = running_totals(
-        chunks.withColumn("__lines", _newlines(F.col("bytes"))),
+        chunks.select(*keys, "chunk_no", _newlines(F.col("bytes")).alias("__lines")),
         list(keys),
         "chunk_no",
         {"__before": F.col("__lines")},
@@ -140,11 +145,14 @@ def starting_lines(
     at = F.greatest(F.when(F.col(start) > 0, _div(F.col(start) - 1, chunk)), F.lit(0))
     placed = offsets.withColumn("chunk_no", F.coalesce(at, F.lit(0).cast("bigint")))
     inside = (F.col(start) - F.col("chunk_no") * chunk).cast("int")
-    head = F.substring("bytes", F.lit(1), inside)
-    line = F.coalesce(F.col("__before") + _newlines(head), F.lit(0)) + 1
-    return placed.join(
-        counted.select(*keys, "chunk_no", "bytes", "__before"), [*keys, "chunk_no"], "left"
-    ).select(*offsets.columns, line.cast("bigint").alias("starting_line"))
+    on = [*keys, "chunk_no"]
+    heads = placed.join(chunks.select(*on, "bytes"), on, "left").select(
+        *placed.columns, _newlines(F.substring("bytes", F.lit(1), inside)).alias("__head")
+    )
+    line = F.coalesce(F.col("__before") + F.col("__head"), F.lit(0)) + 1
+    return heads.join(counted.select(*on, "__before"), on, "left").select(
+        *offsets.columns, line.cast("bigint").alias("starting_line")
+    )
 
 
 def text_lines(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
@@ -233,10 +241,27 @@ def artifact_lines(chunks: DataFrame, keys: Sequence[str], block: int = BLOCK) -
     return whole.unionByName(crossing)
 
 
-def first_byte(text: Column, part: Column) -> Column:
-    """Zero-based byte offset of the first occurrence, NULL when absent."""
-    at = F.call_function("instr", text, part)
-    return F.when(at > 0, F.octet_length(F.left(text, at - 1)).cast("bigint"))
+_SPOTS = "array<struct<byte_start: bigint, starting_line: bigint, excerpt: string>>"
+
+
+def occurrences(text: Column, part: Column, context: int) -> Column:
+    """Every place of a text where the part occurs, overlapping ones too, in one forward pass."""
+
+    def find(texts: pd.Series, parts: pd.Series) -> pd.Series:
+        out = []
+        for body, wanted in zip(texts, parts):
+            spots, at, byte, line = [], 0, 0, 1
+            found = body.find(wanted)
+            while found >= 0:
+                skipped = body[at:found]
+                byte, line, at = byte + len(skipped.encode()), line + skipped.count(NEWLINE), found
+                excerpt = body[max(0, found - context) : found + len(wanted) + context]
+                spots.append({"byte_start": byte, "starting_line": line, "excerpt": excerpt})
+                found = body.find(wanted, found + 1)
+            out.append(spots)
+        return pd.Series(out)
+
+    return F.pandas_udf(find, _SPOTS)(text, part)
 
 
 def passage_spans(
@@ -246,24 +271,18 @@ def passage_spans(
     passages: DataFrame,
     passage_id: str,
     passage: str,
+    context: int = 20,
 ) -> DataFrame:
-    """Where each passage first occurs in each text that contains it: byte start, length, line."""
-    body, part = F.col(text), F.col("__pattern")
-    start = first_byte(body, part)
-    prefix = F.left(body, F.call_function("instr", body, part) - 1)
-    line = F.length(prefix) - F.length(F.replace(prefix, F.lit(NEWLINE), F.lit(""))) + 1
-    return containing_pairs(
-        texts,
-        text_id,
-        [text],
-        passages,
-        passage_id,
-        passage,
-        carry={
-            "byte_start": start,
-            "byte_length": F.octet_length(part).cast("bigint"),
-            "starting_line": line.cast("bigint"),
-        },
+    """Every occurrence of each passage in each text: byte start, length, line, and an excerpt with
+    ``context`` characters on either side."""
+    part = F.col("__pattern")
+    carry = {
+        "byte_length": F.octet_length(part).cast("bigint"),
+        "__spots": occurrences(F.col(text), part, context),
+    }
+    pairs = containing_pairs(texts, text_id, [text], passages, passage_id, passage, carry=carry)
+    return pairs.select(text_id, passage_id, "byte_length", F.explode("__spots").alias("__s")).select(
+        text_id, passage_id, "__s.byte_start", "byte_length", "__s.starting_line", "__s.excerpt"
     )
 
 
@@ -281,23 +300,36 @@ def source_spans(
     inside_root: Column,
     start: str = "start",
     end: str = "end",
+    chunk: int = SPAN_CHUNK,
 ) -> DataFrame:
     """Whole-definition span of each request in its text, or the reason there is none.
 
-    ``requests`` hold ``text_id`` and a byte span; the text row gives snapshot, length and line.
+    ``requests`` hold ``text_id`` and a byte span. A request meets the size of its text and the two
+    pieces of ``chunk`` bytes that its ends fall into, never the whole text.
     """
-    held = texts.select(text_id, F.col(text).alias("__text"))
-    data = F.col("__text").cast("binary")
-    size = F.octet_length(data).cast("bigint")
+    pieces = chunk_bytes(texts, [text_id], F.col(text).cast("binary"), chunk)
+    held = texts.select(text_id, F.octet_length(text).cast("bigint").alias("__size"))
+    s, e = F.col(start), F.col(end)
+
+    def with_byte(rows: DataFrame, offset: Column, name: str) -> DataFrame:
+        # The byte at the offset, as hexadecimal digits; none behind the end of the text.
+        number = F.when(offset >= 0, _div(offset, chunk))
+        inside = (offset - F.col("__piece") * chunk + 1).cast("int")
+        side = pieces.select(F.col(text_id).alias("__id"), F.col("chunk_no").alias("__piece"), "bytes")
+        return (
+            rows.withColumn("__wanted", number)
+            .join(side, (F.col(text_id) == F.col("__id")) & (F.col("__wanted") == F.col("__piece")), "left")
+            .select(*rows.columns, F.hex(F.substring("bytes", inside, F.lit(1))).alias(name))
+        )
 
-    def on_boundary(offset: Column) -> Column:
+    def on_boundary(name: str) -> Column:
         # A UTF-8 continuation byte (10xxxxxx) cannot start a span or follow its end.
-        byte = F.hex(F.substring(data, (offset + 1).cast("int"), F.lit(1)))
-        return ~F.coalesce(byte.rlike("^[89AB]"), F.lit(False))
+        return ~F.coalesce(F.col(name).rlike("^[89AB]"), F.lit(False))
 
-    s, e = F.col(start), F.col(end)
-    loaded = F.col("__text").isNotNull()
-    sound = (s >= 0) & (s <= e) & (~loaded | ((e <= size) & on_boundary(s) & on_boundary(e)))
+    loaded = F.col("__size").isNotNull()
+    sound = (s >= 0) & (s <= e) & (
+        ~loaded | ((e <= F.col("__size")) & on_boundary("__first") & on_boundary("__last"))
+    )
     reason = (
         F.when(~is_local, F.lit("nonlocal"))
         .when(is_generated, F.lit("generated"))
@@ -306,13 +338,14 @@ def source_spans(
         .when(~inside_root, F.lit("outside_package"))
         .when(~F.coalesce(sound, F.lit(False)), F.lit("unsupported_span"))
     )
-    head = F.substring(data, F.lit(1), s.cast("int"))
-    rows = requests.join(held, text_id, "left").withColumn("reason", reason)
+    rows = with_byte(with_byte(requests.join(held, text_id, "left"), s, "__first"), e, "__last")
+    rows = rows.withColumn("reason", reason)
     available = F.col("reason").isNull()
-    return rows.select(
+    asked = rows.select(
         *requests.columns,
         "reason",
         F.when(available, s).alias("byte_start"),
         F.when(available, e - s).alias("byte_length"),
-        F.when(available, (_newlines(head) + 1).cast("bigint")).alias("starting_line"),
     )
+    lined = starting_lines(asked, pieces, [text_id], chunk, "byte_start")
+    return lined.withColumn("starting_line", F.when(F.col("reason").isNull(), F.col("starting_line")))

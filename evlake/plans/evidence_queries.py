@@ -141,12 +141,15 @@ def starting_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "passage_spans",
     """
-    with m as (select doc_id, item_id, b.text as p,
-                      left(d.text, cast(instr(d.text, b.text) - 1 as bigint)) as head
-               from documents d, benchmark b where contains(d.text, b.text))
+    with c as (select doc_id, item_id, d.text, b.text as p
+               from documents d, benchmark b where contains(d.text, b.text)),
+         o as (select *, unnest(list_filter(range(1, length(text) - length(p) + 2),
+                 i -> substr(text, i, length(p)) = p)) as pos from c),
+         m as (select *, left(text, pos - 1) as head from o)
     select doc_id, item_id, cast(strlen(head) as bigint) as byte_start,
            cast(strlen(p) as bigint) as byte_length,
-           cast(length(head) - length(replace(head, chr(10), '')) + 1 as bigint) as starting_line
+           cast(length(head) - length(replace(head, chr(10), '')) + 1 as bigint) as starting_line,
+           substr(text, greatest(pos - 20, 1), length(p) + 20 + least(pos - 1, 20)) as excerpt
     from m""",
 )
 def passage_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

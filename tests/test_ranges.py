@@ -69,9 +69,37 @@ def test_text_lines(spark):
 
 
 def test_passages(spark):
-    texts = spark.createDataFrame([(1, TEXT), (2, "nothing"), (3, "x first\nsecond 😀 x first")], "id long, text string")
-    passages = spark.createDataFrame([(1, "first\nsecond 😀"), (2, "th"), (3, "absent words here")], "pid long, p string")
+    texts = spark.createDataFrame([(1, TEXT), (2, "nothing"), (3, "x first\nsecond 😀 x first"), (4, "ü abab\nabab")], "id long, text string")
+    passages = spark.createDataFrame([(1, "first\nsecond 😀"), (2, "th"), (3, "absent words here"), (4, "ab"), (5, "b\nab"), (6, "ba")], "pid long, p string")
     got = ranges.passage_spans(texts, "id", "text", passages, "pid", "p").collect()
-    assert {(r.id, r.pid, r.byte_start, r.byte_length, r.starting_line) for r in got} == {
+    assert sorted((r.id, r.pid, r.byte_start, r.byte_length, r.starting_line) for r in got) == [
         (1, 1, 3, 17, 1), (1, 2, 34, 2, 4), (2, 2, 2, 2, 1), (3, 1, 2, 17, 1),
-    }
+        (4, 4, 3, 2, 1), (4, 4, 5, 2, 1), (4, 4, 8, 2, 2), (4, 4, 10, 2, 2), (4, 5, 6, 4, 1), (4, 6, 4, 2, 1), (4, 6, 9, 2, 2),
+    ]
+    assert [r.excerpt for r in got if (r.id, r.pid) == (4, 5)] == ["ü abab\nabab"]
+
+
+def test_overlapping_passages(spark):
+    texts = spark.createDataFrame([(1, "x" * 30)], "id long, text string")
+    passages = spark.createDataFrame([(1, "xxx")], "pid long, p string")
+    got = ranges.passage_spans(texts, "id", "text", passages, "pid", "p", 2).orderBy("byte_start").collect()
+    assert [r.byte_start for r in got] == list(range(28))
+    assert {len(r.excerpt) for r in got} == {5, 6, 7}
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 4096])
+def test_spans_at_piece_borders(spark, chunk):
+    texts = spark.createDataFrame([(1, TEXT), (2, "")], "id long, text string")
+    asked = [(1, s, e) for s in range(-1, 26) for e in (s, s + 3)] + [(2, 0, 0), (2, 0, 1), (3, 0, 1)]
+    requests = spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "n long, id long, start long, end long")
+    got = ranges.source_spans(requests, texts, "id", "text", F.lit(True), F.lit(False), F.lit(True), chunk=chunk)
+    for r in got.collect():
+        data = {1: DATA, 2: b""}.get(r.id)
+        whole = data is not None and 0 <= r.start <= r.end <= len(data) and all(
+            o == len(data) or data[o] & 0xC0 != 0x80 for o in (r.start, r.end))
+        if whole:
+            assert (r.reason, r.byte_start, r.byte_length) == (None, r.start, r.end - r.start)
+            assert r.starting_line == data[: r.start].count(b"\n") + 1
+        else:
+            assert r.reason == ("unloaded" if data is None else "unsupported_span")
+            assert r.byte_start is None and r.starting_line is None

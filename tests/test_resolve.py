@@ -1,75 +1,81 @@
+import random
+
 from evlake.operators import resolve
 
 DEFS = "capture_id string, compiler_module string, raw_symbol string, start long, length long, kind string, target string"
 
-CASES = {
-    # capture: (module, symbol, start, kind, target)...; the instance's symbol is always `entry`.
-    "several": [
-        ("z.cgu", "entry", 0, "function", None),
-        ("unsupported.cgu", "entry", 0, "ifunc", None),
-        ("a.cgu", "body", 12, "function", None),
-        ("a.cgu", "middle", 16, "direct_alias", "body"),
-        ("a.cgu", "entry", 20, "direct_alias", "middle"),
-    ],
-    "no_cross_module": [
-        ("alias.cgu", "entry", 0, "direct_alias", "body"),
-        ("body.cgu", "body", 0, "function", None),
-    ],
-    "near": [
-        ("m", "display", 0, "function", None),
-        ("m", "entry.extra", 4, "function", None),
-    ],
-    "dangling": [("m", "entry", 0, "direct_alias", "missing")],
-    "unsupported": [
-        ("m", "entry", 0, "direct_alias", "unsupported"),
-        ("m", "unsupported", 4, "expression_alias", None),
-    ],
-    "self_cycle": [("m", "entry", 0, "direct_alias", "entry")],
-    "long_cycle": [
-        ("m", "entry", 0, "direct_alias", "middle"),
-        ("m", "middle", 4, "direct_alias", "entry"),
-        ("n", "entry", 0, "function", None),
-    ],
-    "empty": [],
-    "not_collected": [],
-}
-OUTCOMES = {
-    "several": ("available", 2),
-    "no_cross_module": ("no_exact_definition", 0),
-    "near": ("no_exact_definition", 0),
-    "dangling": ("no_exact_definition", 0),
-    "unsupported": ("unsupported_alias", 0),
-    "self_cycle": ("alias_cycle", 0),
-    "long_cycle": ("alias_cycle", 0),
-    "empty": ("no_exact_definition", 0),
-    "not_collected": ("not_captured", 0),
-}
+
+
+def random_modules(seed, captures=30):
+    """Definitions per capture: modules whose symbols are bodies or point anywhere, at random."""
+    rng = random.Random(seed)
+    out = []
+    for c in range(captures):
+        for m in range(rng.randrange(0, 4)):
+            names = [f"s{i}" for i in range(rng.randrange(1, 9))]
+            for at, name in enumerate(names):
+                kind = rng.choice(["function", "direct_alias", "direct_alias", "direct_alias", "ifunc", "expression_alias"])
+                target = rng.choice([*names, "elsewhere"]) if kind == "direct_alias" else None
+                out.append((f"c{c}", f"unit{m}", name, 10 * at + m, 4, kind, target))
+    return out
+
+
+def plain_end(module, symbol):
+    """(status, end, hops) of one symbol by following its aliases."""
+    seen, at = [], symbol
+    while True:
+        if at not in module:
+            return "no_exact_definition", None, len(seen)
+        kind, target = module[at]
+        if kind == "function":
+            return "body", at, len(seen)
+        if kind != "direct_alias":
+            return "unsupported_alias", None, len(seen)
+        if at in seen:
+            return "alias_cycle", None, None
+        seen.append(at)
+        at = target
 
 
 def test_bodies_and_outcomes(spark):
-    rows = [(c, m, s, at, 4, k, t) for c, defs in CASES.items() for m, s, at, k, t in defs]
+    rows = random_modules(8)
+    captures = [f"c{i}" for i in range(30)]
+    asked = [(c, i, f"s{i}") for c in captures for i in range(4)]
+    lost = {"c3": "incremental", "c4": "incremental"}
+    modules: dict[tuple, dict] = {}
+    starts = {}
+    for c, m, s, start, _, kind, target in rows:
+        modules.setdefault((c, m), {})[s] = (kind, target)
+        starts[c, m, s] = start
     definitions = spark.createDataFrame(rows, DEFS)
-    instances = spark.createDataFrame(
-        [(c, 0, "entry") for c in CASES], "capture_id string, ordinal long, raw_symbol string"
-    )
-    modules = definitions.select("capture_id", "compiler_module").distinct().selectExpr(
+    instances = spark.createDataFrame(asked, "capture_id string, ordinal long, raw_symbol string")
+    held = definitions.select("capture_id", "compiler_module").distinct().selectExpr(
         "*", "7L as artifact_id", "'no_lto_optimized' as stage"
     )
-    uncollected = spark.createDataFrame(
-        [("not_collected", "incremental")], "capture_id string, not_captured_reason string"
-    )
-    bodies = resolve.symbol_bodies(instances, definitions, modules)
-    got = resolve.evidence_outcome(instances, bodies, not_captured=uncollected).collect()
-    assert {r.capture_id: (r.outcome, r.bodies) for r in got} == OUTCOMES
-    assert {r.not_captured_reason for r in got if r.capture_id == "not_collected"} == {"incremental"}
-    ordered = resolve.order_bodies(bodies.filter("capture_id = 'several'"), ["capture_id", "ordinal"])
-    assert [(r.compiler_module, r.body_symbol, r.start, r.hops) for r in ordered.collect()] == [
-        ("a.cgu", "body", 12, 2),
-        ("z.cgu", "entry", 0, 0),
-    ]
-    paths = resolve.alias_paths(instances.join(modules, "capture_id"), definitions)
-    steps = sorted((r.step, r.alias) for r in paths.filter("capture_id = 'several' and compiler_module = 'a.cgu'").collect())
-    assert steps == [(0, "entry"), (1, "middle")]
+    uncollected = spark.createDataFrame(list(lost.items()), "capture_id string, not_captured_reason string")
+    bodies = resolve.symbol_bodies(instances, definitions, held)
+    got = {(r.capture_id, r.ordinal): (r.outcome, r.bodies) for r in resolve.evidence_outcome(instances, bodies, not_captured=uncollected).collect()}
+    found, hops = {}, {}
+    for c, i, symbol in asked:
+        ends = {m: plain_end(defs, symbol) for (cc, m), defs in modules.items() if cc == c}
+        found[c, i] = sorted((m, e[1]) for m, e in ends.items() if e[0] == "body")
+        hops |= {(c, i, m): e[2] for m, e in ends.items() if e[0] == "body"}
+        if c in lost:
+            assert got[c, i][0] == "not_captured"
+        elif any(e[0] == "alias_cycle" for e in ends.values()):
+            # A cycle is damage, whatever other modules hold.
+            assert got[c, i][0] == "alias_cycle"
+        elif found[c, i]:
+            assert got[c, i] == ("available", len(found[c, i]))
+        else:
+            assert got[c, i][1] == 0 and got[c, i][0] in {e[0] for e in ends.values()} | {"no_exact_definition"}
+    ordered = resolve.order_bodies(bodies, ["capture_id", "ordinal"]).collect()
+    per: dict[tuple, list] = {}
+    for r in ordered:
+        assert r.start == starts[r.capture_id, r.compiler_module, r.body_symbol]
+        assert r.hops == hops[r.capture_id, r.ordinal, r.compiler_module]
+        per.setdefault((r.capture_id, r.ordinal), []).append((r.compiler_module, r.body_symbol))
+    assert {k: v for k, v in per.items() if k[0] not in lost} == {k: v for k, v in found.items() if v and k[0] not in lost}
 
 
 def test_chains_deeper_than_a_hundred(spark):

@@ -10,62 +10,36 @@ COLUMNS = ["definition_path", "display_name", "raw_symbol"]
 ORDER = ["display_name", "definition_path", "crate_name", "raw_symbol", "ordinal"]
 
 
-def instances(spark, rows, capture="one"):
-    return spark.createDataFrame([(capture, i, *r) for i, r in enumerate(rows)], SCHEMA)
+def instances(spark, rows):
+    return spark.createDataFrame([(f"c{i % 3}", i, *r) for i, r in enumerate(rows)], SCHEMA)
 
 
-def test_exact_tier_suppresses_substrings(spark):
-    df = instances(
-        spark,
-        [
-            ("a", "other::kernel_more", "z", "none"),
-            ("a", "kernel", "b", "definition_symbol"),
-            ("a", "x", "kernel", "display_symbol"),
-            ("a", "y", "c", "kernel"),
-        ],
-    )
-    got = search.find(df, COLUMNS, ORDER, "kernel", 10).collect()
-    assert [r.raw_symbol for r in got] == ["definition_symbol", "kernel", "display_symbol"]
-    assert {(r.match_kind, r.total_matches, r.is_truncated) for r in got} == {("exact", 3, False)}
+def random_rows(seed, n=80):
+    """Short names over few letters, with blanks, other scripts and pattern characters among them."""
+    rng = random.Random(seed)
+    parts = ["ox", "Ox", "oxen", "%", "_", ".", "é", "😀", "m::", "<T>", " "]
+    name = lambda: "".join(rng.choice(parts) for _ in range(rng.randrange(1, 4)))
+    return [(rng.choice(["aa", "bb"]), name(), name(), name()) for _ in range(n)]
 
 
-def test_case_counts(spark):
-    df = instances(spark, [("a", "Kernel", "Kernel", "Kernel")])
-    assert search.find(df, COLUMNS, ORDER, "kernel", 10).count() == 0
+def plain_find(rows, text, limit, keep=lambda i: True):
+    held = [(i, r) for i, r in enumerate(rows) if keep(i)]
+    exact = [x for x in held if text in x[1][1:]]
+    hits = exact or [x for x in held if any(text in name for name in x[1][1:])]
+    crate, path, display, symbol = range(4)
+    hits.sort(key=lambda x: [x[1][k].encode() for k in (display, path, crate, symbol)] + [x[0]])
+    kind = "exact" if exact else "substring"
+    return [(i, kind, len(hits), len(hits) > limit) for i, _ in hits[:limit]]
 
 
-def test_pattern_characters_are_literal(spark):
-    df = instances(spark, [("a", "a%b", "a.b", "a_b"), ("a", "axb", "ayb", "azb")])
-    for text in ("a%", "a.", "a_"):
-        assert [r.ordinal for r in search.find(df, COLUMNS, ORDER, text, 9).collect()] == [0]
-
-
-ORDERED = [
-    ("b_crate", "b::needle", "b-needle", "symbol_b"),
-    ("z_crate", "z::needle", "a-needle", "symbol_e"),
-    ("b_crate", "b::needle", "b-needle", "symbol_a"),
-    ("z_crate", "a::needle", "b-needle", "symbol_d"),
-    ("a_crate", "b::needle", "b-needle", "symbol_c"),
-]
-
-
-def test_order_before_limit(spark):
-    got = search.find(instances(spark, ORDERED), COLUMNS, ORDER, "needle", 4).collect()
-    assert [(r.raw_symbol[-1], r.ordinal) for r in got] == [("e", 1), ("d", 3), ("c", 4), ("a", 2)]
-    assert got[0].total_matches == 5 and got[0].is_truncated
-
-
-def test_equal_names_keep_stored_order(spark):
-    df = instances(spark, [("c", "second", "same", "symbol"), ("c", "first", "same", "symbol"), ("c", "first", "same", "symbol")])
-    got = search.find(df, COLUMNS, ORDER, "same", 3).collect()
-    assert [r.ordinal for r in got] == [1, 2, 0]
-
-
-def test_scope(spark):
-    row = [("a", "kernel", "kernel", "kernel")]
-    df = instances(spark, row, "one").union(instances(spark, row, "two"))
-    got = search.find(df, COLUMNS, ORDER, "kernel", 10, F.col("capture_id") == "two").collect()
-    assert [r.capture_id for r in got] == ["two"] and got[0].total_matches == 1
+@pytest.mark.parametrize("text,limit", [("ox", 500), ("ox", 3), ("Ox", 7), ("oxen", 1), ("%", 9), ("_", 4), (".", 2), ("é", 500), ("😀", 1), ("xm::", 50), ("no such", 5)])
+def test_find_is_the_plain_search(spark, text, limit):
+    rows = random_rows(limit)
+    df = instances(spark, rows).repartition(3)
+    got = [(r.ordinal, r.match_kind, r.total_matches, r.is_truncated) for r in search.find(df, COLUMNS, ORDER, text, limit).collect()]
+    assert got == plain_find(rows, text, limit)
+    scoped = search.find(df, COLUMNS, ORDER, text, limit, F.col("capture_id") == "c1").collect()
+    assert [(r.ordinal, r.match_kind, r.total_matches, r.is_truncated) for r in scoped] == plain_find(rows, text, limit, lambda i: i % 3 == 1)
 
 
 def test_bad_input_fails_before_any_read(spark):
@@ -86,13 +60,15 @@ def test_find_many_equals_brute_force(spark):
     queries = [(c, f"{c}/{q}", q) for c in ("one", "two") for q in
                {*words, "b k", "ab ka bab", "a b kab a", "x ", "😀", "none of it", "a", " ", "", *(text() for _ in range(10))}]
     df = spark.createDataFrame(rows, SCHEMA)
-    asked = spark.createDataFrame(queries, "capture_id string, id string, q string")
-    found = search.find_many(df.withColumn("row", F.concat_ws(":", "capture_id", "ordinal")), "row", COLUMNS, ORDER, asked, "id", "q", 3, ["capture_id"])
+    # Every query has a limit of its own.
+    queries = [(*q, 1 + i % 4) for i, q in enumerate(queries)]
+    asked = spark.createDataFrame(queries, "capture_id string, id string, q string, most int")
+    found = search.find_many(df.withColumn("row", F.concat_ws(":", "capture_id", "ordinal")), "row", COLUMNS, ORDER, asked, "id", "q", "most", ["capture_id"])
     got = {}
     for r in found.orderBy("id", "position").collect():
         got.setdefault(r.id, []).append((r.ordinal, r.match_kind, r.total_matches, r.is_truncated))
     want = {}
-    for capture, qid, q in queries:
+    for capture, qid, q, most in queries:
         if not q:
             continue
         mine = [r for r in rows if r[0] == capture]
@@ -101,5 +77,5 @@ def test_find_many_equals_brute_force(spark):
         hits.sort(key=lambda r: tuple(s.encode() for s in (r[4], r[3], r[2], r[5])) + (r[1],))
         kind = "exact" if exact else "substring"
         if hits:
-            want[qid] = [(r[1], kind, len(hits), len(hits) > 3) for r in hits[:3]]
+            want[qid] = [(r[1], kind, len(hits), len(hits) > most) for r in hits[:most]]
     assert got == want
