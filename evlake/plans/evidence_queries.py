@@ -144,7 +144,7 @@ def starting_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     with c as (select doc_id, item_id, d.text, b.text as p
                from documents d, benchmark b where contains(d.text, b.text)),
          o as (select *, unnest(list_filter(range(1, length(text) - length(p) + 2),
-                 i -> substr(text, i, length(p)) = p)) as pos from c),
+                 lambda i: substr(text, i, length(p)) = p)) as pos from c),
          m as (select *, left(text, pos - 1) as head from o)
     select doc_id, item_id, cast(strlen(head) as bigint) as byte_start,
            cast(strlen(p) as bigint) as byte_length,

@@ -385,21 +385,24 @@ def scan_artifact_files(spark: SparkSession, root: str) -> DataFrame:
 
 def read_artifact_files(spark: SparkSession, root: str, declared: DataFrame) -> DataFrame:
     """Content of declared artifact files only; other files beside a manifest are ignored."""
-    name = r"/captures/([^/]+)/artifact-([0-9a-f]{16})$"
     files = spark.read.format("binaryFile").load(f"{root}/captures/*/artifact-*")
-    return (
-        files.filter(F.col("path").rlike(name))
-        .select(
-            F.regexp_extract("path", name, 1).alias("capture_id"),
-            F.conv(F.regexp_extract("path", name, 2), 16, 10).cast(S.U64).alias("artifact_id"),
-            "content",
-        )
-        .join(
-            declared.select("capture_id", F.col("artifact_id").cast(S.U64).alias("artifact_id")),
-            ["capture_id", "artifact_id"],
-            "left_semi",
-        )
-    )
+    return declared_only(named_files(files), declared).select("capture_id", "artifact_id", "content")
+
+
+def named_files(files: DataFrame) -> DataFrame:
+    """Capture and artifact id from the ``path`` of files named like stored artifacts; others go."""
+    name = r"/captures/([^/]+)/artifact-([0-9a-f]{16})$"
+    ids = {
+        "capture_id": F.regexp_extract("path", name, 1),
+        "artifact_id": F.conv(F.regexp_extract("path", name, 2), 16, 10).cast(S.U64),
+    }
+    return files.filter(F.col("path").rlike(name)).withColumns(ids)
+
+
+def declared_only(files: DataFrame, declared: DataFrame) -> DataFrame:
+    """Files that the artifact table declares."""
+    ids = declared.select("capture_id", F.col("artifact_id").cast(S.U64).alias("artifact_id"))
+    return files.join(ids, ["capture_id", "artifact_id"], "left_semi")
 
 
 def scan_candidates(
