@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,79 +12,89 @@ from evlake.operators.resolve import resolve_references, source_evidence
 from evlake.sources import records
 from evlake.sources.lake import CommittedBatch, Lake, publish
 
-# (manifest pointer, new value, rule that must appear)
-MANIFEST_CHANGES = [
-    ("/artifacts/1/id", 1, "duplicate_artifact"),
-    ("/instances/0/source/available/artifact", 9, "unknown_artifact"),
-    ("/instances/0/source/available/artifact", 2, "wrong_artifact_kind"),
-    ("/instances/0/source/available/range/length", 9, "range_past_end"),
-    ("/instances/0/source/available/starting_line", 0, "zero_line"),
-    ("/instances/0/source/available/display_path", "", "empty:source.display_path"),
-    ("/llvm/collected/0/artifact", 1, "wrong_artifact_kind"),
-    ("/llvm/collected/0/definitions/0/range/length", 21, "range_past_end"),
-    ("/llvm/collected/0/definitions/1/raw_symbol", "body", "duplicate_symbol"),
-    ("/llvm/collected/0/definitions/1/raw_symbol", "", "empty:definition.raw_symbol"),
-    ("/llvm/collected/0/definitions/1/kind", {"direct_alias": {"target": ""}}, "empty:definition.target"),
-    ("/llvm/collected/0/definitions/1/kind", "other", "domain:definition.kind"),
-    ("/llvm/collected/0/stage", "local_thin_lto_post_pass_manager", "stage_disagrees_with_lto"),
-    ("/llvm/collected/0/stage", "late", "domain:module.stage"),
-    ("/llvm_provenance/backend", "", "empty:provenance.backend"),
-    ("/llvm_provenance/backend", "another-backend", "unsupported_collection"),
-    ("/llvm_provenance/lto", "cross_crate_thin", "unsupported_collection"),
+# Leaves that may hold any value of their type, so that an empty text or a false is no fault.
+FREE = re.compile(
+    r"/build/(cargo_arguments|features)/\d+$|/analysis/artifact/(manifest_path|executable|target/(edition|doc|doctest|test|crate_types/\d+)"
+    r"|profile/(debuginfo|debug_assertions|overflow_checks|test))$|/instances/0/display_name$|/instances/0/(definition/crate_name)$"
+)
+
+
+def leaves(value, path=""):
+    """(pointer, value) of everything in a record, inner nodes first."""
+    if isinstance(value, dict | list):
+        yield path, value
+        for k, v in value.items() if isinstance(value, dict) else enumerate(value):
+            yield from leaves(v, f"{path}/{k}")
+    else:
+        yield path, value
+
+
+def spoiled(record):
+    """One defect per field, chosen by its type: an empty text, a number below zero."""
+    for path, value in leaves(record):
+        if isinstance(value, str):
+            yield path, ""
+        elif isinstance(value, int) and not isinstance(value, bool):
+            yield path, -3
+
+
+# What a record says about another part of the evidence: pointer, value, the rule that it breaks.
+SOURCE, MODULE = "/instances/0/source/available", "/llvm/collected/0"
+RELATIONS = [
+    ("/artifacts/1/id", 5, "duplicate_artifact"),
+    (f"{SOURCE}/artifact", 404, "unknown_artifact"),
+    (f"{SOURCE}/artifact", 9, "wrong_artifact_kind"),
+    (f"{MODULE}/artifact", 5, "wrong_artifact_kind"),
+    (f"{SOURCE}/range/length", 22, "range_past_end"),
+    (f"{MODULE}/definitions/1/range/start", 22, "range_past_end"),
+    (f"{SOURCE}/range/start", 2**64 - 5, "range_overflow:source.range"),
+    (f"{SOURCE}/range/start", 2**63 + 8, "not_storable:source.range.start"),
+    (f"{SOURCE}/starting_line", 0, "zero_line"),
+    (f"{MODULE}/definitions/1/raw_symbol", "weave_impl", "duplicate_symbol"),
+    (f"{MODULE}/definitions/1/kind", {"direct_alias": {"target": ""}}, "empty:definition.target"),
+    ("/instances/0/placements/0/codegen_unit", "loom-unit.8", "missing_module"),
+    ("/instances/0/placements", [], "no_placements"),
+    ("/capture_id", store.capture_id(777), "id_differs_from_directory"),
+    ("/artifacts/0/byte_len", 28, "file_length"),
+    (f"{MODULE}/stage", "local_thin_lto_post_pass_manager", "stage_disagrees_with_lto"),
+    ("/llvm", {"not_captured": "incremental"}, "orphan_artifact"),
+]
+# Values outside the domain of an enumeration or of the supported collection.
+DOMAINS = [
+    (f"{MODULE}/definitions/0/kind", "macro", "domain:definition.kind"),
+    (f"{MODULE}/stage", "first", "domain:module.stage"),
+    ("/llvm", {"not_captured": "holiday"}, "domain:not_captured_reason"),
+    ("/instances/0/source", {"unavailable": "holiday"}, "domain:source_reason"),
+    ("/artifacts/0/kind", "video", "domain:artifact.kind"),
+    ("/llvm_provenance/optimization", "11", "domain:provenance.optimization"),
+    ("/llvm_provenance/backend", "gcc", "unsupported_collection"),
     ("/llvm_provenance/lto", "fat", "unsupported_collection"),
+    ("/llvm_provenance/incremental", True, "unsupported_collection"),
     ("/llvm_provenance/linker_plugin_lto", True, "unsupported_collection"),
-    ("/llvm_provenance/llvm_version", None, "unsupported_collection"),
-    ("/llvm_provenance/llvm_version", "", "empty:provenance.llvm_version"),
-    ("/llvm_provenance/optimization", "fast", "domain:provenance.optimization"),
     ("/llvm_provenance/codegen_units", 0, "zero:provenance.codegen_units"),
     ("/llvm_provenance/recipe_revision", 0, "zero:provenance.recipe_revision"),
-    ("/llvm_provenance/incremental", True, "unsupported_collection"),
-    ("/llvm", {"not_captured": "incremental"}, "orphan_artifact"),
-    ("/llvm", {"not_captured": "weather"}, "domain:not_captured_reason"),
-    ("/format_version", 5, "unsupported_version"),
-    ("/capture_id", store.capture_id(9999), "id_differs_from_directory"),
-    ("/extra", 1, "unknown_field:manifest"),
-    ("/instances/0/extra", 1, "unknown_field:instance"),
-    ("/instances/0/definition/extra", 1, "unknown_field:definition"),
-    ("/instances/0/definition/definition_path", "", "empty:instance.definition_path"),
-    ("/instances/0/placements", [], "no_placements"),
-    ("/instances/0/placements/0/linkage", "", "empty:placement.linkage"),
-    ("/instances/0/placements/0/local_copy", "maybe", "missing:placement.local_copy"),
-    ("/instances/0/placements/0/size_estimate", -1, "not_u64:placement.size_estimate"),
-    ("/instances/0/placements/0/codegen_unit", "elsewhere", "missing_module"),
-    ("/instances/0/source", {"unavailable": "weather"}, "domain:source_reason"),
-    ("/instances/0/source/available/range/start", 2**64 - 1, "range_overflow:source.range"),
-    ("/instances/0/source/available/range/start", 2**63, "not_storable:source.range.start"),
-    ("/artifacts/0/kind", "other", "domain:artifact.kind"),
-    ("/artifacts/0/byte_len", 11, "file_length"),
-    ("/artifacts/0/file_name", "../escape", "unknown_field:artifact"),
+    ("/format_version", 77, "unsupported_version"),
+    *[(f"{at}/surprise", 1, f"unknown_field:{level}") for at, level in (
+        ("", "manifest"), ("/instances/0", "instance"), ("/instances/0/definition", "definition"), ("/artifacts/1", "artifact"))],
 ]
-
 HEADER_CHANGES = [
-    ("/format_version", 3, "unsupported_version"),
-    ("/id", "short", "capture_id_format"),
-    ("/extra", 1, "unknown_field:header"),
-    ("/build/extra", 1, "unknown_field:build"),
-    ("/build/target/extra", 1, "unknown_field:build.target"),
-    ("/build/package", "", "empty:build.package"),
-    ("/build/target/kind", "tests", "domain:target.kind"),
-    ("/build/invocation_directory", "work", "relative_directory"),
+    *[(f"{at}/surprise", 1, f"unknown_field:{level}") for at, level in (
+        ("", "header"), ("/build", "build"), ("/build/target", "build.target"))],
+    ("/format_version", 77, "unsupported_version"),
+    ("/id", "loom", "capture_id_format"),
+    ("/build/target/kind", "sofa", "domain:target.kind"),
+    ("/build/invocation_directory", "w/loom", "relative_directory"),
     ("/build/cargo_arguments", [], "empty:build.cargo_arguments"),
-    ("/completed_at_unix_ms", -5, "not_u64:header.completed_at_unix_ms"),
     ("/compiler", None, "missing:compiler"),
-    ("/compiler/rustc", "tools/rustc", "path:compiler.rustc"),
-    ("/compiler/sysroot", "/tools/../x", "path:compiler.sysroot"),
-    ("/compiler/host", "", "empty:compiler.host"),
+    ("/compiler/rustc", "bin/rustc", "path:compiler.rustc"),
+    ("/compiler/sysroot", "/opt/./rust", "path:compiler.sysroot"),
     ("/analysis", None, "missing:analysis"),
-    ("/analysis/request_key", "ABC", "request_key_format"),
-    ("/analysis/token", "0" * 32, "token_format"),
-    ("/analysis/artifact/package_id", "", "empty:artifact.package_id"),
+    ("/analysis/request_key", "5e" * 31, "request_key_format"),
+    ("/analysis/token", "5" * 32, "token_format"),
     ("/analysis/artifact/target/kind", [], "empty:artifact.target.kinds"),
-    ("/analysis/artifact/features", ["a", ""], "empty:artifact.list_entry"),
-    ("/analysis/artifact/target/required-features", [""], "empty:artifact.list_entry"),
-    ("/analysis/artifact/target/src_path", "/a//b", "path:artifact.src_path"),
-    ("/analysis/artifact/filenames", ["lib.rlib"], "path:artifact.output"),
-    ("/analysis/artifact/executable", "/x/", "path:artifact.output"),
+    ("/analysis/artifact/features", ["", "simd"], "empty:artifact.list_entry"),
+    ("/analysis/artifact/target/src_path", "/home//w", "path:artifact.src_path"),
+    ("/analysis/artifact/filenames", ["libloom.rlib"], "path:artifact.output"),
 ]
 
 
@@ -102,8 +113,12 @@ def mutated(spark, tmp_path_factory):
 
     good_head, good_body = store.header, store.manifest
     add(good_head, good_body, None)
-    for path, value, rule in MANIFEST_CHANGES:
+    for path, value, rule in [*RELATIONS, *DOMAINS]:
         add(good_head, lambda c, p=path, v=value: store.changed(store.manifest(c), p, v), rule)
+    for path, value in spoiled(store.manifest("")):
+        add(good_head, lambda c, p=path, v=value: store.changed(store.manifest(c), p, v), (path,))
+    for path, value in spoiled(store.header("")):
+        add(lambda c, p=path, v=value: store.changed(store.header(c), p, v), good_body, (path,))
     for path, value, rule in HEADER_CHANGES:
         add(lambda c, p=path, v=value: store.changed(store.header(c), p, v), good_body, rule)
     add(lambda c: "{not json", good_body, "malformed_json")
@@ -111,7 +126,7 @@ def mutated(spark, tmp_path_factory):
     add(good_head, lambda c: None, "missing_manifest")
     add(lambda c: None, good_body, "missing_header")
     add(lambda c: json.dumps(store.header(c)) + " " * (1 << 20), good_body, "record_too_large")
-    add(good_head, good_body, "missing_file", files={1: store.FILES[1]})
+    add(good_head, good_body, "missing_file", files={5: store.FILES[5]})
 
     def twice(cid, change):
         body = store.manifest(cid)
@@ -143,11 +158,21 @@ def mutated(spark, tmp_path_factory):
 def test_every_change_breaks_its_rule(mutated):
     _, expected, found = mutated
     wrong = {
-        cid: (rule, found.get(cid)) for cid, rule in expected.items() if rule and rule not in found.get(cid, ())
+        cid: (rule, found.get(cid))
+        for cid, rule in expected.items()
+        if isinstance(rule, str) and rule not in found.get(cid, ())
     }
     assert not wrong
 
 
+def test_every_spoiled_field_is_a_fault(mutated):
+    """Of any field, unless it is one that may hold anything."""
+    _, expected, found = mutated
+    spoiled_ = {cid: rule[0] for cid, rule in expected.items() if isinstance(rule, tuple)}
+    assert len(spoiled_) > 50
+    assert {path for cid, path in spoiled_.items() if cid not in found and not FREE.search(path)} == set()
+
+
 def test_the_unchanged_capture_is_accepted(spark, mutated):
     root, expected, found = mutated
     good = store.capture_id(0)
@@ -155,14 +180,16 @@ def test_the_unchanged_capture_is_accepted(spark, mutated):
     ev = records.scan_evidence(spark, str(root))
     captures = records.captures_of(ev.headers, ev.manifests)
     accepted = accepted_captures(captures, evidence_violations(ev)).collect()
-    assert [r.capture_id for r in accepted] == [good]
-    assert accepted[0].analysis.artifact.target.required_features == ["beta"]
+    assert good in {r.capture_id for r in accepted}
+    assert not {r.capture_id for r in accepted} & set(found)
+    assert accepted[0].analysis.artifact.target.required_features == ["threads"]
 
 
 def test_another_version_reports_only_the_version(mutated):
     _, expected, found = mutated
     bad = [cid for cid, rule in expected.items() if rule == "unsupported_version"]
-    assert len(bad) == 2
+    bad += [cid for cid, rule in expected.items() if rule == ("/format_version",)]
+    assert len(bad) == 4
     assert all(found[cid] == {"unsupported_version"} for cid in bad)
 
 
@@ -267,7 +294,7 @@ def test_publish_show_and_replay(spark, tmp_path):
     assert [r.capture_id for r in lake.table("captures").collect()] == [first]
     # Only declared files are stored, in chunks.
     chunks = lake.table("artifact_chunks")
-    assert {r.artifact_id for r in chunks.collect()} == {1, 2}
+    assert {r.artifact_id for r in chunks.collect()} == {5, 9}
 
     # The same store again, with one more capture: the known id is refused, the new one published.
     store.write(source, second, store.header(second, completed_at_unix_ms=5), store.manifest(second))
@@ -297,7 +324,7 @@ def test_publish_show_and_replay(spark, tmp_path):
     read = read_ranges(
         spans, "reference", lake.table("artifacts"), chunks, ["capture_id", "artifact_id"], 8
     ).collect()
-    assert [(bytes(r.content), r.starting_line) for r in read] == [(b"23456789", 1)]
+    assert [(bytes(r.content), r.starting_line) for r in read] == [(store.FILES[5][6:17], 4)]
 
 
 def test_point_lookups(spark, tmp_path):
