@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evlake.session import cut_lineage
@@ -21,6 +25,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most so many rows travel to Python together. For jobs over whole texts: the default of
+    10,000 rows times the mean length of a text is held several times over in every task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name that no column has, whatever its case."""
     taken = {c.lower() for c in columns}
@@ -60,6 +70,16 @@ def per_process(name: str, make: Callable[[], Any]) -> Any:
     return getattr(holder, name)
 
 
+def tidied(batches: Iterator) -> Iterator:
+    """The same batches; after the last, memory that a task has freed goes back to the machine. A
+    Python worker outlives its tasks and would keep it."""
+    yield from batches
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_blocks(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Runs [first, last) of texts of about ``limit`` bytes together; a longer text is alone."""
     first, size = 0, 0

@@ -20,15 +20,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evlake.llm.common import fresh, starts_of, text_blocks
+from evlake.llm.common import fresh, starts_of, text_blocks, tidied
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BUCKETS = 1 << 15
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
-# Bytes whose subwords are held at once.
-BLOCK = 1 << 20
+# Bytes whose subwords are held at once, and texts that are prepared together.
+BLOCK = 1 << 18
+TEXTS = 256
 FRAGMENTS = (40, 200, 1000)
 SPACE = 32
 TO_LETTERS = bytes(
@@ -216,13 +217,20 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
 
     @F.pandas_udf(RESULT)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return tidied(judged(batches))
+
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             known = np.array([has_letter(t) for t in texts], dtype=bool) & bool(model.languages)
             names = np.full(len(texts), UNKNOWN, dtype=object)
             best = np.zeros(len(texts))
             if known.any():
-                logits = raw_scores([letters(t) for t, k in zip(texts, known) if k], model)
-                shares = softmax(logits / model.temperature)
+                some = texts[known]
+                logits = [
+                    raw_scores([letters(t) for t in some.iloc[at : at + TEXTS]], model)
+                    for at in range(0, len(some), TEXTS)
+                ]
+                shares = softmax(np.concatenate(logits) / model.temperature)
                 names[known] = np.array(model.languages, dtype=object)[shares.argmax(axis=1)]
                 best[known] = shares.max(axis=1)
             yield pd.DataFrame(

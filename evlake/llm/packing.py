@@ -23,7 +23,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evlake.llm.common import per_process
+from evlake.llm.common import per_process, tidied
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,7 +32,7 @@ WINDOW = 1024
 POOL = 4096
 # Characters tokenized at once, and pre-tokens remembered by one Python worker.
 BLOCK = 1 << 20
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 # Fixed values of the byte-level vocabulary: its pre-token pattern, written for the characters of
 # SAFE, whose letter, number and space classes are the same in every version of Unicode. Other
@@ -227,6 +227,7 @@ def pack(
     end_id: int = 0,
     window: int = WINDOW,
     pool: int = POOL,
+    keep_words: bool = True,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
@@ -234,7 +235,8 @@ def pack(
     gapless, and so are the offsets of a sequence. Rows with equal or null ids are documents of
     their own; an empty table gives no rows; other columns are not read. ``tokenizer`` is the path
     of a byte-level vocabulary on every executor. Sequence numbers are unique; they hold the task's
-    number in the upper bits.
+    number in the upper bits. Without ``keep_words``, remembered pre-tokens go at the end of each
+    task, for jobs whose other steps need the memory of the Python workers.
     """
     source = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"),
@@ -269,6 +271,8 @@ def pack(
                 held = {p[0][1] for pieces in packer.waiting.values() for p in pieces}
                 totals = {k: v for k, v in totals.items() if k in held}
         packer.close()
+        if not keep_words:
+            encoder.known.clear()
         if rows:
             yield table(rows)
 
@@ -277,7 +281,7 @@ def pack(
             [pa.array(c, pa.int64()) for c in zip(*rows)], names=names
         )
 
-    return source.mapInArrow(task, ", ".join(f"{n} bigint" for n in names))
+    return source.mapInArrow(lambda batches: tidied(task(batches)), ", ".join(f"{n} bigint" for n in names))
 
 
 def windows(blocks: Iterator[bytes], end: bytes, size: int) -> Iterator[bytes]:

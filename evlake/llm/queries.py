@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evlake.llm import chat, language, media, mixing, simhash, suffix, topk, toxicity, urls
-from evlake.llm.common import held_out_rows
+from evlake.llm.common import bounded_batches, held_out_rows
 from evlake.llm.packing import pack
 from evlake.plans.registry import Query, table
 
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return table(spark, sf_dir, "documents")
+
+
 def tokenizer_path() -> str:
     """The public byte-level vocabulary; the package stands on every executor."""
     import public_tokenizers
@@ -34,13 +39,13 @@ def tokenizer_path() -> str:
 @query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 1024 ids by minimum bin slack."""
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(documents(spark, sf_dir), tokenizer_path())
 
 
 @query("op7_language")
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; rows whose crc32 modulo 4 is 2 are held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held_out = held_out_rows(F.col("doc_id"), 4, 2)
     model = language.fit(docs, F.col("doc_id").isNotNull() & ~held_out)
     return language.predict(docs, model).select(
@@ -51,13 +56,13 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_simhash")
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose SimHash of four-word shingles differs in at most four bits."""
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 @query("op8_suffix")
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without the bytes under repeated strings of 200 bytes."""
-    return suffix.repeated_bytes(table(spark, sf_dir, "documents"))
+    return suffix.repeated_bytes(documents(spark, sf_dir))
 
 
 OP9_SQL = r"""
@@ -101,13 +106,13 @@ from placed p join budgets b on p.source is not distinct from b.source
 @query("op9_mixing", OP9_SQL)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix by source weights takes of every document."""
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(documents(spark, sf_dir))
 
 
 @query("op3_toxicity")
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document; rows whose crc32 modulo 5 is 0 are held out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     held_out = held_out_rows(F.col("doc_id"), 5, 0)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return toxicity.score(docs, model).select(
@@ -118,7 +123,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_media")
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as telephony audio, read back and resampled."""
-    return media.text_media(table(spark, sf_dir, "documents"))
+    return media.text_media(documents(spark, sf_dir))
 
 
 RULES = (
@@ -158,10 +163,10 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP5_SQL = """
 with rows_ as (
-    select vec_id, list_transform(embedding, x -> cast(floor(64 * cast(x as double)) as double)) as v
+    select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as double)) as v
     from embeddings
     where vec_id is not null and embedding is not null
-      and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
     select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
     from rows_ q join rows_ c on q.vec_id <> c.vec_id where q.vec_id % 20 = 0),

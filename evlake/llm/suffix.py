@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evlake.llm.common import fresh, per_process, starts_of, text_blocks
+from evlake.llm.common import fresh, per_process, starts_of, text_blocks, tidied
 from evlake.session import cut_lineage, shared_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -237,12 +237,12 @@ def repeated_spans(texts: DataFrame, length: int, keep_first: bool, bucket: int
                 yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(inside)], names=["m", "inner"])
 
     asked = (
-        texts.select("text").mapInArrow(scan_buckets, "m bigint, inner boolean")
+        texts.select("text").mapInArrow(lambda b: tidied(scan_buckets(b)), "m bigint, inner boolean")
         .groupBy("m").agg(F.count("*").alias("n"), F.max("inner").alias("inner"))
         .filter("n > 1 or inner").select("m")
     )
     hits = cut_lineage(
-        texts.select("key", F.col("doc_id").cast("bigint"), "text").mapInArrow(scan, found)
+        texts.select("key", F.col("doc_id").cast("bigint"), "text").mapInArrow(lambda b: tidied(scan(b)), found)
         .join(asked, "m", "left_semi")
     )
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "start")
@@ -295,7 +295,7 @@ def repeated_spans(texts: DataFrame, length: int, keep_first: bool, bucket: int
         out = pd.DataFrame(rows, columns=["key", "bytes", *names])
         return out.astype({"doc_id": "Int64"})[[c.split()[0] for c in stretch.split(", ")]]
 
-    fetched = texts.select("key", "text").join(wanted, "key").mapInPandas(fetch, stretch)
+    fetched = texts.select("key", "text").join(wanted, "key").mapInPandas(lambda b: tidied(fetch(b)), stretch)
     any_large = not open_.filter("large").isEmpty()
     if any_large:
         fetched = cut_lineage(fetched)
@@ -345,7 +345,7 @@ def repeated_spans(texts: DataFrame, length: int, keep_first: bool, bucket: int
         fetched.filter("not large").repartition("m")
         .sortWithinPartitions("m", "unnamed", "doc_id", "key", "start")
     )
-    spans = spans.unionByName(ordered.mapInPandas(compare, "key bigint, start bigint, end bigint"))
+    spans = spans.unionByName(ordered.mapInPandas(lambda b: tidied(compare(b)), "key bigint, start bigint, end bigint"))
     if any_large:
         spans = spans.unionByName(large_spans(fetched.filter("large"), length, keep_first))
     return spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
