@@ -147,10 +147,12 @@ def mixed_documents(
     """
     rows = shares(placed(docs, id_col, text_col, source_col, seed), **settings)
     extra = (F.col("before") < F.col("rest")) & (2 * (F.col("rest") - F.col("before")) >= F.col("size"))
-    cuts = rows.groupBy("source").agg(
+    # One row per source, written so that its size is known when the join is planned: Spark then
+    # broadcasts it by its own limit, and the texts are not shuffled by a hot source.
+    cuts = cut_lineage(rows.groupBy("source").agg(
         F.first("epochs").alias("__epochs"),
         F.max(F.when(extra, F.struct("k", "doc_id", "tie"))).alias("__last"),
-    ).withColumnRenamed("source", "__source")
+    ).withColumnRenamed("source", "__source"))
     own = F.struct(random_key(F.col(id_col), seed).alias("k"), F.col(id_col).cast("bigint").alias("doc_id"),
                    F.xxhash64(F.col(text_col)).alias("tie"))
     times = (F.col("__epochs") + F.coalesce(own <= F.col("__last"), F.lit(False)).cast("int")).cast("int")
