@@ -61,7 +61,7 @@ def test_links_have_the_components_of_all_pairs(spark, tile):
     values = clusters(700, tile)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     prints = spark.createDataFrame([(v,) for v in signed], "fp bigint")
-    found = components(simhash.links(prints, "fp", 4, tile)).collect()
+    found = components(simhash.links(prints, "fp", ["fp"], 4, simhash.tables_of(4), tile)).collect()
     got = {v: v for v in signed} | {r.node: r.root for r in found}
     want = plain_components(values, 4)
     ours, theirs = {}, {}
@@ -78,8 +78,8 @@ def test_bit_slices_count_differences(radius):
     for i in range(0, 150, 3):
         a[i] = a[i // 2] ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, radius + 1)))
     want = plain_components([int(x) for x in a], radius)
-    one = np.zeros(len(a), int)
-    for links in (simhash.sparse_links(a, one, radius), simhash.dense_links(a, a, radius)):
+    one, rows = np.zeros(len(a), int), a[:, None]
+    for links in (simhash.sparse_links(a, rows, one, radius), simhash.dense_links(a, rows, a, rows, radius)):
         forests = list(links)
         u = np.concatenate([x for x, _ in forests] or [a[:0]])
         v = np.concatenate([x for _, x in forests] or [a[:0]])
@@ -88,6 +88,61 @@ def test_bit_slices_count_differences(radius):
         assert got == want
 
 
+def test_wide_fingerprints_of_similar_texts(spark):
+    """Copies at a similarity over 0.85 go, texts under 0.5 stay, for short and long texts."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, original, doc = [], [], 0
+    for n in (60, 120, 400, 1000):
+        for _ in range(6):
+            words = [word() for _ in range(n)]
+            original.append(doc)
+            rows.append((doc, " ".join(words)))
+            for _ in range(3):
+                copy = list(words)
+                for _ in range(max(1, n // 100)):
+                    copy[rng.randrange(n)] = word()
+                doc += 1
+                rows.append((doc, " ".join(copy)))
+            half = words[: n // 2] + [word() for _ in range(n // 2)]
+            doc += 1
+            original.append(doc)
+            rows.append((doc, " ".join(half)))
+            doc += 1
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    kept = {r.doc_id for r in simhash.first_of_groups(frame).collect()}
+    assert set(original) <= kept
+    assert len(kept) - len(original) <= 2
+
+
+@pytest.mark.parametrize("tile", [2048, 9])
+def test_wide_links_are_those_of_the_tables(spark, tile):
+    rng = np.random.default_rng(5)
+    values = rng.integers(0, 1 << 63, (150, 2)).astype(np.uint64)
+    for i in range(1, 150, 2):
+        values[i] = values[i - 1]
+        for b in rng.integers(0, 128, 14).tolist():
+            values[i, b // 64] ^= np.uint64(1 << b % 64)
+    masks = simhash.random_tables(2, 6, 5)
+    rows = [(i, *[int(x) for x in v.view(np.int64)]) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "node bigint, a bigint, b bigint")
+    got = {r.node: r.root for r in components(simhash.links(frame, "node", ["a", "b"], 40, masks, tile)).collect()}
+    parent = list(range(150))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(150):
+        for j in range(i):
+            meets = any(all(int(values[i, w] ^ values[j, w]) & (m & (2**64 - 1)) == 0 for w, m in enumerate(t)) for t in masks)
+            if meets and sum(bin(int(values[i, w] ^ values[j, w])).count("1") for w in (0, 1)) <= 40:
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    assert got == {i: find(i) for i in range(150) if find(i) != i}
+
+
 def test_query_rows(spark):
     words = [f"w{i}" for i in range(60)]
     long = " ".join(words * 40)
