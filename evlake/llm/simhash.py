@@ -2,10 +2,10 @@
 
 Fingerprints of one word within ``radius`` bits agree on all but ``radius`` of the blocks that the
 64 bits are cut into, so each pair meets in a table keyed by some choice of the remaining blocks. A
-similarity of 0.8 is some 15 % of the bits, too many for that: wide fingerprints of several words
-meet in tables keyed by random bits instead. Rows that meet are compared vertically: one bit plane holds one bit of 64 fingerprints per word, differing
-planes are added to carry-save counters, and words whose lanes are all beyond the radius are
-abandoned. A bucket larger than a tile is cut into tiles, and each pair of tiles is a group of its
+similarity of 0.8 is some 15 % of the bits, too many for that: there, sketches of minima of hashes
+meet in tables keyed by a few minima each. Rows that meet are compared vertically: one bit plane
+holds one bit of 64 fingerprints per word, differing planes are added to carry-save counters, and
+words whose lanes are all beyond the radius are abandoned. A bucket larger than a tile is cut into tiles, and each pair of tiles is a group of its
 own, so no bucket gathers in one task. Groups return a forest of their links, not the links.
 """
 
@@ -22,8 +22,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evlake.llm.common import fresh, seated, tidied
+from evlake.llm.common import fresh, tidied
 from evlake.llm.components import components, forest
+from evlake.llm.suffix import stored
 from evlake.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -38,6 +39,14 @@ PAIRS = 1 << 18
 SHINGLES = 1 << 15
 # Groups above this size are compared as lists, shingles are hashed in blocks.
 DENSE = 64
+# For a similarity of 0.8 of the sets of shingles. Of the minima 0.8 agree, and of the bits that stand
+# for them 0.9: some 26 of 256 differ, with a standard deviation of 4.8, so one pair in a million is
+# beyond the radius; one in 300,000 meets in no table. A lone pair is missed once in 200,000.
+MINIMA, WORDS = 256, 4
+BANDS, BAND = 32, 5
+RADIUS = 50
+MASKS, FACTORS = np.random.default_rng(3).integers(0, 1 << 32, (2, MINIMA), dtype=np.uint32)
+FACTORS |= np.uint32(1)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -60,28 +69,14 @@ def shingle_hashes(text: str | None, size: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[s:e], SEED) for s, e in pairs], dtype="<u8")
 
 
-def fingerprint(text: str | None, size: int, words: int = 1) -> list[int]:
-    """Majority of the bits of the hashes of all shingles, as signed 64-bit words.
-
-    One word counts repeated shingles as often as they stand. Several words are for a similarity of
-    sets and count a shingle once; words behind the first vote with a mix of the hash.
-    """
-    blocks = shingle_hashes(text, size)
-    if words > 1:
-        seen = list(blocks)
-        different = np.unique(np.concatenate(seen)) if seen else np.zeros(0, "<u8")
-        blocks = (different[i : i + SHINGLES] for i in range(0, len(different), SHINGLES))
-    votes, count = np.zeros(BITS * words, dtype=np.int64), 0
-    for hashes in blocks:
-        wide = np.empty((len(hashes), words), dtype="<u8")
-        wide[:, 0] = hashes
-        for w in range(1, words):
-            mixed = (hashes + np.uint64(w)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-            wide[:, w] = mixed ^ (mixed >> np.uint64(29))
-        votes += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+def fingerprint(text: str | None, size: int) -> int:
+    """Majority of the bits of the hashes of all shingles, as a signed 64-bit integer."""
+    votes, count = np.zeros(BITS, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, size):
+        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        votes += bits.sum(axis=0, dtype=np.int64)
         count += len(hashes)
-    return np.packbits(2 * votes > count, bitorder="little").view("<i8").tolist()
+    return int(np.packbits(2 * votes > count, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(text: Column, size: int = 4) -> Column:
@@ -90,18 +85,53 @@ def fingerprints(text: Column, size: int = 4) -> Column:
     @F.pandas_udf("bigint")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from tidied(
-            pd.Series([fingerprint(t, size)[0] for t in texts], dtype="int64") for texts in batches
+            pd.Series([fingerprint(t, size) for t in texts], dtype="int64") for texts in batches
         )
 
     return udf(text.cast("string"))
 
 
-def wide_fingerprints(text: Column, size: int, words: int) -> Column:
-    """The SimHash of a whole text in several words, as an array."""
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The sorted hashes of the different shingles; empty without a word."""
+    blocks = list(shingle_hashes(text, size))
+    return np.unique(np.concatenate(blocks)) if blocks else np.zeros(0, "<u8")
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of the hashes under each of ``MINIMA`` one-to-one functions of 32 bits. Two
+    sets agree on one with a probability equal to their similarity."""
+    narrow = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)[:, None]
+    least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    held = np.empty((min(512, len(narrow)), MINIMA), np.uint32)
+    for at in range(0, len(narrow), 512):
+        part = narrow[at : at + 512]
+        values = np.bitwise_xor(part, MASKS, out=held[: len(part)])
+        np.multiply(values, FACTORS, out=values)
+        np.minimum(least, values.min(axis=0), out=least)
+    return least
+
+
+def sketch(text: str | None, size: int) -> np.ndarray:
+    """Signed words: two that tell the set of shingles, its size, ``WORDS`` with one bit per minimum,
+    and ``BANDS`` keys made of ``BAND`` minima each."""
+    import xxhash
+
+    own = shingle_set(text, size)
+    least = minima(own)
+    bits = np.packbits((least * np.uint32(0x9E3779B1)) >> np.uint32(31), bitorder="little").view("<i8")
+    bands = [
+        xxhash.xxh64_intdigest(least[b * BAND : (b + 1) * BAND].tobytes(), b) for b in range(BANDS)
+    ]
+    name = np.frombuffer(xxhash.xxh128_digest(own.tobytes()), "<i8")
+    return np.concatenate([name, [len(own)], bits, np.array(bands, "<u8").view("<i8")])
+
+
+def sketches(text: Column, size: int) -> Column:
+    """The sketch of a whole text, as an array."""
 
     @F.pandas_udf("array<bigint>")
     def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from tidied(pd.Series([fingerprint(t, size, words) for t in texts]) for texts in batches)
+        yield from tidied(pd.Series([sketch(t, size) for t in texts], dtype=object) for texts in batches)
 
     return udf(text.cast("string"))
 
@@ -291,11 +321,33 @@ def links(prints: DataFrame, node: str, words: list[str], radius: int, masks: li
         .filter(F.col("count") > tile)
         .select("t", "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
     )
+    return compared(rows.join(hot, ["t", "key"], "left"), names, radius)
+
+
+def proposals(prints: DataFrame, tile: int = TILE) -> DataFrame:
+    """Edges ``u, v`` with the same components as all pairs of sketches that share a key and differ in
+    at most ``RADIUS`` bits. ``prints`` has ``node, print``, each sketch once.
+
+    Most keys stand alone: only the others meet with the bits.
+    """
+    names = [f"w{i}" for i in range(WORDS)]
+    keys = prints.select("node", F.explode(F.slice("print", 4 + WORDS, BANDS)).alias("key"))
+    shared = keys.groupBy("key").count().filter("count > 1")
+    bits = prints.select("node", *[F.get("print", F.lit(3 + i)).alias(w) for i, w in enumerate(names)])
+    rows = (
+        keys.join(shared, "key")
+        .join(bits, "node")
+        .select("node", *names, F.lit(0).alias("t"), "key", F.ceil(F.col("count") / tile).cast("int").alias("tiles"))
+    )
+    return compared(rows, names, RADIUS)
+
+
+def compared(rows: DataFrame, names: list[str], radius: int) -> DataFrame:
+    """Forests of the links between rows of one ``t, key``, in as many tiles as ``tiles`` says."""
     own = F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("tiles")).cast("int")
     other = F.explode_outer(F.when(F.col("tiles") > 1, F.sequence(F.lit(0), F.col("tiles") - 1)))
     placed = (
-        rows.join(hot, ["t", "key"], "left")
-        .select("node", *names, "t", "key", own.alias("own"), other.alias("other"))
+        rows.select("node", *names, "t", "key", own.alias("own"), other.alias("other"))
         .select(
             "node", *names, "t", "key",
             F.coalesce(F.least("own", "other"), F.lit(0)).alias("low"),
@@ -378,34 +430,28 @@ def near_duplicates(
     )
 
 
-# For a similarity of 0.8 of the sets of shingles: some 39 of 256 bits differ, 49 at 0.7 and 59 at
-# 0.6. Of the pairs at 0.8 nine in ten meet in a table of 32 and nine in ten are within the radius,
-# at 0.9 nearly all; copies in groups have more than one way to be linked.
-WIDE = {"words": 4, "radius": 46, "tables": 32, "key_bits": 16}
-
-
 def first_of_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
-    words: int = WIDE["words"], radius: int = WIDE["radius"], tables: int = WIDE["tables"], key_bits: int = WIDE["key_bits"],
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5
 ) -> DataFrame:
     """The rows of ``docs`` with one row per group of near duplicates: the smallest id (null last).
 
-    Groups follow from wide fingerprints; the defaults are for a similarity of 0.8 on shingles of
-    ``size`` words. Texts without a word are copies of each other. Of rows with one id in a group
-    one stays, by fingerprint and number. The columns are those of ``docs``. The rows are written
-    once with a number each; the choice is made on narrow rows, and only the last join moves texts.
+    Groups are linked at a similarity of 0.8 of the sets of shingles of ``size`` words. Texts without
+    a word are copies of each other. Of rows with one id in a group one stays, by number. The columns
+    are those of ``docs``. The rows are written once with a number each, bucketed by it: the choice
+    is made on narrow rows, and joins on the number do not move the texts again.
     """
-    name = fresh(docs.columns, "__fingerprint")
-    seat = fresh([*docs.columns, name], "__seat")
-    rows = seated(docs.withColumn(name, wide_fingerprints(F.col(text_col), size, words)), seat)
-    names = [f"w{i}" for i in range(words)]
-    narrow = rows.select(
-        F.col(seat).alias("seat"), F.col(id_col).alias("id"), *[F.get(name, F.lit(i)).alias(w) for i, w in enumerate(names)]
-    )
+    seat = fresh(docs.columns, "__seat")
+    rows = stored(docs, seat)
     best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "seat")).alias("best")
-    prints = cut_lineage(narrow.groupBy(*names).agg(best, F.min("seat").alias("node")))
-    found = links(prints.drop("best"), "node", names, radius, random_tables(words, tables, key_bits))
-    roots = components(found).withColumnRenamed("node", "n")
+    prints = cut_lineage(
+        rows.select(
+            F.col(seat).alias("seat"), F.col(id_col).alias("id"), sketches(F.col(text_col), size).alias("print")
+        )
+        .groupBy("print")
+        .agg(best, F.min("seat").alias("node"))
+    )
+    found = components(proposals(prints))
+    roots = found.withColumnRenamed("node", "n")
     chosen = (
         prints.select("node", "best").join(roots, F.col("node") == F.col("n"), "left")
         .groupBy(F.coalesce("root", "node").alias("root"))

@@ -143,6 +143,36 @@ def test_wide_links_are_those_of_the_tables(spark, tile):
     assert got == {i: find(i) for i in range(150) if find(i) != i}
 
 
+def of_sets(pairs):
+    """Texts of one to one shingles of five words: a pair of them per (size, shared) at a similarity of
+    shared / (2 size - shared), by edits at a distance of five words and at the end."""
+    rng, rows = random.Random(12), []
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    for size, apart in pairs:
+        words = [word() for _ in range(size + 4)]
+        copy = list(words)
+        for i in range(apart // 5):
+            copy[4 + i * 10] = word()
+        for i in range(apart % 5):
+            copy[-1 - i] = word()
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(copy))]
+    return rows
+
+
+def similarity(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(" "), b.split(" ")))
+    return len(x & y) / len(x | y)
+
+
+def test_every_lone_pair_at_the_threshold_is_found(spark):
+    """Pairs at a similarity of 0.80 to 0.81 against brute force."""
+    rows = of_sets([(90, 10)] * 300 + [(270, 29)] * 100)
+    want = {i for i in range(0, len(rows), 2)}
+    assert all(0.8 <= similarity(rows[i][1], rows[i + 1][1]) < 0.81 for i in want)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert {r.doc_id for r in simhash.first_of_groups(frame).collect()} == want
+
+
 def test_query_rows(spark):
     words = [f"w{i}" for i in range(60)]
     long = " ".join(words * 40)
