@@ -5,7 +5,7 @@ Fingerprints of one word within ``radius`` bits agree on all but ``radius`` of t
 similarity of 0.8 is some 15 % of the bits, too many for that: there, sketches of minima of hashes
 meet in tables keyed by a few minima each. Rows that meet are compared vertically: one bit plane
 holds one bit of 64 fingerprints per word, differing planes are added to carry-save counters, and
-words whose lanes are all beyond the radius are abandoned. A bucket larger than a tile is cut into tiles, and each pair of tiles is a group of its
+words whose lanes are all beyond the radius are abandoned. What the sketches propose is confirmed on the sets of shingles themselves. A bucket larger than a tile is cut into tiles, and each pair of tiles is a group of its
 own, so no bucket gathers in one task. Groups return a forest of their links, not the links.
 """
 
@@ -45,6 +45,9 @@ DENSE = 64
 MINIMA, WORDS = 256, 4
 BANDS, BAND = 32, 5
 RADIUS = 50
+# Similarity in hundredths, and shingles of a tile in which proposed pairs are confirmed.
+SIMILARITY = 80
+WEIGHT = 1 << 20
 MASKS, FACTORS = np.random.default_rng(3).integers(0, 1 << 32, (2, MINIMA), dtype=np.uint32)
 FACTORS |= np.uint32(1)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -136,6 +139,58 @@ def sketches(text: Column, size: int) -> Column:
     return udf(text.cast("string"))
 
 
+def shingle_sets(text: Column, size: int) -> Column:
+    """The hashes of the different shingles of a whole text, as an array."""
+
+    @F.pandas_udf("array<bigint>")
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidied(
+            pd.Series([shingle_set(t, size).view("<i8") for t in texts], dtype=object) for texts in batches
+        )
+
+    return udf(text.cast("string"))
+
+
+def similar_links(sizes: np.ndarray, hashes: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``i, j`` with the same components as all pairs of sets with a similarity of
+    ``SIMILARITY`` or more; in a pair of tiles, of pairs across. The sets lie one after another.
+
+    A row that is reached is compared with those not reached yet, so a group of copies takes few
+    comparisons.
+    """
+    ids = np.unique(hashes, return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    marked = np.zeros(len(ids), bool)
+    left = np.arange(len(sizes))
+    rest, owner = ids, np.repeat(left, sizes)
+    found_i, found_j = [], []
+    while len(left):
+        waiting = [left[0]]
+        left, keep = left[1:], owner != left[0]
+        rest, owner = rest[keep], owner[keep]
+        while waiting and len(left):
+            i = waiting.pop()
+            own = ids[starts[i] : ends[i]]
+            marked[own] = True
+            common = np.bincount(owner[marked[rest]], minlength=len(sizes))[left]
+            marked[own] = False
+            near = (100 + SIMILARITY) * common >= SIMILARITY * (sizes[i] + sizes[left])
+            near &= (side[left] != side[i]) | (side[i] == 0)
+            if not near.any():
+                continue
+            reached, left = left[near], left[~near]
+            found_i.append(np.full(len(reached), i))
+            found_j.append(reached)
+            waiting += reached.tolist()
+            gone = np.zeros(len(sizes), bool)
+            gone[reached] = True
+            keep = ~gone[owner]
+            rest, owner = rest[keep], owner[keep]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *found_i]), np.concatenate([none, *found_j])
+
+
 def above(counters: list[np.ndarray], over: np.ndarray, radius: int) -> np.ndarray:
     """Lanes whose counter is more than the radius."""
     greater, equal = np.zeros_like(over), ~np.zeros_like(over)
@@ -398,6 +453,76 @@ def compared(rows: DataFrame, names: list[str], radius: int) -> DataFrame:
     )
 
 
+def confirmed(proposed: DataFrame, prints: DataFrame, texts: DataFrame, size: int, weight: int = WEIGHT) -> DataFrame:
+    """Edges ``u, v`` with the same components as all pairs of nodes that are in one component of
+    ``proposed`` (``node, root``) and have a similarity of ``SIMILARITY`` or more.
+
+    Only texts of proposed nodes are read, from ``texts`` (``node, text``). The sets of a component
+    meet in tiles of about ``weight`` shingles, a group per pair of tiles.
+    """
+    members = proposed.unionByName(proposed.select(F.col("root").alias("node"), "root").distinct())
+    members = cut_lineage(members.join(prints.select("node", F.get("print", F.lit(2)).alias("n")), "node"))
+    tiles = members.groupBy("root").agg(F.ceil(F.sum("n") / weight).cast("int").alias("tiles"))
+    wanted = members.join(tiles, "root").select("node", "root", "tiles")
+    own = F.pmod(F.xxhash64(F.lit("tile"), "node"), F.col("tiles")).cast("int")
+    other = F.explode_outer(F.when(F.col("tiles") > 1, F.sequence(F.lit(0), F.col("tiles") - 1)))
+    placed = (
+        texts.join(wanted, "node")
+        .select("node", "root", "tiles", shingle_sets(F.col("text"), size).alias("hashes"))
+        .select("node", "root", "hashes", own.alias("own"), other.alias("other"))
+        .select(
+            "root",
+            F.coalesce(F.least("own", "other"), F.lit(0)).alias("low"),
+            F.coalesce(F.greatest("own", "other"), F.lit(0)).alias("high"),
+            F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2)
+            .otherwise(0).alias("side"),
+            "node", "hashes",
+        )
+    )
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        group, found, pairs = None, [], 0
+
+        def compare() -> None:
+            nonlocal pairs
+            side, nodes, sizes, hashes = map(np.concatenate, zip(*held))
+            i, j = similar_links(sizes, hashes, side)
+            found.append((nodes[i], nodes[j]))
+            pairs += len(i)
+            held.clear()
+
+        def flush() -> pa.RecordBatch:
+            u, v = map(np.concatenate, zip(*found))
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
+            side, nodes = (batch.column(c).to_numpy().astype(np.int64) for c in (3, 4))
+            offsets, values = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for s, e in zip(cuts, cuts[1:] if len(keys) else []):
+                key = tuple(keys[s].tolist())
+                if held and key != group:
+                    compare()
+                    if pairs > PAIRS:
+                        yield flush()
+                        pairs = 0
+                group = key
+                held.append((side[s:e], nodes[s:e], np.diff(offsets[s : e + 1]).astype(np.int64), values[offsets[s] : offsets[e]]))
+        if held:
+            compare()
+        if found:
+            yield flush()
+
+    return (
+        placed.repartition("root", "low", "high")
+        .sortWithinPartitions("root", "low", "high", "side", "node")
+        .mapInArrow(lambda b: tidied(task(b)), "u bigint, v bigint")
+    )
+
+
 def groups(rows: DataFrame, id_col: str, print_col: str, radius: int = 4) -> DataFrame:
     """``fp, root, component_id`` once per fingerprint: a member of its group that all share, and
     the smallest id of the group (null if no row of the group has an id)."""
@@ -435,7 +560,8 @@ def first_of_groups(
 ) -> DataFrame:
     """The rows of ``docs`` with one row per group of near duplicates: the smallest id (null last).
 
-    Groups are linked at a similarity of 0.8 of the sets of shingles of ``size`` words. Texts without
+    Groups are linked where the sets of shingles of ``size`` words have a similarity of 0.8 or more:
+    sketches propose groups, in which the sets themselves are compared. Texts without
     a word are copies of each other. Of rows with one id in a group one stays, by number. The columns
     are those of ``docs``. The rows are written once with a number each, bucketed by it: the choice
     is made on narrow rows, and joins on the number do not move the texts again.
@@ -450,8 +576,9 @@ def first_of_groups(
         .groupBy("print")
         .agg(best, F.min("seat").alias("node"))
     )
-    found = components(proposals(prints))
-    roots = found.withColumnRenamed("node", "n")
+    texts = rows.select(F.col(seat).alias("node"), F.col(text_col).alias("text"))
+    found = confirmed(components(proposals(prints)), prints, texts, size)
+    roots = components(found).withColumnRenamed("node", "n")
     chosen = (
         prints.select("node", "best").join(roots, F.col("node") == F.col("n"), "left")
         .groupBy(F.coalesce("root", "node").alias("root"))

@@ -143,10 +143,10 @@ def test_wide_links_are_those_of_the_tables(spark, tile):
     assert got == {i: find(i) for i in range(150) if find(i) != i}
 
 
-def of_sets(pairs):
+def of_sets(pairs, seed=12):
     """Texts of one to one shingles of five words: a pair of them per (size, shared) at a similarity of
     shared / (2 size - shared), by edits at a distance of five words and at the end."""
-    rng, rows = random.Random(12), []
+    rng, rows = random.Random(seed), []
     word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
     for size, apart in pairs:
         words = [word() for _ in range(size + 4)]
@@ -173,6 +173,47 @@ def test_every_lone_pair_at_the_threshold_is_found(spark):
     assert {r.doc_id for r in simhash.first_of_groups(frame).collect()} == want
 
 
+def test_no_pair_below_the_threshold_is_linked(spark):
+    """Pairs at a similarity of 0.6 to 0.79, alone and as chains, lose no document."""
+    rows = of_sets([(90, 11), (270, 32), (90, 16), (270, 47), (90, 22)] * 60)
+    assert all(0.6 <= similarity(rows[i][1], rows[i + 1][1]) < 0.79 for i in range(0, len(rows), 2))
+    words = of_sets([(400, 0)], 7)[0][1].split(" ")
+    rows += [(len(rows) + i, " ".join(words[12 * i : 12 * i + 100])) for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert simhash.first_of_groups(frame).count() == len(rows)
+
+
+@pytest.mark.parametrize("weight", [1 << 20, 400])
+def test_confirmed_links_are_those_of_the_sets(spark, weight):
+    """Windows over one text, in whole components and in tiles, against brute force."""
+    rng = random.Random(9)
+    words = of_sets([(900, 0)])[0][1].split(" ")
+    places = sorted(rng.randrange(0, 700) for _ in range(60))
+    rows = [(i, " ".join(words[p : p + 104])) for i, p in enumerate(places)]
+    frame = spark.createDataFrame(rows, "node bigint, text string").repartition(4)
+    prints = frame.select("node", simhash.sketches(frame["text"], 5).alias("print"))
+    proposed = spark.createDataFrame([(i, 0) for i in range(1, 60)], "node bigint, root bigint")
+    edges = simhash.confirmed(proposed, prints, frame, 5, weight).collect()
+    assert all(similarity(rows[e.u][1], rows[e.v][1]) >= 0.8 for e in edges)
+    parent = list(range(60))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def merged(pairs):
+        parent[:] = range(60)
+        for a, b in pairs:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+        return [find(i) for i in range(60)]
+
+    all_pairs = [(i, j) for i in range(60) for j in range(i) if similarity(rows[i][1], rows[j][1]) >= 0.8]
+    want = merged(all_pairs)
+    assert merged((e.u, e.v) for e in edges) == want and 2 < len(set(want)) < 60
+
+
 def test_query_rows(spark):
     words = [f"w{i}" for i in range(60)]
     long = " ".join(words * 40)
