@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlake.llm import chat, language, media, mixing, simhash, suffix, topk, toxicity, urls
+from evlake.llm import chat, language, media, mixing, simhash, suffix, tokencount, topk, toxicity, urls
 from evlake.llm.common import bounded_batches, held_out_rows
 from evlake.llm.packing import pack
 from evlake.plans.registry import Query, table
@@ -36,6 +36,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query("op2_packing")
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 1024 ids by minimum bin slack."""
@@ -187,3 +193,9 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations with repaired roles, rendered."""
     return chat.formatted(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document by the piece-wise model; above 4096 is over the limit."""
+    return tokencount.count_tokens(documents(spark, sf_dir), piece_model_path())
