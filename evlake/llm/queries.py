@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlake.llm import chat, language, media, mixing, simhash, suffix, tokencount, topk, toxicity, urls
+from evlake.llm import chat, language, media, mixing, simhash, suffix, tokencount, topk, toxicity, trie, urls
 from evlake.llm.common import bounded_batches, held_out_rows
 from evlake.llm.packing import pack
+from evlake.llm.trie_sql import TRIE_SQL
 from evlake.plans.registry import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -199,3 +200,9 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of every document by the piece-wise model; above 4096 is over the limit."""
     return tokencount.count_tokens(documents(spark, sf_dir), piece_model_path())
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefix of the rebuilt conversations as a node, with its subtree's figures."""
+    return trie.prefix_trie(trie.rebuilt(trie.turn_rows(table(spark, sf_dir, "conversations"))))
