@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evlake.llm import chat, language, media, mixing, simhash, suffix, tokencount, topk, toxicity, trie, urls
+from evlake.llm import alignment, chat, language, media, mixing, simhash, suffix, tokencount, topk, toxicity, trie, urls
 from evlake.llm.common import bounded_batches, held_out_rows
 from evlake.llm.packing import pack
 from evlake.llm.trie_sql import TRIE_SQL
@@ -206,3 +206,9 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every prefix of the rebuilt conversations as a node, with its subtree's figures."""
     return trie.prefix_trie(trie.rebuilt(trie.turn_rows(table(spark, sf_dir, "conversations"))))
+
+
+@query("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two tokenizers in every document, with their corpus-wide counts."""
+    return alignment.align(documents(spark, sf_dir), tokenizer_path(), piece_model_path())
