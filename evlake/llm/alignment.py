@@ -39,12 +39,14 @@ cloudpickle.register_pickle_by_value(packing)
 cloudpickle.register_pickle_by_value(tokencount)
 
 # Buckets of B ids; pairs held before a task hands them on; characters of chunks remembered by a
-# task; chunks taken at once; vectors summed by one task; bytes of one round's tables.
+# task; chunks taken at once; vectors summed by one task; rows a table starts with; bytes of one
+# round's tables.
 BUCKETS = 64
 HELD = 1 << 19
 REMEMBERED = 12 << 20
 AT_ONCE = 1 << 16
 FAN = 16
+ROWS = 1 << 12
 ROUND = 64 << 20
 # A pair is one number: the A id above, the B id below.
 SHIFT = 32
@@ -185,7 +187,7 @@ def counted_pairs(docs: DataFrame, text_col: str, path_a: str, path_b: str) -> D
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = per_process(f"aligner_{path_a}_{path_b}", lambda: Aligner(path_a, path_b))
         part = TaskContext.get().partitionId()
-        uses = np.zeros(1 << 17, np.int64)
+        uses = np.zeros(ROWS, np.int64)
         links: list[np.ndarray] = []
         totals: Counter = Counter()
 
@@ -216,7 +218,8 @@ def counted_pairs(docs: DataFrame, text_col: str, path_a: str, path_b: str) -> D
             for text in batch.column(0):
                 text = text.as_py()
                 for chunks in aligner.chunks(text) if has_tokens(text) else ():
-                    np.add.at(uses, np.array(remembered.numbers(chunks)), 1)
+                    numbers = np.array(remembered.numbers(chunks))
+                    np.add.at(uses, numbers, 1)
             if len(totals) > HELD:
                 yield handed_on()
         settle()
@@ -399,7 +402,7 @@ def looked_up(docs: DataFrame, keep: list[str], text_col: str, path_a: str, path
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = per_process(f"aligner_{path_a}_{path_b}", lambda: Aligner(path_a, path_b))
         lookup = Lookup(shared.value)
-        table = np.zeros((1 << 12, len(NUMBERS)), np.int64)
+        table = np.zeros((ROWS, len(NUMBERS)), np.int64)
         groups: list[str] = []
 
         def add(first: int, new: list[str]) -> None:

@@ -42,10 +42,11 @@ def whole(models, text):
         return None
     ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]), np.cumsum([len(x) for x in bytes_b])
     both = sorted(set(ends_a.tolist()) & set(ends_b.tolist()))
-    groups, at = [], 0
+    groups, i, j = [], 0, 0
     for end in both:
-        groups.append(([i for i, e in zip(a, ends_a) if at < e <= end], [i for i, e in zip(b, ends_b) if at < e <= end]))
-        at = end
+        m, n = int(np.searchsorted(ends_a, end)) + 1, int(np.searchsorted(ends_b, end)) + 1
+        groups.append((a[i:m], b[j:n]))
+        i, j = m, n
     links = []
     j0 = 0
     for i, (e, x) in enumerate(zip(ends_a, bytes_a)):
@@ -120,8 +121,10 @@ def test_perfect_hash():
 
 @pytest.mark.parametrize("small", [False, True])
 def test_rows(spark, models, monkeypatch, small):
-    """Also with rounds of a bucket each, chunks forgotten all the time and trees of several levels."""
+    """Also with rounds of a bucket each, chunks forgotten all the time, tables that grow and trees of
+    several levels."""
     if small:
+        monkeypatch.setattr(alignment, "ROWS", 2)
         monkeypatch.setattr(alignment, "REMEMBERED", 500)
         monkeypatch.setattr(alignment, "AT_ONCE", 100)
         monkeypatch.setattr(alignment, "HELD", 50)
