@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Stored identifier formats.
-CAPTURE_ID = "^[k-z]{32}$"
-REQUEST_KEY = "^[0-9a-f]{64}$"
-TOKEN = "^[0-9a-f]{12}4[0-9a-f]{3}[89ab][0-9a-f]{15}$"
-REFERENCE = "^([k-z]{32}):(0|[1-9][0-9]*)$"
+# (`\z` is the very end; `$` would also match before a final newline.)
+CAPTURE_ID = r"^[k-z]{32}\z"
+REQUEST_KEY = r"^[0-9a-f]{64}\z"
+TOKEN = r"^[0-9a-f]{12}4[0-9a-f]{3}[89ab][0-9a-f]{15}\z"
 HEX_DIGITS = "0123456789ABCDEF"
 REVERSE_DIGITS = "zyxwvutsrqponmlk"
 U64_MAX = 18446744073709551615
@@ -48,9 +48,8 @@ def parse_instance_ref(reference: Column, id_pattern: str = "[k-z]{32}") -> Colu
 
     The ordinal keeps the full unsigned 64-bit range.
     """
-    pattern = f"^({id_pattern}):(0|[1-9][0-9]*)$"
-    # `$` also matches before a final newline, which is not part of a reference.
-    well_formed = reference.rlike(pattern) & ~reference.contains("\n")
+    pattern = rf"^({id_pattern}):(0|[1-9][0-9]*)\z"
+    well_formed = reference.rlike(pattern)
     ordinal = F.regexp_extract(reference, pattern, 2)
     # 21 digits cannot fit; shorter ones cast without overflow.
     number = F.when(F.length(ordinal) <= 20, ordinal).try_cast("decimal(20,0)")

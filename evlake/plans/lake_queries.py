@@ -307,9 +307,11 @@ def _record_documents(part: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.split("p_name", " ").alias("features"),
         F.array(text("/work/out.rlib")).alias("filenames"),
     )
+    digits = F.md5(key.cast("string"))
+    token = F.concat(F.substring(digits, 1, 12), text("4"), F.substring(digits, 14, 3), text("8"), F.substring(digits, 18, 15))
     analysis = F.struct(
         at(7, text("ABC"), F.sha2(key.cast("string"), 256)).alias("request_key"),
-        at(8, F.repeat(text("0"), F.lit(32)), text("0123456789ab4def8123456789abcdef")).alias("token"),
+        at(8, F.repeat(text("0"), F.lit(32)), token).alias("token"),
         observed.alias("artifact"),
     )
     target = F.struct(

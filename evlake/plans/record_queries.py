@@ -10,7 +10,7 @@ from evlake.operators import assemble, integrity, resolve, search
 from evlake.plans.evidence_queries import _BODIES_SQL, _bodies
 from evlake.plans.lake_queries import _record_documents
 from evlake.plans.registry import query, table
-from evlake.sources.records import captures_of, declared_only, evidence_of, named_files, parse_headers, parse_manifests
+from evlake.sources.records import captures_of, declared_only, named_files, parse_headers, parse_manifests
 
 # A part's capture id, as `_record_documents` makes it.
 _ID_SQL = "translate(upper(md5(cast(p_partkey as varchar))), '0123456789ABCDEF', 'zyxwvutsrqponmlk')"
@@ -27,8 +27,7 @@ def _capture_id(key: Column) -> Column:
 def scan_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers in table form; broken ones and those of another version are left to the rules."""
     headers, manifests = _record_documents(table(spark, sf_dir, "part"))
-    ev = evidence_of(parse_headers(headers), parse_manifests(manifests), None)
-    captures = captures_of(ev.headers, ev.manifests)
+    captures = captures_of(parse_headers(headers), parse_manifests(manifests))
     listed = search.list_captures(captures, "completed_at_unix_ms", "capture_id")
     return listed.select(
         "capture_id",

@@ -445,7 +445,7 @@ def parse_candidates(docs: DataFrame) -> DataFrame:
         text = F.schema_of_variant(F.try_variant_get(F.try_parse_json("raw"), f"$.{name}", "variant"))
         rule = rule.when(~F.coalesce(text == "STRING", F.lit(False)), F.lit(f"missing_field:{name}"))
     for name, pattern in (("request_key", REQUEST_KEY), ("token", TOKEN), ("capture_id", CAPTURE_ID)):
-        sound = F.col(f"__f.{name}").rlike(pattern) & ~F.col(f"__f.{name}").contains("\n")
+        sound = F.col(f"__f.{name}").rlike(pattern)
         rule = rule.when(~sound, F.lit(f"format:{name}"))
     rule = rule.when(~F.col("__f.request_key").eqNullSafe(F.col("file_key")), F.lit("wrong_key"))
     return f.select(

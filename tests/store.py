@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import copy
 import json
+import uuid
 from pathlib import Path
 
 KEY = "0123456789abcdef" * 4
-TOKEN = "0123456789ab4def8123456789abcdef"
+TOKEN = uuid.UUID(int=sum(i << 7 * i for i in range(18)), version=4).hex
 
 
 def capture_id(n: int) -> str:

@@ -268,6 +268,23 @@ def test_pointer_fields(spark, tmp_path):
     assert got == sorted([*cases, "missing_field:token"])
 
 
+def test_a_final_newline_is_part_of_no_identifier(spark, tmp_path):
+    cid = store.capture_id(3)
+    for place, rule in (("/analysis/request_key", "request_key_format"), ("/analysis/token", "token_format"), ("/id", "capture_id_format")):
+        root = tmp_path / rule
+        head = store.header(cid)
+        value = {"/analysis/request_key": store.KEY, "/analysis/token": store.TOKEN, "/id": cid}[place]
+        store.write(root, cid, store.changed(head, place, value + "\n"), store.manifest(cid))
+        found = {r.rule for r in evidence_violations(records.scan_evidence(spark, str(root))).collect()}
+        assert rule in found, place
+    key = f"{9:064x}"
+    for name in ("token", "capture_id"):
+        pointer = store.pointer(cid, key)
+        raw = json.dumps(pointer | {name: pointer[name] + "\n"})
+        frame = spark.createDataFrame([(f"x/candidates/{key}.json", raw, False)], "path string, raw string, too_large boolean")
+        assert [r.rule for r in records.parse_candidates(frame).collect()] == [f"format:{name}"]
+
+
 def test_committed_batches_never_change(spark, tmp_path):
     lake = Lake(spark, str(tmp_path / "lake"))
     rows = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "capture_id string, completed_at_unix_ms long")
