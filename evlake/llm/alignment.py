@@ -23,6 +23,7 @@ import re
 import sys
 from collections import Counter
 from collections.abc import Iterator
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ cloudpickle.register_pickle_by_value(packing)
 cloudpickle.register_pickle_by_value(tokencount)
 
 # Buckets of B ids; pairs held before a task hands them on; characters of chunks remembered by a
-# task; chunks taken at once; vectors summed by one task; rows a table starts with; bytes of one
+# task; chunks taken together; vectors summed by one task; rows a table starts with; bytes of one
 # round's tables.
 BUCKETS = 64
 HELD = 1 << 19
@@ -57,26 +58,36 @@ MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 SPACE_MARK = tokencount.MARK
 
 
+class Aligned(NamedTuple):
+    """Many chunks at once: numbers per chunk, pairs of all their links in order, groups as text."""
+
+    numbers: np.ndarray
+    pairs: np.ndarray
+    groups: list[str]
+
+
 class Aligner:
-    """Tokens of a text by both tokenizers, chunk by chunk."""
+    """Tokens of texts by both tokenizers, chunk by chunk."""
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = SentencePieceProcessor(model_file=path_b)
         with open(path_a, encoding="utf-8") as file:
             settings = json.load(file)
         split = settings["pre_tokenizer"] or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
         if not plain or settings["normalizer"] or settings["model"]["type"] != "BPE":
             raise ValueError(f"{path_a} is not a byte-level BPE with the usual words")
+        self.a = packing.Encoder(path_a)
+        self.a.whole.encode_special_tokens = True
+        self.b = SentencePieceProcessor(model_file=path_b)
         alone = tokencount.isolated(tokencount.vocabulary(path_b))
-        specials = {t["id"] for t in settings["added_tokens"]}
-        self.size_a = {i: len(t) for t, i in settings["model"]["vocab"].items() if i not in specials}
-        self.size_b = [piece_size(self.b, i) for i in range(self.b.get_piece_size())]
+        sizes = {i: len(t) for t, i in settings["model"]["vocab"].items()}
+        self.size_a = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)])
+        self.size_b = np.array([piece_size(self.b, i) for i in range(self.b.get_piece_size())])
+        # Ids in decimal, with what follows inside a group and at its end.
+        self.shown_a = [np.array([f"{i}{end}" for i in range(len(self.size_a))], object) for end in ",|"]
+        self.shown_b = [np.array([f"{i}{end}" for i in range(len(self.size_b))], object) for end in ",;"]
         # A chunk ends before a space (or an isolated control) that follows a visible character.
         starts = " " + alone
         odd = rf"(?:(?![{starts}])[\s{SPACE_MARK}])"
@@ -95,36 +106,58 @@ class Aligner:
             found = (m.group() for m in self.find.finditer(text))
             yield from map(list, itertools.batched(found, AT_ONCE))
 
-    def align(self, chunks: list[str]) -> list[tuple[list[int], list[int], list[int], list[int], str]]:
-        """Per chunk its A ids, B ids, links as pairs of ids (two lists), and groups as text."""
-        found_a = [e.ids for e in self.a.encode_batch(chunks, add_special_tokens=False)]
+    def align(self, chunks: list[str]) -> Aligned:
+        """All chunks in one row of bytes. Two tokens share bytes on exactly one stretch between
+        neighbouring token ends, so a link is such a stretch; a group ends where both end."""
+        found_a = [self.a.encode(c) for c in chunks]
         # The library puts a space mark in front; an isolated character parts the chunk from it.
-        found_b = [ids[2:] for ids in self.b.encode([self.alone + c for c in chunks], num_threads=1)]
-        return [self.linked(a, b) for a, b in zip(found_a, found_b)]
-
-    def linked(self, a: list[int], b: list[int]):
-        """Two tokens share bytes on exactly one stretch between neighbouring ends, so a link is such
-        a stretch; a group ends where both end."""
-        size_a, size_b = self.size_a, self.size_b
-        left, right, groups = [], [], []
-        i = j = first_i = first_j = 0
-        end_a, end_b = size_a[a[0]], size_b[b[0]]
-        while True:
-            left.append(a[i])
-            right.append(b[j])
-            if end_a == end_b:
-                i, j = i + 1, j + 1
-                groups.append(",".join(map(str, a[first_i:i])) + "|" + ",".join(map(str, b[first_j:j])))
-                if i == len(a):
-                    return a, b, left, right, ";".join(groups)
-                first_i, first_j = i, j
-                end_a, end_b = end_a + size_a[a[i]], end_b + size_b[b[j]]
-            elif end_a < end_b:
-                i += 1
-                end_a += size_a[a[i]]
-            else:
-                j += 1
-                end_b += size_b[b[j]]
+        found_b = self.b.encode([self.alone + c for c in chunks], num_threads=1)
+        n_a = np.array([len(x) // 4 for x in found_a])
+        n_b = np.array([len(x) - 2 for x in found_b])
+        a = np.frombuffer(b"".join(found_a), "<u4").astype(np.int64)
+        b = np.fromiter(itertools.chain.from_iterable(x[2:] for x in found_b), np.int64, n_b.sum())
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
+        if (ends_a[last_a - 1] != ends_b[last_b - 1]).any():
+            raise ValueError("the tokenizers do not give back the same bytes")
+        ends = np.union1d(ends_a, ends_b)
+        pairs = pair_numbers(a[np.searchsorted(ends_a, ends)], b[np.searchsorted(ends_b, ends)])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        borders = ends_a[last_a - 1]
+        n_links = np.diff(np.searchsorted(ends, borders, "right"), prepend=0)
+        n_groups = np.diff(np.searchsorted(both, borders, "right"), prepend=0)
+        numbers = np.stack([n_a, n_b, n_groups, n_links], axis=1)
+        return Aligned(numbers, pairs, self.shown(a, b, ends_a, ends_b, both, borders))
+
+    def shown(self, a, b, ends_a, ends_b, both, borders) -> list[str]:
+        """Per chunk its groups as ``a,a|b;a|b,b;``, cut from the text of all."""
+        last_a, last_b = np.isin(ends_a, both), np.isin(ends_b, both)
+        # A group's A ids stand behind the B ids of all earlier groups, its B ids behind its A ids.
+        group_a, group_b = np.searchsorted(both, ends_a), np.searchsorted(both, ends_b)
+        until_a, until_b = np.searchsorted(ends_a, both, "right"), np.searchsorted(ends_b, both, "right")
+        place_a = np.arange(len(a)) + np.concatenate(([0], until_b))[group_a]
+        place_b = np.arange(len(b)) + until_a[group_b]
+        words = np.empty(len(a) + len(b), object)
+        words[place_a] = np.where(last_a, self.shown_a[1][a], self.shown_a[0][a])
+        words[place_b] = np.where(last_b, self.shown_b[1][b], self.shown_b[0][b])
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lengths)[place_b[np.searchsorted(ends_b, borders)]].tolist()
+        text = "".join(words)
+        return [text[i:j] for i, j in zip([0, *ends], ends)]
+
+
+def parts_of(aligner: Aligner, texts: list[str | None]) -> Iterator[list[tuple[int, list[str]]]]:
+    """Chunks of many texts with the texts' numbers, in bundles of bounded length."""
+    bundle: list[tuple[int, list[str]]] = []
+    size = 0
+    for i, text in enumerate(texts):
+        for chunks in aligner.chunks(text) if has_tokens(text) else ():
+            bundle.append((i, chunks))
+            size += len(chunks)
+            if size >= AT_ONCE:
+                yield bundle
+                bundle, size = [], 0
+    yield bundle
 
 
 def piece_size(model, i: int) -> int:
@@ -156,20 +189,19 @@ class Remembered:
         self.known: dict[str, int] = {}
         self.room = REMEMBERED
 
-    def numbers(self, chunks: list[str]) -> list[int]:
-        found = list(map(self.known.get, chunks))
-        if None in found:
-            if self.room < 0:
-                self.forget()
-                self.known.clear()
-                self.room = REMEMBERED
-            new = list(dict.fromkeys(c for c in chunks if c not in self.known))
-            first = len(self.known)
-            self.known.update(zip(new, range(first, first + len(new))))
+    def numbers(self, bundle: list[tuple[int, list[str]]]) -> list[np.ndarray]:
+        if self.room < 0:
+            self.forget()
+            self.known.clear()
+            self.room = REMEMBERED
+        known = self.known
+        new = list(dict.fromkeys(c for _, chunks in bundle for c in chunks if c not in known))
+        if new:
+            first = len(known)
+            known.update(zip(new, range(first, first + len(new))))
             self.room -= sum(map(len, new)) + 64 * len(new)
             self.add(first, new)
-            found = list(map(self.known.get, chunks))
-        return found
+        return [np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks)) for _, chunks in bundle]
 
 
 def grown(table: np.ndarray, rows: int) -> np.ndarray:
@@ -188,22 +220,27 @@ def counted_pairs(docs: DataFrame, text_col: str, path_a: str, path_b: str) -> D
         aligner = per_process(f"aligner_{path_a}_{path_b}", lambda: Aligner(path_a, path_b))
         part = TaskContext.get().partitionId()
         uses = np.zeros(ROWS, np.int64)
-        links: list[np.ndarray] = []
+        pairs: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         totals: Counter = Counter()
 
         def add(first: int, new: list[str]) -> None:
             nonlocal uses
             uses = grown(uses, first + len(new))
-            links.extend(pair_numbers(left, right) for _, _, left, right, _ in aligner.align(new))
+            aligned = aligner.align(new)
+            pairs.append(aligned.pairs)
+            sizes.append(aligned.numbers[:, 3])
 
         def settle() -> None:
             """Add the chunks' links, each times its uses."""
-            if links:
-                keys, places = np.unique(np.concatenate(links), return_inverse=True)
+            if pairs:
+                keys, places = np.unique(np.concatenate(pairs), return_inverse=True)
+                each = np.concatenate(sizes)
                 sums = np.zeros(len(keys), np.int64)
-                np.add.at(sums, places, np.repeat(uses[: len(links)], [len(x) for x in links]))
+                np.add.at(sums, places, np.repeat(uses[: len(each)], each))
                 totals.update(dict(zip(keys.tolist(), sums.tolist())))
-            links.clear()
+            pairs.clear()
+            sizes.clear()
             uses[:] = 0
 
         def handed_on() -> pa.RecordBatch:
@@ -215,10 +252,8 @@ def counted_pairs(docs: DataFrame, text_col: str, path_a: str, path_b: str) -> D
 
         remembered = Remembered(add, settle)
         for batch in batches:
-            for text in batch.column(0):
-                text = text.as_py()
-                for chunks in aligner.chunks(text) if has_tokens(text) else ():
-                    numbers = np.array(remembered.numbers(chunks))
+            for bundle in parts_of(aligner, batch.column(0).to_pylist()):
+                for numbers in remembered.numbers(bundle):
                     np.add.at(uses, numbers, 1)
             if len(totals) > HELD:
                 yield handed_on()
@@ -230,8 +265,8 @@ def counted_pairs(docs: DataFrame, text_col: str, path_a: str, path_b: str) -> D
     )
 
 
-def pair_numbers(left: list[int], right: list[int]) -> np.ndarray:
-    return (np.array(left, np.int64) << SHIFT) | np.array(right, np.int64)
+def pair_numbers(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left << SHIFT) | right
 
 
 def places_of(pairs: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -408,37 +443,34 @@ def looked_up(docs: DataFrame, keep: list[str], text_col: str, path_a: str, path
         def add(first: int, new: list[str]) -> None:
             nonlocal table
             aligned = aligner.align(new)
-            sizes = np.array([len(x[2]) for x in aligned])
-            starts = np.cumsum(sizes) - sizes
-            counts, best = lookup.of(pair_numbers([i for x in aligned for i in x[2]], [i for x in aligned for i in x[3]]))
+            starts = np.cumsum(aligned.numbers[:, 3]) - aligned.numbers[:, 3]
+            found = [np.add.reduceat(x.astype(np.int64), starts) for x in lookup.of(aligned.pairs)]
             table = grown(table, first + len(new))
-            table[first : first + len(new)] = np.stack([
-                [len(x[0]) for x in aligned], [len(x[1]) for x in aligned],
-                [x[4].count(";") + 1 for x in aligned], sizes,
-                np.add.reduceat(best.astype(np.int64), starts), np.add.reduceat(counts, starts),
-            ], axis=1)
-            groups.extend(x[4] for x in aligned)
+            table[first : first + len(new)] = np.column_stack([aligned.numbers, found[1], found[0]])
+            groups.extend(aligned.groups)
 
         remembered = Remembered(add, groups.clear)
 
-        def figures(text: str | None) -> tuple[np.ndarray, str]:
-            sums, digest, comma = np.zeros(len(NUMBERS), np.int64), hashlib.sha256(), ""
-            if not has_tokens(text):
-                return sums, ""
-            for chunks in aligner.chunks(text):
-                numbers = remembered.numbers(chunks)
-                sums += table[numbers].sum(axis=0)
-                digest.update((comma + ";".join([groups[i] for i in numbers])).encode())
-                comma = ";"
-            return sums, digest.hexdigest()
-
         for batch in batches:
-            results = [figures(t.as_py()) for t in batch.column(text_name)]
-            sums = np.array([r[0] for r in results], np.int64).reshape(-1, len(NUMBERS))
+            texts = batch.column(text_name).to_pylist()
+            sums = np.zeros((len(texts), len(NUMBERS)), np.int64)
+            digests: dict[int, Any] = {}
+            for bundle in parts_of(aligner, texts):
+                for (i, _), numbers in zip(bundle, remembered.numbers(bundle)):
+                    sums[i] += table[numbers].sum(axis=0)
+                    shown = "".join(map(groups.__getitem__, numbers.tolist()))
+                    # The last separator is held back until more follows.
+                    digest = digests.get(i)
+                    if digest is None:
+                        digest = digests[i] = hashlib.sha256()
+                    else:
+                        digest.update(b";")
+                    digest.update(shown[:-1].encode())
             place = batch.schema.get_field_index(text_name)
             columns = [c for i, c in enumerate(batch.columns) if i != place]
             columns += [pa.array(sums[:, i]) for i in range(len(NUMBERS))]
-            columns.append(pa.array([r[1] for r in results], pa.string()))
+            found = [digests[i].hexdigest() if i in digests else "" for i in range(len(texts))]
+            columns.append(pa.array(found, pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *NUMBERS, "groups_sha256"])
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != text_name]

@@ -99,13 +99,12 @@ def test_chunks_are_independent(models):
     for text in [t for t in TEXTS + random_texts(1500) if alignment.has_tokens(t)]:
         chunks = [c for part in aligner.chunks(text) for c in part]
         assert "".join(chunks) == " " + text
-        parts = aligner.align(chunks)
+        found = aligner.align(chunks)
         a, b, groups, links = whole(models, text)
-        assert [i for p in parts for i in p[0]] == a, repr(text[:60])
-        assert [i for p in parts for i in p[1]] == b, repr(text[:60])
-        assert [x for p in parts for x in zip(p[2], p[3])] == links
-        assert ";".join(p[4] for p in parts) == ";".join(
-            ",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        assert found.numbers.sum(axis=0).tolist() == [len(a), len(b), len(groups), len(links)], repr(text[:60])
+        assert [(p >> 32, p & 0xFFFFFFFF) for p in found.pairs.tolist()] == links, repr(text[:60])
+        assert "".join(found.groups) == "".join(
+            ",".join(map(str, x)) + "|" + ",".join(map(str, y)) + ";" for x, y in groups)
 
 
 def test_perfect_hash():
