@@ -40,11 +40,12 @@ cloudpickle.register_pickle_by_value(packing)
 cloudpickle.register_pickle_by_value(tokencount)
 
 # Buckets of B ids; pairs held before a task hands them on; characters of chunks remembered by a
-# task; chunks taken together; vectors summed by one task; rows a table starts with; bytes of one
+# task; chunks encoded as one text; chunks taken together; vectors summed by one task; rows a table starts with; bytes of one
 # round's tables.
 BUCKETS = 64
 HELD = 1 << 19
-REMEMBERED = 12 << 20
+REMEMBERED = 40 << 20
+TOGETHER = 256
 AT_ONCE = 1 << 16
 FAN = 16
 ROWS = 1 << 12
@@ -109,26 +110,38 @@ class Aligner:
     def align(self, chunks: list[str]) -> Aligned:
         """All chunks in one row of bytes. Two tokens share bytes on exactly one stretch between
         neighbouring token ends, so a link is such a stretch; a group ends where both end."""
-        found_a = [self.a.encode(c) for c in chunks]
-        # The library puts a space mark in front; an isolated character parts the chunk from it.
-        found_b = self.b.encode([self.alone + c for c in chunks], num_threads=1)
-        n_a = np.array([len(x) // 4 for x in found_a])
-        n_b = np.array([len(x) - 2 for x in found_b])
-        a = np.frombuffer(b"".join(found_a), "<u4").astype(np.int64)
-        b = np.fromiter(itertools.chain.from_iterable(x[2:] for x in found_b), np.int64, n_b.sum())
+        runs = self.runs(chunks)
+        # The library puts a space mark in front; an isolated character parts the text from it.
+        found_a = b"".join(map(self.a.encode, runs))
+        found_b = self.b.encode([self.alone + r for r in runs], num_threads=1)
+        a = np.frombuffer(found_a, "<u4").astype(np.int64)
+        b = np.fromiter(itertools.chain.from_iterable(x[2:] for x in found_b), np.int64)
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
-        last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
-        if (ends_a[last_a - 1] != ends_b[last_b - 1]).any():
+        borders = np.cumsum([len(c.encode()) for c in chunks])
+        last_a, last_b = np.searchsorted(ends_a, borders), np.searchsorted(ends_b, borders)
+        if ends_a[-1] != borders[-1] or (ends_a[last_a] != borders).any() or (ends_b[last_b] != borders).any():
             raise ValueError("the tokenizers do not give back the same bytes")
+        n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
         ends = np.union1d(ends_a, ends_b)
         pairs = pair_numbers(a[np.searchsorted(ends_a, ends)], b[np.searchsorted(ends_b, ends)])
         both = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        borders = ends_a[last_a - 1]
         n_links = np.diff(np.searchsorted(ends, borders, "right"), prepend=0)
         n_groups = np.diff(np.searchsorted(both, borders, "right"), prepend=0)
         numbers = np.stack([n_a, n_b, n_groups, n_links], axis=1)
         return Aligned(numbers, pairs, self.shown(a, b, ends_a, ends_b, both, borders))
 
+    def runs(self, chunks: list[str]) -> list[str]:
+        """The chunks as few texts: what is cut-safe in a text is so in any row of chunks, but for a
+        chunk that ends with a space, which nothing may follow."""
+        out, first = [], 0
+        for i, c in enumerate(chunks, 1):
+            if i - first == TOGETHER or c[-1].isspace():
+                out.append("".join(chunks[first:i]))
+                first = i
+        if first < len(chunks):
+            out.append("".join(chunks[first:]))
+        return out
+
     def shown(self, a, b, ends_a, ends_b, both, borders) -> list[str]:
         """Per chunk its groups as ``a,a|b;a|b,b;``, cut from the text of all."""
         last_a, last_b = np.isin(ends_a, both), np.isin(ends_b, both)
