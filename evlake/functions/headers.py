@@ -1,234 +1,226 @@
-"""Symbols and definition headers of module text.
+"""Symbols and definition headers of module text, as expressions and aggregates over token rows.
 
-Headers in one of the disassembler's one-line forms are taken apart by Spark expressions. The reader
-here is for all others: one forward pass over tokens in which a parenthesised, bracketed or braced
-group counts as one item. It returns the symbols as written; Spark decodes them.
+A header's tokens become rows. Tokens inside a parenthesised, bracketed or braced group fold into
+one item, and every item into one letter; a header is then a short word over these letters, and the
+language's rules are patterns over such words. Where a word ends before its pattern does, the item
+behind the longest prefix that fits is the one at fault.
 """
 
 from __future__ import annotations
 
-import re
-import sys
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-# Ship the helper with its tasks, so that executors need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Bytes of a header, in whatever form it is written; a longer one is reported, never cut.
 HEADER_LIMIT = 1 << 20
 
 # Possessive loops: the JVM matches them without recursion, however long the text is.
 QUOTED = r'"(?:[^"\\\r\n]|\\\\|\\[0-9A-Fa-f]{2})*+"'
-NAME = r"[-A-Za-z0-9_.$]+"
+NAME = r"[-A-Za-z0-9_.$]++"
 SYMBOL = rf"@(?:{QUOTED}|{NAME})"
 
-CLOSER = {"(": ")", "[": "]", "{": "}", "<": ">"}
-# Words of the language: behind these a function header holds a typed constant; these constants are
-# single words.
-WITH_CONSTANT = frozenset({"personality", "prefix", "prologue"})
-LITERALS = frozenset({"false", "none", "null", "poison", "true", "undef", "zeroinitializer"})
-
-_TOKEN = re.compile(
-    rf"(?P<blank>(?:[ \t\r\n\f]|;[^\n]*)+)"
-    rf"|(?P<symbol>@(?:{QUOTED}|{NAME}))|(?P<string>{QUOTED})|(?P<other>[%$!](?:{QUOTED}|{NAME}))"
-    rf"|(?P<word>{NAME})|(?P<open>[(\[{{<])|(?P<close>[)\]}}>])|(?P<mark>.)",
-    re.S,
+OPEN, CLOSE = "([{<", ")]}>"
+BLANK = r"(?:[ \t\r\n\f]|;[^\n]*+)++"
+TOKEN = rf'(?s){BLANK}|[@%$!](?:{QUOTED}|{NAME})|{QUOTED}|{NAME}|[@%]?"|.'
+
+# Letters of items. Words of the language have letters of their own, other words `w`.
+WORDS = {
+    "D": ("define", "declare"),
+    "P": ("personality", "prefix", "prologue"),
+    "L": ("false", "none", "null", "poison", "true", "undef", "zeroinitializer"),
+    "r": ("ptr",), "d": ("addrspace",), "A": ("alias",), "I": ("ifunc",), "G": ("global", "constant"),
+    "T": ("partition",),
+}
+GROUPS = dict(zip(OPEN, "pkba"))
+_GROUP, _PLAIN = "pkba", "wrdPAIGTD"
+# A type and a value: the value is a symbol, a group, a literal, or words before one of them.
+_SPACE = r"(?:dN*+pN*+|(?!d))"
+_TYPE = rf"(?:rN*+{_SPACE}|[{_GROUP}{_PLAIN.replace('r', '')}Lom]N*+)"
+_VALUE = rf"(?:(?:[{_PLAIN}]N*+)++[s{_GROUP}Lq]|[s{_GROUP}L])"
+# As much of a type and a value as there is; for the place of a fault.
+_PART = rf"(?:{_TYPE}(?:[{_PLAIN}]N*+)*+|rN*+(?:dN*+)?)?"
+_BEFORE_NAME = r"[^szeDBUM]"
+_BEHIND_NAME = rf"(?:[^szeDBUMPb]|PN*+{_TYPE}{_VALUE})"
+FUNCTION = rf"^D(?:{_BEFORE_NAME})*+(s)N*+p(?:{_BEHIND_NAME})*+b"
+FUNCTION_PART = rf"^D(?:{_BEFORE_NAME})*+(?:sN*+(?:p(?:{_BEHIND_NAME})*+(?:PN*+{_PART})?)?)?"
+_LINKAGE = rf"(?:N*+[p{_PLAIN.replace('A', '').replace('I', '').replace('G', '')}Lqom])*+N*+"
+_OBJECT = rf"(?:N*+[{_GROUP}{_PLAIN}Lom])"
+GLOBAL = rf"^sN*+e{_LINKAGE}G"
+_TAIL = r"(?:N*+c(?:N*+[my]N*+[omxyec]|N*+TN*+q))*+"
+ALIAS = rf"^sN*+e{_LINKAGE}[AI]{_OBJECT}++N*+cN*+{_TYPE}{_VALUE}{_TAIL}"
+DIRECT = rf"^sN*+e{_LINKAGE}A{_OBJECT}++N*+cN*+rN*+{_SPACE}s"
+ALIAS_PART = (
+    rf"^s(?:N*+(?:e{_LINKAGE}(?:[AI](?:{_OBJECT}++N*+(?:cN*+(?:{_TYPE}{_VALUE}{_TAIL}"
+    rf"(?:N*+cN*+(?:[my]N*+|TN*+)?)?|{_PART}))?|N*+))?)?)?"
 )
 
 
-class HeaderError(Exception):
-    def __init__(self, reason: str, at: int):
-        super().__init__(reason)
-        self.reason, self.at = reason, at
-
-
-class Items:
-    """Tokens of a header, whole groups as one; ``kind`` is `end` behind the last."""
-
-    def __init__(self, text: str):
-        self.text, self.end = text, 0
-        self.next()
-
-    def next(self) -> None:
-        self.line_before = False
-        self._step()
-
-    def _step(self) -> None:
-        """One token; a blank only sets whether a line ended."""
-        while True:
-            found = _TOKEN.match(self.text, self.end)
-            self.start = self.end
-            if found is None:
-                self.kind, self.word = "end", ""
-                return
-            self.kind, self.word, self.end = found.lastgroup, found[0], found.end()
-            if self.kind != "blank":
-                break
-            self.line_before |= "\n" in self.word
-        if self.kind == "mark" and self.word == '"' or self.word in ("@", "%") and self.text[self.end : self.end + 1] == '"':
-            raise HeaderError("bad_quoted_text", self.start)
-
-    def close(self) -> None:
-        """Go to the end of the group that has just opened."""
-        start, open_ = self.start, [self.word]
-        while open_:
-            self._step()
-            if self.kind == "end":
-                raise HeaderError("unexpected_end", len(self.text))
-            if self.kind == "open":
-                open_.append(self.word)
-            elif self.kind == "close" and self.word != CLOSER[open_.pop()]:
-                raise HeaderError("mismatched_delimiter", self.start)
-        self.start, self.kind = start, "group"
-
-    def fail(self) -> None:
-        if self.kind == "end":
-            raise HeaderError("unexpected_end", len(self.text))
-        raise HeaderError("unexpected_token", self.start)
-
-
-def constant(items: Items) -> tuple[str, int] | None:
-    """Read a type and a value behind the current item; the symbol and its place if the value is
-    just that, of pointer type. A value is a symbol, a group, a literal, or words before either."""
-    items.next()
-    pointer = items.word == "ptr"
-    if items.kind == "open":
-        items.close()
-    elif items.kind not in ("word", "other"):
-        items.fail()
-    items.next()
-    if pointer and items.word == "addrspace":
-        items.next()
-        if items.word != "(":
-            items.fail()
-        items.close()
-        items.next()
-    words = 0
-    while True:
-        if items.kind == "symbol":
-            return (items.word, items.start) if pointer and not words else None
-        if items.kind == "open":
-            items.close()
-            return None
-        if items.kind == "string" and words:
-            return None
-        if items.kind != "word":
-            items.fail()
-        if items.word in LITERALS or items.word[0].isdigit() or re.match(r"-[0-9]", items.word):
-            return None
-        words += 1
-        items.next()
-
-
-def function_header(items: Items) -> dict:
-    """From ``define`` to the brace that opens the body."""
-    name = None
-    while True:
-        items.next()
-        if items.kind == "symbol" and name is None:
-            name = items.word, items.start
-            items.next()
-            if items.word != "(":
-                items.fail()
-            items.close()
-        elif items.kind == "open":
-            if items.word == "{" and name is not None:
-                return {"symbol": name[0], "symbol_at": name[1], "kind": "function", "consumed": items.end}
-            items.close()
-        elif name is not None and items.word in WITH_CONSTANT:
-            constant(items)
-        elif items.kind in ("end", "close", "symbol") or items.word in ("=", "define", "declare"):
-            items.fail()
-
-
-def line_end(text: str, at: int) -> int:
-    end = text.find("\n", at)
-    return len(text) if end < 0 else end + 1
-
-
-def value_header(items: Items) -> dict:
-    """From ``@name =`` to the end of the line on which a global's keyword or an alias ends."""
-    result = {"symbol": items.word, "symbol_at": items.start}
-    items.next()
-    if items.word != "=":
-        items.fail()
-    while items.word not in ("alias", "ifunc"):
-        items.next()
-        if items.word in ("global", "constant"):
-            return {"kind": "skipped", "consumed": line_end(items.text, items.end)}
-        if items.word == "(":
-            items.close()
-        elif items.kind not in ("word", "string", "other"):
-            items.fail()
-    result["kind"] = "ifunc" if items.word == "ifunc" else "expression_alias"
-    items.next()
-    if items.word == ",":
-        items.fail()
-    while items.word != ",":
-        if items.kind == "open":
-            items.close()
-        elif items.kind not in ("word", "other"):
-            items.fail()
-        items.next()
-    target = constant(items)
-    if target and result["kind"] != "ifunc":
-        result |= {"kind": "direct_alias", "target": target[0], "target_at": target[1]}
-    last = items.end
-    items.next()
-    while items.word == ",":
-        items.next()
-        kinds = ("other", "mark") if items.word.startswith("!") else ("string",) if items.word == "partition" else ()
-        items.next()
-        if items.kind not in kinds:
-            items.fail()
-        last = items.end
-        items.next()
-    if items.kind != "end" and not items.line_before:
-        items.fail()
-    return result | {"consumed": line_end(items.text, last)}
-
-
-_FIELDS = ("symbol", "symbol_at", "kind", "target", "target_at", "consumed", "error", "error_at")
-_TEXTS = ("symbol", "kind", "target", "error")
-
-
-def read_header(text: str | None) -> dict:
-    """Kind, consumed bytes and the symbols as written with their places; or the error and its own."""
-    result = dict.fromkeys(_FIELDS)
-    if text is None:
-        return result
-    try:
-        items = Items(text)
-        found = value_header(items) if items.kind == "symbol" else function_header(items)
-        if found["consumed"] > HEADER_LIMIT and found["kind"] != "skipped":
-            raise HeaderError("header_too_long", HEADER_LIMIT)
-        return result | found
-    except HeaderError as bad:
-        if len(text) > HEADER_LIMIT and bad.at >= HEADER_LIMIT:
-            return result | {"error": "header_too_long", "error_at": HEADER_LIMIT}
-        return result | {"error": bad.reason, "error_at": bad.at}
-
-
-_HEADER_TYPE = T.StructType(
-    [T.StructField(f, T.StringType() if f in _TEXTS else T.LongType()) for f in _FIELDS]
-)
+def _code(token: Column) -> Column:
+    """The letter of one token; blanks count only where they hold the end of a line."""
+    first = F.substring(token, 1, 1)
+    code = F.when(first.isin(" ", "\t", "\r", "\n", "\f", ";"), F.when(token.contains("\n"), "N").otherwise(""))
+    code = code.when(first == "@", F.when(F.length(token) > 1, F.when(token == '@"', "B").otherwise("s")).otherwise("x"))
+    code = code.when(first == '"', F.when(F.length(token) > 1, "q").otherwise("B"))
+    code = code.when(token == '%"', "B")
+    code = code.when(first == "!", F.when(F.length(token) > 1, "m").otherwise("y"))
+    code = code.when(first.isin("%", "$"), F.when(F.length(token) > 1, "o").otherwise("x"))
+    for opener, letter in GROUPS.items():
+        code = code.when(token == opener, letter)
+    code = code.when(token.isin(*CLOSE), "z").when(token == "=", "e").when(token == ",", "c")
+    for letter, words in WORDS.items():
+        code = code.when(token.isin(*words), letter)
+    return code.when(token.rlike("^-?[0-9]"), "L").when(token.rlike(f"^{NAME}"), "w").otherwise("x")
+
+
+def _items(heads: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """One row per header: its word ``__codes`` and the items behind it, in order.
 
+    The window groups are single headers, whose length is bounded.
+    """
+    tokens = heads.select(
+        *keys, F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("__i", "__tok")
+    )
+    order = W.partitionBy(*keys).orderBy("__i")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    code = _code(F.col("__tok"))
+    step = F.when(F.col("__tok").isin(*OPEN), 1).when(F.col("__tok").isin(*CLOSE), -1).otherwise(0)
+    rows = tokens.select(
+        *keys, "__i", code.alias("__code"), step.alias("__step"), F.length("__tok").cast("bigint").alias("__n"),
+        F.when(code == "s", F.col("__tok")).alias("__symbol"),
+        F.when(step != 0, F.translate("__tok", CLOSE, OPEN)).alias("__kind"),
+    ).filter(F.col("__n") > 0)
+    rows = rows.withColumns({
+        "__at": F.coalesce(F.sum("__n").over(before), F.lit(0)),
+        "__depth": F.coalesce(F.sum("__step").over(before), F.lit(0)),
+    })
+    # A delimiter's opener is the one before it on its own level.
+    level = F.col("__depth") + F.least("__step", F.lit(0))
+    opener = F.lag("__kind").over(W.partitionBy(*keys, "__level", F.col("__step") != 0).orderBy("__i"))
+    top = (F.col("__depth") <= 0) & (F.col("__code") != "")
+    mismatch = (F.col("__step") == -1) & (F.col("__depth") > 0) & ~F.col("__kind").eqNullSafe(opener)
+    reason = F.when(mismatch, "mismatched_delimiter").when((F.col("__depth") > 0) & (F.col("__code") == "B"), "bad_quoted_text")
+    rows = rows.withColumn("__level", level).withColumns({
+        "__wrong": F.when(reason.isNotNull(), F.struct(F.col("__at").alias("at"), reason.alias("reason"))),
+        "__item": F.sum(top.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)),
+    })
+    items = rows.filter((F.col("__depth") > 0) | top).groupBy(*keys, "__item").agg(
+        F.min_by("__code", "__i").alias("__code"), F.min("__at").alias("__at"),
+        F.min_by(F.col("__at") + F.col("__n"), "__i").alias("__first_end"),
+        F.max_by(F.col("__depth") + F.col("__step"), "__i").alias("__left"),
+        F.min("__wrong").alias("__wrong"),
+        F.min_by("__symbol", "__i").alias("__symbol"),
+        F.max(F.col("__at") + F.col("__n")).alias("__end"),
+    )
+    # A group that a wrong delimiter or the end of the text breaks can still open a body.
+    grouped = F.col("__code").isin(*GROUPS.values())
+    broken = (
+        F.when(grouped & F.col("__wrong").isNotNull(), "M")
+        .when(grouped & (F.col("__left") > 0), "U")
+        .otherwise(F.col("__code"))
+    )
+    item = F.struct(
+        "__item", broken.alias("code"), F.col("__code").alias("whole"), F.col("__at").alias("at"),
+        F.col("__first_end").alias("first_end"), F.col("__end").alias("end"),
+        F.col("__wrong").alias("wrong"), F.col("__symbol").alias("symbol"),
+    )
+    return items.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__items"))
 
-def read_headers(text: Column) -> Column:
-    """`read_header` over a column of texts whose characters are single bytes."""
 
-    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            frame = pd.DataFrame([read_header(t) for t in texts], columns=list(_FIELDS))
-            yield frame.astype({f: "Int64" for f in _FIELDS if f not in _TEXTS})
+def read_headers(heads: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
+    """``symbol, symbol_at, kind, target, target_at, consumed, error, error_at``, ``settled`` and ``size``.
 
-    return F.pandas_udf(_HEADER_TYPE)(read)(text)
+    One header per row, from its first byte, in characters that are single bytes. Symbols are as
+    written. ``settled`` is false where the last token decides, so that more text could decide
+    otherwise.
+    """
+    found = heads.select(*keys, text).join(_items(heads, keys, text), list(keys))
+    items = F.col("__items")
+
+    def matched(pattern: str, letters: Column) -> Column:
+        """Items that the pattern takes up from the start; 0 where it does not fit."""
+        return F.length(F.regexp_extract(letters, f"{pattern}", 0))
+
+    # The second word has groups as if all were whole. The brace that opens the body need not be.
+    found = found.withColumns({
+        "__codes": F.array_join(F.transform(items, lambda x: x["code"]), ""),
+        "__whole": F.array_join(F.transform(items, lambda x: x["whole"]), ""),
+    })
+    codes, whole = F.col("__codes"), F.col("__whole")
+    is_value = codes.startswith("s")
+    body = F.length(F.regexp_extract(codes, FUNCTION_PART, 0))
+    opens = (
+        ~is_value & F.substr(whole, body + 1, F.lit(1)).eqNullSafe(F.lit("b"))
+        & (F.length(F.regexp_extract(whole, FUNCTION, 0)) == body + 1)
+    )
+    function_n = F.when(opens, body + 1).otherwise(F.lit(0))
+    global_n, alias_n = matched(GLOBAL, codes), matched(ALIAS, codes)
+    # An alias ends with its line.
+    line_ends = F.substr(codes, alias_n + 1, F.lit(1)).isin("N", "")
+    part = F.length(F.regexp_extract(codes, ALIAS_PART, 0))
+    found = found.withColumns({
+        "__function": function_n, "__global": F.when(is_value, global_n).otherwise(0),
+        "__alias": F.when(is_value & line_ends, alias_n).otherwise(0),
+        "__fault": F.when(~is_value, body).otherwise(F.greatest(alias_n, part)),
+        # Whether a group could stand at the fault.
+        "__grouped": F.when(~is_value, F.length(F.regexp_extract(whole, FUNCTION_PART, 0)) > body).otherwise(
+            F.length(F.regexp_extract(whole, ALIAS_PART, 0)) > part
+        ),
+    })
+    n_items, size = F.size(items), F.length(text).cast("bigint")
+    at = lambda i: F.get(items, i - 1)
+    taken = F.greatest("__function", "__global", "__alias")
+    behind = (at(F.greatest("__global", "__alias"))["end"] + 1).cast("int")
+    line = F.call_function("locate", F.lit("\n"), F.col(text), behind)
+    line_end = F.when(line > 0, line.cast("bigint")).otherwise(size)
+    bad = F.get(items, F.col("__fault"))
+    reason = (
+        F.when(bad.isNull(), "unexpected_end").when(bad["code"] == "B", "bad_quoted_text")
+        .when(F.col("__grouped") & (bad["code"] == "U"), "unexpected_end")
+        .when(F.col("__grouped") & (bad["code"] == "M"), bad["wrong"]["reason"])
+        .otherwise("unexpected_token")
+    )
+    place = (
+        F.when(reason == "unexpected_end", size)
+        .when(F.col("__grouped") & (bad["code"] == "M"), bad["wrong"]["at"])
+        .otherwise(bad["at"])
+    )
+    named = F.when(F.col("__function") > 0, F.instr(codes, "s")).when(is_value, F.lit(1))
+    direct = matched(DIRECT, codes)
+    kind = (
+        F.when(F.col("__function") > 0, "function").when(F.col("__global") > 0, "skipped")
+        .when((F.col("__alias") > 0) & F.regexp_extract(codes, rf"^sN*+e{_LINKAGE}(.)", 1).eqNullSafe(F.lit("I")), "ifunc")
+        .when((F.col("__alias") > 0) & (direct > 0), "direct_alias")
+        .when(F.col("__alias") > 0, "expression_alias")
+    )
+    consumed = F.when(F.col("__function") > 0, at(F.col("__function"))["first_end"]).when(taken > 0, line_end)
+    found = found.select(
+        *keys,
+        kind.alias("kind"),
+        F.when(kind.isNotNull() & (kind != "skipped"), at(named)["symbol"]).alias("symbol"),
+        F.when(kind.isNotNull(), at(named)["at"]).alias("symbol_at"),
+        F.when(kind == "direct_alias", at(direct)["symbol"]).alias("target"),
+        F.when(kind == "direct_alias", at(direct)["at"]).alias("target_at"),
+        consumed.alias("consumed"),
+        F.when(taken == 0, reason).alias("error"),
+        F.when(taken == 0, place).alias("error_at"),
+        # The item that decides is not the last; an alias needs the item behind it too.
+        (F.when(taken > 0, taken + 1).otherwise(F.col("__fault") + 2) <= n_items).alias("settled"),
+        size.alias("__size"),
+    )
+    too_long = (
+        (F.col("consumed") > HEADER_LIMIT) & (F.col("kind") != "skipped")
+    ) | ((F.col("__size") > HEADER_LIMIT) & (F.col("error_at") >= HEADER_LIMIT))
+    too_long = F.coalesce(too_long, F.lit(False))
+    gone = {c: F.when(~too_long, F.col(c)) for c in ("kind", "symbol", "symbol_at", "target", "target_at", "consumed")}
+    return found.select(
+        *keys, *[c.alias(n) for n, c in gone.items()],
+        F.when(too_long, F.lit("header_too_long")).otherwise(F.col("error")).alias("error"),
+        F.when(too_long, F.lit(HEADER_LIMIT)).otherwise(F.col("error_at")).cast("bigint").alias("error_at"),
+        "settled", F.col("__size").alias("size"),
+    )
 
 
 def decode_symbol(token: Column) -> Column:

@@ -5,13 +5,11 @@ from __future__ import annotations
 import sys
 from collections.abc import Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evlake.operators.scale import BLOCK, running_totals
 from evlake.operators.search import containing_pairs
@@ -174,25 +172,14 @@ def text_lines(df: DataFrame, keys: Sequence[str], text: Column) -> DataFrame:
     )
 
 
-def _starts(data: bytes) -> np.ndarray:
-    ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10) + 1
-    return np.concatenate(([0], ends[ends < len(data)]))
-
-
-def _line_starts(data: Column) -> Column:
-    """Offsets in a chunk where a line, or the rest of one, starts. Chunks have a bounded size."""
-
-    def starts(chunks: pd.Series) -> pd.Series:
-        return chunks.map(_starts)
-
-    return F.pandas_udf(starts, T.ArrayType(T.LongType()))(data)
-
-
 def artifact_lines(chunks: DataFrame, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
-    """Lines of chunked artifacts: ``line_no`` from 0, ``byte_start`` and ``line`` with its newline.
+    """Lines of chunked artifacts in pieces that lie each in one chunk: ``line_no`` from 0,
+    ``byte_start``, ``line`` (the piece, the last one with its newline) and ``cut``.
 
-    Lines inside a chunk are cut where they lie. Only the first and the last part of a chunk, which
-    may belong to a line that crosses chunks, are shuffled and put together.
+    A line within a chunk is one piece. Pieces of a longer line are ordered by ``byte_start``;
+    ``cut`` marks the first and the last piece of a chunk, which alone can belong to such a line.
+    Nothing is put together, so a line can be longer than a cell. Text moves once, with its chunk:
+    the sums inside a chunk keep the partitioning of the join before them.
     """
     data, size = F.col("bytes"), F.octet_length("bytes").cast("bigint")
     sized = chunks.select(
@@ -205,40 +192,26 @@ def artifact_lines(chunks: DataFrame, keys: Sequence[str], block: int = BLOCK) -
         {"__byte": F.col("__size"), "__line": F.col("__lines")},
         block,
     ).select(*keys, "chunk_no", "__byte", "__line")
-    starts = F.col("__starts")
-    placed = (
+    # A character per byte, so lengths are bytes; the split keeps every newline with its line.
+    texts = F.filter(F.split(F.decode(data, "ISO-8859-1"), "(?<=\n)", -1), lambda t: t != "")
+    parts = (
         chunks.filter(size > 0)
         .join(based, [*keys, "chunk_no"])
-        .withColumn("__starts", _line_starts(data))
+        .select(*keys, "chunk_no", "__byte", "__line", F.size(texts).alias("__n"), F.posexplode(texts).alias("__i", "__text"))
     )
-
-    def part(start: Column, i: Column) -> Column:
-        end = F.coalesce(F.get(starts, i + 1), size)
-        return F.struct(
-            (F.col("__line") + i).alias("line_no"),
-            (F.col("__byte") + start).alias("byte_start"),
-            F.substring(data, (start + 1).cast("int"), (end - start).cast("int")).alias("line"),
-            (
-                ((i == 0) & (F.col("chunk_no") > 0))
-                | ((i == F.size(starts) - 1) & ~F.col("__closed"))
-            ).alias("__edge"),
-        )
-
-    parts = (
-        placed.withColumn("__closed", F.substring(data, -1, 1) == F.lit(b"\n"))
-        .select(*keys, F.explode(F.transform(starts, part)).alias("__p"))
-        .select(*keys, "__p.*")
-    )
-    whole = parts.filter(~F.col("__edge")).drop("__edge")
-    crossing = (
-        parts.filter("__edge")
-        .groupBy(*keys, "line_no")
-        .agg(
-            F.min("byte_start").alias("byte_start"),
-            F.expr("listagg(line) within group (order by byte_start)").alias("line"),
-        )
+    # Lengths run up within a chunk, whose rows are bounded.
+    earlier = W.partitionBy(*keys, "chunk_no").orderBy("__i").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("__text")).over(earlier), F.lit(0))
+    closed = F.substring("__text", -1, 1) == NEWLINE
+    return parts.select(
+        *keys,
+        (F.col("__line") + F.col("__i")).alias("line_no"),
+        (F.col("__byte") + before).cast("bigint").alias("byte_start"),
+        F.encode("__text", "ISO-8859-1").alias("line"),
+        (
+            ((F.col("__i") == 0) & (F.col("chunk_no") > 0)) | ((F.col("__i") == F.col("__n") - 1) & ~closed)
+        ).alias("cut"),
     )
-    return whole.unionByName(crossing)
 
 
 _SPOTS = "array<struct<byte_start: bigint, starting_line: bigint, excerpt: string>>"

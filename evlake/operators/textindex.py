@@ -1,14 +1,19 @@
 """Definitions in module text: symbols, kinds and exact byte ranges.
 
-Works on lines, not on whole texts. Quotes and comments end with their line, so a line can be read
-alone; only byte offsets and brace depth carry over, and both are running sums. One huge module is
-therefore spread over many tasks.
+Works on lines, not on whole texts: quotes and comments end with their line. A line of any length
+is read in segments. What a segment does to the state of the reader (code, quote, comment, half an
+escape) is tabled for every state it can start in; the tables of a line's segments compose from the
+left, and each segment is then read from its known state. Only lines that start or close something
+become rows; brace depth, event and definition numbers are running sums over these.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +22,16 @@ from evlake.functions.headers import HEADER_LIMIT, QUOTED, SYMBOL, decode_symbol
 from evlake.operators.scale import BLOCK, running_totals
 from evlake.session import cut_lineage
 
+# Ship the one Python helper with its tasks, so that executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Bytes of a long line that are read together, at least; a definition's header is no longer.
+SEGMENT = HEADER_LIMIT
+# Bytes of a header that are looked at first; most headers end there.
+FIRST_LOOK = 1 << 12
+# Bytes of text under one number, where headers look for their lines.
+REACH = 1 << 16
+
 # Java patterns over one line whose characters are single bytes.
 _BLANK = r"[ \t\r\f]*"
 _HIDDEN = rf"{QUOTED}|;[^\n]*"
@@ -40,102 +55,176 @@ _CROWDED = rf"\}}(?=[ \t\r\f]*(?:define[ \t]|{SYMBOL}[ \t]*=))"
 _PIECES = rf"(?:{QUOTED}|;[^\n]*|[^\}}]|(?!{_CROWDED})\}})*+(?:\}}|\z)"
 
 
-def _brace_steps(text: Column) -> Column:
-    """``array<struct<at, step>>`` of the braces outside quotes and comments."""
-    tokens = F.regexp_extract_all(text, F.lit(rf'{_HIDDEN}|[{{}}]|[^"{{}};]+|.'), F.lit(0))
-    none = F.array().cast("array<struct<at:bigint,step:int>>")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("seen"))
-
-    def walk(acc: Column, token: Column) -> Column:
-        after = acc["at"] + F.length(token)
-        step = F.when(token == "{", 1).when(token == "}", -1)
-        one = F.array(F.struct(after.cast("bigint").alias("at"), step.cast("int").alias("step")))
-        return F.struct(
-            after.cast("bigint").alias("at"),
-            F.when(step.isNotNull(), F.concat(acc["seen"], one))
-            .otherwise(acc["seen"])
-            .alias("seen"),
-        )
+# A run without braces outside quotes and comments, or one brace.
+_RUNS = rf'(?:{QUOTED}|;[^\n]*+|[^"{{}};]|")++|[{{}}]'
+# Up to a quote that is not well-formed, or the end.
+_SOUND = rf'^(?:[^";]|{QUOTED}|;[^\n]*+)*+'
+# A brace at the end of a segment behind which the next one may go on with a definition.
+_TORN = r"\}[ \t\r\f]*(?:d[a-z]{0,5}|@(?:[-A-Za-z0-9_.$]*+|\"[^\"\n]*+\"?))?[ \t]*\z"
+# What stands before a segment that starts in code, a quote, a comment, behind a backslash in a
+# quote, or behind its first digit.
+_LEADS = ["", '"', ";", '"\\', '"\\0']
+
+
+def _state_behind(text: Column) -> Column:
+    """The state at the end of a text without newline that starts in code."""
+    rest = F.regexp_replace(text, r'^(?:[^";]|"[^"]*+")*+', "")
+    body = r'(?s)^"(?:[^"\\]|\\\\|\\[0-9A-Fa-f]{2})*+'
+    return (
+        F.when(rest == "", 0).when(rest.startswith(";"), 2)
+        .when(rest.rlike(body + r"\\\z"), 3).when(rest.rlike(body + r"\\[0-9A-Fa-f]\z"), 4)
+        .otherwise(1)
+    )
+
 
-    walked = F.aggregate(tokens, zero, walk)["seen"]
-    return F.when(text.rlike("[{}]"), walked).otherwise(none)
+def _composed(rows: pa.Table) -> pa.Table:
+    """The state in which each segment of one line starts."""
+    rows = rows.sort_by("seg")
+    states, at = [], 0
+    for table in rows.column("behind").to_pylist():
+        states.append(at)
+        at = table[at]
+    return rows.drop_columns(["behind"]).append_column("state", pa.array(states, pa.int32()))
 
 
-def _line_features(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """What the sums need of each line; the text itself stays behind."""
+def _segments(lines: DataFrame, ks: list[str]) -> DataFrame:
+    """``byte_start, text, head, last, lead, quiet``: lines, long ones in segments.
+
+    ``text`` has a character per byte and starts with the ``lead`` characters of its state. ``head``
+    and ``last`` tell the ends of a line; ``quiet`` rows go on with a line that opens nothing.
+    """
     text = F.decode("line", "ISO-8859-1")
-    lead = (F.length("__text") - F.length("__body")).cast("bigint")
-    # A global's value ends with its line too, whatever it contains.
-    unrelated = F.col("__text").rlike(_UNRELATED) | F.coalesce(
-        F.col("form") == "skipped", F.lit(False)
+    whole = lines.filter(~F.col("cut")) if "cut" in lines.columns else lines
+    whole = whole.select(
+        *ks, "byte_start", text.alias("text"), F.lit(True).alias("head"), F.lit(True).alias("last"),
+        F.lit(0).alias("lead"), F.lit(False).alias("quiet"),
+    )
+    if "cut" not in lines.columns:
+        return whole
+    parts = lines.filter("cut")
+    extent = parts.groupBy(*ks, "line_no").agg(
+        F.min("byte_start").alias("__from"), F.max("byte_start").alias("__to")
+    )
+    seg = lambda at: F.floor((at - F.col("__from")) / F.lit(SEGMENT))
+    joined = parts.join(extent, [*ks, "line_no"]).select(
+        *ks, "line_no", "byte_start", "line", seg(F.col("byte_start")).alias("seg"), seg(F.col("__to")).alias("__last")
+    )
+    # A segment is bounded: `SEGMENT` bytes and the rest of the piece at its end.
+    glued = cut_lineage(
+        joined.groupBy(*ks, "line_no", "seg", "__last").agg(
+            F.min("byte_start").alias("byte_start"),
+            F.expr("listagg(line) within group (order by byte_start)").alias("line"),
+        )
+    )
+    long = glued.filter(F.col("__last") > 0)
+    behind = F.array(*[_state_behind(F.concat(F.lit(p), text)).cast("int") for p in _LEADS])
+    tables = long.select(*ks, "line_no", "seg", behind.alias("behind"))
+    kinds = {f.name: f.dataType.simpleString() for f in tables.schema}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*ks, "line_no", "seg"]) + ", state int"
+    states = tables.groupBy(*ks, "line_no").applyInArrow(_composed, schema)
+    body = F.ltrim(text, F.lit(" \t\r\f"))
+    heads = long.filter("seg = 0").select(
+        *ks, "line_no", (text.rlike(_UNRELATED) | body.rlike(_SKIPPED)).alias("quiet")
+    )
+    lead = F.get(F.array(*[F.lit(p) for p in _LEADS]), F.col("state"))
+    later = long.join(states, [*ks, "line_no", "seg"]).join(heads, [*ks, "line_no"]).select(
+        *ks, "byte_start", F.concat(lead, text).alias("text"), (F.col("seg") == 0).alias("head"),
+        (F.col("seg") == F.col("__last")).alias("last"), F.length(lead).alias("lead"),
+        (F.col("quiet") & (F.col("seg") > 0)).alias("quiet"),
     )
-    steps = F.when(unrelated, F.array().cast("array<struct<at:bigint,step:int>>")).otherwise(
-        _brace_steps(F.col("__text"))
+    single = glued.filter(F.col("__last") == 0).select(
+        *ks, "byte_start", text.alias("text"), F.lit(True).alias("head"), F.lit(True).alias("last"),
+        F.lit(0).alias("lead"), F.lit(False).alias("quiet"),
     )
+    return whole.unionByName(single).unionByName(later)
+
+
+def _uncrowded(segments: DataFrame, ks: list[str]) -> DataFrame:
+    """Segments cut behind every brace that has a definition behind it on the same line.
+
+    Neither ``define`` nor an assignment to ``@`` can stand inside a body, so where one follows a
+    brace, that brace closes a body or the module is broken.
+    """
+    crowded = F.col("text").rlike(_CROWDED)
+    pieces = F.filter(F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0)), lambda p: p != "")
+    names = [c for c in segments.columns if c not in ks]
+    rows = segments.filter(crowded).select("*", F.size(pieces).alias("__n"), F.posexplode(pieces).alias("__i", "__piece"))
+    earlier = W.partitionBy(*ks, "byte_start").orderBy("__i").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length("__piece")).over(earlier), F.lit(0))
+    first = F.col("__i") == 0
+    cut = rows.select(
+        *ks,
+        (F.col("byte_start") + F.when(first, 0).otherwise(before - F.col("lead"))).cast("bigint").alias("byte_start"),
+        F.col("__piece").alias("text"),
+        (F.col("head") | ~first).alias("head"),
+        (F.col("last") | (F.col("__i") < F.col("__n") - 1)).alias("last"),
+        F.when(first, F.col("lead")).otherwise(0).alias("lead"),
+        (F.col("quiet") & first).alias("quiet"),
+    )
+    return segments.filter(~crowded).select(*ks, *names).unionByName(cut.select(*ks, *names))
+
+
+def _features(units: DataFrame, ks: list[str]) -> DataFrame:
+    """What the sums need of lines that start, open or close something; the text stays behind."""
+    # The quote that a segment leaves open is the next one's.
+    sound = F.regexp_extract("text", _SOUND, 0)
+    rest = F.substr("text", F.length(sound) + 1)
+    open_quote = rest.rlike(r'^"(?:[^"\\\r\n]|\\\\|\\[0-9A-Fa-f]{2})*+(?:\\[0-9A-Fa-f]?)?\z')
+    text = F.when(~F.col("last") & open_quote, sound).otherwise(F.col("text"))
+    rows = units.withColumn("__text", text).withColumn("__body", F.ltrim("__text", F.lit(" \t\r\f")))
     bare = F.regexp_replace("__text", _HIDDEN, "")
     seen = F.ltrim(bare, F.lit(" \t\r\f"))
     is_define = F.col("__body").rlike(_START_WORD)
     is_at = F.col("__body").startswith("@")
-    rest = F.regexp_replace("__body", rf"^{SYMBOL}", "")
-    rest = F.regexp_replace(rest, r"^[ \t\r\f]*(;[^\n]*)?", "")
-    form = (
-        F.when(is_define & F.col("__body").rlike(_FUNCTION) & ~bare.rlike(r"\b(?:prefix|prologue)\b"), "function")
+    behind = F.regexp_replace("__body", rf"^{SYMBOL}", "")
+    behind = F.regexp_replace(behind, r"^[ \t\r\f]*(;[^\n]*)?", "")
+    form = F.when(
+        F.col("head"),
+        F.when(is_define & F.col("last") & F.col("__body").rlike(_FUNCTION) & ~bare.rlike(r"\b(?:prefix|prologue)\b"), "function")
         .when(is_define, "header")
         .when(is_at & F.col("__body").rlike(_SKIPPED), "skipped")
-        .when(is_at & F.col("__body").rlike(_DIRECT), "direct_alias")
-        .when(is_at & (rest.startswith("=")), "header")
-        .when(is_at & rest.isin("", "\n"), "symbol_alone")
-        .when(is_at, "stray")
+        .when(is_at & F.col("last") & F.col("__body").rlike(_DIRECT), "direct_alias")
+        .when(is_at & behind.startswith("="), "header")
+        .when(is_at & behind.isin("", "\n"), "symbol_alone")
+        .when(is_at, "stray"),
     )
-    pattern = F.when(F.col("form") == "function", F.regexp_extract("__body", _FUNCTION, 2)).when(
+    rows = rows.withColumn("form", form)
+    # A global's value ends with its line, whatever it contains.
+    quiet = F.col("quiet") | (F.col("head") & (F.col("__text").rlike(_UNRELATED) | F.coalesce(F.col("form") == "skipped", F.lit(False))))
+    braces = ~quiet & F.col("__text").rlike("[{}]")
+    run = lambda t: F.struct(F.length(t).alias("n"), F.when(t == "{", 1).when(t == "}", -1).otherwise(0).alias("step"))
+    runs = F.when(braces, F.transform(F.regexp_extract_all("__text", F.lit(_RUNS), F.lit(0)), run))
+    one = F.col("form").isin("function", "direct_alias")
+    symbol = F.when(F.col("form") == "function", F.regexp_extract("__body", _FUNCTION, 2)).when(
         F.col("form") == "direct_alias", F.regexp_extract("__body", _DIRECT, 2)
     )
     target = F.when(F.col("form") == "direct_alias", F.regexp_extract("__body", _DIRECT, 3))
-    # Where the tokens stand behind the line's lead.
+    # Where the tokens stand behind the line's blanks.
     symbol_at = F.when(F.col("form") == "function", F.length(F.regexp_extract("__body", _FUNCTION, 1)))
     target_at = F.when(F.col("form") == "direct_alias", F.length(F.regexp_extract("__body", _DIRECT, 1)))
-    # The first quote that does not open a well-formed quoted text.
-    good = rf'^(?:[^";]|{QUOTED})*+'
-    bad_quote = F.when(
-        ~unrelated & bare.contains('"'), F.length(F.regexp_extract("__text", good, 0))
-    )
-    return (
-        lines.withColumn("__text", text)
-        .withColumn("__body", F.ltrim(F.col("__text"), F.lit(" \t\r\f")))
-        .withColumn("form", form)
-        .select(
-            *keys,
-            "byte_start",
-            F.length("__text").cast("bigint").alias("byte_len"),
-            "form",
-            lead.alias("lead"),
-            pattern.alias("symbol_token"),
-            target.alias("target_token"),
-            F.coalesce(symbol_at, F.lit(0)).cast("bigint").alias("symbol_at"),
-            target_at.cast("bigint").alias("target_at"),
-            steps.alias("steps"),
-            (~seen.isin("", "\n")).cast("int").alias("solid"),
-            seen.startswith("=").alias("leads_with_equals"),
-            bad_quote.cast("bigint").alias("bad_quote"),
-        )
+    bad_quote = F.when(~quiet & bare.contains('"'), F.length(F.regexp_extract("__text", _SOUND, 0)))
+    torn = ~F.col("last") & ~quiet & bare.rlike(_TORN)
+    found = rows.select(
+        *ks,
+        "byte_start",
+        "head",
+        (F.length("text") - F.col("lead")).cast("bigint").alias("byte_len"),
+        F.col("lead").alias("shift"),
+        "form",
+        (F.length("__text") - F.length("__body")).cast("bigint").alias("lead"),
+        symbol.alias("symbol_token"),
+        target.alias("target_token"),
+        F.when(one, F.coalesce(symbol_at, F.lit(0))).cast("bigint").alias("symbol_at"),
+        target_at.cast("bigint").alias("target_at"),
+        runs.alias("runs"),
+        (F.col("head") & seen.startswith("=")).alias("leads_with_equals"),
+        (bad_quote - F.col("lead")).cast("bigint").alias("bad_quote"),
+        torn.alias("torn"),
     )
-
-
-def _uncrowded(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Lines cut behind every brace that has a definition behind it on the same line.
-
-    Neither ``define`` nor an assignment to ``@`` can stand inside a body, so where one follows a
-    brace, that brace closes a body or the module is broken.
-    """
-    text = F.decode("line", "ISO-8859-1")
-    crowded = text.rlike(_CROWDED)
-    pieces = F.filter(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), lambda p: p != "")
-    rows = lines.filter(crowded).select(*keys, "byte_start", F.posexplode(pieces).alias("__i", "__piece"), pieces.alias("__all"))
-    before = F.aggregate(F.slice("__all", F.lit(1), F.col("__i")), F.lit(0), lambda a, p: a + F.length(p))
-    cut = rows.select(
-        *keys, (F.col("byte_start") + before).alias("byte_start"), F.encode("__piece", "ISO-8859-1").alias("line")
+    return found.filter(
+        F.col("form").isNotNull() | F.col("runs").isNotNull() | F.col("leads_with_equals")
+        | F.col("bad_quote").isNotNull() | F.col("torn")
     )
-    return lines.filter(~crowded).select(*keys, "byte_start", "line").unionByName(cut)
 
 
 def index_blocks(
@@ -143,98 +232,72 @@ def index_blocks(
 ) -> tuple[DataFrame, DataFrame]:
     """Definitions and errors of module texts given as lines.
 
-    ``lines`` holds ``keys``, ``byte_start`` and ``line`` with its newline, as `artifact_lines`
-    makes them. Several definitions may stand on a line. Definitions: ``raw_symbol``, ``kind``, ``target``, ``start``,
-    ``length``. Errors: ``error`` and ``error_at``; a module with an error has no valid index.
+    ``lines`` holds ``keys``, ``byte_start`` and ``line`` with its newline, or pieces of lines with
+    ``line_no`` and ``cut`` too, as `artifact_lines` makes them. Several definitions may stand on a
+    line. Definitions: ``raw_symbol``, ``kind``, ``target``, ``start``, ``length``. Errors: ``error``
+    and ``error_at``; a module with an error has no valid index. Where a line longer than ``SEGMENT``
+    may hold a further definition across the end of a segment, the error is ``line_too_long``.
     """
     ks = list(keys)
-    lines = _uncrowded(lines, ks)
-    # Written once: the sums below read only its narrow columns.
-    features = cut_lineage(_line_features(lines, ks))
-    step_sum = F.aggregate("steps", F.lit(0), lambda a, s: a + s["step"])
-    summed = running_totals(
-        features, ks, "byte_start", {"depth": step_sum, "solid_before": F.col("solid")}, block
-    )
-    # Offsets just behind a brace that closes to depth zero.
-    start = F.struct(
-        F.col("depth").alias("depth"), F.array().cast("array<bigint>").alias("zeros")
-    )
-
-    def close(acc: Column, s: Column) -> Column:
-        depth = acc["depth"] + s["step"]
-        ends = (depth == 0) & (s["step"] == -1)
-        return F.struct(
-            depth.alias("depth"),
-            F.when(ends, F.concat(acc["zeros"], F.array(F.col("byte_start") + s["at"])))
-            .otherwise(acc["zeros"])
-            .alias("zeros"),
-        )
-
-    zeros = F.when(F.size("steps") > 0, F.aggregate("steps", start, close)["zeros"]).otherwise(
-        F.array().cast("array<bigint>")
+    features = cut_lineage(_features(_uncrowded(_segments(lines, ks), ks), ks))
+    # Braces as rows, with their place; the window is one line's runs.
+    runs = features.filter(F.col("runs").isNotNull()).select(
+        *ks, F.col("byte_start").alias("unit"), "shift", F.posexplode("runs").alias("__i", "__r")
     )
-    lowest = F.aggregate(
-        "steps",
-        F.struct(F.col("depth").alias("depth"), F.col("depth").alias("low")),
-        lambda a, s: F.struct(
-            (a["depth"] + s["step"]).alias("depth"),
-            F.least(a["low"], a["depth"] + s["step"]).alias("low"),
-        ),
-    )["low"]
-    # Only lines that start or end something go on; written once, since several joins read them.
-    events = cut_lineage(
-        summed.withColumn("zeros", zeros)
-        .withColumn("below_zero", lowest < 0)
-        .filter(
-            ((F.col("depth") == 0) & F.col("form").isNotNull())
-            | (F.size("zeros") > 0)
-            | F.col("below_zero")
-            | F.col("bad_quote").isNotNull()
-            | ((F.col("depth") == 0) & F.col("leads_with_equals"))
+    earlier = W.partitionBy(*ks, "unit").orderBy("__i").rowsBetween(W.unboundedPreceding, -1)
+    braces = runs.withColumn("__b", F.coalesce(F.sum("__r.n").over(earlier), F.lit(0))).select(
+        *ks, "unit", (F.col("unit") + F.col("__b") - F.col("shift")).cast("bigint").alias("at"), F.col("__r.step").alias("step")
+    ).filter(F.col("step") != 0)
+    # A line comes before a brace at its start.
+    marks = features.select(
+        *ks, (F.col("byte_start") * 2).alias("pos"), F.col("byte_start").alias("unit"), F.lit(0).alias("step")
+    ).unionByName(braces.select(*ks, (F.col("at") * 2 + 1).alias("pos"), "unit", "step"))
+    summed = cut_lineage(
+        running_totals(
+            marks, ks, "pos", {"depth": F.col("step"), "event": (F.col("step") == 0).cast("int")}, block
         )
-        .drop("steps", "solid")
     )
+    depths = summed.filter("step = 0").select(*ks, F.col("unit").alias("byte_start"), "depth", "event")
+    events = cut_lineage(features.drop("runs").join(depths, [*ks, "byte_start"]))
     top = F.col("depth") == 0
+    zeros = summed.filter((F.col("step") == -1) & (F.col("depth") == 1))
+    below = summed.filter((F.col("step") == -1) & (F.col("depth") <= 0))
     plain = events.filter(top & F.col("form").isin("function", "skipped", "direct_alias", "header"))
-    # A symbol alone on its line starts a value when the next solid line begins with `=`.
-    follows = events.filter(top & F.col("leads_with_equals")).select(
-        *ks, (F.col("solid_before") - 1).alias("solid_before")
-    )
+    # A symbol alone on its line starts a value when the next event is a line that begins with `=`.
+    follows = events.filter(top & F.col("leads_with_equals")).select(*ks, (F.col("event") - 1).alias("event"))
     split = (
         events.filter(top & (F.col("form") == "symbol_alone"))
-        .join(follows, [*ks, "solid_before"], "left_semi")
+        .join(follows, [*ks, "event"], "left_semi")
         .withColumn("form", F.lit("header"))
     )
-    starts = plain.unionByName(split.select(*plain.columns)).withColumn(
-        "begin", F.col("byte_start") + F.col("lead")
-    )
+    starts = plain.unionByName(split.select(*plain.columns))
     strays = events.filter(top & F.col("form").isin("stray", "symbol_alone")).join(
         split.select(*ks, "byte_start"), [*ks, "byte_start"], "left_anti"
     )
-    closing = events.filter(F.size("zeros") > 0)
-    # The block of every line: how many definitions have started up to it.
-    marked = features.select(*ks, "byte_start").join(
-        starts.select(*ks, "byte_start", F.lit(1).alias("__start")), [*ks, "byte_start"], "left"
+    # The block of each end and stray: how many definitions have started before it.
+    ordered = (
+        starts.select(*ks, (F.col("byte_start") * 2).alias("pos"), F.lit(1).alias("__start"))
+        .unionByName(zeros.select(*ks, "pos", F.lit(0).alias("__start")))
+        .unionByName(strays.select(*ks, (F.col("byte_start") * 2).alias("pos"), F.lit(0).alias("__start")))
     )
-    numbered = cut_lineage(
-        running_totals(
-            marked.fillna(0, ["__start"]), ks, "byte_start", {"__before": F.col("__start")}, block
-        ).select(*ks, "byte_start", (F.col("__before") + F.col("__start")).alias("block_no"))
+    numbered = cut_lineage(running_totals(ordered, ks, "pos", {"block_no": F.col("__start")}, block))
+    at_line = [*ks, "byte_start"]
+    own = numbered.filter(F.col("pos") % 2 == 0).select(*ks, (F.col("pos") / 2).cast("bigint").alias("byte_start"), "__start", "block_no")
+    blocks = cut_lineage(
+        starts.join(own.filter("__start = 1").drop("__start"), at_line)
+        .withColumn("block_no", F.col("block_no") + 1)
+        .withColumn("begin", F.col("byte_start") + F.col("lead"))
     )
-    blocks = starts.join(numbered, [*ks, "byte_start"])
-    ends = closing.join(numbered, [*ks, "byte_start"]).select(
-        *ks, "block_no", F.explode("zeros").alias("end")
+    ends = numbered.filter(F.col("pos") % 2 == 1).select(
+        *ks, "block_no", ((F.col("pos") + 1) / 2).cast("bigint").alias("end")
     )
-    size = features.groupBy(*ks).agg(
-        F.max(F.col("byte_start") + F.col("byte_len")).alias("__size")
-    )
-    headers = _read_block_headers(lines, blocks, numbered, ks)
+    size = lines.groupBy(*ks).agg(F.max(F.col("byte_start") + F.octet_length("line")).cast("bigint").alias("__size"))
+    headers = _read_block_headers(lines, blocks, ks)
 
     read = F.col("form") == "header"
     kind = F.when(read, F.col("h.kind")).otherwise(F.col("form"))
     symbol = decode_symbol(F.when(read, F.col("h.symbol")).otherwise(F.col("symbol_token")))
     target = decode_symbol(F.when(read, F.col("h.target")).otherwise(F.col("target_token")))
-    line_end = F.col("byte_start") + F.col("byte_len")
     # The limit holds for every form of a header; a global's line is no header.
     too_long = (
         F.col("form").isin("function", "direct_alias") & (F.col("byte_len") - F.col("lead") > HEADER_LIMIT)
@@ -246,8 +309,8 @@ def index_blocks(
         symbol.alias("raw_symbol"),
         kind.alias("kind"),
         target.alias("target"),
-        F.when(F.col("form") == "header", F.col("begin") + F.col("h.consumed"))
-        .otherwise(line_end)
+        F.when(read, F.col("begin") + F.col("h.consumed"))
+        .otherwise(F.col("byte_start") + F.col("byte_len"))
         .alias("head_end"),
         (F.col("begin") + F.when(read, F.col("h.symbol_at")).otherwise(F.col("symbol_at"))).alias("symbol_place"),
         (F.col("begin") + F.when(read, F.col("h.target_at")).otherwise(F.col("target_at"))).alias("target_place"),
@@ -293,20 +356,32 @@ def index_blocks(
         (F.col("end") - F.col("begin")).alias("length"),
     )
     block_errors = judged.filter(F.col("__error").isNotNull()).select(*ks, "__error.*")
-    line_errors = events.filter(
-        F.col("below_zero") | (F.col("bad_quote").isNotNull() & (F.col("depth") > 0))
-    ).select(
-        *ks,
-        F.when(F.col("below_zero"), F.lit("unopened_brace"))
-        .otherwise(F.lit("bad_quoted_text"))
-        .alias("error"),
-        (F.col("byte_start") + F.coalesce("bad_quote", F.lit(0))).alias("error_at"),
+    inside = F.col("depth") > 0
+    # Only behind a brace that closes to depth zero can a definition go on.
+    closed = (
+        summed.filter("step != 0").join(events.filter("torn").select(*ks, F.col("byte_start").alias("unit")), [*ks, "unit"])
+        .groupBy(*ks, "unit").agg(F.max_by(F.col("depth") + F.col("step"), "pos").alias("__left"))
+        .filter("__left = 0").select(*ks, F.col("unit").alias("byte_start"))
+    )
+    line_errors = (
+        below.select(*ks, F.lit("unopened_brace").alias("error"), F.col("unit").alias("error_at"))
+        .distinct()
+        .unionByName(
+            events.filter(F.col("bad_quote").isNotNull() & inside).select(
+                *ks, F.lit("bad_quoted_text").alias("error"), (F.col("byte_start") + F.col("bad_quote")).alias("error_at")
+            )
+        )
+        .unionByName(
+            events.filter("torn").join(closed, at_line, "left_semi").select(
+                *ks, F.lit("line_too_long").alias("error"), (F.col("byte_start") + F.col("byte_len")).alias("error_at")
+            )
+        )
     )
     # A symbol at the start of a line that neither assigns nor continues an open header.
     held = judged.select(*ks, "block_no", "end", F.col("__error").isNotNull().alias("__bad"))
     stray_errors = (
         strays.withColumn("begin", F.col("byte_start") + F.col("lead"))
-        .join(numbered, [*ks, "byte_start"])
+        .join(own.drop("__start"), at_line)
         .join(held, [*ks, "block_no"], "left")
         .filter(F.col("__bad").isNull() | (~F.col("__bad") & (F.col("begin") >= F.col("end"))))
         .select(*ks, F.lit("expected_assignment").alias("error"), F.col("begin").alias("error_at"))
@@ -314,29 +389,58 @@ def index_blocks(
     return definitions, block_errors.unionByName(line_errors).unionByName(stray_errors)
 
 
-def _read_block_headers(
-    lines: DataFrame, blocks: DataFrame, numbered: DataFrame, ks: list[str]
-) -> DataFrame:
+def _read_block_headers(lines: DataFrame, blocks: DataFrame, ks: list[str]) -> DataFrame:
     """``h`` per block whose header is not one of the one-line forms.
 
-    The text of such a header is put together from at most 1 MiB of its lines.
+    A header is looked for in the first bytes of its block. Where these don't decide, all of it is
+    read, up to one byte over the limit: that byte tells a header that is too long from one that just
+    fits.
     """
-    wanted = blocks.filter(F.col("form") == "header").select(*ks, "block_no", "begin")
-    head = (
-        numbered.join(wanted, [*ks, "block_no"])
-        .join(lines.select(*ks, "byte_start", "line"), [*ks, "byte_start"])
-        # One byte over the limit tells a header that is too long from one that just fits.
-        .filter(F.col("byte_start") <= F.col("begin") + HEADER_LIMIT)
-        .withColumn("__skip", F.greatest(F.col("begin") - F.col("byte_start"), F.lit(0)).cast("int"))
-        .groupBy(*ks, "block_no")
-        .agg(
-            F.expr(
-                "listagg(substring(line, __skip + 1, 1048577)) within group (order by byte_start)"
-            ).alias("__head")
+    nexts = blocks.select(*ks, (F.col("block_no") - 1).alias("block_no"), F.col("byte_start").alias("__next"))
+    wanted = blocks.filter(F.col("form") == "header").select(*ks, "block_no", "begin").join(
+        nexts, [*ks, "block_no"], "left"
+    )
+    looks = []
+    for limit in (FIRST_LOOK, HEADER_LIMIT):
+        read = cut_lineage(read_headers(_texts_from(lines, wanted, ks, limit + 1), [*ks, "block_no"]))
+        settled = F.col("settled") | (F.col("size") <= limit)
+        looks.append(read if limit == HEADER_LIMIT else read.filter(settled))
+        wanted = wanted.join(read.filter(~settled).select(*ks, "block_no"), [*ks, "block_no"], "left_semi")
+    fields = ["symbol", "symbol_at", "kind", "target", "target_at", "consumed", "error", "error_at"]
+    return looks[0].unionByName(looks[1]).select(*ks, "block_no", F.struct(*fields).alias("h"))
+
+
+def _texts_from(lines: DataFrame, wanted: DataFrame, ks: list[str], limit: int) -> DataFrame:
+    """``block_no, text``: at most ``limit`` bytes of each block from ``begin`` to ``__next``.
+
+    Lines and blocks meet by the number of a stretch of text, with their places only; the text
+    follows for those that do.
+    """
+    reach = lambda c: F.call_function("div", c, F.lit(REACH).cast("bigint"))
+    stop = F.least(F.coalesce("__next", F.col("begin") + limit), F.col("begin") + limit)
+    asked = wanted.withColumn("stop", stop)
+    asked = asked.withColumn("__r", F.explode(F.sequence(reach(F.col("begin")), reach(F.col("stop") - 1))))
+    n = F.octet_length("line").cast("bigint")
+    placed = lines.select(*ks, "byte_start", (F.col("byte_start") + n).alias("__end")).filter(F.col("__end") > F.col("byte_start"))
+    placed = placed.withColumn("__r", F.explode(F.sequence(reach(F.col("byte_start")), reach(F.col("__end") - 1))))
+    met = (
+        asked.join(placed, [*ks, "__r"])
+        .filter((F.col("byte_start") < F.col("stop")) & (F.col("__end") > F.col("begin")))
+        .select(*ks, "block_no", "begin", "stop", "byte_start")
+        .distinct()
+    )
+    skip = F.greatest(F.col("begin") - F.col("byte_start"), F.lit(0))
+    length = F.col("stop") - F.greatest("begin", "byte_start")
+    return (
+        met.join(lines.select(*ks, "byte_start", "line"), [*ks, "byte_start"])
+        .select(
+            *ks, "block_no", "byte_start",
+            F.substring("line", (skip + 1).cast("int"), length.cast("int")).alias("__part"),
         )
+        .groupBy(*ks, "block_no")
+        .agg(F.expr("listagg(__part) within group (order by byte_start)").alias("__head"))
+        .select(*ks, "block_no", F.decode("__head", "ISO-8859-1").alias("text"))
     )
-    text = F.substring(F.decode("__head", "ISO-8859-1"), 1, HEADER_LIMIT + 1)
-    return head.select(*ks, "block_no", read_headers(text).alias("h"))
 
 
 def tag_index(pages: DataFrame, page_id: str, html: str, tag: str = "a") -> DataFrame:

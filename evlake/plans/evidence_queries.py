@@ -114,16 +114,33 @@ def line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from o join n using (doc_id) where line_no < last or byte_len > 0""",
 )
 def artifact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of chunked texts, with lines that cross chunks put together."""
-    lines = ranges.artifact_lines(_chunks(spark, sf_dir), ["doc_id"])
-    return lines.select(
-        "doc_id",
-        F.col("line_no").cast("bigint").alias("line_no"),
-        "byte_start",
-        F.octet_length("line").cast("bigint").alias("byte_len"),
+    """Lines of chunked texts; the pieces of a line that crosses chunks add up."""
+    return _whole_lines(ranges.artifact_lines(_chunks(spark, sf_dir), ["doc_id"]))
+
+
+def _whole_lines(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("doc_id", F.col("line_no").cast("bigint").alias("line_no")).agg(
+        F.min("byte_start").alias("byte_start"), F.sum(F.octet_length("line")).cast("bigint").alias("byte_len")
     )
 
 
+@query(
+    "long_lines",
+    """
+    with d as (select doc_id, strlen(replace(text, chr(10), ' ')) as n from documents where strlen(text) > 0)
+    select doc_id, 0::bigint as line_no, 0::bigint as byte_start, cast(n as bigint) as byte_len,
+           cast((n + 255) // 256 as bigint) as n_pieces
+    from d""",
+)
+def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as single lines over chunks of 256 bytes: a row per piece, never put together."""
+    docs = _documents(spark, sf_dir)
+    chunks = ranges.chunk_bytes(docs, ["doc_id"], F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).cast("binary"), 256)
+    pieces = ranges.artifact_lines(chunks, ["doc_id"])
+    counts = pieces.groupBy("doc_id").agg(F.count("*").alias("n_pieces"))
+    return _whole_lines(pieces).join(counts, "doc_id")
+
+
 @query(
     "starting_lines",
     _LINES_SQL

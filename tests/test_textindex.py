@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from evlake.functions.headers import HEADER_LIMIT, decode_symbol, read_header
+from evlake.functions.headers import HEADER_LIMIT, decode_symbol, read_headers
+from evlake.operators import textindex
 from evlake.operators.ranges import artifact_lines, chunk_bytes
 from evlake.operators.textindex import index_blocks
 
@@ -136,11 +137,54 @@ def test_long_lines(spark):
     assert bad == {}
 
 
-def test_reader_is_linear():
-    text = "define void @w() " + "word " * 500_000
+def test_lines_in_segments(spark, monkeypatch):
+    """Lines of many segments of a few chunks: quotes, escapes, comments and braces on every border."""
+    monkeypatch.setattr(textindex, "SEGMENT", 64)
+    rng = random.Random(5)
+    parts = ["{ i8 1 }, ", '"}{" ', '"a\\22}\\\\{" ', "i8 %x ", "[2 x i8] ", '"long quoted ' + "}{;" * 40 + '" ', "call @f() "]
+    texts, wanted = {}, {}
+    for i in range(25):
+        body = "".join(rng.choice(parts) for _ in range(rng.randrange(20, 120)))
+        line = body + rng.choice(["", "; a comment }} { " * 20])
+        text = f"define void @w{i}() {{\n {line}\n}}\n@c = constant [9 x i8] {line}\ndefine void @v() {{\n {body}\n}}\n"
+        second = text.rindex("define")
+        texts[f"t{i}"] = text
+        wanted[f"t{i}"] = [(f"w{i}", "function", None, 0, text.index("\n}\n") + 2), ("v", "function", None, second, len(text) - 1 - second)]
+    got, bad = index(spark, texts, chunk=13, block=50)
+    assert bad == {}
+    assert got == wanted
+
+
+def test_a_line_of_a_thousand_chunks(spark):
+    filler = '{ i8 1 }, "}\\22{", ' * 40_000
+    text = f"define void @w() {{\n {filler}; }}}}\n}}\n@v = alias i8, ptr @w\n"
+    assert len(filler) > 700 * 1024
+    got, bad = index(spark, {"long": text}, 700)
+    end = text.index("\n}\n") + 2
+    assert bad == {}
+    assert got["long"] == [("w", "function", None, 0, end), ("v", "direct_alias", "w", end + 1, len(text) - end - 1)]
+
+
+def test_faults_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(textindex, "SEGMENT", 32)
+    pad = "i8 %x, " * 30
+    texts = {"bad quote": f'define void @w() {{\n {pad}"a\\zb"\n}}\n'}
+    _, bad = index(spark, texts, 7)
+    assert bad["bad quote"] == {("bad_quoted_text", texts["bad quote"].index('"'))}
+    # A second definition right behind the end of a segment is refused, not lost.
+    texts = {f"t{n}": "define void @w() {" + "x" * n + " ret void } define void @v() { ret void }" + " " * 60 + "\n" for n in range(30)}
+    got, bad = index(spark, texts, 7)
+    assert all(("line_too_long", 35) in bad[f"t{n}"] for n in range(7))
+    for name in texts:
+        assert [r[0] for r in got[name]] == ["w", "v"] or ("line_too_long", 35) in bad[name], texts[name]
+
+
+def test_reading_is_linear(spark):
+    texts = [(i, "define void @w() " + "word " * 250_000) for i in range(2)]
     started = time.perf_counter()
-    assert read_header(text)["error"] == "header_too_long"
-    assert time.perf_counter() - started < 20
+    found = read_headers(spark.createDataFrame(texts, "id int, text string"), ["id"]).collect()
+    assert {r.error for r in found} == {"header_too_long"}
+    assert time.perf_counter() - started < 60
 
 
 def test_symbols(spark):
