@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from evlake.operators.assemble import current_candidates
 from evlake.operators.integrity import accepted_captures, evidence_violations, published_rules
-from evlake.operators.ranges import CHUNK_BYTES, chunk_bytes
+from evlake.operators.ranges import CHUNK_BYTES
 from evlake.session import cut_lineage
-from evlake.sources.records import Evidence, captures_of, read_artifact_files, scan_evidence
+from evlake.sources.records import Evidence, captures_of, read_artifact_chunks, scan_evidence
 
 TABLES = (
     "instances",
@@ -32,6 +32,10 @@ SEQ = "publish_seq"
 # A batch's rows stand in a folder per attempt to write it; the commit names the one that counts.
 ATTEMPT = "attempt"
 
+# Rows of a row group of chunks. A dictionary or compression could put very many of them into one,
+# and readers take a row group up whole.
+HEAVY_ROWS = {"parquet.enable.dictionary": "false", "parquet.block.row.count.limit": "32"}
+
 
 class CommittedBatch(ValueError):
     """The batch number already holds committed rows, which never change."""
@@ -93,13 +97,13 @@ class Lake:
             if rows is None:
                 continue
             keys = [c for c in _ORDER if c in rows.columns]
-            # Ranges of ids per file let statistics skip files; a large capture spans many. Chunks
-            # already come file by file and are too heavy to move for that.
-            placed = rows if name == "artifact_chunks" else rows.repartitionByRange(*keys)
-            (
-                placed.sortWithinPartitions(*keys)
-                .write.parquet(f"{self._path(name)}/{SEQ}={seq}/{ATTEMPT}={attempt}")
-            )
+            path = f"{self._path(name)}/{SEQ}={seq}/{ATTEMPT}={attempt}"
+            if name == "artifact_chunks":
+                # Chunks come in order and are too heavy to move.
+                rows.write.options(**HEAVY_ROWS).parquet(path)
+            else:
+                # Ranges of ids per file let statistics skip files; a large capture spans many.
+                rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
         (
             self.spark.range(1)
             .select(F.lit(attempt).alias("written"), F.current_timestamp().alias("committed_at"))
@@ -221,13 +225,8 @@ def publish(
     chunks = None
     if with_files:
         declared = ev.artifacts.join(accepted.select("capture_id"), "capture_id", "left_semi")
-        files = read_artifact_files(spark, store, declared)
         if not declared.isEmpty():
-            chunks = chunk_bytes(
-                files,
-                ["capture_id", "artifact_id"],
-                F.col("content"),
-                chunk,
-            ).withColumn("artifact_id", F.col("artifact_id").cast("bigint"))
+            chunks = read_artifact_chunks(spark, store, declared, chunk)
+            chunks = chunks.withColumn("artifact_id", F.col("artifact_id").cast("bigint"))
     lake.write(lake_tables(ev, accepted, chunks), seq)
     return violations

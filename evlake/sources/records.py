@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from evlake import schema as S
 from evlake.functions.identity import CAPTURE_ID, REQUEST_KEY, TOKEN
+from evlake.operators.ranges import CHUNK_BYTES
 from evlake.session import cut_lineage
+from evlake.sources.files import read_file_chunks
 
 _DOCUMENT = "path string, size bigint, raw string"
 
@@ -383,10 +385,17 @@ def scan_artifact_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def read_artifact_files(spark: SparkSession, root: str, declared: DataFrame) -> DataFrame:
-    """Content of declared artifact files only; other files beside a manifest are ignored."""
-    files = spark.read.format("binaryFile").load(f"{root}/captures/*/artifact-*")
-    return declared_only(named_files(files), declared).select("capture_id", "artifact_id", "content")
+def read_artifact_chunks(
+    spark: SparkSession, root: str, declared: DataFrame, chunk: int = CHUNK_BYTES
+) -> DataFrame:
+    """``capture_id, artifact_id, chunk_no, bytes`` of declared artifact files, of any length.
+
+    Other files beside a manifest are not opened. A file is read by as many tasks as it has ranges,
+    and no cell holds more than a chunk.
+    """
+    files = spark.read.format("binaryFile").load(f"{root}/captures/*/artifact-*").select("path", "length")
+    ids = ["capture_id", "artifact_id"]
+    return read_file_chunks(declared_only(named_files(files), declared).select(*ids, "path", "length"), ids, chunk)
 
 
 def named_files(files: DataFrame) -> DataFrame:

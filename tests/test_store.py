@@ -9,7 +9,7 @@ from evlake.operators.integrity import accepted_captures, evidence_violations
 from evlake.operators.observe import candidate_lookup
 from evlake.operators.ranges import read_ranges
 from evlake.operators.resolve import resolve_references, source_evidence
-from evlake.sources import records
+from evlake.sources import files, records
 from evlake.sources.lake import CommittedBatch, Lake, publish
 
 # Leaves that may hold any value of their type, so that an empty text or a false is no fault.
@@ -285,6 +285,46 @@ def test_a_final_newline_is_part_of_no_identifier(spark, tmp_path):
         assert [r.rule for r in records.parse_candidates(frame).collect()] == [f"format:{name}"]
 
 
+def test_an_artifact_over_four_gib(spark, tmp_path):
+    """A sparse file longer than any cell is published, and read across 4 GiB and at its end."""
+    cid, size = store.capture_id(4), (1 << 32) + 17
+    body = store.changed(store.manifest(cid), "/artifacts/0/byte_len", size)
+    store.write(tmp_path / "store", cid, store.header(cid), body)
+    with open(tmp_path / "store" / "captures" / cid / f"artifact-{5:016x}", "r+b") as file:
+        file.truncate(size)
+        file.seek((1 << 32) - 2)
+        file.write(b"abcdefghijklmnopqrs")
+    lake = Lake(spark, str(tmp_path / "lake"))
+    assert publish(spark, str(tmp_path / "store"), lake, 1).count() == 0
+    chunks, artifacts = lake.table("artifact_chunks"), lake.table("artifacts")
+    sizes = chunks.groupBy("artifact_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("bytes")).alias("size"))
+    assert {r.artifact_id: (r.n, r.size) for r in sizes.collect()} == {5: (4097, size), 9: (1, 33)}
+    asked = [(1, cid, 5, (1 << 32) - 2, 5), (2, cid, 5, size - 4, 4), (3, cid, 5, size - 3, 4), (4, cid, 5, 0, 3)]
+    requests = spark.createDataFrame(asked, "range_id long, capture_id string, artifact_id long, start long, length long")
+    found = read_ranges(requests, "range_id", artifacts, chunks, ["capture_id", "artifact_id"])
+    assert {r.range_id: (r.status, r.content and bytes(r.content)) for r in found.collect()} == {
+        1: ("ok", b"abcde"), 2: ("ok", b"pqrs"), 3: ("past_end", None), 4: ("ok", b"fn ")}
+
+
+def test_chunks_of_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "RUN", 3)
+    monkeypatch.setattr(files, "TASK_BYTES", 100)
+    sizes = [0, 1, 6, 7, 8, 300]
+    content = {i: bytes((i + j) % 251 for j in range(n)) for i, n in enumerate(sizes)}
+    for i, data in content.items():
+        (tmp_path / f"a file {i}").write_bytes(data)
+    rows = [(i, f"{'file:' * (i % 2)}{tmp_path}/a file {i}", len(d), "clash") for i, d in content.items()]
+    frame = spark.createDataFrame(rows, "id int, path string, length long, chunk_no string")
+    got = files.read_file_chunks(frame.drop("chunk_no"), ["id"], 7).orderBy("id", "chunk_no").collect()
+    for i, data in content.items():
+        mine = [r for r in got if r.id == i]
+        assert [r.chunk_no for r in mine] == list(range(-(-len(data) // 7)))
+        assert b"".join(bytes(r.bytes) for r in mine) == data
+    assert files.read_file_chunks(frame.drop("chunk_no").limit(0), ["id"], 7).count() == 0
+    with pytest.raises(Exception, match="has changed"):
+        files.read_file_chunks(frame.withColumn("length", F.col("length") + 1).drop("chunk_no"), ["id"], 7).count()
+
+
 def test_committed_batches_never_change(spark, tmp_path):
     lake = Lake(spark, str(tmp_path / "lake"))
     rows = lambda *ids: spark.createDataFrame([(i, 1) for i in ids], "capture_id string, completed_at_unix_ms long")
