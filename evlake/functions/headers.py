@@ -76,7 +76,8 @@ def _code(token: Column) -> Column:
 
 
 def _items(heads: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
-    """One row per header: its word ``__codes`` and the items behind it, in order.
+    """One row per header: ``__items`` in order, their letters ``__codes`` (and ``__whole``, with broken
+    groups as if they were whole), and the first fault inside a group.
 
     The window groups are single headers, whose length is bounded.
     """
@@ -96,37 +97,36 @@ def _items(heads: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         "__at": F.coalesce(F.sum("__n").over(before), F.lit(0)),
         "__depth": F.coalesce(F.sum("__step").over(before), F.lit(0)),
     })
-    # A delimiter's opener is the one before it on its own level.
-    level = F.col("__depth") + F.least("__step", F.lit(0))
-    opener = F.lag("__kind").over(W.partitionBy(*keys, "__level", F.col("__step") != 0).orderBy("__i"))
     top = (F.col("__depth") <= 0) & (F.col("__code") != "")
-    mismatch = (F.col("__step") == -1) & (F.col("__depth") > 0) & ~F.col("__kind").eqNullSafe(opener)
-    reason = F.when(mismatch, "mismatched_delimiter").when((F.col("__depth") > 0) & (F.col("__code") == "B"), "bad_quoted_text")
-    rows = rows.withColumn("__level", level).withColumns({
-        "__wrong": F.when(reason.isNotNull(), F.struct(F.col("__at").alias("at"), reason.alias("reason"))),
-        "__item": F.sum(top.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)),
+    rows = rows.withColumn("__item", F.sum(top.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    # On its own level, a delimiter's opener is the one before it, its closer the one behind it.
+    level = F.col("__depth") + F.least("__step", F.lit(0))
+    delimiters = W.partitionBy(*keys, F.col("__step") != 0, level).orderBy("__i")
+    rows = rows.withColumns({
+        "__opener": F.lag("__kind").over(delimiters), "__closer": F.lead("__at").over(delimiters),
     })
-    items = rows.filter((F.col("__depth") > 0) | top).groupBy(*keys, "__item").agg(
-        F.min_by("__code", "__i").alias("__code"), F.min("__at").alias("__at"),
-        F.min_by(F.col("__at") + F.col("__n"), "__i").alias("__first_end"),
-        F.max_by(F.col("__depth") + F.col("__step"), "__i").alias("__left"),
-        F.min("__wrong").alias("__wrong"),
-        F.min_by("__symbol", "__i").alias("__symbol"),
-        F.max(F.col("__at") + F.col("__n")).alias("__end"),
-    )
-    # A group that a wrong delimiter or the end of the text breaks can still open a body.
+    inside = F.col("__depth") > 0
+    reason = F.when(
+        inside & (F.col("__step") == -1) & ~F.col("__kind").eqNullSafe(F.col("__opener")), "mismatched_delimiter"
+    ).when(inside & (F.col("__code") == "B"), "bad_quoted_text")
+    own_end = F.col("__at") + F.col("__n")
     grouped = F.col("__code").isin(*GROUPS.values())
-    broken = (
-        F.when(grouped & F.col("__wrong").isNotNull(), "M")
-        .when(grouped & (F.col("__left") > 0), "U")
-        .otherwise(F.col("__code"))
-    )
     item = F.struct(
-        "__item", broken.alias("code"), F.col("__code").alias("whole"), F.col("__at").alias("at"),
-        F.col("__first_end").alias("first_end"), F.col("__end").alias("end"),
-        F.col("__wrong").alias("wrong"), F.col("__symbol").alias("symbol"),
+        "__item", F.col("__code").alias("whole"), F.col("__at").alias("at"), own_end.alias("first_end"),
+        F.when(grouped, F.col("__closer") + 1).otherwise(own_end).alias("end"), F.col("__symbol").alias("symbol"),
+        (grouped & F.col("__closer").isNull()).alias("open"),
     )
-    return items.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("__items"))
+    found = rows.filter(top | reason.isNotNull()).groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.when(top, item))).alias("__items"),
+        # The first fault inside a group; no later one can matter.
+        F.min(F.when(reason.isNotNull(), F.struct(F.col("__at").alias("at"), reason.alias("reason"), "__item"))).alias("__wrong"),
+    )
+    at_fault = lambda x: x["whole"].isin(*GROUPS.values()) & (x["__item"] == F.col("__wrong.__item"))
+    code = lambda x: F.when(at_fault(x), "M").when(x["open"], "U").otherwise(x["whole"])
+    return found.withColumns({
+        "__codes": F.array_join(F.transform("__items", code), ""),
+        "__whole": F.array_join(F.transform("__items", lambda x: x["whole"]), ""),
+    })
 
 
 def read_headers(heads: DataFrame, keys: Sequence[str], text: str = "text") -> DataFrame:
@@ -138,16 +138,11 @@ def read_headers(heads: DataFrame, keys: Sequence[str], text: str = "text") -> D
     """
     found = heads.select(*keys, text).join(_items(heads, keys, text), list(keys))
     items = F.col("__items")
-
     def matched(pattern: str, letters: Column) -> Column:
         """Items that the pattern takes up from the start; 0 where it does not fit."""
         return F.length(F.regexp_extract(letters, f"{pattern}", 0))
 
     # The second word has groups as if all were whole. The brace that opens the body need not be.
-    found = found.withColumns({
-        "__codes": F.array_join(F.transform(items, lambda x: x["code"]), ""),
-        "__whole": F.array_join(F.transform(items, lambda x: x["whole"]), ""),
-    })
     codes, whole = F.col("__codes"), F.col("__whole")
     is_value = codes.startswith("s")
     body = F.length(F.regexp_extract(codes, FUNCTION_PART, 0))
@@ -176,15 +171,16 @@ def read_headers(heads: DataFrame, keys: Sequence[str], text: str = "text") -> D
     line = F.call_function("locate", F.lit("\n"), F.col(text), behind)
     line_end = F.when(line > 0, line.cast("bigint")).otherwise(size)
     bad = F.get(items, F.col("__fault"))
+    bad_code = F.substr(codes, F.col("__fault") + 1, F.lit(1))
     reason = (
-        F.when(bad.isNull(), "unexpected_end").when(bad["code"] == "B", "bad_quoted_text")
-        .when(F.col("__grouped") & (bad["code"] == "U"), "unexpected_end")
-        .when(F.col("__grouped") & (bad["code"] == "M"), bad["wrong"]["reason"])
+        F.when(bad.isNull(), "unexpected_end").when(bad_code == "B", "bad_quoted_text")
+        .when(F.col("__grouped") & (bad_code == "U"), "unexpected_end")
+        .when(F.col("__grouped") & (bad_code == "M"), F.col("__wrong.reason"))
         .otherwise("unexpected_token")
     )
     place = (
         F.when(reason == "unexpected_end", size)
-        .when(F.col("__grouped") & (bad["code"] == "M"), bad["wrong"]["at"])
+        .when(F.col("__grouped") & (bad_code == "M"), F.col("__wrong.at"))
         .otherwise(bad["at"])
     )
     named = F.when(F.col("__function") > 0, F.instr(codes, "s")).when(is_value, F.lit(1))

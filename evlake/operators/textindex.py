@@ -402,7 +402,8 @@ def _read_block_headers(lines: DataFrame, blocks: DataFrame, ks: list[str]) -> D
     )
     looks = []
     for limit in (FIRST_LOOK, HEADER_LIMIT):
-        read = cut_lineage(read_headers(_texts_from(lines, wanted, ks, limit + 1), [*ks, "block_no"]))
+        heads = cut_lineage(_texts_from(lines, wanted, ks, limit + 1))
+        read = cut_lineage(read_headers(heads, [*ks, "block_no"]))
         settled = F.col("settled") | (F.col("size") <= limit)
         looks.append(read if limit == HEADER_LIMIT else read.filter(settled))
         wanted = wanted.join(read.filter(~settled).select(*ks, "block_no"), [*ks, "block_no"], "left_semi")

@@ -23,6 +23,7 @@ from evlake.sources.records import (
 )
 from evlake.streaming.completion import completion_stream as run_completion
 from evlake.streaming.publish import publish_stream as run_publish
+from evlake.streaming.timed import spans_of, timed_completion
 
 # --- integrity -----------------------------------------------------------------------------------
 
@@ -504,6 +505,50 @@ def completion_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_completion(stream, ["user_id", "day"], _event_builds)
 
 
+@query(
+    "completion_timed",
+    """
+    with recursive e as (
+        select user_id, epoch_us(ts) // 1000 as t, event_type, value, event_type = 'signup' as fin,
+               row_number() over (partition by user_id order by epoch_us(ts) // 1000, event_id) as i
+        from events),
+    walk as (
+        select user_id, i, t as opened, t + case when fin then 43200000 else 172800000 end as until_, fin as done
+        from e where i = 1
+        union all
+        select e.user_id, e.i, case when e.t > w.until_ then e.t else w.opened end,
+               case when w.done and e.t <= w.until_ then w.until_
+                    when e.fin then e.t + 43200000 else e.t + 172800000 end,
+               e.fin or (w.done and e.t <= w.until_)
+        from walk w join e on e.user_id = w.user_id and e.i = w.i + 1),
+    b as (
+        select user_id, opened, max(t) as last_ms, count(*) as messages,
+               count(*) filter (event_type = 'purchase') as selected, count(*) filter (fin) as finished,
+               count(*) filter (fin and value < 5) as failed, count(*) filter (event_type = 'error') as errors,
+               count(*) filter (event_type = 'purchase' and value < 10) as mismatched
+        from walk join e using (user_id, i) group by user_id, opened)
+    select user_id, opened as opened_ms, last_ms, messages, selected, finished, errors,
+           case when finished <> 1 or failed > 0 then 'not_finished_once' when errors > 0 then 'has_errors'
+                when selected <> 1 then 'not_one_artifact' when mismatched > 0 then 'unexpected_artifact'
+                else 'completed' end as outcome
+    from b""",
+)
+def completion_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of a user's events: over half a day after a signup, or after two days of silence."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    kind = F.col("event_type")
+    spans = timed_completion(
+        stream, F.col("user_id"), F.col("ts").cast("timestamp"),
+        selected=kind == "purchase", finished=kind == "signup", success=F.col("value") >= 5,
+        error=kind == "error", matches=F.col("value") >= 10, grace="12 hours", idle="2 days",
+    )
+    return spans_of(stream, spans).select(
+        F.col("build").cast("bigint").alias("user_id"), F.unix_millis("opened").alias("opened_ms"),
+        F.unix_millis("last").alias("last_ms"), "messages", "selected", "finished", "errors", "outcome",
+    )
+
+
 @query(
     "diagnostic_split",
     _BUILD_SQL

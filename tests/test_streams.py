@@ -1,9 +1,12 @@
+import datetime
+
 from pyspark.sql import functions as F
 
 from evlake.operators import observe
 from evlake.sources.lake import Lake
 from evlake.streaming.completion import completion_stream, latest_rows, run_to_log
 from evlake.streaming.publish import publish_stream
+from evlake.streaming.timed import PROVIDER_KEY, timed_completion, timed_state
 
 CAPTURE = "capture_id string, completed_at_unix_ms long, analysis struct<request_key:string,token:string>"
 
@@ -50,3 +53,48 @@ def test_completion_without_input(spark, tmp_path):
     stream = spark.readStream.schema("build_id string, n int").parquet(str(empty))
     got = completion_stream(stream, ["build_id"], lambda df: df.groupBy("build_id").agg(F.sum("n").alias("n")))
     assert got.columns == ["build_id", "n"] and got.count() == 0
+
+
+def test_state_of_builds_ends(spark, tmp_path):
+    """Spans close behind their finished message or a silence; state falls, late messages stand alone."""
+    schema = "b string, at timestamp, kind string, ok boolean"
+    source, ck = str(tmp_path / "in"), str(tmp_path / "ck")
+    start = datetime.datetime(2024, 1, 1)
+    before = spark.conf.get(PROVIDER_KEY, None)
+
+    def feed(*rows):
+        moved = [(b, start + datetime.timedelta(minutes=m), kind, ok) for b, m, kind, ok in rows]
+        spark.createDataFrame(moved, schema).coalesce(1).write.mode("append").parquet(source)
+        kind = F.col("kind")
+        spans = timed_completion(
+            spark.readStream.schema(schema).parquet(source), F.col("b"), F.col("at"), kind == "artifact",
+            kind == "finished", F.col("ok"), kind == "error", F.lit(True), grace="10 minutes", idle="1 hour", late="1 minute",
+        )
+        found = []
+
+        def keep(rows, batch):
+            found.extend((r.build, (r.opened - start).total_seconds() // 60, r.messages, r.outcome, r.closed) for r in rows.collect())
+
+        query = (spans.writeStream.outputMode("update").option("checkpointLocation", ck).foreachBatch(keep)
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        return sorted(found), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    timed_state(spark)
+    try:
+        rows, _ = feed(("x", 0, "artifact", None), ("x", 1, "finished", True), ("y", 2, "artifact", None), (None, 2, "error", None))
+        assert rows == [("x", 0, 2, "completed", False), ("y", 2, 1, "not_finished_once", False)]
+        # Within the grace an error still counts; a second finished message does not renew the time.
+        rows, _ = feed(("x", 5, "finished", True), ("y", 8, "finished", True))
+        assert rows == [("x", 0, 3, "not_finished_once", False), ("y", 2, 2, "completed", False)]
+        rows, held = feed(("z", 40, "artifact", None))
+        assert ("x", 0, 3, "not_finished_once", True) in rows and ("y", 2, 2, "completed", True) in rows and held == 1
+        # A message after its span has closed opens another.
+        rows, held = feed(("x", 41, "error", None))
+        assert rows == [("x", 41, 1, "not_finished_once", False)] and held == 2
+        # Two spans in one batch: the silence between them is too long.
+        rows, held = feed(("w", 200, "artifact", None), ("w", 300, "finished", True))
+        assert [r for r in rows if r[0] == "w"] == [("w", 200, 1, "not_finished_once", True), ("w", 300, 1, "not_one_artifact", False)]
+        assert {r[:2] for r in rows if r[4]} == {("x", 41), ("z", 40), ("w", 200)} and held == 1
+    finally:
+        spark.conf.unset(PROVIDER_KEY) if before is None else spark.conf.set(PROVIDER_KEY, before)
