@@ -4,7 +4,9 @@ Confirmed toxic texts are the positive examples; all other texts are unlabelled,
 them. With the share of toxic texts known, the risk of a classifier on clean texts is its risk on
 unlabelled texts less the part that the positives explain. Where that estimate falls below zero the
 model only fits chance, so the step goes the other way. The classifier is linear in the distinct
-beginnings of the words of a text and is trained in numpy; whole texts are scored.
+beginnings of the words of a text and is trained in numpy. Every beginning takes part, by how
+surprising its number of positives is; whole texts are learnt from and scored. A text without
+evidence is always below the cut.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evlake.llm.language import SPACE, letters
+from evlake.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,11 +30,13 @@ BITS = 18
 # Lengths of word beginnings in bytes; a longer word also counts by its first ten.
 SHORTEST, LONGEST = 4, 10
 BLOCK = 1 << 18
-# Characters of a text that is learnt from, features kept at most, and the standard errors by which
-# a kept feature is more frequent among the positives.
-FRAGMENT = 3000
-FEATURES = 512
-CLEAR = 6.0
+# The surprise (a log-likelihood ratio) that gives a feature half its weight, and the one that a cut
+# must have; and the number of positives from which the cut stands in the middle of the equally good
+# ones.
+EVIDENCE = 20.0
+CERTAIN = 20.0
+SURE = 10
+FOLDS = 5
 # Distinct word beginnings are weighed down by the root of their number, in units of this root.
 UNIT = 30.0
 
@@ -76,47 +81,47 @@ def raw_score(weights: np.ndarray, features: np.ndarray) -> float:
     return float(weights[features].sum() * UNIT / np.sqrt(max(1, len(features))))
 
 
-def frequent(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Features clearly more frequent among the positives than among the unlabelled texts."""
-    counts = []
-    for texts in (positive, unlabelled):
-        counts.append(np.zeros(1 << BITS))
-        for f in texts:
-            counts[-1][f] += 1
-    share = (counts[1] + 1) / (len(unlabelled) + 2)
-    excess = counts[0] / len(positive) - share
-    clear = excess / np.sqrt(share * (1 - share) / len(positive))
-    best = np.argsort(-clear, kind="stable")[:FEATURES]
-    return best[(clear[best] > CLEAR) & (counts[0][best] >= 3)]
+def surprise(found: np.ndarray, n: int, share: np.ndarray) -> np.ndarray:
+    """Log-likelihood ratio of ``found`` out of ``n``, where ``share`` of all were to be expected."""
+    expected = share * n
+    ratio = np.log(np.maximum(found, 1) / expected)
+    return np.where(found > expected, 2 * (found * ratio - (found - expected)), 0)
 
 
-def train(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 8, rate: float = 0.05
-) -> ToxicityModel:
-    """Minimize the non-negative risk over the clear features; a fifth of either list only sets the
-    cut.
+def trust_of(positive: np.ndarray, unlabelled: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """From 0 to 1 per feature, by the surprise of its count among ``n_p`` positives, given its share
+    of ``n_u`` unlabelled texts. What a single positive has, no other text can confirm: 0."""
+    found = surprise(positive, n_p, (unlabelled + 1) / (n_u + 2))
+    return np.where(positive > 1, found**2 / (found**2 + EVIDENCE**2), 0)
 
-    The cut minimizes the same risk estimate for the 0-1 loss on the texts set apart; the logit is
-    scaled so that the positives set apart are, at their middle, at 0.95.
-    """
-    rng = np.random.default_rng(5)
+
+@dataclass
+class Example:
+    """A text's features, their common factor, its fold, and whether it is positive and unlabelled."""
+
+    features: np.ndarray
+    unit: float
+    fold: int
+    positive: bool
+    unlabelled: bool
+
+
+def descend(
+    positive: list[Example], unlabelled: list[Example], trust: np.ndarray, prior: float, epochs: int = 8, rate: float = 0.05
+) -> np.ndarray:
+    """Weights that minimize the non-negative risk; a feature moves, and weighs, by its trust."""
     weights, squares = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
-    if not positive or not unlabelled or prior <= 0:
-        return ToxicityModel(weights.astype(np.float32), np.inf, 1.0)
-    apart_p, apart_u = positive[::5], unlabelled[::5]
-    fit_p = positive if len(positive) < 5 else [x for i, x in enumerate(positive) if i % 5]
-    fit_u = unlabelled if len(unlabelled) < 5 else [x for i, x in enumerate(unlabelled) if i % 5]
-    chosen = np.zeros(1 << BITS, dtype=bool)
-    chosen[frequent(fit_p, fit_u)] = True
-    # A text's features that may weigh, and their common factor.
-    fit_p, fit_u = ([(f[chosen[f]], UNIT / np.sqrt(max(1, len(f)))) for f in fs] for fs in (fit_p, fit_u))
+    if not positive or not unlabelled or not trust.any():
+        return weights
+    rng = np.random.default_rng(5)
+    fit_p, fit_u = ([(x.features, trust[x.features] * x.unit) for x in xs] for xs in (positive, unlabelled))
     steps, bias = max(1, len(fit_u) // 64), -2.0
     for _ in range(epochs):
         turn = rng.permutation(len(fit_u))
         for step in range(steps):
             clean = [fit_u[i] for i in turn[step::steps]]
             toxic = [fit_p[i] for i in rng.integers(0, len(fit_p), 24)]
-            z = np.array([weights[f].sum() * unit for f, unit in toxic + clean]) + bias
+            z = np.array([weights[f] @ unit for f, unit in toxic + clean]) + bias
             share = 1 / (1 + np.exp(-z))
             loss = np.logaddexp(0, z)
             n = len(toxic)
@@ -129,16 +134,55 @@ def train(
                 squares[f] += g * g
                 weights[f] -= rate * g / np.sqrt(squares[f])
             bias -= rate * slope.sum()
-    p = np.sort([raw_score(weights, f) for f in apart_p])
-    u = np.sort([raw_score(weights, f) for f in apart_u])
+    return weights * trust
+
+
+def train(examples: list[Example], counts: np.ndarray, prior: float) -> ToxicityModel:
+    """A model of all examples, with a cut from scores that each got from the other folds.
+
+    ``counts`` has, per kind (positive, unlabelled), fold and feature, the texts that have it. The
+    cut minimizes the same risk estimate for the 0-1 loss among the cuts above which positives are
+    surprisingly many; of equally good ones a higher one is taken the fewer positives there are.
+    Without such a cut every score is 0. The logit is scaled so that the positives are, at their
+    middle, at 0.95.
+    """
+    sizes = np.array([[sum(getattr(x, kind) and x.fold == k for x in examples) for k in range(FOLDS)]
+                      for kind in ("positive", "unlabelled")])
+
+    def learnt(without: int | None) -> np.ndarray:
+        rest = [x for x in examples if x.fold != without]
+        seen, n = counts.sum(axis=1), sizes.sum(axis=1)
+        if without is not None:
+            seen, n = seen - counts[:, without], n - sizes[:, without]
+        trust = trust_of(seen[0], seen[1], *n) if n.all() else np.zeros(1 << BITS)
+        return descend([x for x in rest if x.positive], [x for x in rest if x.unlabelled], trust, prior)
+
+    none = ToxicityModel(np.zeros(1 << BITS, np.float32), np.inf, 1.0)
+    if not sizes.sum(axis=1).all() or prior <= 0:
+        return none
+    scores: tuple[list[float], list[float]] = ([], [])
+    for k in range(FOLDS):
+        weights = learnt(k)
+        for x in (x for x in examples if x.fold == k):
+            score = float(weights[x.features].sum() * x.unit)
+            for held, wanted in zip(scores, (x.positive, x.unlabelled)):
+                if wanted:
+                    held.append(score)
+    p, u = map(np.sort, scores)
     cuts = np.unique(np.concatenate([p, u]))
     cuts = np.concatenate([(cuts[1:] + cuts[:-1]) / 2, cuts])
-    missed = np.searchsorted(p, cuts) / len(p)
-    called = 1 - np.searchsorted(u, cuts) / len(u)
-    risk = prior * missed + np.maximum(0, called - prior * (1 - missed))
-    best = cuts[risk <= risk.min() + 1e-12]
-    cut = float(np.median(best))
-    return ToxicityModel(weights.astype(np.float32), cut, float(3.0 / max(np.median(p) - cut, 1e-3)))
+    # A text without evidence scores 0, below every cut.
+    cuts = cuts[cuts > 1e-3]
+    caught = len(p) - np.searchsorted(p, cuts)
+    called = (len(u) - np.searchsorted(u, cuts) + 1) / (len(u) + 2)
+    certain = (caught > 1) & (surprise(caught, len(p), called) > CERTAIN)
+    if not certain.any():
+        return none
+    missed = 1 - caught[certain] / len(p)
+    risk = prior * missed + np.maximum(0, called[certain] - prior * (1 - missed))
+    best = cuts[certain][risk <= risk.min() + 1e-12]
+    cut = float(np.quantile(best, 1 - 0.5 * len(p) / (len(p) + SURE)))
+    return ToxicityModel(learnt(None).astype(np.float32), cut, 3.0 / max(float(np.median(p)) - cut, 0.1))
 
 
 def fit(
@@ -154,29 +198,56 @@ def fit(
     """Learn from the rows of both tables where ``learn``, on the id, holds.
 
     About ``positives`` rows labelled 1 and ``unlabelled`` rows of ``docs``, chosen by a hash of the
-    id (all, if fewer), each give a fragment of at most ``FRAGMENT`` characters from a place that
-    the hash chooses. The prior is the share of ones among the labels. Null labels, ids and texts
-    are passed over; without positives every score is 0.
+    id (all, if fewer), are learnt from, with their whole texts. Features are taken in the tasks: the
+    driver gets counts of those that two positives have, at most one row for each fold and each of
+    2^18 buckets, and then per chosen text those that have any trust. The prior is the share of ones
+    among the labels. Null labels, ids and texts are passed over. Without positives, or where they
+    have nothing in common that others lack, every score is 0.
     """
     draw = F.pmod(F.xxhash64(F.lit("toxic"), F.col(id_col)), F.lit(1 << 30))
     marks = labels.filter(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     seen, ones = marks.agg(F.count("*"), F.coalesce(F.sum((F.col(label_col) == 1).cast("int")), F.lit(0))).first()
+    counts = np.zeros((2, FOLDS, 1 << BITS))
     if not ones:
-        return train([], [], 0.0)
+        return train([], counts, 0.0)
     chosen = marks.filter((F.col(label_col) == 1) & (draw < min(1.0, positives / ones) * float(1 << 30)))
     toxic = {r[0] for r in chosen.select(id_col).collect()}
     rows = docs.filter(learn & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     some = draw < min(1.0, unlabelled / max(1, rows.select(id_col).count())) * float(1 << 30)
-    text = F.col(text_col).cast("string")
-    start = F.pmod(F.xxhash64(F.lit("place"), F.col(id_col)), F.greatest(F.length(text) - FRAGMENT, F.lit(1))) + 1
-    sample = (
-        rows.filter(some | F.col(id_col).isin(list(toxic)))
-        .select(id_col, some.alias("some"), F.substr(text, start.cast("int"), F.lit(FRAGMENT)).alias("t"))
-        .collect()
+
+    @F.pandas_udf("array<int>")
+    def features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        flags = np.zeros(1 << BITS, dtype=bool)
+        for texts in batches:
+            yield pd.Series([distinct(t, flags) for t in texts])
+
+    is_toxic = F.col(id_col).isin(list(toxic))
+    sample = cut_lineage(
+        rows.filter(some | is_toxic).select(
+            F.col(id_col).alias("id"), some.cast("int").alias("u"), is_toxic.cast("int").alias("p"),
+            F.pmod(F.xxhash64(F.lit("fold"), F.col(id_col)), F.lit(FOLDS)).cast("int").alias("fold"),
+            features(F.col(text_col).cast("string")).alias("f"),
+        )
+    )
+    seen_in = sample.select(F.explode("f").alias("f"), "fold", "p", "u").groupBy("f", "fold").agg(
+        F.sum("p").alias("p"), F.sum("u").alias("u")
     )
-    flags = np.zeros(1 << BITS, dtype=bool)
-    found = [(r[0], r[1], distinct(r[2], flags)) for r in sorted(sample)]
-    return train([f for i, _, f in found if i in toxic], [f for _, s, f in found if s], ones / seen)
+    common = seen_in.groupBy("f").agg(F.sum("p").alias("all")).filter("all > 1").select("f")
+    found = seen_in.join(common, "f").toPandas()
+    for kind, name in enumerate("pu"):
+        counts[kind, found["fold"], found["f"]] = found[name]
+    kept = counts[0].sum(axis=0) > 1
+
+    @F.pandas_udf("array<int>")
+    def trusted(found: pd.Series) -> pd.Series:
+        return found.map(lambda f: f[kept[f]])
+
+    part = sample.select("id", "p", "u", "fold", F.size("f").alias("n"), trusted("f").alias("f"))
+    examples = [
+        Example(np.array(r.f, np.int64), UNIT / np.sqrt(max(1, r.n)), r.fold, bool(r.p), bool(r.u))
+        for r in part.orderBy("id").collect()
+    ]
+    return train(examples, counts, ones / seen)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -111,8 +111,23 @@ def test_word_beginnings_in_blocks(monkeypatch):
     assert len(toxicity.distinct("", flags)) == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 10, 40])
+def test_few_positives_call_no_clean_text(spark, n):
+    """Positives without anything in common, or too few of them, make nothing toxic."""
+    rng = random.Random(n)
+    docs = [(i, words(rng, LANGS["aa"] + LANGS["cc"], rng.randrange(0, 60)), "l", "s", "x") for i in range(400)]
+    docs += [(1000, "", None, None, None), (1001, None, None, None, None)]
+    frame = spark.createDataFrame(docs, DOCS)
+    marks = spark.createDataFrame([(i, 1, int(i < n)) for i in range(100)], "doc_id bigint, quality int, toxic int")
+    model = toxicity.fit(frame, marks, F.lit(True))
+    scores = [r.Score2 for r in toxicity.score(frame, model, name="Score2").collect()]
+    assert len(scores) == 402 and max(scores) < 0.5
+
+
 @needs_data
-def test_toxicity_query(spark):
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    got = QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.1").join(labels, "doc_id").filter("held_out").collect()
-    assert np.mean([r.predicted == r.toxic for r in got]) > 0.95
+@pytest.mark.parametrize("sf, recall, clean", [("0.01", 0.5, 0.95), ("0.1", 0.85, 0.98)])
+def test_toxicity_query(spark, sf, recall, clean):
+    labels = spark.read.parquet(f"/root/testdata/sf{sf}/labels.parquet")
+    got = QUERIES["op3_toxicity"](spark, f"/root/testdata/sf{sf}").join(labels, "doc_id").filter("held_out").collect()
+    assert np.mean([r.predicted for r in got if r.toxic]) >= recall
+    assert np.mean([not r.predicted for r in got if not r.toxic]) >= clean
