@@ -31,10 +31,11 @@ BITS = 18
 SHORTEST, LONGEST = 4, 10
 BLOCK = 1 << 18
 # The surprise (a log-likelihood ratio) that gives a feature half its weight, and the one that a cut
-# must have; and the number of positives from which the cut stands in the middle of the equally good
+# must have; the least that counts as any; and the number of positives from which the cut stands in the middle of the equally good
 # ones.
 EVIDENCE = 20.0
 CERTAIN = 20.0
+ANY = 2.0
 SURE = 10
 FOLDS = 5
 # Distinct word beginnings are weighed down by the root of their number, in units of this root.
@@ -92,7 +93,7 @@ def trust_of(positive: np.ndarray, unlabelled: np.ndarray, n_p: int, n_u: int) -
     """From 0 to 1 per feature, by the surprise of its count among ``n_p`` positives, given its share
     of ``n_u`` unlabelled texts. What a single positive has, no other text can confirm: 0."""
     found = surprise(positive, n_p, (unlabelled + 1) / (n_u + 2))
-    return np.where(positive > 1, found**2 / (found**2 + EVIDENCE**2), 0)
+    return np.where((positive > 1) & (found > ANY), found**2 / (found**2 + EVIDENCE**2), 0)
 
 
 @dataclass
@@ -236,15 +237,22 @@ def fit(
     found = seen_in.join(common, "f").toPandas()
     for kind, name in enumerate("pu"):
         counts[kind, found["fold"], found["f"]] = found[name]
-    kept = counts[0].sum(axis=0) > 1
-
-    @F.pandas_udf("array<int>")
+    # Features that all examples, or those outside one of the folds, trust.
+    kept = np.zeros(1 << BITS, dtype=bool)
+    sizes = sample.groupBy().agg(*[F.coalesce(F.sum(F.col(k) * (F.col("fold") != f).cast("int")), F.lit(0))
+                                   for f in [*range(FOLDS), -1] for k in "pu"]).first()
+    for i, f in enumerate([*range(FOLDS), None]):
+        rest = counts.sum(axis=1) - (0 if f is None else counts[:, f])
+        if sizes[2 * i] and sizes[2 * i + 1]:
+            kept |= trust_of(rest[0], rest[1], sizes[2 * i], sizes[2 * i + 1]) > 0
+
+    @F.pandas_udf("binary")
     def trusted(found: pd.Series) -> pd.Series:
-        return found.map(lambda f: f[kept[f]])
+        return found.map(lambda f: f[kept[f]].astype("<i4").tobytes())
 
     part = sample.select("id", "p", "u", "fold", F.size("f").alias("n"), trusted("f").alias("f"))
     examples = [
-        Example(np.array(r.f, np.int64), UNIT / np.sqrt(max(1, r.n)), r.fold, bool(r.p), bool(r.u))
+        Example(np.frombuffer(r.f, "<i4"), UNIT / np.sqrt(max(1, r.n)), r.fold, bool(r.p), bool(r.u))
         for r in part.orderBy("id").collect()
     ]
     return train(examples, counts, ones / seen)
