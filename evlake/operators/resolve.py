@@ -237,6 +237,8 @@ def symbol_bodies(
 ) -> DataFrame:
     """Per instance and module that knows its symbol: the chain's end and the body's range."""
     keys = [*scope, module]
+    # Written once: terminals, edges, ends and bodies all read it.
+    definitions = cut_lineage(definitions.select(*keys, symbol, "kind", "target", "start", "length"))
     states = resolve_aliases(definitions, keys, symbol)
     asked = instances.select(*dict.fromkeys([*instance_id, *scope, symbol]))
     hits = asked.join(states.withColumnRenamed("symbol", symbol), [*scope, symbol])
