@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,7 +209,7 @@ def fit(
     draw = F.pmod(F.xxhash64(F.lit("toxic"), F.col(id_col)), F.lit(1 << 30))
     marks = labels.filter(learn & F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     seen, ones = marks.agg(F.count("*"), F.coalesce(F.sum((F.col(label_col) == 1).cast("int")), F.lit(0))).first()
-    counts = np.zeros((2, FOLDS, 1 << BITS))
+    counts = np.zeros((2, FOLDS, 1 << BITS), np.int32)
     if not ones:
         return train([], counts, 0.0)
     chosen = marks.filter((F.col(label_col) == 1) & (draw < min(1.0, positives / ones) * float(1 << 30)))
@@ -234,9 +235,15 @@ def fit(
         F.sum("p").alias("p"), F.sum("u").alias("u")
     )
     common = seen_in.groupBy("f").agg(F.sum("p").alias("all")).filter("all > 1").select("f")
-    found = seen_in.join(common, "f").toPandas()
-    for kind, name in enumerate("pu"):
-        counts[kind, found["fold"], found["f"]] = found[name]
+
+    def packed(rows: pa.Table) -> pa.Table:
+        numbers = np.stack([rows.column(c).to_numpy() for c in ("f", "fold", "p", "u")], axis=1)
+        return pa.table({"numbers": pa.array([numbers.astype("<i4").tobytes()], pa.binary())})
+
+    found = seen_in.join(common, "f").groupBy(F.col("f") % 16).applyInArrow(packed, "numbers binary")
+    for r in found.collect():
+        f, fold, p, u = np.frombuffer(r.numbers, "<i4").reshape(-1, 4).T
+        counts[0, fold, f], counts[1, fold, f] = p, u
     # Features that all examples, or those outside one of the folds, trust.
     kept = np.zeros(1 << BITS, dtype=bool)
     sizes = sample.groupBy().agg(*[F.coalesce(F.sum(F.col(k) * (F.col("fold") != f).cast("int")), F.lit(0))
