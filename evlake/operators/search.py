@@ -74,8 +74,10 @@ def find(
 
 # --- substring search for many patterns -------------------------------------------------------
 
-_TOKEN = "t"
+_WINDOW, _TOKEN = "w", "t"
 _GRAM = 3
+# Tokens of a run, and runs of a window whose least hash is a key.
+_RUN, _LEAST_OF = 4, 4
 
 
 def _pieces(text: Column, n: int) -> Column:
@@ -83,21 +85,50 @@ def _pieces(text: Column, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
 
 
+def _shifted(items: Column, n: int, combine) -> Column:
+    """``combine`` over every ``n`` neighbours of an array, in one pass."""
+    rows = F.arrays_zip(*[F.slice(items, i, F.size(items)).alias(f"a{i}") for i in range(1, n + 1)])
+    whole = F.filter(rows, lambda x: x[f"a{n}"].isNotNull())
+    return F.transform(whole, lambda x: combine(*[x[f"a{i}"] for i in range(1, n + 1)]))
+
+
+def _with_minima(rows: DataFrame, token_lists: Sequence[Column]) -> DataFrame:
+    """Add ``__w``: the least hash of each window of token runs, over all token lists.
+
+    A run of tokens is rarer than any of them. What contains a whole window has its least hash, too.
+    The steps are columns of their own, so that none is computed again for each use.
+    """
+    names = range(len(token_lists))
+    rows = rows.withColumns({f"__t{i}": t for i, t in enumerate(token_lists)})
+    rows = rows.withColumns({f"__r{i}": _shifted(F.col(f"__t{i}"), _RUN, F.xxhash64) for i in names})
+    minima = [_shifted(F.col(f"__r{i}"), _LEAST_OF, F.least) for i in names]
+    every = minima[0] if len(minima) == 1 else F.concat(*minima)
+    return rows.withColumn("__w", every).drop(*[f"__{k}{i}" for k in "tr" for i in names])
+
+
+def _inner_tokens(pattern: Column) -> Column:
+    """The tokens that are whole in any text: the first and the last may be cut inside a word."""
+    tokens = F.split(pattern, r"\s+")
+    return F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - F.lit(2), F.lit(0)))
+
+
 def _pattern_class(pattern: Column) -> Column:
-    """How a pattern is anchored: by a whole inner token, or by runs of 3, 2 or 1 characters."""
+    """How a pattern is anchored: by a window of inner token runs, by an inner token, or by runs of 3,
+    2 or 1 characters."""
     tokens = F.size(F.split(pattern, r"\s+"))
-    return F.when(tokens >= 3, F.lit(_TOKEN)).otherwise(
-        F.least(F.length(pattern), F.lit(_GRAM)).cast("string")
+    return (
+        F.when(tokens - 2 >= _RUN + _LEAST_OF - 1, F.lit(_WINDOW))
+        .when(tokens >= 3, F.lit(_TOKEN))
+        .otherwise(F.least(F.length(pattern), F.lit(_GRAM)).cast("string"))
     )
 
 
 def _pattern_keys(pattern: Column) -> Column:
-    """Keys every text that contains the pattern must have, of the pattern's own class."""
-    tokens = F.split(pattern, r"\s+")
-    # The first and the last token may be cut inside a word of the text; the inner ones are whole.
-    inner = F.slice(tokens, F.lit(2), F.size(tokens) - F.lit(2))
+    """Keys every text that contains the pattern must have, of the pattern's own class; ``__w`` has
+    its windows."""
     kind = _pattern_class(pattern)
-    keys = F.when(kind == _TOKEN, inner)
+    keys = F.when(kind == _WINDOW, F.transform("__w", lambda h: h.cast("string")))
+    keys = keys.when(kind == _TOKEN, _inner_tokens(pattern))
     for n in range(1, _GRAM + 1):
         keys = keys.when(kind == str(n), _pieces(pattern, n))
     return F.array_distinct(keys)
@@ -112,7 +143,8 @@ def _text_keys(columns: Sequence[str], classes: Column) -> Column:
         used = F.array_contains(classes, kind)
         return F.when(used, F.struct(F.lit(kind).alias("__class"), F.array_distinct(every).alias("__keys")))
 
-    kinds = [of(_TOKEN, [F.split(t, r"\s+") for t in texts])]
+    kinds = [of(_WINDOW, [F.transform("__w", lambda h: h.cast("string"))])]
+    kinds += [of(_TOKEN, [F.split(t, r"\s+") for t in texts])]
     kinds += [of(str(n), [_pieces(t, n) for t in texts]) for n in range(1, _GRAM + 1)]
     return F.array_compact(F.array(*kinds))
 
@@ -135,20 +167,44 @@ def containing_pairs(
     broadcast where the anchors turn out small and splitting a key that is hot. ``carry`` adds
     expressions over the text row and the pattern row.
     """
-    keyed = patterns.filter(F.col(pattern) != "").select(
+    candidates = candidate_pairs(texts, text_id, columns, patterns, pattern_id, pattern, scope)
+    extra = {name: c for name, c in (carry or {}).items()}
+    return (
+        candidates.join(texts, [*scope, text_id])
+        .filter(substring_any(columns, F.col("__pattern")))
+        .select(*scope, text_id, pattern_id, *[c.alias(name) for name, c in extra.items()])
+    )
+
+
+def candidate_pairs(
+    texts: DataFrame,
+    text_id: str,
+    columns: Sequence[str],
+    patterns: DataFrame,
+    pattern_id: str,
+    pattern: str,
+    scope: Sequence[str] = (),
+) -> DataFrame:
+    """Pairs of `containing_pairs` before the last check: ids and ``__pattern`` of all texts that have
+    the rarest key of a pattern."""
+    asked = patterns.filter(F.col(pattern) != "")
+    keyed = _with_minima(asked, [_inner_tokens(F.col(pattern))]).select(
         *scope,
         pattern_id,
         F.col(pattern).alias("__pattern"),
         _pattern_class(F.col(pattern)).alias("__class"),
         F.explode(_pattern_keys(F.col(pattern))).alias("__key"),
     )
-    # At most four distinct classes, so this set is bounded.
+    # At most five distinct classes, so this set is bounded.
     classes = patterns.agg(F.collect_set(_pattern_class(F.col(pattern)))).scalar()
     on = [*scope, "__class", "__key"]
     # Only keys that some pattern has. Texts are taken apart once; the counts and the candidates
     # below both read this narrow table.
+    windows = F.array_contains(classes, _WINDOW)
+    tokens = [F.when(windows, F.split(F.coalesce(F.col(c), F.lit("")), r"\s+")) for c in columns]
     text_keys = cut_lineage(
-        texts.select(*scope, text_id, F.explode(_text_keys(columns, classes)).alias("__k"))
+        _with_minima(texts.select(*scope, text_id, *columns), tokens)
+        .select(*scope, text_id, F.explode(_text_keys(columns, classes)).alias("__k"))
         .select(*scope, text_id, "__k.__class", F.explode("__k.__keys").alias("__key"))
         .join(keyed.select(*on).distinct(), on, "left_semi")
     )
@@ -162,13 +218,7 @@ def containing_pairs(
         .filter(F.col("__rarest.n") > 0)
         .select(*scope, pattern_id, "__pattern", "__class", F.col("__rarest.key").alias("__key"))
     )
-    candidates = text_keys.join(anchors, on).drop("__class", "__key")
-    extra = {name: c for name, c in (carry or {}).items()}
-    return (
-        candidates.join(texts, [*scope, text_id])
-        .filter(substring_any(columns, F.col("__pattern")))
-        .select(*scope, text_id, pattern_id, *[c.alias(name) for name, c in extra.items()])
-    )
+    return text_keys.join(anchors, on).drop("__class", "__key")
 
 
 def find_many(

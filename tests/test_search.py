@@ -54,11 +54,11 @@ def test_find_many_equals_brute_force(spark):
     rng = random.Random(7)
     words = ["ka", "kab", "bab", "ab", "é", "😀x", "a b", "  ", "zz%", "."]
     def text():
-        return " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))
+        return " ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 5, 6, 40])))
 
     rows = [(c, i, text(), text(), text(), text()) for c in ("one", "two") for i in range(60)]
     queries = [(c, f"{c}/{q}", q) for c in ("one", "two") for q in
-               {*words, "b k", "ab ka bab", "a b kab a", "x ", "😀", "none of it", "a", " ", "", *(text() for _ in range(10))}]
+               {*words, "b k", "ab ka bab", "a b kab a", "b ka kab  bab ab é zz% . ka a", *(" ".join(rng.choices(words, k=9)) for _ in range(4)), "x ", "😀", "none of it", "a", " ", "", *(text() for _ in range(10))}]
     df = spark.createDataFrame(rows, SCHEMA)
     # Every query has a limit of its own.
     queries = [(*q, 1 + i % 4) for i, q in enumerate(queries)]
@@ -79,3 +79,18 @@ def test_find_many_equals_brute_force(spark):
         if hits:
             want[qid] = [(r[1], kind, len(hits), len(hits) > most) for r in hits[:most]]
     assert got == want
+
+
+def test_passages_of_common_words_have_rare_keys(spark):
+    """Every word is in nearly every text; runs of them tell the texts apart."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(12)]
+    texts = [(i, " ".join(rng.choices(words, k=60))) for i in range(300)]
+    cut = lambda i: texts[i][1][7:80]
+    passages = [(i, cut(i)) for i in range(0, 300, 30)] + [(1000, " ".join(words[::-1]))]
+    frame = spark.createDataFrame(texts, "id int, text string")
+    asked = spark.createDataFrame(passages, "pid int, passage string")
+    candidates = search.candidate_pairs(frame, "id", ["text"], asked, "pid", "passage").count()
+    found = {(r.id, r.pid) for r in search.containing_pairs(frame, "id", ["text"], asked, "pid", "passage").collect()}
+    assert found == {(i, p) for i, t in texts for p, passage in passages if passage in t}
+    assert len(found) >= 10 and candidates <= len(found) + 5
