@@ -149,11 +149,15 @@ STATE = "seg bigint, place int, first int, last int, closing boolean"
 
 
 def segments(turns: DataFrame, most: int) -> DataFrame:
-    """Rows of consecutive turns of one conversation. The rows are range-partitioned by conversation
-    and turn, so a very long conversation spreads over many tasks; written once."""
+    """Rows of consecutive turns of one conversation; written once.
+
+    ``part`` is a stretch of ``most`` turn numbers. Rows are dealt
+    by conversation and part, so a very long conversation spreads over many tasks, and pass through
+    a task in order. Where segments end depends on the turns alone, never on the partitions.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        task = TaskContext.get().partitionId()
         number, key = 0, None
         roles: list = []
         texts: list = []
@@ -164,7 +168,7 @@ def segments(turns: DataFrame, most: int) -> DataFrame:
             nonlocal number, size
             if roles:
                 table = summed([role_of(r) for r in roles]).ravel().tolist()
-                done.append((key, part, (part << 32) + number, list(roles), list(texts), table))
+                done.append((*key, (task << 32) + number, list(roles), list(texts), table))
                 number += 1
             roles.clear(), texts.clear()
             size = 0
@@ -176,11 +180,11 @@ def segments(turns: DataFrame, most: int) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in SEGMENT.split(", ")])
 
         for batch in batches:
-            for conv, role, text in zip(*[c.to_pylist() for c in batch.columns[:3]]):
+            for conv, part, role, text in zip(*[c.to_pylist() for c in batch.columns]):
                 length = len(text or "")
-                if roles and (conv != key or len(roles) >= most or size + length > CHARACTERS):
+                if roles and ((conv, part) != key or len(roles) >= most or size + length > CHARACTERS):
                     close()
-                key = conv
+                key = conv, part
                 roles.append(role)
                 texts.append(text)
                 size += length
@@ -190,16 +194,18 @@ def segments(turns: DataFrame, most: int) -> DataFrame:
         if done:
             yield emit()
 
-    order = [F.col("conv_id"), F.col("turn"), F.col("role"), F.xxhash64("text")]
-    placed = turns.repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut_lineage(placed.select("conv_id", "role", "text").mapInArrow(cut, SEGMENT))
+    # Null and negative numbers stand with those from 0.
+    stretch = F.greatest(F.floor(F.coalesce("turn", F.lit(0)) / F.lit(most)), F.lit(0)).cast("bigint")
+    order = [F.col("conv_id"), F.col("part"), F.col("turn"), F.col("role"), F.xxhash64("text")]
+    placed = turns.withColumn("part", stretch).repartition("conv_id", "part").sortWithinPartitions(*order)
+    return cut_lineage(placed.select("conv_id", "part", "role", "text").mapInArrow(cut, SEGMENT))
 
 
 def known_states(rows: DataFrame) -> DataFrame:
     """The states around each segment of the conversations that have more than one.
 
-    Tables compose per (conversation, task) and then per conversation, so a group has no more rows
-    than a task has segments, or than there are tasks.
+    Tables compose per (conversation, part) and then per conversation, so a group has the segments of
+    one stretch of turns, or one row per stretch.
     """
     narrow = rows.select("conv_id", "part", "seg", "costs")
     many = narrow.groupBy("conv_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("conv_id").alias("c"))
@@ -262,8 +268,10 @@ def formatted(
 ) -> DataFrame:
     """``conv_id, part, n_turns, cost, n_merged, n_relabelled, n_inserted, text``.
 
-    One row per segment of at most ``most`` turns, so nearly always one per conversation; texts in
-    the order of ``part`` joined are the rendering, and costs and counts add up. Turns are ordered
+    One row per segment. A segment ends where the turn numbers pass a multiple of ``most``, and after
+    ``most`` turns or ``CHARACTERS`` characters (a longer text is alone): a conversation of fewer,
+    shorter turns is one row, on any cluster. Texts in the order of ``part`` joined are the
+    rendering, and costs and counts add up. Turns are ordered
     by number (null first), then role and a hash of the text; repeated rows are turns of their own. Roles are
     compared without case and outer blanks; a null or unknown one is free to be any. A null text is
     empty. Rows without a conversation are one conversation. ``<|`` in a text is written ``< |``.
@@ -272,7 +280,8 @@ def formatted(
     rows = segments(turns.select(
         F.col(conv_col).cast("bigint").alias("conv_id"), F.col(turn_col).cast("bigint").alias("turn"),
         F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text")), most)
-    known = known_states(rows).withColumnRenamed("seg", "s")
+    # Written first: where few conversations have several segments, texts need not move to meet it.
+    known = cut_lineage(known_states(rows).withColumnRenamed("seg", "s"))
     schema = ("conv_id bigint, part int, n_turns bigint, cost bigint, n_merged bigint, n_relabelled bigint, "
               "n_inserted bigint, text string")
 

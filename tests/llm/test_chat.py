@@ -75,6 +75,23 @@ def test_against_plain_search(spark, most):
     check(rows, chat.formatted(frame, most=most).collect())
 
 
+def test_rows_do_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), f"{c}:{t}", "x") for c in range(60) for t in range(rng.randrange(1, 9))]
+    rows += [(c, t, "user", "y" * 700_000, "x") for c in (70, None) for t in (None, -3, 0, 4095, 4096, 9000)]
+    frame, before, results = spark.createDataFrame(rows, SCHEMA), spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 8, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = chat.formatted(frame.repartition(n)).collect()
+            results.append(sorted(map(repr, got)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert results[0] == results[1] == results[2]
+    assert len(results[0]) == 60 + 2 * 6
+    check(rows, got)
+
+
 def test_all_short_conversations(spark):
     rows, conv = [], 0
     for n in (1, 2, 3):
