@@ -6,7 +6,7 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evlake.operators.assemble import current_candidates
@@ -32,6 +32,9 @@ SEQ = "publish_seq"
 # A batch's rows stand in a folder per attempt to write it; the commit names the one that counts.
 ATTEMPT = "attempt"
 
+# Filters over the ids of each batch, and the bits of one bucket (fixed by Spark's bitmaps).
+FILTERS = "id_filters"
+FILTER_BITS = 1 << 15
 # Rows of a row group of chunks. A dictionary or compression could put very many of them into one,
 # and readers take a row group up whole.
 HEAVY_ROWS = {"parquet.enable.dictionary": "false", "parquet.block.row.count.limit": "32"}
@@ -92,13 +95,17 @@ class Lake:
         if self.is_committed(seq):
             raise CommittedBatch(f"batch {seq} is committed")
         attempt = uuid.uuid4().hex
-        for name in TABLES:
+        if tables.get("captures") is not None:
+            tables = tables | {FILTERS: id_filter(tables["captures"])}
+        for name in (*TABLES, FILTERS):
             rows = tables.get(name)
             if rows is None:
                 continue
             keys = [c for c in _ORDER if c in rows.columns]
             path = f"{self._path(name)}/{SEQ}={seq}/{ATTEMPT}={attempt}"
-            if name == "artifact_chunks":
+            if name == FILTERS:
+                rows.coalesce(1).write.parquet(path)
+            elif name == "artifact_chunks":
                 # Chunks come in order and are too heavy to move.
                 rows.write.options(**HEAVY_ROWS).parquet(path)
             else:
@@ -112,11 +119,54 @@ class Lake:
             .parquet(f"{self._path(COMMITS)}/{SEQ}={seq}")
         )
 
+    def batches_with(self, ids: DataFrame) -> DataFrame | None:
+        """Rows of ``captures`` of those committed batches that may hold one of the ``capture_id``s.
+
+        Each batch has a filter over its ids, in buckets of 4 KiB; an id meets one bucket per batch.
+        A batch whose filter has none of the ids is not opened: batch numbers are partitions.
+        """
+        rows, filters = self.table("captures"), self.table(FILTERS)
+        if rows is None or filters is None:
+            return rows
+        # Powers of two, so there are few.
+        sizes = [r[0] for r in filters.select("buckets").distinct().collect()]
+        probes = ids.select(F.explode(F.array(*[F.lit(n) for n in sizes] or [F.lit(1)])).alias("buckets"), "capture_id")
+        probes = probes.select("buckets", *filter_places(F.col("capture_id"), F.col("buckets")))
+        hits = filters.join(probes, ["buckets", "bucket"])
+        for bit in ("bit1", "bit2"):
+            byte = F.conv(F.hex(F.substring("bits", (F.col(bit) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            hits = hits.filter(F.call_function("getbit", byte, (F.col(bit) % 8).cast("int")) == 1)
+        opened = [r[0] for r in hits.select(SEQ).distinct().collect()]
+        # Batches written without a filter are always opened.
+        plain = self._read(COMMITS).select(SEQ).distinct().join(filters.select(SEQ).distinct(), SEQ, "left_anti")
+        opened += [r[0] for r in plain.collect()]
+        return rows.filter(F.col(SEQ).isin(opened))
+
     def is_committed(self, seq: int) -> bool:
         commits = self._read(COMMITS)
         return commits is not None and not commits.filter(F.col(SEQ) == seq).isEmpty()
 
 
+def filter_places(capture_id: Column, buckets: Column) -> list[Column]:
+    """The bucket of an id and its two bits there."""
+    first, second = F.xxhash64(capture_id), F.xxhash64(F.lit("second"), capture_id)
+    return [
+        F.pmod(F.shiftright(first, 15), buckets).alias("bucket"),
+        F.pmod(first, F.lit(FILTER_BITS)).alias("bit1"),
+        F.pmod(second, F.lit(FILTER_BITS)).alias("bit2"),
+    ]
+
+
+def id_filter(captures: DataFrame) -> DataFrame:
+    """``buckets, bucket, bits``: a filter over the ids, with about 16 to 32 bits for each."""
+    wanted = captures.count() * 16 // FILTER_BITS
+    places = captures.select(*filter_places(F.col("capture_id"), F.lit(1 << wanted.bit_length())))
+    bits = places.select("bucket", F.explode(F.array("bit1", "bit2")).alias("bit"))
+    return bits.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).select(
+        F.lit(1 << wanted.bit_length()).cast("bigint").alias("buckets"), "bucket", "bits"
+    )
+
+
 def _bigint(name: str):
     return F.col(name).try_cast("bigint").alias(name)
 
@@ -214,7 +264,7 @@ def publish(
     ev = scan_evidence(spark, store, with_files)
     incoming = captures_of(ev.headers, ev.manifests)
     violations = evidence_violations(ev)
-    known = lake.table("captures")
+    known = lake.batches_with(incoming)
     if known is not None:
         others = known.filter(F.col(SEQ) != seq)
         violations = violations.unionByName(published_rules(incoming, others))

@@ -18,8 +18,8 @@ def publish_stream(
 ) -> None:
     """Append new captures of a stream to the lake, batch by batch.
 
-    A batch keeps one row per id and drops ids that other batches already hold. It overwrites its
-    own partition and commits last, so replays and repeated ids are no-ops. Batches are numbered
+    A batch keeps one row per id and drops ids that other batches already hold; of these it opens
+    only those whose filter may have one of its ids. It writes its own partition and commits last, so replays and repeated ids are no-ops. Batches are numbered
     from ``first_seq``; writers of one lake need ranges that do not meet.
     """
 
@@ -27,8 +27,9 @@ def publish_stream(
         seq = first_seq + batch
         if lake.is_committed(seq):
             return
-        fresh = rows.dropDuplicates(["capture_id"])
-        known = lake.table("captures")
+        # Both reads below must see the same choice among repeated ids.
+        fresh = cut_lineage(rows.dropDuplicates(["capture_id"]))
+        known = lake.batches_with(fresh)
         if known is not None:
             held = known.filter(F.col(SEQ) != seq).select("capture_id")
             fresh = fresh.join(held, "capture_id", "left_anti")

@@ -3,7 +3,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from evlake.operators import observe
-from evlake.sources.lake import Lake
+from evlake.sources.lake import SEQ, Lake
 from evlake.streaming.completion import completion_stream, latest_rows, run_to_log
 from evlake.streaming.publish import publish_stream
 from evlake.streaming.timed import PROVIDER_KEY, timed_completion, timed_state
@@ -30,6 +30,23 @@ def test_repeated_ids_have_one_effect(spark, tmp_path):
     assert {r.request_key: r.capture_id for r in lake.candidates().collect()} == {"k": "c", "l": "b"}
 
 
+def test_only_batches_that_may_hold_an_id_are_opened(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    frame = lambda ids: spark.createDataFrame([(i, 1, ("k", "t")) for i in ids], CAPTURE)
+    for seq in range(6):
+        lake.write({"captures": frame(f"{seq}-{i}" for i in range(300 * (seq % 3) + 1))}, seq)
+    opened = lambda ids: {r[0] for r in lake.batches_with(frame(ids)).select(SEQ).distinct().collect()}
+    for seq in range(6):
+        assert seq in opened([f"{seq}-0"]) and len(opened([f"{seq}-0"])) <= 2
+    plan = lake.batches_with(frame(["3-0"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "publish_seq" in plan.split("PartitionFilters")[1][:200]
+    strangers = [f"x{i}" for i in range(40)]
+    assert sum(len(opened([s])) for s in strangers[:8]) <= 4
+    assert {0, 5} <= opened(["0-0", "5-600", *strangers])
+    held = lake.batches_with(frame(["2-599", "4-300", "x"])).select("capture_id").collect()
+    assert {"2-599", "4-300"} <= {r.capture_id for r in held}
+
+
 def test_completion_keeps_the_newest_row(spark, tmp_path):
     schema = "build_id string, kind string, ok boolean"
     source, log, ck = (str(tmp_path / n) for n in ("in", "log", "ck"))
