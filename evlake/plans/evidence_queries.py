@@ -622,6 +622,7 @@ def current_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from part left join m using (p_brand)""",
 )
 def next_artifact_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids behind the stored ones; one brand has none stored, which is the case of an empty store."""
     part = table(spark, sf_dir, "part")
     stored = part.filter(F.col("p_brand") != "Brand#3").select(
         "p_brand", F.col("p_size").cast("bigint").alias("artifact_id")

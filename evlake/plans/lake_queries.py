@@ -86,6 +86,7 @@ def missing_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     where kind is null or kind <> 'source' or l_quantity + l_linenumber > byte_len""",
 )
 def bad_artifact_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to artifacts that are missing (one type is left out for that) or of another kind."""
     artifacts = (
         table(spark, sf_dir, "part")
         .filter(F.col("p_type") != "ECONOMY")
