@@ -78,6 +78,7 @@ _WINDOW, _TOKEN = "w", "t"
 _GRAM = 3
 # Tokens of a run, and runs of a window whose least hash is a key.
 _RUN, _LEAST_OF = 4, 4
+_RUNS = r"(?<!\S)(?=(\S+(?:\s+\S+){%d})(?!\S))(?=\S)" % (_RUN - 1)
 
 
 def _pieces(text: Column, n: int) -> Column:
@@ -85,25 +86,23 @@ def _pieces(text: Column, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)(?=(.{%d}))" % n), F.lit(1))
 
 
-def _shifted(items: Column, n: int, combine) -> Column:
-    """``combine`` over every ``n`` neighbours of an array, in one pass."""
-    rows = F.arrays_zip(*[F.slice(items, i, F.size(items)).alias(f"a{i}") for i in range(1, n + 1)])
-    whole = F.filter(rows, lambda x: x[f"a{n}"].isNotNull())
-    return F.transform(whole, lambda x: combine(*[x[f"a{i}"] for i in range(1, n + 1)]))
+def _with_minima(rows: DataFrame, texts: Sequence[Column]) -> DataFrame:
+    """Add ``__w``: the least hash of each window of token runs, over all texts (none of a null one).
 
+    A run of tokens, with the blanks between, is rarer than any of them. What contains a whole window
+    has its least hash, too. Hashes are columns of their own, so that none is computed twice.
+    """
+    names = [f"__r{i}" for i in range(len(texts))]
+    hashed = lambda t: F.transform(F.regexp_extract_all(t, F.lit(_RUNS), F.lit(1)), lambda run: F.xxhash64(run))
+    rows = rows.withColumns(dict(zip(names, texts)))
+    rows = rows.withColumns({n: hashed(F.col(n)) for n in names})
 
-def _with_minima(rows: DataFrame, token_lists: Sequence[Column]) -> DataFrame:
-    """Add ``__w``: the least hash of each window of token runs, over all token lists.
+    def minima(hashes: Column) -> Column:
+        windows = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - F.lit(_LEAST_OF - 1), F.lit(0)))
+        return F.transform(windows, lambda h, i: F.array_min(F.slice(hashes, i + F.lit(1), F.lit(_LEAST_OF))))
 
-    A run of tokens is rarer than any of them. What contains a whole window has its least hash, too.
-    The steps are columns of their own, so that none is computed again for each use.
-    """
-    names = range(len(token_lists))
-    rows = rows.withColumns({f"__t{i}": t for i, t in enumerate(token_lists)})
-    rows = rows.withColumns({f"__r{i}": _shifted(F.col(f"__t{i}"), _RUN, F.xxhash64) for i in names})
-    minima = [_shifted(F.col(f"__r{i}"), _LEAST_OF, F.least) for i in names]
-    every = minima[0] if len(minima) == 1 else F.concat(*minima)
-    return rows.withColumn("__w", every).drop(*[f"__{k}{i}" for k in "tr" for i in names])
+    every = [minima(F.col(n)) for n in names]
+    return rows.withColumn("__w", every[0] if len(every) == 1 else F.concat(*every)).drop(*names)
 
 
 def _inner_tokens(pattern: Column) -> Column:
@@ -188,7 +187,9 @@ def candidate_pairs(
     """Pairs of `containing_pairs` before the last check: ids and ``__pattern`` of all texts that have
     the rarest key of a pattern."""
     asked = patterns.filter(F.col(pattern) != "")
-    keyed = _with_minima(asked, [_inner_tokens(F.col(pattern))]).select(
+    # The first and the last token may be cut inside a word of a text; what is between is whole.
+    inner = F.regexp_extract(pattern, r"(?s)^\S*\s+(.*)\s+\S*$", 1)
+    keyed = _with_minima(asked, [inner]).select(
         *scope,
         pattern_id,
         F.col(pattern).alias("__pattern"),
@@ -201,9 +202,9 @@ def candidate_pairs(
     # Only keys that some pattern has. Texts are taken apart once; the counts and the candidates
     # below both read this narrow table.
     windows = F.array_contains(classes, _WINDOW)
-    tokens = [F.when(windows, F.split(F.coalesce(F.col(c), F.lit("")), r"\s+")) for c in columns]
+    searched = [F.when(windows, F.coalesce(F.col(c), F.lit(""))) for c in columns]
     text_keys = cut_lineage(
-        _with_minima(texts.select(*scope, text_id, *columns), tokens)
+        _with_minima(texts.select(*scope, text_id, *columns), searched)
         .select(*scope, text_id, F.explode(_text_keys(columns, classes)).alias("__k"))
         .select(*scope, text_id, "__k.__class", F.explode("__k.__keys").alias("__key"))
         .join(keyed.select(*on).distinct(), on, "left_semi")
