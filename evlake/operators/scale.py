@@ -12,6 +12,20 @@ from evlake.session import cut_lineage
 
 # Rows of one window task in `running_totals`. The next level holds one row per block.
 BLOCK = 1 << 18
+# Rows of one file in `dealt`, each of which costs some hundred microseconds.
+DEALT = 20_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = DEALT) -> DataFrame:
+    """The rows dealt by ``keys`` to every core alike, in files of about ``rows`` of them at most.
+
+    A task of a scan is measured by the bytes it reads. Where each row stands for much work, a small
+    file would give all of it to a few tasks. The rows are written: filters, and the work in their
+    conditions, would else move below the repartition. (As many files for each core: scans pack small
+    files by their number.)
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return cut_lineage(df.repartition(cores * (df.count() // (cores * rows) + 1), *keys))
 
 
 def running_totals(

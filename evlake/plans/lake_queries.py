@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evlake.functions import display, identity
 from evlake.operators import integrity, observe
+from evlake.operators.scale import dealt
 from evlake.plans.registry import query, table
 from evlake.plans.search_queries import _order_captures
 from evlake.schema import STAGES
@@ -285,8 +286,12 @@ _DEFECT_ROWS = ", ".join(
 )
 
 
-def _record_documents(part: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A header and a manifest document per part, some of them broken by their `p_size`."""
+def _record_documents(part: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """A header and a manifest document per part, some of them broken by their `p_size`.
+
+    ``keep`` names columns of the part that stay beside its documents.
+    """
+    part = dealt(part, "p_partkey")
     d, key = F.col("p_size"), F.col("p_partkey")
 
     def at(size: int, broken: Column, sound: Column) -> Column:
@@ -422,6 +427,7 @@ def _record_documents(part: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def documents(raw: Column, name: str) -> DataFrame:
         return part.select(
+            *keep,
             F.concat(text("/captures/"), cid, text(f"/{name}")).alias("path"),
             F.octet_length(raw).cast("bigint").alias("size"),
             raw.alias("raw"),

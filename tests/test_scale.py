@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evlake.operators.assemble import dedup_snapshots
-from evlake.operators.scale import ordinals, running_totals
+from evlake.operators.scale import dealt, ordinals, running_totals
 from evlake.operators.search import containing_pairs
 
 
@@ -57,6 +57,22 @@ def test_snapshots_of_sparse_ids(spark):
     assert got == {seq: (i % 700, i < 700) for i, (seq, _) in enumerate(rows)}
 
 
+def test_work_of_a_small_file_is_dealt(spark, tmp_path):
+    """Every core gets rows, also where the work is a condition that moves down to the scan."""
+    from evlake.plans.lake_queries import _record_documents
+
+    names = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+    rows = [(i, f"red nut {i}", f"b{i % 3}", "LARGE", i % 50 + 1) for i in range(400)]
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(str(tmp_path / "part"))
+    part = spark.read.parquet(str(tmp_path / "part"))
+    cores = spark.sparkContext.defaultParallelism
+    for docs in (dealt(part, "p_partkey", rows=30), *_record_documents(part, "p_partkey")):
+        kept = docs.filter(F.try_parse_json(F.to_json(F.struct("*"))).isNotNull())
+        shares = kept.groupBy(F.spark_partition_id()).count().collect()
+        assert len(shares) >= cores and sum(r["count"] for r in shares) == 400
+        assert {r.p_partkey for r in docs.collect()} == set(range(400))
+
+
 def test_one_key_in_most_texts(spark):
     """A word that nearly every text holds does not anchor a pattern that also has a rare word."""
     texts = [(i, f"common words here {'rare' if i % 50 == 0 else 'usual'} end {i}") for i in range(500)]
