@@ -10,6 +10,7 @@ from evlake.operators import assemble, integrity, resolve, search
 from evlake.plans.evidence_queries import _BODIES_SQL, _bodies
 from evlake.plans.lake_queries import _record_documents
 from evlake.plans.registry import query, table
+from evlake.session import cut_lineage
 from evlake.sources.records import captures_of, declared_only, named_files, parse_headers, parse_manifests
 
 # A part's capture id, as `_record_documents` makes it.
@@ -28,12 +29,12 @@ def scan_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers in table form; broken ones and those of another version are left to the rules."""
     headers, manifests = _record_documents(table(spark, sf_dir, "part"))
     captures = captures_of(parse_headers(headers), parse_manifests(manifests))
-    listed = search.list_captures(captures, "completed_at_unix_ms", "capture_id")
-    return listed.select(
-        "capture_id",
-        F.coalesce(F.nullif(F.col("build.package"), F.lit("")), F.col("build.target.name")).alias("package"),
-        "format_version",
+    package = F.coalesce(F.nullif(F.col("build.package"), F.lit("")), F.col("build.target.name"))
+    # The sort reads its input twice, for its borders too; documents are parsed once.
+    parsed = cut_lineage(
+        captures.select("capture_id", package.alias("package"), "format_version", "completed_at_unix_ms")
     )
+    return search.list_captures(parsed, "completed_at_unix_ms", "capture_id").drop("completed_at_unix_ms")
 
 
 @query(
