@@ -69,14 +69,9 @@ def size_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ids_agree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fourth header stands in the folder of its neighbour."""
     part = table(spark, sf_dir, "part").withColumn("p_size", F.lit(0))
-    headers, _ = _record_documents(part)
-    moved = part.select(
-        F.concat(F.lit("/captures/"), _capture_id(F.col("p_partkey")), F.lit("/capture.json")).alias("path"),
-        _capture_id(F.col("p_partkey") + F.when(F.col("p_partkey") % 4 == 0, 1).otherwise(0)).alias("folder"),
-    )
-    documents = headers.join(moved, "path").withColumn(
-        "path", F.concat(F.lit("/captures/"), "folder", F.lit("/capture.json"))
-    )
+    headers, _ = _record_documents(part, "p_partkey")
+    folder = _capture_id(F.col("p_partkey") + F.when(F.col("p_partkey") % 4 == 0, 1).otherwise(0))
+    documents = headers.withColumn("path", F.concat(F.lit("/captures/"), folder, F.lit("/capture.json")))
     return integrity.header_rules(parse_headers(documents)).select("capture_id", "rule", "detail")
 
 
