@@ -46,12 +46,9 @@ def scan_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def size_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fifth header is over the limit: listed by its size, never read, and the only fault."""
     part = table(spark, sf_dir, "part").withColumn("p_size", F.lit(0))
-    headers, _ = _record_documents(part)
-    sizes = part.select(
-        F.concat(F.lit("/captures/"), _capture_id(F.col("p_partkey")), F.lit("/capture.json")).alias("path"),
-        F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey") + 2_000_000).alias("big"),
-    )
-    documents = headers.join(sizes, "path").select(
+    headers, _ = _record_documents(part, "p_partkey")
+    big = F.when(F.col("p_partkey") % 5 == 0, F.col("p_partkey") + 2_000_000)
+    documents = headers.withColumn("big", big).select(
         "path",
         F.coalesce("big", "size").alias("size"),
         F.when(F.col("big").isNull(), F.col("raw")).alias("raw"),
