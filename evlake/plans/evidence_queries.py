@@ -118,9 +118,10 @@ def artifact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _whole_lines(ranges.artifact_lines(_chunks(spark, sf_dir), ["doc_id"]))
 
 
-def _whole_lines(pieces: DataFrame) -> DataFrame:
+def _whole_lines(pieces: DataFrame, *more: Column) -> DataFrame:
     return pieces.groupBy("doc_id", F.col("line_no").cast("bigint").alias("line_no")).agg(
-        F.min("byte_start").alias("byte_start"), F.sum(F.octet_length("line")).cast("bigint").alias("byte_len")
+        F.min("byte_start").alias("byte_start"), F.sum(F.octet_length("line")).cast("bigint").alias("byte_len"),
+        *more,
     )
 
 
@@ -137,8 +138,8 @@ def long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     chunks = ranges.chunk_bytes(docs, ["doc_id"], F.replace(F.col("text"), F.lit("\n"), F.lit(" ")).cast("binary"), 256)
     pieces = ranges.artifact_lines(chunks, ["doc_id"])
-    counts = pieces.groupBy("doc_id").agg(F.count("*").alias("n_pieces"))
-    return _whole_lines(pieces).join(counts, "doc_id")
+    # All pieces of a text lie in its one line: counted as the line is measured, in one pass.
+    return _whole_lines(pieces, F.count("*").alias("n_pieces"))
 
 
 @query(

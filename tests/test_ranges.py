@@ -108,3 +108,11 @@ def test_spans_at_piece_borders(spark, chunk):
         else:
             assert r.reason == ("unloaded" if data is None else "unsupported_span")
             assert r.byte_start is None and r.starting_line is None
+
+
+def test_long_lines_are_read_once(spark):
+    """Pieces are counted in the pass that measures their lines."""
+    from evlake.plans import QUERIES
+
+    plan = QUERIES["long_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode") == 1
