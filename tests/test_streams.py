@@ -115,3 +115,51 @@ def test_state_of_builds_ends(spark, tmp_path):
         assert {r[:2] for r in rows if r[4]} == {("x", 41), ("z", 40), ("w", 200)} and held == 1
     finally:
         spark.conf.unset(PROVIDER_KEY) if before is None else spark.conf.set(PROVIDER_KEY, before)
+
+
+def test_spans_of_many_messages():
+    """Whole spans at a time give the spans of a walk from message to message, batch by batch."""
+    import random
+
+    import pandas as pd
+
+    from evlake.streaming.timed import COUNTS, Builds
+
+    class State:
+        held = None
+        exists = lambda self: self.held is not None
+        get = lambda self: self.held
+        deleteTimer = registerTimer = lambda self, at: None
+
+        def update(self, value):
+            self.held = value
+
+    def walk(span, messages, grace, idle):
+        rows = []
+        for at, counts in messages:
+            if span and at > span[2]:
+                rows.append((*span, True))
+                span = None
+            span = span or [at, at, at + idle, *[0] * len(COUNTS)]
+            done = span[5] > 0
+            span[1] = max(span[1], at)
+            span[3:] = [a + b for a, b in zip(span[3:], counts)]
+            if not done:
+                span[2] = at + grace if counts[2] else max(span[2], at + idle)
+        return span, [*rows, (*span, False)]
+
+    rng = random.Random(5)
+    for grace, idle in ((3, 9), (30, 9), (0, 0), (200, 40)):
+        builds = Builds(grace, idle)
+        builds.state = builds.handle = State()
+        span, start = None, 0
+        for size in (1, 40, 3, 200, 1, 90):
+            at = sorted(start + rng.choice([0, 1, 2, 5, 12, 45]) * rng.randint(0, size) for _ in range(size))
+            # Some come behind those of the next batch.
+            start = max(0, at[-1] - rng.choice([0, 20]))
+            messages = [(t, [1, *[int(rng.random() < 0.2) for _ in COUNTS[1:]]]) for t in at]
+            span, want = walk(span, messages, grace, idle)
+            table = pd.DataFrame([(t, *c) for t, c in messages], columns=["at", *COUNTS])
+            got = next(builds.handleInputRows(("b",), iter([table[: size // 2], table[size // 2 :]]), None))
+            assert [tuple(r[1:]) for r in got.itertuples(index=False)] == want
+            assert builds.state.held == tuple(span)
