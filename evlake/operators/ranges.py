@@ -34,6 +34,8 @@ def chunk_bytes(
     df: DataFrame, keys: Sequence[str], content: Column, chunk: int = CHUNK_BYTES
 ) -> DataFrame:
     """Cut a binary value per row into ``(keys, chunk_no, bytes)``. Empty content has no chunks."""
+    # A column of its own: as an expression it would be computed anew for every chunk.
+    df, content = df.select(*keys, content.alias("__content")), F.col("__content")
     last = _div(F.octet_length(content).cast("bigint") - 1, chunk).cast("int")
     pieces = F.when(
         F.octet_length(content) > 0,
