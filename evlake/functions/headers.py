@@ -24,7 +24,12 @@ SYMBOL = rf"@(?:{QUOTED}|{NAME})"
 
 OPEN, CLOSE = "([{<", ")]}>"
 BLANK = r"(?:[ \t\r\n\f]|;[^\n]*+)++"
-TOKEN = rf'(?s){BLANK}|[@%$!](?:{QUOTED}|{NAME})|{QUOTED}|{NAME}|[@%]?"|.'
+# A group without groups, quotes or comments in it is one token.
+FLAT = "|".join(rf'\{o}[^()\[\]{{}}<>";]*+\{c}' for o, c in zip(OPEN, CLOSE))
+# Blanks behind a token go with it, unless they hold the end of a line or a comment.
+TOKEN = (
+    rf'(?s){BLANK}|(?:{FLAT}|[@%$!](?:{QUOTED}|{NAME})|{QUOTED}|{NAME}|[@%]?"|.)(?:[ \t\r\f]++(?![ \t\r\f\n;]))?'
+)
 
 # Letters of items. Words of the language have letters of their own, other words `w`.
 WORDS = {
@@ -68,7 +73,7 @@ def _code(token: Column) -> Column:
     code = code.when(first == "!", F.when(F.length(token) > 1, "m").otherwise("y"))
     code = code.when(first.isin("%", "$"), F.when(F.length(token) > 1, "o").otherwise("x"))
     for opener, letter in GROUPS.items():
-        code = code.when(token == opener, letter)
+        code = code.when(first == opener, letter)
     code = code.when(token.isin(*CLOSE), "z").when(token == "=", "e").when(token == ",", "c")
     for letter, words in WORDS.items():
         code = code.when(token.isin(*words), letter)
@@ -82,7 +87,12 @@ def _items(heads: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     The window groups are single headers, whose length is bounded.
     """
     tokens = heads.select(
-        *keys, F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("__i", "__tok")
+        *keys, F.posexplode(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).alias("__i", "__all")
+    )
+    tokens = tokens.select(
+        *keys, "__i", "__all", F.when(F.col("__all").rlike(r"^[ \t\r\n\f;]"), F.col("__all")).otherwise(
+            F.rtrim("__all", F.lit(" \t\r\f"))
+        ).alias("__tok"),
     )
     order = W.partitionBy(*keys).orderBy("__i")
     before = order.rowsBetween(W.unboundedPreceding, -1)
@@ -90,15 +100,17 @@ def _items(heads: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     step = F.when(F.col("__tok").isin(*OPEN), 1).when(F.col("__tok").isin(*CLOSE), -1).otherwise(0)
     rows = tokens.select(
         *keys, "__i", code.alias("__code"), step.alias("__step"), F.length("__tok").cast("bigint").alias("__n"),
-        F.when(code == "s", F.col("__tok")).alias("__symbol"),
+        F.length("__all").alias("__width"), F.when(code == "s", F.col("__tok")).alias("__symbol"),
         F.when(step != 0, F.translate("__tok", CLOSE, OPEN)).alias("__kind"),
-    ).filter(F.col("__n") > 0)
+    ).filter(F.col("__width") > 0)
     rows = rows.withColumns({
-        "__at": F.coalesce(F.sum("__n").over(before), F.lit(0)),
+        "__at": F.coalesce(F.sum("__width").over(before), F.lit(0)),
         "__depth": F.coalesce(F.sum("__step").over(before), F.lit(0)),
     })
     top = (F.col("__depth") <= 0) & (F.col("__code") != "")
     rows = rows.withColumn("__item", F.sum(top.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    # Other rows have had their part in the sums.
+    rows = rows.filter(top | (F.col("__step") != 0) | (F.col("__code") == "B"))
     # On its own level, a delimiter's opener is the one before it, its closer the one behind it.
     level = F.col("__depth") + F.least("__step", F.lit(0))
     delimiters = W.partitionBy(*keys, F.col("__step") != 0, level).orderBy("__i")
@@ -110,9 +122,11 @@ def _items(heads: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
         inside & (F.col("__step") == -1) & ~F.col("__kind").eqNullSafe(F.col("__opener")), "mismatched_delimiter"
     ).when(inside & (F.col("__code") == "B"), "bad_quoted_text")
     own_end = F.col("__at") + F.col("__n")
-    grouped = F.col("__code").isin(*GROUPS.values())
+    # A flat group has its ends in itself.
+    grouped = F.col("__code").isin(*GROUPS.values()) & (F.col("__step") != 0)
+    first_end = F.when(F.col("__code").isin(*GROUPS.values()), F.col("__at") + 1).otherwise(own_end)
     item = F.struct(
-        "__item", F.col("__code").alias("whole"), F.col("__at").alias("at"), own_end.alias("first_end"),
+        "__item", F.col("__code").alias("whole"), F.col("__at").alias("at"), first_end.alias("first_end"),
         F.when(grouped, F.col("__closer") + 1).otherwise(own_end).alias("end"), F.col("__symbol").alias("symbol"),
         (grouped & F.col("__closer").isNull()).alias("open"),
     )

@@ -45,7 +45,8 @@ def running_totals(
     rows = df.withColumns({f"__v_{n}": c.cast("bigint") for n, c in values.items()}).withColumn(
         "__block", F.floor(F.col(position) / F.lit(block))
     )
-    keys = [*group, "__block"]
+    # The number first: a sort compares it, and the group only where it is equal.
+    keys = ["__block", *group]
     earlier_blocks = W.partitionBy(*group).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
     bases = (
         rows.groupBy(*keys)

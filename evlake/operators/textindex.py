@@ -29,8 +29,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SEGMENT = HEADER_LIMIT
 # Bytes of a header that are looked at first; most headers end there.
 FIRST_LOOK = 1 << 12
-# Bytes of text under one number, where headers look for their lines.
-REACH = 1 << 16
+# For each look, the bytes of text under one number, where headers look for their lines. All headers
+# and lines of a number meet, so it is narrow where headers may be short.
+REACH = {FIRST_LOOK: 1 << 10, HEADER_LIMIT: 1 << 16}
+# Runs of a line whose places are summed within its row.
+FEW = 64
 
 # Java patterns over one line whose characters are single bytes.
 _BLANK = r"[ \t\r\f]*"
@@ -38,17 +41,34 @@ _HIDDEN = rf"{QUOTED}|;[^\n]*"
 _MODIFIERS = r"(?:[a-z_]+(?:\([a-z0-9]*\))?[ \t]+)*?"
 _FLAT = r"(?:[^(){}\[\]<>,;\"@=]|\([^(){}\[\]<>;\"@=]*\))++"
 # One-line forms the disassembler prints.
+_BARE = r'[^()\[\]{}<>";\n]'
+_INSIDE = rf"{_BARE}*+"
+_AGGREGATE = rf"\{{{_INSIDE}\}}|\[{_INSIDE}\]|<{_INSIDE}>"
+_RESULT = rf'define[ \t](?:[^()\[\]{{}}<>@=";\n]|\({_INSIDE}\)|{_AGGREGATE})*+'
+_NAMED = rf"^({_RESULT})({SYMBOL})"
 _FUNCTION = (
-    rf"^(?!.*\bpersonality\b(?! ptr @))(define[ \t][^{{}}@\";]*)({SYMBOL})\(([^{{}};\[\]<>]*?)\)"
+    rf"^(?!.*\bpersonality\b(?! ptr @)){_RESULT}{SYMBOL}\((?:{_BARE}|\({_INSIDE}\))*+\)"
     rf"[^{{}};()\"=\[\]<>@]*(?:personality ptr {SYMBOL}[ \t]*)?\{{{_BLANK}\n?\z"
 )
+# With one constant, whose type and value are each a number, an integer type, or a flat group.
+_PREFIXED = (
+    rf"^(?![^\n]*\bpersonality\b)(?![^\n]*\b(?:prefix|prologue)\b[^\n]*\b(?:prefix|prologue)\b)"
+    rf"{_RESULT}{SYMBOL}\({_INSIDE}\)[^{{}};()\"=\[\]<>@]*(?<=[ \t)])(?:prefix|prologue)[ \t]+"
+    rf"(?:{_AGGREGATE}|i[0-9]++)[ \t]+(?:{_AGGREGATE}|-?[0-9]++)[ \t]*\{{{_BLANK}\n?\z"
+)
 _SKIPPED = rf"^{SYMBOL}[ \t]*=[ \t]*{_MODIFIERS}(?:global|constant)[ \t]"
 _DIRECT = rf"^(({SYMBOL})[ \t]*=[ \t]*{_MODIFIERS}alias[ \t]{_FLAT},[ \t]*ptr[ \t]+)({SYMBOL}){_BLANK}\n?\z"
+_EXPRESSION = (
+    rf"^({SYMBOL})[ \t]*=[ \t]*(?:(?!(?:alias|ifunc|global|constant)\b)[a-z_]+(?:\([a-z0-9]*\))?[ \t]+)*+alias[ \t]+"
+    rf"(?:{_AGGREGATE}|[a-z][a-z0-9]*+(?:[ \t]*\({_INSIDE}\))?)[ \t]*,[ \t]*(?:ptr[ \t]+)?"
+    rf"(?:getelementptr(?:[ \t]+inbounds)?|bitcast|addrspacecast|inttoptr)[ \t]*\({_INSIDE}\){_BLANK}\n?\z"
+)
 # Top-level lines that end with their line and never open a body.
 _UNRELATED = (
     r"^(?:!|declare[ \t]|attributes[ \t]|source_filename[ \t]|target[ \t]|module asm[ \t]"
     r"|%[^=]*=[ \t]*type[ \t]|\^[0-9]+[ \t]*=|\$[^=]*=[ \t]*comdat|uselistorder)"
 )
+_ONE_LINE = ("function", "direct_alias", "expression_alias")
 _START_WORD = r"^define(?:[ \t\r\n\f]|\z)"
 # A brace behind which a definition starts on the same line, and the pieces that end with one.
 _CROWDED = rf"\}}(?=[ \t\r\f]*(?:define[ \t]|{SYMBOL}[ \t]*=))"
@@ -145,7 +165,7 @@ def _uncrowded(segments: DataFrame, ks: list[str]) -> DataFrame:
     Neither ``define`` nor an assignment to ``@`` can stand inside a body, so where one follows a
     brace, that brace closes a body or the module is broken.
     """
-    crowded = F.col("text").rlike(_CROWDED)
+    crowded = F.col("text").contains("}") & F.col("text").rlike(_CROWDED)
     pieces = F.filter(F.regexp_extract_all("text", F.lit(_PIECES), F.lit(0)), lambda p: p != "")
     names = [c for c in segments.columns if c not in ks]
     rows = segments.filter(crowded).select("*", F.size(pieces).alias("__n"), F.posexplode(pieces).alias("__i", "__piece"))
@@ -166,24 +186,34 @@ def _uncrowded(segments: DataFrame, ks: list[str]) -> DataFrame:
 
 def _features(units: DataFrame, ks: list[str]) -> DataFrame:
     """What the sums need of lines that start, open or close something; the text stays behind."""
+    # No other line can have any of these.
+    units = units.filter(~F.col("last") | F.col("text").rlike(r'[{}"@=]|define'))
     # The quote that a segment leaves open is the next one's.
     sound = F.regexp_extract("text", _SOUND, 0)
     rest = F.substr("text", F.length(sound) + 1)
     open_quote = rest.rlike(r'^"(?:[^"\\\r\n]|\\\\|\\[0-9A-Fa-f]{2})*+(?:\\[0-9A-Fa-f]?)?\z')
     text = F.when(~F.col("last") & open_quote, sound).otherwise(F.col("text"))
-    rows = units.withColumn("__text", text).withColumn("__body", F.ltrim("__text", F.lit(" \t\r\f")))
-    bare = F.regexp_replace("__text", _HIDDEN, "")
+    rows = units.withColumn("__text", text)
+    rows = rows.withColumns({
+        "__body": F.ltrim("__text", F.lit(" \t\r\f")), "__bare": F.when(
+            F.col("__text").contains('"') | F.col("__text").contains(";"), F.regexp_replace("__text", _HIDDEN, "")
+        ).otherwise(F.col("__text")),
+    })
+    bare = F.col("__bare")
     seen = F.ltrim(bare, F.lit(" \t\r\f"))
-    is_define = F.col("__body").rlike(_START_WORD)
+    is_define = F.col("__body").startswith("define") & F.col("__body").rlike(_START_WORD)
     is_at = F.col("__body").startswith("@")
     behind = F.regexp_replace("__body", rf"^{SYMBOL}", "")
     behind = F.regexp_replace(behind, r"^[ \t\r\f]*(;[^\n]*)?", "")
     form = F.when(
         F.col("head"),
-        F.when(is_define & F.col("last") & F.col("__body").rlike(_FUNCTION) & ~bare.rlike(r"\b(?:prefix|prologue)\b"), "function")
+        F.when(is_define & F.col("last") & F.when(
+            bare.rlike(r"\b(?:prefix|prologue)\b"), F.col("__body").rlike(_PREFIXED)
+        ).otherwise(F.col("__body").rlike(_FUNCTION)), "function")
         .when(is_define, "header")
         .when(is_at & F.col("__body").rlike(_SKIPPED), "skipped")
         .when(is_at & F.col("last") & F.col("__body").rlike(_DIRECT), "direct_alias")
+        .when(is_at & F.col("last") & F.col("__body").rlike(_EXPRESSION), "expression_alias")
         .when(is_at & behind.startswith("="), "header")
         .when(is_at & behind.isin("", "\n"), "symbol_alone")
         .when(is_at, "stray"),
@@ -191,21 +221,24 @@ def _features(units: DataFrame, ks: list[str]) -> DataFrame:
     rows = rows.withColumn("form", form)
     # A global's value ends with its line, whatever it contains.
     quiet = F.col("quiet") | (F.col("head") & (F.col("__text").rlike(_UNRELATED) | F.coalesce(F.col("form") == "skipped", F.lit(False))))
-    braces = ~quiet & F.col("__text").rlike("[{}]")
+    rows = rows.withColumn("__quiet", quiet)
+    quiet = F.col("__quiet")
+    braces = ~quiet & (F.col("__text").contains("{") | F.col("__text").contains("}"))
     run = lambda t: F.struct(F.length(t).alias("n"), F.when(t == "{", 1).when(t == "}", -1).otherwise(0).alias("step"))
     runs = F.when(braces, F.transform(F.regexp_extract_all("__text", F.lit(_RUNS), F.lit(0)), run))
-    one = F.col("form").isin("function", "direct_alias")
-    symbol = F.when(F.col("form") == "function", F.regexp_extract("__body", _FUNCTION, 2)).when(
-        F.col("form") == "direct_alias", F.regexp_extract("__body", _DIRECT, 2)
+    one = F.col("form").isin(*_ONE_LINE)
+    symbol = (
+        F.when(F.col("form") == "function", F.regexp_extract("__body", _NAMED, 2))
+        .when(F.col("form") == "direct_alias", F.regexp_extract("__body", _DIRECT, 2))
+        .when(F.col("form") == "expression_alias", F.regexp_extract("__body", _EXPRESSION, 1))
     )
     target = F.when(F.col("form") == "direct_alias", F.regexp_extract("__body", _DIRECT, 3))
     # Where the tokens stand behind the line's blanks.
-    symbol_at = F.when(F.col("form") == "function", F.length(F.regexp_extract("__body", _FUNCTION, 1)))
+    symbol_at = F.when(F.col("form") == "function", F.length(F.regexp_extract("__body", _NAMED, 1)))
     target_at = F.when(F.col("form") == "direct_alias", F.length(F.regexp_extract("__body", _DIRECT, 1)))
     bad_quote = F.when(~quiet & bare.contains('"'), F.length(F.regexp_extract("__text", _SOUND, 0)))
     torn = ~F.col("last") & ~quiet & bare.rlike(_TORN)
-    found = rows.select(
-        *ks,
+    found = F.struct(
         "byte_start",
         "head",
         (F.length("text") - F.col("lead")).cast("bigint").alias("byte_len"),
@@ -221,7 +254,9 @@ def _features(units: DataFrame, ks: list[str]) -> DataFrame:
         (bad_quote - F.col("lead")).cast("bigint").alias("bad_quote"),
         torn.alias("torn"),
     )
-    return found.filter(
+    # As generated rows they are computed once; else the filter would compute them all for itself.
+    found = rows.select(*ks, found.alias("__f")).select(*ks, F.explode(F.array("__f")).alias("__f"))
+    return found.select(*ks, "__f.*").filter(
         F.col("form").isNotNull() | F.col("runs").isNotNull() | F.col("leads_with_equals")
         | F.col("bad_quote").isNotNull() | F.col("torn")
     )
@@ -239,15 +274,24 @@ def index_blocks(
     may hold a further definition across the end of a segment, the error is ``line_too_long``.
     """
     ks = list(keys)
+    # The number first: sorts then compare numbers, and texts only where these are equal.
+    at_line, at_block = ["byte_start", *ks], ["block_no", *ks]
     features = cut_lineage(_features(_uncrowded(_segments(lines, ks), ks), ks))
-    # Braces as rows, with their place; the window is one line's runs.
+    # Braces as rows, with their place. Sums over few runs need no rows of their own; the window of
+    # the others is one line's runs.
+    few = F.size("runs") <= FEW
+    place = lambda before: (F.col("unit") + before - F.col("shift")).cast("bigint").alias("at")
     runs = features.filter(F.col("runs").isNotNull()).select(
-        *ks, F.col("byte_start").alias("unit"), "shift", F.posexplode("runs").alias("__i", "__r")
+        *ks, F.col("byte_start").alias("unit"), "shift", few.alias("__few"), F.when(few, F.col("runs.n")).alias("__ns"),
+        F.posexplode("runs").alias("__i", "__r"),
     )
+    summed_here = F.aggregate(F.slice("__ns", F.lit(1), F.col("__i")), F.lit(0), lambda a, n: a + n)
+    short = runs.filter("__few and __r.step != 0").select(*ks, "unit", place(summed_here), F.col("__r.step").alias("step"))
     earlier = W.partitionBy(*ks, "unit").orderBy("__i").rowsBetween(W.unboundedPreceding, -1)
-    braces = runs.withColumn("__b", F.coalesce(F.sum("__r.n").over(earlier), F.lit(0))).select(
-        *ks, "unit", (F.col("unit") + F.col("__b") - F.col("shift")).cast("bigint").alias("at"), F.col("__r.step").alias("step")
+    long = runs.filter("not __few").withColumn("__b", F.coalesce(F.sum("__r.n").over(earlier), F.lit(0))).select(
+        *ks, "unit", place(F.col("__b")), F.col("__r.step").alias("step")
     ).filter(F.col("step") != 0)
+    braces = short.unionByName(long)
     # A line comes before a brace at its start.
     marks = features.select(
         *ks, (F.col("byte_start") * 2).alias("pos"), F.col("byte_start").alias("unit"), F.lit(0).alias("step")
@@ -258,21 +302,21 @@ def index_blocks(
         )
     )
     depths = summed.filter("step = 0").select(*ks, F.col("unit").alias("byte_start"), "depth", "event")
-    events = cut_lineage(features.drop("runs").join(depths, [*ks, "byte_start"]))
+    events = cut_lineage(features.drop("runs").join(depths, at_line))
     top = F.col("depth") == 0
     zeros = summed.filter((F.col("step") == -1) & (F.col("depth") == 1))
     below = summed.filter((F.col("step") == -1) & (F.col("depth") <= 0))
-    plain = events.filter(top & F.col("form").isin("function", "skipped", "direct_alias", "header"))
+    plain = events.filter(top & F.col("form").isin(*_ONE_LINE, "skipped", "header"))
     # A symbol alone on its line starts a value when the next event is a line that begins with `=`.
     follows = events.filter(top & F.col("leads_with_equals")).select(*ks, (F.col("event") - 1).alias("event"))
     split = (
         events.filter(top & (F.col("form") == "symbol_alone"))
-        .join(follows, [*ks, "event"], "left_semi")
+        .join(follows, ["event", *ks], "left_semi")
         .withColumn("form", F.lit("header"))
     )
     starts = plain.unionByName(split.select(*plain.columns))
     strays = events.filter(top & F.col("form").isin("stray", "symbol_alone")).join(
-        split.select(*ks, "byte_start"), [*ks, "byte_start"], "left_anti"
+        split.select(*ks, "byte_start"), at_line, "left_anti"
     )
     # The block of each end and stray: how many definitions have started before it.
     ordered = (
@@ -281,7 +325,6 @@ def index_blocks(
         .unionByName(strays.select(*ks, (F.col("byte_start") * 2).alias("pos"), F.lit(0).alias("__start")))
     )
     numbered = cut_lineage(running_totals(ordered, ks, "pos", {"block_no": F.col("__start")}, block))
-    at_line = [*ks, "byte_start"]
     own = numbered.filter(F.col("pos") % 2 == 0).select(*ks, (F.col("pos") / 2).cast("bigint").alias("byte_start"), "__start", "block_no")
     blocks = cut_lineage(
         starts.join(own.filter("__start = 1").drop("__start"), at_line)
@@ -300,9 +343,9 @@ def index_blocks(
     target = decode_symbol(F.when(read, F.col("h.target")).otherwise(F.col("target_token")))
     # The limit holds for every form of a header; a global's line is no header.
     too_long = (
-        F.col("form").isin("function", "direct_alias") & (F.col("byte_len") - F.col("lead") > HEADER_LIMIT)
+        F.col("form").isin(*_ONE_LINE) & (F.col("byte_len") - F.col("lead") > HEADER_LIMIT)
     )
-    parsed = blocks.join(headers, [*ks, "block_no"], "left").select(
+    parsed = blocks.join(headers, at_block, "left").select(
         *ks,
         "block_no",
         "begin",
@@ -321,13 +364,13 @@ def index_blocks(
     first_end = (
         parsed.filter(F.col("kind") == "function")
         .select(*ks, "block_no", "head_end")
-        .join(ends, [*ks, "block_no"])
+        .join(ends, at_block)
         .filter(F.col("end") > F.col("head_end") - 1)
-        .groupBy(*ks, "block_no")
+        .groupBy(*at_block)
         .agg(F.min("end").alias("body_end"))
     )
     ranged = (
-        parsed.join(first_end, [*ks, "block_no"], "left")
+        parsed.join(first_end, at_block, "left")
         .join(size, ks, "left")
         .withColumn(
             "end",
@@ -359,7 +402,7 @@ def index_blocks(
     inside = F.col("depth") > 0
     # Only behind a brace that closes to depth zero can a definition go on.
     closed = (
-        summed.filter("step != 0").join(events.filter("torn").select(*ks, F.col("byte_start").alias("unit")), [*ks, "unit"])
+        summed.filter("step != 0").join(events.filter("torn").select(*ks, F.col("byte_start").alias("unit")), ["unit", *ks])
         .groupBy(*ks, "unit").agg(F.max_by(F.col("depth") + F.col("step"), "pos").alias("__left"))
         .filter("__left = 0").select(*ks, F.col("unit").alias("byte_start"))
     )
@@ -382,7 +425,7 @@ def index_blocks(
     stray_errors = (
         strays.withColumn("begin", F.col("byte_start") + F.col("lead"))
         .join(own.drop("__start"), at_line)
-        .join(held, [*ks, "block_no"], "left")
+        .join(held, at_block, "left")
         .filter(F.col("__bad").isNull() | (~F.col("__bad") & (F.col("begin") >= F.col("end"))))
         .select(*ks, F.lit("expected_assignment").alias("error"), F.col("begin").alias("error_at"))
     )
@@ -396,50 +439,53 @@ def _read_block_headers(lines: DataFrame, blocks: DataFrame, ks: list[str]) -> D
     read, up to one byte over the limit: that byte tells a header that is too long from one that just
     fits.
     """
+    at_block = ["block_no", *ks]
     nexts = blocks.select(*ks, (F.col("block_no") - 1).alias("block_no"), F.col("byte_start").alias("__next"))
     wanted = blocks.filter(F.col("form") == "header").select(*ks, "block_no", "begin").join(
-        nexts, [*ks, "block_no"], "left"
+        nexts, at_block, "left"
     )
     looks = []
     for limit in (FIRST_LOOK, HEADER_LIMIT):
-        heads = cut_lineage(_texts_from(lines, wanted, ks, limit + 1))
-        read = cut_lineage(read_headers(heads, [*ks, "block_no"]))
+        heads = cut_lineage(_texts_from(lines, wanted, ks, limit + 1, REACH[limit]))
+        read = cut_lineage(read_headers(heads, at_block))
         settled = F.col("settled") | (F.col("size") <= limit)
         looks.append(read if limit == HEADER_LIMIT else read.filter(settled))
-        wanted = wanted.join(read.filter(~settled).select(*ks, "block_no"), [*ks, "block_no"], "left_semi")
+        wanted = wanted.join(read.filter(~settled).select(*at_block), at_block, "left_semi")
     fields = ["symbol", "symbol_at", "kind", "target", "target_at", "consumed", "error", "error_at"]
     return looks[0].unionByName(looks[1]).select(*ks, "block_no", F.struct(*fields).alias("h"))
 
 
-def _texts_from(lines: DataFrame, wanted: DataFrame, ks: list[str], limit: int) -> DataFrame:
+def _texts_from(lines: DataFrame, wanted: DataFrame, ks: list[str], limit: int, reach: int) -> DataFrame:
     """``block_no, text``: at most ``limit`` bytes of each block from ``begin`` to ``__next``.
 
-    Lines and blocks meet by the number of a stretch of text, with their places only; the text
-    follows for those that do.
+    Lines and blocks meet by the number of a stretch of ``reach`` bytes of text. A line is cut where
+    these end, so that its bytes travel once, however long it is.
     """
-    reach = lambda c: F.call_function("div", c, F.lit(REACH).cast("bigint"))
+    stretch = lambda c: F.call_function("div", c, F.lit(reach).cast("bigint"))
     stop = F.least(F.coalesce("__next", F.col("begin") + limit), F.col("begin") + limit)
-    asked = wanted.withColumn("stop", stop)
-    asked = asked.withColumn("__r", F.explode(F.sequence(reach(F.col("begin")), reach(F.col("stop") - 1))))
-    n = F.octet_length("line").cast("bigint")
-    placed = lines.select(*ks, "byte_start", (F.col("byte_start") + n).alias("__end")).filter(F.col("__end") > F.col("byte_start"))
-    placed = placed.withColumn("__r", F.explode(F.sequence(reach(F.col("byte_start")), reach(F.col("__end") - 1))))
-    met = (
-        asked.join(placed, [*ks, "__r"])
-        .filter((F.col("byte_start") < F.col("stop")) & (F.col("__end") > F.col("begin")))
-        .select(*ks, "block_no", "begin", "stop", "byte_start")
-        .distinct()
-    )
-    skip = F.greatest(F.col("begin") - F.col("byte_start"), F.lit(0))
-    length = F.col("stop") - F.greatest("begin", "byte_start")
+    asked = wanted.select(*ks, "block_no", "begin", stop.alias("stop"))
+    asked = asked.withColumn("__r", F.explode(F.sequence(stretch(F.col("begin")), stretch(F.col("stop") - 1))))
+    end = F.col("byte_start") + F.octet_length("line").cast("bigint")
+    first, last = stretch(F.col("byte_start")), stretch(end - 1)
+    placed = lines.filter(F.octet_length("line") > 0).select(
+        *ks, "byte_start", "line", F.explode(F.sequence(first, last)).alias("__r")
+    )
+    share = F.greatest("byte_start", F.col("__r") * reach)
+    placed = placed.select(
+        *ks, "__r", share.alias("__from"),
+        F.substring("line", (share - F.col("byte_start") + 1).cast("int"), ((F.col("__r") + 1) * reach - share).cast("int")).alias("__part"),
+    )
+    skip = F.greatest(F.col("begin") - F.col("__from"), F.lit(0))
+    length = F.col("stop") - F.greatest("begin", "__from")
     return (
-        met.join(lines.select(*ks, "byte_start", "line"), [*ks, "byte_start"])
+        asked.join(placed, ["__r", *ks])
+        .filter((F.col("__from") < F.col("stop")) & (F.col("__from") + F.octet_length("__part") > F.col("begin")))
         .select(
-            *ks, "block_no", "byte_start",
-            F.substring("line", (skip + 1).cast("int"), length.cast("int")).alias("__part"),
+            *ks, "block_no", "__from",
+            F.substring("__part", (skip + 1).cast("int"), length.cast("int")).alias("__part"),
         )
-        .groupBy(*ks, "block_no")
-        .agg(F.expr("listagg(__part) within group (order by byte_start)").alias("__head"))
+        .groupBy("block_no", *ks)
+        .agg(F.expr("listagg(__part) within group (order by __from)").alias("__head"))
         .select(*ks, "block_no", F.decode("__head", "ISO-8859-1").alias("text"))
     )
 

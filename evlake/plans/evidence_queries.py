@@ -316,7 +316,7 @@ def ir_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.when(F.col("p_size") % 5 == k, _spark_text(v)) for k, v in _PIECES.items()]
     )
     pieces = part.select(F.col("p_brand").alias("module"), "p_partkey", piece.alias("piece"))
-    parts = F.split(F.col("piece"), "(?<=\n)", -1)
+    parts = F.regexp_extract_all("piece", F.lit(r"[^\n]*+\n|[^\n]++"), F.lit(0))
     lines_in = F.length("piece") - F.length(F.replace("piece", F.lit("\n"), F.lit("")))
     placed = running_totals(
         pieces,
@@ -328,11 +328,10 @@ def ir_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         "module",
         "__line",
         "__byte",
-        "piece",
-        F.posexplode(F.filter(parts, lambda s: s != "")).alias("__i", "line"),
-    )
+        parts.alias("parts"),
+    ).select("*", F.posexplode("parts").alias("__i", "line"))
     head = F.aggregate(
-        F.slice(parts, F.lit(1), F.col("__i")),
+        F.slice("parts", F.lit(1), F.col("__i")),
         F.lit(0).cast("bigint"),
         lambda a, s: a + F.octet_length(s),
     )

@@ -6,7 +6,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from evlake.functions.headers import HEADER_LIMIT, decode_symbol, read_headers
+from evlake.functions.headers import HEADER_LIMIT, TOKEN, decode_symbol, read_headers
 from evlake.operators import textindex
 from evlake.operators.ranges import artifact_lines, chunk_bytes
 from evlake.operators.textindex import index_blocks
@@ -187,6 +187,27 @@ def test_reading_is_linear(spark):
     assert time.perf_counter() - started < 60
 
 
+def test_headers_of_one_line_and_flat_groups_are_cheap(spark):
+    """Whole groups are one token, and the disassembler's one-line forms need no token rows."""
+    lines = {
+        "define { i8, ptr } @f(ptr %x) prefix { i32 } { i32 7 } {\n": "function",
+        "define { i64, ptr } @f(i8 %a) {\n": "function",
+        "@e = alias i8, getelementptr (i8, ptr @f, i64 1)\n": "expression_alias",
+        "define [2 x ( i8] @f() {\n": "header", "define void @f() prefix i8 {\n": "header", "define {} @f( () {\n": "header",
+    }
+    df = spark.createDataFrame([(i, 0, t.encode()) for i, t in enumerate(lines)], "name int, byte_start bigint, line binary")
+    rows = textindex._features(textindex._segments(df, ["name"]), ["name"]).orderBy("name").collect()
+    assert [r.form for r in rows] == list(lines.values())
+    text = spark.createDataFrame([(next(iter(lines)),)], "t string")
+    assert text.select(F.size(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)))).first()[0] < 12
+
+
+def test_stray_delimiters_before_a_name(spark):
+    texts = {t: t for t in ("define > void @w() {\n}\n", "define [2 x ( i8] @w() {\n}\n", "define void @w( () {\n}\n")}
+    got, bad = index(spark, texts)
+    assert not any(got.values()) and set(bad) == set(texts)
+
+
 def test_symbols(spark):
     tokens = NAMES | {"@": None, "@4x": None, '@"\\FF"': None, '@""': None, '@"open': None, "@" + "z" * 2_000_000: "z" * 2_000_000}
     df = spark.createDataFrame([(t.encode().decode("latin-1"),) for t in tokens], "t string")
